@@ -71,3 +71,76 @@ def catalog_urls(spark: SparkSession, sf_dir: str, shorten: bool = False) -> Dat
         F.concat(F.lit(CATALOG_HOST), F.array_join(segs, "/")).alias("url"),
         F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"),
     )
+
+
+# --- sitemap documents and model replies ------------------------------------
+# Variant of a site's document, chosen by variant_of(site_id, 10):
+#   0 plain, 1 prefixed namespace, 2 no namespace, 3 another namespace,
+#   4 bare '&', 5 truncated, 6 blank before '<?xml', 7 '<loc/>',
+#   8 first entry without loc, 9 comments and image extension.
+OTHER_NS = "http://example.com/schemas/other/1.0"
+IMAGE_NS = "http://www.google.com/schemas/sitemap-image/1.1"
+IMAGE_ENTRY = ("    <!-- image -->\n    <image:image><image:loc>https://img.example.com/a.png"
+               "</image:loc></image:image>\n  </url>")
+
+
+def variant_of(c, n: int):
+    """A well-spread deterministic variant number in [0, n) (md5 based, so
+    the DuckDB twin computes the same)."""
+    h = F.md5(c)
+    return (F.ascii(F.substring(h, 1, 1)) * 7 + F.ascii(F.substring(h, 2, 1))) % n
+
+
+def _first_loc_replaced(x, repl: str):
+    i = F.instr(x, "<loc>")
+    j = F.instr(x, "</loc>\n")
+    return F.concat(F.substring(x, F.lit(1), i - 1), F.lit(repl), F.substring(x, j + 7, F.lit(1 << 30)))
+
+
+def sitemap_docs(spark: SparkSession, sf_dir: str, variants: bool = True) -> DataFrame:
+    """One ``<urlset>`` per host of ``pages`` (per 50,000 positions), in variants."""
+    from ..operators.sitemap import SITEMAP_NS, sitemap_write
+    docs = sitemap_write(page_urls(spark, sf_dir))
+    if not variants:
+        return docs.withColumn("variant", F.lit(0))
+    x = F.col("xml")
+    v = variant_of(F.col("site_id"), 10)
+    root = f'<urlset xmlns="{SITEMAP_NS}">'
+    out = (F.when(v == 1, F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(F.replace(
+                x, F.lit(root), F.lit(f'<sm:urlset xmlns:sm="{SITEMAP_NS}">')),
+                F.lit("</urlset>"), F.lit("</sm:urlset>")), F.lit("<url>"), F.lit("<sm:url>")),
+                F.lit("</url>"), F.lit("</sm:url>")), F.lit("<loc>"), F.lit("<sm:loc>")),
+                F.lit("</loc>"), F.lit("</sm:loc>")), F.lit("<lastmod>"), F.lit("<sm:lastmod>")))
+           .when(v == 2, F.replace(x, F.lit(f' xmlns="{SITEMAP_NS}"'), F.lit("")))
+           .when(v == 3, F.replace(x, F.lit(SITEMAP_NS), F.lit(OTHER_NS)))
+           .when(v == 4, F.replace(x, F.lit("</urlset>"), F.lit("<note>R&D</note>\n</urlset>")))
+           .when(v == 5, F.substring(x, F.lit(1), (F.length(x) * 2 / 3).cast("int")))
+           .when(v == 6, F.concat(F.lit(" "), x))
+           .when(v == 7, _first_loc_replaced(x, "<loc/>\n"))
+           .when(v == 8, _first_loc_replaced(x, ""))
+           .when(v == 9, F.replace(F.replace(x, F.lit(root), F.lit(
+                f'<urlset xmlns="{SITEMAP_NS}" xmlns:image="{IMAGE_NS}">')),
+                F.lit("  </url>"), F.lit(IMAGE_ENTRY)))
+           .otherwise(x))
+    return docs.select("site_id", "chunk", v.alias("variant"), out.alias("xml"))
+
+
+# Reply shape, chosen by variant_of(site_id, 5): 0 fenced ```xml block,
+# 1 fenced without declaration, 2 bare with prose around, 3 <urlset> only
+# with prose, 4 no XML at all.
+def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.sitemap import XML_DECL
+    docs = sitemap_docs(spark, sf_dir, variants=False)
+    x = F.col("xml")
+    body = F.substring(x, F.lit(len(XML_DECL) + 2), F.lit(1 << 30))
+    v = variant_of(F.col("site_id"), 5)
+    sid = F.col("site_id")
+    resp = (F.when(v == 0, F.concat(F.lit("ANALYSIS:\nBusiness Type: shop\n\n```xml\n"), x,
+                                    F.lit("```\n\nNOTES: none")))
+            .when(v == 1, F.concat(F.lit("```XML\n"), body, F.lit("```")))
+            .when(v == 2, F.concat(F.lit("Here is the sitemap for "), sid, F.lit(":\n"), x,
+                                   F.lit("\nNOTES: generated.")))
+            .when(v == 3, F.concat(F.lit("Sitemap below.\n"), body, F.lit("\nThanks.")))
+            .otherwise(F.concat(F.lit("I could not build a sitemap for "), sid, F.lit("."))))
+    return docs.select(F.concat(sid, F.lit("#"), F.col("chunk").cast("string")).alias("file_id"),
+                       resp.alias("response"), F.lit(None).cast("string").alias("error"))
