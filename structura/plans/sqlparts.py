@@ -66,3 +66,99 @@ def ordered_cte(nodes: str, name: str) -> str:
          row_number() OVER (PARTITION BY n.site_id ORDER BY s.sort_key) AS line_no,
          row_number() OVER (PARTITION BY n.site_id, n.parent_path ORDER BY n.first_seen) - 1 AS sibling_idx
   FROM {nodes} n JOIN {name}_sk s USING (site_id, path))"""
+
+
+# --- questionnaire ingest twins ----------------------------------------------
+
+def qa_source_cte(name: str = "qa") -> str:
+    return f"""{name}_src AS (
+  SELECT conv_id, turn, role, text AS question,
+         lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
+         lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS answer
+  FROM conversations),
+{name} AS (
+  SELECT 'qfile-' || (conv_id // 20) AS file_id, conv_id // 20 AS file_no, conv_id, turn, question, answer
+  FROM {name}_src WHERE role = 'user' AND next_role = 'assistant')"""
+
+
+def qfiles_text_cte(name: str = "ftext", delim: str = ",") -> str:
+    """The questionnaire CSV texts, built from conversations (twin of qfiles_text)."""
+    def q(x):
+        return f"""'"' || replace(coalesce({x}, ''), '"', '""') || '"'"""
+    eol = "(CASE WHEN file_no % 4 = 1 THEN chr(13) || chr(10) ELSE chr(10) END)"
+    return f"""{qa_source_cte('qa')},
+{name}_recs AS (
+  SELECT file_id, file_no, conv_id, turn,
+         {q("'Conversation ' || conv_id")} || '{delim}' || {q('question')} || '{delim}' || {q('answer')} ||
+         CASE WHEN file_no % 4 = 3 AND row_number() OVER (PARTITION BY file_id ORDER BY conv_id, turn) = 1
+              THEN '{delim}"Acme Corp ' || file_id || '"' ELSE '' END || {eol} AS rec
+  FROM qa),
+{name} AS (
+  SELECT file_id, CAST(file_no % 4 AS INTEGER) AS variant,
+         'Client Name{delim}Acme ' || file_id || {eol} || {eol} ||
+         CASE WHEN file_no % 4 = 3 THEN 'Section{delim}Question{delim}Answer{delim}Client Name'
+              ELSE 'Section{delim}Question{delim}Answer' END
+         || {eol} || string_agg(rec, '' ORDER BY conv_id, turn) AS text
+  FROM {name}_recs GROUP BY file_id, file_no)"""
+
+
+def doc_text_cte(name: str = "ftext") -> str:
+    return f"{name} AS (SELECT 'doc-' || doc_id AS file_id, text FROM documents)"
+
+
+def parse_chain_cte(src: str, name: str = "parsed") -> str:
+    """The comma-dialect parse of ``src(file_id, text)`` with DuckDB lists and RE2."""
+    from ..functions import csvre
+    from ..functions.text import NA_TOKENS, duck_strip, sql_list, sql_str
+    rec_re, cell_re = sql_str(csvre.record_re(",")), sql_str(csvre.cell_re(","))
+    qre = sql_str(csvre.QUOTED_CELL_RE)
+    unclosed = sql_str(csvre.unclosed_re(","))
+    cnt = "(length(l) - length(replace(l, ',', '')))"
+    kw = "(contains(lower(l), 'section') OR contains(lower(l), 'question') OR contains(lower(l), 'answer'))"
+    unq = (f"CASE WHEN regexp_matches(c, {qre}) THEN replace(regexp_extract(c, {qre}, 1), '\"\"', '\"') "
+           f"|| regexp_extract(c, {qre}, 2) ELSE c END")
+    return f"""{name}_0 AS (
+  SELECT file_id, text, string_split(text, chr(10)) AS lines FROM {src}),
+{name}_1 AS (
+  SELECT *, list_position(list_transform(lines, lambda l: {kw} AND {cnt} >= 2), true) - 1 AS header_kw_line,
+            list_position(list_transform(lines, lambda l: {cnt} >= 2), true) - 1 AS header_any_line
+  FROM {name}_0),
+{name}_2 AS (
+  SELECT *, CAST(coalesce(header_kw_line, header_any_line, 0) AS INTEGER) AS header_line FROM {name}_1),
+{name}_3 AS (
+  SELECT *,
+    (header_line > 0 AND len(list_filter(lines[header_line + 2:], lambda l: {duck_strip('l')} <> '')) = 0) AS no_data,
+    list_transform(regexp_extract_all(array_to_string(lines[header_line + 1:], chr(10)), {rec_re}, 1),
+                   lambda r: regexp_replace(r, '\\r\\z', '')) AS recs
+  FROM {name}_2),
+{name}_4 AS (
+  SELECT *, list_filter(
+      list_transform(recs, lambda r: {{'raw': r, 'cells': list_transform(regexp_extract_all(',' || r, {cell_re}, 1),
+                                                                        lambda c: {unq})}}),
+      lambda x: NOT (len(x.cells) = 1 AND {duck_strip('x.cells[1]')} = '')) AS nb
+  FROM {name}_3),
+{name}_5 AS (
+  SELECT *, list_transform(coalesce(nb[1].cells, []::VARCHAR[]),
+                           lambda x, i: CASE WHEN x = '' THEN 'Unnamed: ' || (i - 1) ELSE x END) AS named
+  FROM {name}_4),
+{name}_6 AS (
+  SELECT *, list_transform(named, lambda x, i: CASE
+      WHEN len(list_filter(named[1:i - 1], lambda y: y = x)) > 0
+      THEN x || '.' || len(list_filter(named[1:i - 1], lambda y: y = x)) ELSE x END) AS hdr,
+    CASE WHEN {duck_strip('text')} = '' THEN 'empty' WHEN no_data THEN 'no_data_after_header'
+         WHEN len(nb) = 0 THEN 'no_columns' ELSE 'ok' END AS status
+  FROM {name}_5),
+{name}_7 AS (
+  SELECT file_id, status, header_kw_line, header_any_line, header_line,
+    CASE WHEN status = 'ok' THEN hdr END AS header,
+    CASE WHEN status = 'ok' THEN list_transform(nb[2:], lambda x, i: {{
+        'rec_no': CAST(i - 1 AS BIGINT), 'raw': x.raw,
+        'cells': list_transform(x.cells, lambda c: CASE WHEN c IN {sql_list(NA_TOKENS)} THEN NULL ELSE c END),
+        'reason': CASE WHEN regexp_matches(x.raw, {unclosed}) THEN 'unclosed_quote'
+                       WHEN len(x.cells) > len(hdr) THEN 'too_many_fields' END}})
+         ELSE [] END AS data
+  FROM {name}_6),
+{name} AS (
+  SELECT *, list_transform(list_filter(data, lambda x: x.reason IS NULL), lambda x, i: {{
+      'row_id': CAST(i - 1 AS BIGINT), 'rec_no': x.rec_no, 'cells': x.cells}}) AS rows
+  FROM {name}_7)"""

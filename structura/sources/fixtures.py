@@ -144,3 +144,75 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
             .otherwise(F.concat(F.lit("I could not build a sitemap for "), sid, F.lit("."))))
     return docs.select(F.concat(sid, F.lit("#"), F.col("chunk").cast("string")).alias("file_id"),
                        resp.alias("response"), F.lit(None).cast("string").alias("error"))
+
+
+# --- questionnaire files -----------------------------------------------------
+QFILE_CONVS = 20          # conversations per questionnaire file
+QFILE_HEADER = "Section,Question,Answer"
+LATIN1_RE = r"\A[\x{0}-\x{FF}]*\z"
+
+
+def qa_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Question/answer rows straight from ``conversations``: a user turn
+    followed by an assistant turn (window over one conversation only)."""
+    c = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    return (c.select("conv_id", "turn", "role", F.col("text").alias("question"),
+                     F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("answer"))
+            .filter((F.col("role") == "user") & (F.col("next_role") == "assistant"))
+            .withColumn("file_no", F.floor(F.col("conv_id") / QFILE_CONVS))
+            .select(F.concat(F.lit("qfile-"), F.col("file_no").cast("string")).alias("file_id"),
+                    "file_no", "conv_id", "turn", "question", "answer"))
+
+
+def _csv_quote(c):
+    return F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
+
+
+def qfiles_text(spark: SparkSession, sf_dir: str, delim: str = ",") -> DataFrame:
+    """One CSV text per questionnaire file (``file_id, variant, text``).
+
+    A preamble line and a blank line precede the header; records are quoted
+    with doubled quotes.  Variant (file number % 4): 0 plain, 1 CRLF
+    record ends (newlines inside cells stay LF), 2 ISO-8859-1 bytes, 3 an
+    extra 'Client Name' column filled on the first row only.  ``delim``
+    separates the fields (the semicolon files test dialect sniffing).
+    """
+    src = qa_source(spark, sf_dir)
+    v = (F.col("file_no") % 4).cast("int")
+    w = Window.partitionBy("file_id").orderBy("conv_id", "turn")
+    first = F.row_number().over(w) == 1
+    fields = [F.concat(F.lit("Conversation "), F.col("conv_id").cast("string")),
+              F.coalesce(F.col("question"), F.lit("")), F.coalesce(F.col("answer"), F.lit(""))]
+    rec = F.concat_ws(delim, *[_csv_quote(f) for f in fields])
+    client = F.when(first, F.concat(F.lit(delim + '"Acme Corp '), F.col("file_id"), F.lit('"'))).otherwise(F.lit(""))
+    rec = F.when(v == 3, F.concat(rec, client)).otherwise(rec)
+    eol = F.when(v == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+    recs = src.select("file_id", "conv_id", "turn", v.alias("variant"), F.concat(rec, eol).alias("rec"))
+    hdr = QFILE_HEADER.replace(",", delim)
+    header = F.when(F.col("variant") == 3, F.lit(hdr + delim + "Client Name")).otherwise(F.lit(hdr))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("conv_id", "turn", "rec"))),
+                                    lambda s: s["rec"]), "")
+    files = recs.groupBy("file_id", "variant").agg(body.alias("body"))
+    feol = F.when(F.col("variant") == 1, F.lit("\r\n")).otherwise(F.lit("\n"))
+    return files.select(
+        "file_id", "variant",
+        F.concat(F.lit(f"Client Name{delim}Acme "), F.col("file_id"), feol, feol, header, feol,
+                 F.col("body")).alias("text"))
+
+
+def qfiles(spark: SparkSession, sf_dir: str, delim: str = ",") -> DataFrame:
+    """``file_id, content BINARY``: the texts above as bytes."""
+    t = qfiles_text(spark, sf_dir, delim)
+    latin = (F.col("variant") == 2) & F.col("text").rlike(LATIN1_RE)
+    return t.select("file_id", F.when(latin, F.encode("text", "ISO-8859-1"))
+                    .otherwise(F.encode("text", "UTF-8")).alias("content"))
+
+
+def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every ``documents`` text read as if it were an uploaded CSV file:
+    irregular prose with commas, quotes and blank lines exercises the header
+    search, record assembly and rejects."""
+    d = table(spark, sf_dir, "documents", "doc_id", "text")
+    return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"),
+                    F.encode("text", "UTF-8").alias("content"))
