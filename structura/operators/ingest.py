@@ -29,6 +29,7 @@ CLIENT_VALUE_MAX_LEN = 100
 DEFAULT_NAME = "sitemap"
 DELIMITERS = [",", ";", "\t", "|"]       # candidates for dialect='auto'
 DIALECT_SAMPLE_LINES = 11                # header line and 10 rows
+QUOTED_SPAN_RE = r'"[^"]*"'             # removed before counting delimiters
 # ---------------------------------------------------------------------------
 
 BOM_RE = r"\A\x{FEFF}"
@@ -66,18 +67,22 @@ def _pos(arr: Column, pred) -> Column:
 
 # I7 --------------------------------------------------------------------------
 def detect_delimiter(text: Column) -> Column:
-    """Opt-in dialect sniffing: over the first non-blank lines, the candidate
-    whose smallest per-line count is largest (ties: candidate order)."""
-    lines = F.slice(F.filter(F.split(text, "\n", -1), lambda l: ~is_blank(l)), 1, DIALECT_SAMPLE_LINES)
-    def counter(d: str):
-        return lambda l: _count(l, F.lit(d))
-
-    scored = F.array(*[
-        F.struct(F.coalesce(F.array_min(F.transform(lines, counter(d))), F.lit(0)).alias("score"),
-                 F.lit(-i).alias("rank"), F.lit(d).alias("delim"))
-        for i, d in enumerate(DELIMITERS)])
+    """Opt-in dialect sniffing.  Quoted spans are removed first (they may
+    hold delimiters and newlines); over the first non-blank lines left, the
+    candidate found on the most lines wins, then the one found most often,
+    then the earlier candidate.  None found: comma."""
+    bare = F.regexp_replace(text, QUOTED_SPAN_RE, "")
+    lines = F.slice(F.filter(F.split(bare, "\n", -1), lambda l: ~is_blank(l)), 1, DIALECT_SAMPLE_LINES)
+
+    def score(d: str) -> Column:
+        counts = F.transform(lines, lambda l: _count(l, F.lit(d)))
+        return F.struct(F.size(F.filter(counts, lambda c: c > 0)).alias("n_lines"),
+                        F.aggregate(counts, F.lit(0), lambda a, c: a + c).alias("total"))
+
+    scored = F.array(*[F.struct(score(d).alias("score"), F.lit(-i).alias("rank"), F.lit(d).alias("delim"))
+                       for i, d in enumerate(DELIMITERS)])
     best = F.array_max(scored)
-    return F.when(best["score"] > 0, best["delim"]).otherwise(F.lit(","))
+    return F.when(best["score"]["n_lines"] > 0, best["delim"]).otherwise(F.lit(","))
 
 
 def _re_for(delim: Column, make) -> Column:
@@ -164,29 +169,45 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
                      "header_line", F.when(ok, F.col("header")).alias("header"), "data", rows.alias("rows"))
 
 
+def _explode(parsed: DataFrame, arr: Column, name: str = "r") -> DataFrame:
+    """``file_id`` x elements of ``arr``.
+
+    ``explode_outer`` plus a null filter on the generated column: an inner
+    ``explode`` makes Catalyst infer ``size(arr) > 0`` and push it below the
+    projections, where it would re-evaluate the whole per-file parse.
+    """
+    return (parsed.select("file_id", F.explode_outer(arr).alias(name))
+            .filter(F.col(name).isNotNull()))
+
+
+def _one_if(cond: Column, value: Column) -> Column:
+    """A 0- or 1-element array: per-file conditions stay inside the row."""
+    return F.when(cond, F.array(value))
+
+
 def records(parsed: DataFrame) -> DataFrame:
     """Assembled (multi-line) data records in file order."""
-    return (parsed.select("file_id", F.explode("data").alias("r"))
-            .select("file_id", "r.rec_no", "r.raw"))
+    return _explode(parsed, F.col("data")).select("file_id", "r.rec_no", "r.raw")
 
 
 def csv_rows(parsed: DataFrame) -> DataFrame:
     """``file_id, row_id, rec_no, cells`` for kept rows; NA tokens
     are null; a short row is simply a shorter array (``get`` gives null)."""
-    return (parsed.select("file_id", F.explode("rows").alias("r"))
-            .select("file_id", "r.row_id", "r.rec_no", "r.cells"))
+    return _explode(parsed, F.col("rows")).select("file_id", "r.row_id", "r.rec_no", "r.cells")
 
 
 def rejects(parsed: DataFrame) -> DataFrame:
     """``file_id, rec_no, reason, raw`` - whole files that cannot
     be read (rec_no null) and records dropped from readable files."""
-    files = (parsed.filter(F.col("status") != "ok")
-             .select("file_id", F.lit(None).cast("bigint").alias("rec_no"),
-                     F.col("status").alias("reason"), F.lit(None).cast("string").alias("raw")))
-    recs = (parsed.select("file_id", F.explode("data").alias("r"))
-            .filter(F.col("r.reason").isNotNull())
-            .select("file_id", "r.rec_no", "r.reason", "r.raw"))
-    return files.unionByName(recs)
+    file_level = _one_if(F.col("status") != "ok", F.struct(
+        F.lit(None).cast("bigint").alias("rec_no"), F.col("status").alias("reason"),
+        F.lit(None).cast("string").alias("raw")))
+    rec_level = F.transform(F.filter("data", lambda x: x["reason"].isNotNull()),
+                            lambda x: F.struct(x["rec_no"].alias("rec_no"), x["reason"].alias("reason"),
+                                               x["raw"].alias("raw")))
+    empty = F.array().cast("array<struct<rec_no:bigint,reason:string,raw:string>>")
+    both = F.concat(F.coalesce(file_level, empty), F.coalesce(rec_level, empty))
+    return _explode(parsed, both).select("file_id", "r.rec_no", "r.reason", "r.raw")
 
 
 # R1 / R4 / R5 --------------------------------------------------------------
@@ -219,10 +240,14 @@ def _roles(header: Column, rows: Column) -> Column:
 
 
 def column_roles(parsed: DataFrame) -> DataFrame:
-    """``file_id, header, q_idx, a_idx, client_idx, client_name``."""
-    ok = parsed.filter(F.col("status") == "ok")
-    return (ok.select("file_id", "header", _roles(F.col("header"), F.col("rows")).alias("r"))
-            .select("file_id", "header", "r.q_idx", "r.a_idx", "r.client_idx", "r.client_name"))
+    """``file_id, header, q_idx, a_idx, client_idx, client_name``
+    for every readable file."""
+    r = _roles(F.col("header"), F.col("rows"))
+    one = _one_if(F.col("status") == "ok", F.struct(
+        F.col("header").alias("header"), r["q_idx"].alias("q_idx"), r["a_idx"].alias("a_idx"),
+        r["client_idx"].alias("client_idx"), r["client_name"].alias("client_name")))
+    return _explode(parsed, one).select("file_id", "r.header", "r.q_idx", "r.a_idx", "r.client_idx",
+                                        "r.client_name")
 
 
 def output_name(client_name: Column, run_ts: Column) -> Column:
@@ -243,12 +268,10 @@ def _pair(row: Column, q_idx: Column, a_idx: Column) -> Column:
 
 def qa_pairs(parsed: DataFrame) -> DataFrame:
     """R2: ``file_id, id, question, answer`` (id = data row index + 1)."""
-    ok = parsed.filter(F.col("status") == "ok")
     r = _roles(F.col("header"), F.col("rows"))
     pairs = F.filter(F.transform(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])),
                      lambda p: p["keep"])
-    return (ok.select("file_id", F.explode(pairs).alias("p"))
-            .select("file_id", "p.id", "p.question", "p.answer"))
+    return _explode(parsed, pairs, "p").select("file_id", "p.id", "p.question", "p.answer")
 
 
 def ingest_metrics(parsed: DataFrame) -> DataFrame:
@@ -265,7 +288,16 @@ def ingest_metrics(parsed: DataFrame) -> DataFrame:
 def files_without_pairs(parsed: DataFrame) -> DataFrame:
     """Readable files that yield no question/answer pair (in-row test,
     so no anti join is needed)."""
-    ok = parsed.filter(F.col("status") == "ok")
     r = _roles(F.col("header"), F.col("rows"))
     has_pair = F.exists(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])["keep"])
-    return ok.filter(~has_pair).select("file_id")
+    one = _one_if((F.col("status") == "ok") & ~has_pair, F.col("file_id"))
+    return _explode(parsed, one, "f").select("file_id")
+
+
+def null_counts(parsed: DataFrame) -> DataFrame:
+    """I9 report: cells and NA-token (null) cells per readable file."""
+    n_cells = F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, r: acc + F.size(r["cells"]))
+    n_null = F.aggregate("rows", F.lit(0).cast("bigint"),
+                         lambda acc, r: acc + F.size(F.filter(r["cells"], lambda c: c.isNull())))
+    one = _one_if(F.col("status") == "ok", F.struct(n_cells.alias("n_cells"), n_null.alias("n_null")))
+    return _explode(parsed, one).select("file_id", "r.n_cells", "r.n_null")

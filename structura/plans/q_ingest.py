@@ -134,31 +134,27 @@ SELECT file_id,
             AS BIGINT) AS n_null
 FROM parsed WHERE status = 'ok'""")
 def q_null_tokens(spark, sf):
-    p = I.parse_files(doc_files(spark, sf)).filter(F.col("status") == "ok")
-    return p.select("file_id",
-                    F.aggregate("rows", F.lit(0).cast("bigint"), lambda acc, r: acc + F.size(r["cells"]))
-                    .alias("n_cells"),
-                    F.aggregate("rows", F.lit(0).cast("bigint"),
-                                lambda acc, r: acc + F.size(F.filter(r["cells"], lambda c: c.isNull())))
-                    .alias("n_null"))
+    return I.null_counts(I.parse_files(doc_files(spark, sf)))
 
 
 def _score(d: str) -> str:
     dd = "chr(9)" if d == "\t" else sql_str(d)
-    return (f"coalesce(list_min(list_transform(sample, lambda l: length(l) - length(replace(l, {dd}, '')))), 0)")
+    cnt = f"list_transform(sample, lambda l: length(l) - length(replace(l, {dd}, '')))"
+    return (f"{{'n_lines': len(list_filter({cnt}, lambda c: c > 0)), "
+            f"'total': coalesce(list_sum({cnt}), 0)}}")
 
 
 @register("dialect_detect", f"""
 WITH {qfiles_text_cte('qtext', ';')}, {doc_text_cte('dtext')},
 ftext AS (SELECT file_id, text FROM qtext UNION ALL SELECT file_id, text FROM dtext),
-s AS (SELECT file_id, list_filter(string_split(text, chr(10)), lambda l: {duck_strip('l')} <> '')[1:{I.DIALECT_SAMPLE_LINES}]
-             AS sample FROM ftext),
-sc AS (SELECT file_id, {_score(',')} AS s0, {_score(';')} AS s1, {_score(chr(9))} AS s2, {_score('|')} AS s3 FROM s)
-SELECT file_id, CASE WHEN greatest(s0, s1, s2, s3) = 0 THEN ','
-                     WHEN s0 = greatest(s0, s1, s2, s3) THEN ','
-                     WHEN s1 = greatest(s0, s1, s2, s3) THEN ';'
-                     WHEN s2 = greatest(s0, s1, s2, s3) THEN chr(9) ELSE '|' END AS delimiter
-FROM sc""")
+s AS (SELECT file_id,
+             list_filter(string_split(regexp_replace(text, {sql_str(I.QUOTED_SPAN_RE)}, '', 'g'), chr(10)),
+                         lambda l: {duck_strip('l')} <> '')[1:{I.DIALECT_SAMPLE_LINES}] AS sample FROM ftext),
+sc AS (SELECT file_id, list_max([{{'score': {_score(',')}, 'rank': 0, 'delim': ','}},
+                                 {{'score': {_score(';')}, 'rank': -1, 'delim': ';'}},
+                                 {{'score': {_score(chr(9))}, 'rank': -2, 'delim': chr(9)}},
+                                 {{'score': {_score('|')}, 'rank': -3, 'delim': '|'}}]) AS best FROM s)
+SELECT file_id, CASE WHEN best.score.n_lines > 0 THEN best.delim ELSE ',' END AS delimiter FROM sc""")
 def q_dialect_detect(spark, sf):
     files = qfiles(spark, sf, ";").unionByName(doc_files(spark, sf))
     return I.decode(files).select("file_id", I.detect_delimiter(F.col("text")).alias("delimiter"))
