@@ -162,3 +162,27 @@ def parse_chain_cte(src: str, name: str = "parsed") -> str:
   SELECT *, list_transform(list_filter(data, lambda x: x.reason IS NULL), lambda x, i: {{
       'row_id': CAST(i - 1 AS BIGINT), 'rec_no': x.rec_no, 'cells': x.cells}}) AS rows
   FROM {name}_7)"""
+
+
+def shop_cte(name: str = "urls") -> str:
+    """Twin of fixtures.shop_urls."""
+    from ..operators.rule_tables import LISTING_DETAIL
+    from ..sources.fixtures import SHOP_LEGAL
+    from ..functions.text import sql_str
+    k = len(LISTING_DETAIL)
+    lst = "[" + ", ".join(sql_str(a) for a, _ in LISTING_DETAIL) + f"][l_partkey % {k} + 1]"
+    det = "[" + ", ".join(sql_str(b) for _, b in LISTING_DETAIL) + f"][l_partkey % {k} + 1]"
+    legal = "[" + ", ".join(map(sql_str, SHOP_LEGAL)) + f"][l_orderkey % {len(SHOP_LEGAL)} + 1]"
+    pt = slug("p_type")
+    return f"""{name} AS (
+  SELECT {slug('p_brand')} AS site_id, l_orderkey * {ORDER_STRIDE} + l_linenumber AS pos,
+         'https://' || {slug('p_brand')} || '.example.com' || CASE l_linenumber
+           WHEN 1 THEN '/' || {lst}
+           WHEN 2 THEN '/' || {lst} || '/' || {pt}
+           WHEN 3 THEN '/' || {lst} || '/' || {pt} || '/p' || l_partkey
+           WHEN 4 THEN CASE WHEN (l_partkey % {k}) % 2 = 0 THEN '/' || {lst} || '/' || {det} ELSE '/about' END
+           WHEN 5 THEN '/'
+           WHEN 6 THEN '/' || {legal}
+           ELSE '/tag/' || {pt} END AS url,
+         '' AS lastmod, '' AS changefreq, '' AS priority
+  FROM lineitem JOIN part ON l_partkey = p_partkey)"""

@@ -216,3 +216,38 @@ def doc_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents", "doc_id", "text")
     return d.select(F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("file_id"),
                     F.encode("text", "UTF-8").alias("content"))
+
+
+# --- shop URLs: listing pages, subcategories, templates, legal pages -----------
+SHOP_LEGAL = ["privacy-policy", "terms-and-conditions", "cookie-policy", "contact"]
+
+
+def shop_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Site-structure URLs from lineitem x part: one site per brand; the
+    listing comes from the part key, the page kind from the line number
+    (listing, subcategory, item, detail template for every other listing
+    kind or about, homepage, legal
+    or contact, tag archive).  ``pos = orderkey * stride + linenumber``."""
+    from ..operators.rule_tables import LISTING_DETAIL
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
+    j = li.join(part, li.l_partkey == part.p_partkey)
+    k = len(LISTING_DETAIL)
+    listing = F.get(F.array(*[F.lit(a) for a, _ in LISTING_DETAIL]), (F.col("l_partkey") % k).cast("int"))
+    detail = F.get(F.array(*[F.lit(b) for _, b in LISTING_DETAIL]), (F.col("l_partkey") % k).cast("int"))
+    legal = F.get(F.array(*map(F.lit, SHOP_LEGAL)), (F.col("l_orderkey") % len(SHOP_LEGAL)).cast("int"))
+    ptype = slug(F.col("p_type"))
+    ln = F.col("l_linenumber")
+    path = (F.when(ln == 1, F.concat(F.lit("/"), listing))
+            .when(ln == 2, F.concat(F.lit("/"), listing, F.lit("/"), ptype))
+            .when(ln == 3, F.concat(F.lit("/"), listing, F.lit("/"), ptype, F.lit("/p"),
+                                    F.col("l_partkey").cast("string")))
+            .when(ln == 4, F.when((F.col("l_partkey") % k) % 2 == 0, F.concat(F.lit("/"), listing, F.lit("/"), detail))
+                  .otherwise(F.lit("/about")))
+            .when(ln == 5, F.lit("/"))
+            .when(ln == 6, F.concat(F.lit("/"), legal))
+            .otherwise(F.concat(F.lit("/tag/"), ptype)))
+    site = slug(F.col("p_brand"))
+    return j.select(site.alias("site_id"), (F.col("l_orderkey") * ORDER_STRIDE + ln).alias("pos"),
+                    F.concat(F.lit("https://"), site, F.lit(".example.com"), path).alias("url"),
+                    F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"))
