@@ -266,12 +266,17 @@ def _pair(row: Column, q_idx: Column, a_idx: Column) -> Column:
                     py_strip(a).alias("answer"), keep.alias("keep"))
 
 
+def pair_array(parsed: DataFrame) -> Column:
+    """R2 in-row: the file's pairs as ``ARRAY<STRUCT<id, question, answer, keep>>``
+    in row order (null for unreadable files)."""
+    r = _roles(F.col("header"), F.col("rows"))
+    return F.filter(F.transform(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])),
+                    lambda p: p["keep"])
+
+
 def qa_pairs(parsed: DataFrame) -> DataFrame:
     """R2: ``file_id, id, question, answer`` (id = data row index + 1)."""
-    r = _roles(F.col("header"), F.col("rows"))
-    pairs = F.filter(F.transform(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])),
-                     lambda p: p["keep"])
-    return _explode(parsed, pairs, "p").select("file_id", "p.id", "p.question", "p.answer")
+    return _explode(parsed, pair_array(parsed), "p").select("file_id", "p.id", "p.question", "p.answer")
 
 
 def ingest_metrics(parsed: DataFrame) -> DataFrame:

@@ -1 +1,123 @@
-"""Registered queries (filled in below)."""
+"""Queries for M1-M3: prompt context, rendered prompt, batch generation and
+the rule-based default generator, over the questionnaire corpus."""
+
+from __future__ import annotations
+
+import re
+
+from pyspark.sql import functions as F
+
+from ..functions.text import sql_str
+from ..functions.url import duck_segments
+from ..operators import prompt as M
+from ..operators.ingest import parse_files, qa_pairs
+from ..operators.sitemap import SITEMAP_NS, XML_DECL
+from ..sources.fixtures import doc_files, qfiles
+from .q_rules import ANCHOR, PROFILE_SQL, _changefreq, _class_path, _lastmod, _pairs_cte, _priority
+from .registry import register
+
+
+def _parsed(spark, sf):
+    return parse_files(qfiles(spark, sf).unionByName(doc_files(spark, sf)))
+
+
+def _lit(s: str) -> str:
+    return " || chr(10) || ".join(sql_str(p) for p in s.split("\n"))
+
+
+_ENTRY = (f"{sql_str(M.PAIR_FORMAT[0])} || id || {sql_str(M.PAIR_FORMAT[1])} || question || "
+          f"chr(10) || {sql_str(M.PAIR_FORMAT[2].lstrip(chr(10)))} || answer")
+_CTX = f""",
+ranked AS (SELECT file_id, id, {_ENTRY} AS e, row_number() OVER (PARTITION BY file_id ORDER BY id) AS rn FROM pairs),
+ctx AS (SELECT file_id, count(*) AS n_pairs,
+               string_agg(e, chr(10) || chr(10) ORDER BY id) FILTER (WHERE rn <= {M.MAX_PAIRS}) ||
+               CASE WHEN count(*) > {M.MAX_PAIRS}
+                    THEN chr(10) || chr(10) || {sql_str(M.MORE_FORMAT[0].lstrip(chr(10)))} || (count(*) - {M.MAX_PAIRS})
+                         || {sql_str(M.MORE_FORMAT[1])} ELSE '' END AS qa_text
+        FROM ranked GROUP BY file_id)"""
+CTX_SQL = f"WITH {_pairs_cte()}" + _CTX
+
+
+@register("prompt_context", CTX_SQL + "\nSELECT * FROM ctx", headline=True)
+def q_prompt_context(spark, sf):
+    return M.file_prompt_context(_parsed(spark, sf))
+
+
+@register("prompt_context_pairs", CTX_SQL + "\nSELECT * FROM ctx")
+def q_prompt_context_pairs(spark, sf):
+    return M.prompt_context(qa_pairs(_parsed(spark, sf)))
+
+
+_HEAD, _TAIL = M.prompt_template()
+
+
+@register("prompt_render", CTX_SQL + f"""
+SELECT file_id, n_pairs, CAST(length(p) AS INTEGER) AS prompt_chars, md5(p) AS prompt_md5
+FROM (SELECT *, {_lit(_HEAD.replace('{date}', ANCHOR))} || qa_text || {_lit(_TAIL)} AS p FROM ctx)""")
+def q_prompt_render(spark, sf):
+    r = M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR)
+    return r.select("file_id", "n_pairs", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+DATE_RE = re.compile(r"^Date: (\S+)$", re.M)
+
+
+def offline_generator(prompt: str) -> str:
+    """A stand-in for a model: a fenced sitemap with the homepage, dated by
+    the prompt's Date line; raises when the prompt has no date."""
+    m = DATE_RE.search(prompt)
+    if m is None:
+        raise ValueError("prompt has no Date line")
+    return (f"ANALYSIS:\nPages: 1\n\n```xml\n{XML_DECL}\n<urlset xmlns=\"{SITEMAP_NS}\">\n  <url>\n"
+            f"    <loc>{M.SITE_BASE}</loc>\n    <lastmod>{m.group(1)}</lastmod>\n"
+            "    <changefreq>daily</changefreq>\n    <priority>1.0</priority>\n  </url>\n</urlset>\n```")
+
+
+@register("generate_batch", None)
+def q_generate_batch(spark, sf):
+    prompts = M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR)
+    return M.generate_batch(prompts, offline_generator)
+
+
+_PLANNED = f""",
+{PROFILE_SQL.lstrip()},
+ld(d, t) AS (VALUES {", ".join(f"({sql_str(a)}, {sql_str(b)})" for a, b in M.RT.LISTING_DETAIL)}),
+ind(industry, pages) AS (VALUES {", ".join(f"({sql_str(k)}, [{', '.join(map(sql_str, v))}])"
+                                          for k, v in M.RT.INDUSTRY_PAGES.items())}),
+planned AS (
+  SELECT DISTINCT file_id, path FROM (
+    SELECT file_id, unnest(['', {', '.join(map(sql_str, M.RT.BASE_PAGES))}]) AS path FROM profile
+    UNION ALL SELECT file_id, d FROM (SELECT file_id, unnest(dynamic_types) AS d FROM profile)
+    UNION ALL SELECT file_id, d || '/' || t FROM (SELECT file_id, unnest(dynamic_types) AS d FROM profile) JOIN ld USING (d)
+    UNION ALL SELECT file_id, unnest(pages) FROM profile p JOIN ind ON ind.industry = p.business_type
+    UNION ALL SELECT file_id, unnest(legal_pages) FROM profile))"""
+
+
+@register("planned_pages", f"WITH {_pairs_cte()}" + _PLANNED + "\nSELECT * FROM planned")
+def q_planned_pages(spark, sf):
+    from ..operators.rules import planned_pages, questionnaire_profile
+    return planned_pages(questionnaire_profile(qa_pairs(_parsed(spark, sf))))
+
+
+_NL = "chr(10)"
+
+
+def _elem(name: str, col: str) -> str:
+    esc = f"replace(replace(replace({col}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    return f"'    <{name}>' || {esc} || '</{name}>' || {_NL}"
+
+
+@register("generate_rule_based", f"WITH {_pairs_cte()}" + _PLANNED + f""",
+u AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY path <> '', path) AS pos,
+             '{M.SITE_BASE}' || path AS url FROM planned),
+a AS (SELECT file_id, pos, url, {_class_path(duck_segments("url"))} AS cp FROM u),
+e AS (SELECT file_id, pos, '  <url>' || {_NL} || {_elem('loc', 'url')} ||
+             {_elem('lastmod', f"CAST({_lastmod('url', 'cp')} AS VARCHAR)")} ||
+             {_elem('changefreq', _changefreq('cp'))} ||
+             {_elem('priority', f"CAST({_priority('cp')} AS VARCHAR)")} || '  </url>' || {_NL} AS entry FROM a)
+SELECT file_id, '```xml' || {_NL} || {sql_str(XML_DECL)} || {_NL} || '<urlset xmlns="{SITEMAP_NS}">' || {_NL} ||
+       string_agg(entry, '' ORDER BY pos) || '</urlset>' || {_NL} || '```' AS response,
+       CAST(NULL AS VARCHAR) AS error
+FROM e GROUP BY file_id""")
+def q_generate_rule_based(spark, sf):
+    return M.rule_based_replies(qa_pairs(_parsed(spark, sf)), ANCHOR)
