@@ -42,8 +42,12 @@ def cell_re(delim: str = ",") -> str:
 
 
 def unclosed_re(delim: str = ",") -> str:
-    """A record whose last field opens a quote that never closes."""
-    return f'(?:\\A|{_d(delim)})"[^"]*(?:""[^"]*)*\\z'
+    """A record whose last field opens a quote that never closes.  Anchored
+    at the record start and read field by field, so a quoted cell that ends
+    in ``,"`` is not mistaken for a delimiter plus an opening quote."""
+    d = _d(delim)
+    closed = f'(?:"[^"]*(?:""[^"]*)*"[^{d}\\n"]*|[^{d}"\\n][^{d}\\n]*)?'
+    return f'\\A(?:{closed}{d})*"[^"]*(?:""[^"]*)*\\z'
 
 
 # Quoted cell: inner text (doubled quotes, newlines allowed) and the junk
