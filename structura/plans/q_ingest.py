@@ -254,3 +254,13 @@ SELECT p.file_id, status, encoding, header_line,
 FROM parsed p JOIN enc USING (file_id)""")
 def q_ingest_metrics(spark, sf):
     return I.ingest_metrics(I.parse_files(_all_files(spark, sf)))
+
+
+@register("output_name", f"""
+WITH {ROLES_CTE}
+SELECT file_id, 'sitemap_structure-' || CASE WHEN client_name IS NULL OR client_name IN ('', '{I.DEFAULT_NAME}')
+      THEN 'sitemap_' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d_%H%M%S') ELSE client_name END || '.txt'
+      AS output_name
+FROM roles""")
+def q_output_name(spark, sf):
+    return q_client_name(spark, sf).select("file_id", "output_name")

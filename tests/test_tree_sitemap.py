@@ -116,3 +116,19 @@ def test_graph_edges_cap_and_root(spark):
     e = T.graph_edges_top(T.graph_edges(T.graph_nodes(urls_df(spark, urls))))
     rows = e.orderBy("edge_no").collect()
     assert len(rows) == 200 and rows[0].from_id == "root" and rows[1].from_path == "s0"
+
+
+def test_tree_files_keep_line_order(spark, tmp_path):
+    import glob
+    import os
+    from structura.operators.sinks import tree_output_names, write_tree_files
+    urls = [f"https://e.com/{a}/{b}/{c}" for a in "pqr" for b in "xyz" for c in range(20)]
+    lines = T.tree_lines(urls_df(spark, urls, site="shop"))
+    out = str(tmp_path / "trees")
+    write_tree_files(lines, tree_output_names(lines, "2025-01-01 00:00:00"), out, partitions=4)
+    d = os.path.join(out, "output_name=sitemap_structure-shop.txt")
+    parts = sorted(glob.glob(os.path.join(d, "part-*")))
+    assert len(parts) > 1
+    text = "".join(open(p, encoding="utf-8").read() for p in parts)
+    want = [r.line for r in lines.orderBy("line_no").collect()]
+    assert text.splitlines() == want
