@@ -15,23 +15,32 @@ from pyspark.sql import functions as F
 DEFAULT_BLOCK = 1 << 16
 
 
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                block: int = DEFAULT_BLOCK, inclusive: bool = True) -> DataFrame:
-    """Add ``out`` = sum of ``value`` over rows of the same ``keys`` whose
-    ``order`` is smaller (and, when ``inclusive``, the row itself).
+def running_sums(df: DataFrame, keys: list[str], order: str,
+                 specs: list[tuple[str, str, bool]], block: int = DEFAULT_BLOCK) -> DataFrame:
+    """Several running sums over the same groups and order in one pass.
 
-    ``order`` must be an integral column unique within each key group.
+    ``specs``: ``(value, out, inclusive)``; ``out`` = sum of ``value`` over
+    rows of the same ``keys`` whose ``order`` is smaller (and, when
+    ``inclusive``, the row itself).  ``order`` must be an integral column
+    unique within each key group.
     """
     blk = "__blk"
     with_blk = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
-    totals = with_blk.groupBy(*keys, blk).agg(F.sum(value).alias("__bsum"))
+    totals = with_blk.groupBy(*keys, blk).agg(*[F.sum(v).alias(f"__bsum{i}") for i, (v, _, _) in enumerate(specs)])
     w_blocks = (Window.partitionBy(*keys).orderBy(blk)
                 .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, blk,
-                            F.coalesce(F.sum("__bsum").over(w_blocks), F.lit(0)).alias("__boff"))
-    upper = Window.currentRow if inclusive else -1
-    w_rows = (Window.partitionBy(*keys, blk).orderBy(order)
-              .rowsBetween(Window.unboundedPreceding, upper))
-    return (with_blk.join(offsets, [*keys, blk], "inner")
-            .withColumn(out, F.col("__boff") + F.coalesce(F.sum(value).over(w_rows), F.lit(0)))
-            .drop(blk, "__boff"))
+    offsets = totals.select(*keys, blk, *[F.coalesce(F.sum(f"__bsum{i}").over(w_blocks), F.lit(0))
+                                          .alias(f"__boff{i}") for i in range(len(specs))])
+    out = with_blk.join(offsets, [*keys, blk], "inner")
+    for i, (v, name, inclusive) in enumerate(specs):
+        upper = Window.currentRow if inclusive else -1
+        w_rows = (Window.partitionBy(*keys, blk).orderBy(order)
+                  .rowsBetween(Window.unboundedPreceding, upper))
+        out = out.withColumn(name, F.col(f"__boff{i}") + F.coalesce(F.sum(v).over(w_rows), F.lit(0)))
+    return out.drop(blk, *[f"__boff{i}" for i in range(len(specs))])
+
+
+def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
+                block: int = DEFAULT_BLOCK, inclusive: bool = True) -> DataFrame:
+    """One running sum; see :func:`running_sums`."""
+    return running_sums(df, keys, order, [(value, out, inclusive)], block)

@@ -264,7 +264,8 @@ def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT) -> DataF
     Checks: duplicate URLs, lastmod dates not varied, invalid or
     illogical priority and changefreq, invalid lastmod, and the findings of
     V1 (exclusions), V2 (listing/detail pairs), V3 (hierarchy) and V10 (URL
-    style, one finding per violation).
+    style, one finding per violation).  Every branch reads ``records``:
+    pass a materialized table (``sinks.materialize``) when it is costly.
     """
     dup = (records.groupBy("site_id", "url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
     dup_f = _finding(dup, F.col("url"), "duplicate", F.concat(F.col("n").cast("string"), F.lit(" copies")))

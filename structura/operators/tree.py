@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.order import running_sum
+from ..functions.order import running_sums
 from ..functions.url import path_segments
 
 # --- fixed values -----------------------------------------------------------
@@ -102,8 +102,8 @@ def dfs_order(nodes: DataFrame) -> DataFrame:
     sib = (nodes.join(sizes, ["site_id", "path"])
            .withColumn("parent_key", F.coalesce(F.col("parent_path"), F.lit("")))
            .withColumn("one", F.lit(1)))
-    sib = running_sum(sib, ["site_id", "parent_key"], "first_seen", "size", "before", inclusive=False)
-    sib = running_sum(sib, ["site_id", "parent_key"], "first_seen", "one", "sibling_rank")
+    sib = running_sums(sib, ["site_id", "parent_key"], "first_seen",
+                       [("size", "before", False), ("one", "sibling_rank", True)])
     before = sib.select("site_id", F.col("path").alias("anc"), "before")
     total = (anc.join(before, ["site_id", "anc"])
              .groupBy("site_id", "path").agg(F.sum("before").alias("before_sum")))

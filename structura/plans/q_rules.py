@@ -333,7 +333,10 @@ UNION ALL
 SELECT site_id, url, 'url_style', unnest(violations) FROM lint""".replace(
     "SELECT site_id, pos, url, 'exclude' AS rule", "SELECT site_id, url, 'exclude' AS rule"))
 def q_sitemap_validate(spark, sf):
-    return R.sitemap_validate(_records(spark, sf))
+    # Eight finding branches read the records: write them once to the shared
+    # checkpoint folder instead of re-running the lineitem x part join per branch.
+    from ..operators.sinks import materialize
+    return R.sitemap_validate(materialize(_records(spark, sf), "validate-input"))
 
 
 # --- V12 ------------------------------------------------------------------------
