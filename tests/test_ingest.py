@@ -128,3 +128,11 @@ def test_conversation_round_trip(spark):
     sf = "/root/testdata/sf0.001"
     pairs = I.qa_pairs(I.parse_files(qfiles(spark, sf)))
     assert pairs.count() == qa_source(spark, sf).count()
+
+
+def test_malformed_quoting_matches_python_csv(spark):
+    t = 'h,question,answer\n"abc"def,"x""y"z,plain"q\n'
+    want = [tuple(r) for r in csv.reader(io.StringIO(t))][1:]
+    p = I.parse_files(files_df(spark, {"f": t}))
+    got = [tuple(r.cells) for r in I.csv_rows(p).orderBy("row_id").collect()]
+    assert got == want == [("abcdef", 'x"yz', 'plain"q')]
