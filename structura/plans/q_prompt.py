@@ -4,7 +4,9 @@ the rule-based default generator, over the questionnaire corpus."""
 from __future__ import annotations
 
 import re
+import sys
 
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from ..functions.text import sql_str
@@ -60,19 +62,25 @@ def q_prompt_render(spark, sf):
 
 
 DATE_RE = re.compile(r"^Date: (\S+)$", re.M)
+SITE_BASE = M.SITE_BASE
 
 
 def offline_generator(prompt: str) -> str:
     """A stand-in for a model: a fenced sitemap with the homepage, dated by
-    the prompt's Date line; raises when the prompt has no date."""
+    the prompt's Date line; raises when the prompt has no date.  It uses
+    only plain constants, and this module is pickled by value (below), so
+    executors need not have the package installed."""
     m = DATE_RE.search(prompt)
     if m is None:
         raise ValueError("prompt has no Date line")
     return (f"ANALYSIS:\nPages: 1\n\n```xml\n{XML_DECL}\n<urlset xmlns=\"{SITEMAP_NS}\">\n  <url>\n"
-            f"    <loc>{M.SITE_BASE}</loc>\n    <lastmod>{m.group(1)}</lastmod>\n"
+            f"    <loc>{SITE_BASE}</loc>\n    <lastmod>{m.group(1)}</lastmod>\n"
             "    <changefreq>daily</changefreq>\n    <priority>1.0</priority>\n  </url>\n</urlset>\n```")
 
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+
 @register("generate_batch", None)
 def q_generate_batch(spark, sf):
     prompts = M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR)
