@@ -122,7 +122,7 @@ def _class_paths(urls: DataFrame) -> DataFrame:
             .distinct())
 
 
-def _missing(spark: SparkSession, expected: DataFrame, urls: DataFrame, rule: str) -> DataFrame:
+def _missing(expected: DataFrame, urls: DataFrame, rule: str) -> DataFrame:
     miss = expected.join(_class_paths(urls), ["site_id", "path"], "left_anti")
     return _finding(miss, F.concat(F.lit("/"), F.col("path")), rule, F.col("why"))
 
@@ -134,7 +134,7 @@ def rule_industry(urls: DataFrame, site_industry: DataFrame) -> DataFrame:
                                   "industry string, path string")
     expected = (site_industry.join(F.broadcast(table), "industry")
                 .select("site_id", "path", F.col("industry").alias("why")))
-    return _missing(spark, expected, urls, "industry")
+    return _missing(expected, urls, "industry")
 
 
 def rule_legal(urls: DataFrame, site_traits: DataFrame) -> DataFrame:
@@ -148,7 +148,7 @@ def rule_legal(urls: DataFrame, site_traits: DataFrame) -> DataFrame:
     expected = (long.join(F.broadcast(table), "trait")
                 .groupBy("site_id", "path").agg(F.array_join(F.sort_array(F.collect_set("trait")), ",")
                                                 .alias("why")))
-    return _missing(spark, expected, urls, "legal")
+    return _missing(expected, urls, "legal")
 
 
 # V6 --------------------------------------------------------------------------

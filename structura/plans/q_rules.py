@@ -66,7 +66,7 @@ def _paths_cte(src: str, name: str = "paths") -> str:
   FROM (SELECT site_id, {duck_segments('url')} AS segs FROM {src}))"""
 
 
-def _seg_reason_sql() -> str:
+def _segments_by_reason() -> dict[str, list[str]]:
     by_reason: dict[str, list[str]] = {}
     for seg, reason in RT.EXCLUDED_SEGMENTS.items():
         by_reason.setdefault(reason, []).append(seg)
@@ -76,7 +76,7 @@ def _seg_reason_sql() -> str:
 # --- V1 -------------------------------------------------------------------------
 def _exclude_sql(src: str, approach: str = RT.ML_DEFAULT) -> str:
     conds = []
-    for reason, segs in _seg_reason_sql().items():
+    for reason, segs in _segments_by_reason().items():
         conds.append((reason, f"len(list_filter(segs, lambda s: s IN {sql_list(segs)})) > 0"))
     params = "list_filter(string_split(query, '&'), lambda p: p <> '')"
     conds += [
@@ -160,7 +160,7 @@ _IND_VALUES = ", ".join(f"({sql_str(i)}, {sql_str(p)})" for i, ps in RT.INDUSTRY
 @register("rule_industry", f"""
 WITH {page_urls_cte()}, {_CLASS_PATHS},
 sites AS (SELECT DISTINCT site_id FROM urls),
-si AS (SELECT site_id, {sql_str('')} AS x,
+si AS (SELECT site_id,
               {'[' + ', '.join(map(sql_str, INDUSTRIES)) + ']'}[{_VARIANT.format(n=len(INDUSTRIES))} + 1] AS industry
        FROM sites),
 it(industry, path) AS (VALUES {_IND_VALUES}),
