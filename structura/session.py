@@ -1,8 +1,8 @@
 """Spark session helpers.
 
-The library never creates its own cluster settings when a session already
-exists: callers on a cluster pass their session in.  ``local_session`` is
-only for tests, the bench and the smoke entry.
+Library functions take the caller's session and never change its cluster
+settings.  ``local_session`` is only for tests, the bench and the smoke
+entry: it is the one place that chooses a checkpoint folder itself.
 """
 
 from __future__ import annotations
@@ -30,22 +30,37 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", os.environ.get("STRUCTURA_DRIVER_MEM", "8g"))
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config(CHECKPOINT_CONF, tempfile.mkdtemp(prefix="structura-ckpt-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
-    ensure_checkpoint_dir(spark)
     return spark
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder named by the session.
+    """The shared folder for intermediate tables.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is.  Only when it is unset (local tests) do we create a scratch one.
+    ``spark.checkpoint.dir`` names it; next comes a folder that the caller
+    gave to ``setCheckpointDir``.  With neither, a local-mode session gets a
+    scratch folder of its own (driver and executors are one process there),
+    and any other session is refused: a folder local to one machine would
+    be invisible to the executors.
     """
     current = spark.conf.get(CHECKPOINT_CONF, None)
-    if not current:
-        current = tempfile.mkdtemp(prefix="structura-ckpt-")
-        spark.conf.set(CHECKPOINT_CONF, current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+    if current:
+        return current.rstrip("/")
+    sc = spark.sparkContext
+    current = sc.getCheckpointDir()
+    if current:
+        return current.rstrip("/")
+    if not sc.master.startswith("local[") and sc.master != "local":
+        raise ValueError(f"set {CHECKPOINT_CONF} to a folder that the driver and all executors share")
+    sc.setCheckpointDir(tempfile.mkdtemp(prefix="structura-ckpt-"))
+    return sc.getCheckpointDir().rstrip("/")
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    """Remove one intermediate table through Spark's own file system layer."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
