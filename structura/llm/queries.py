@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .exact_dedup import duplicate_groups
+from .simhash import near_duplicates
 from .sharding import Level, assign_shards
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,3 +30,21 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     four = [Level("rack", [Level("shard", 1.0), Level("shard", 1.0)]), Level("rack", [Level("shard", 1.0), Level("shard", 1.0)])]
     tree = [Level("region", four), Level("region", four)]
     return assign_shards(docs, tree, grown=[*tree, Level("region", [Level("rack", [Level("shard", 1.0)])])])
+
+
+@query("op6_exact_dedup", sql="""
+WITH d AS (
+  SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents
+), g AS (
+  SELECT doc_id, norm, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM d
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+""")
+def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return duplicate_groups(docs, snapshots=3).drop("filter_hits")
+
+
+@query("op3_simhash")
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, radius=2, seed=42)
