@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .exact_dedup import duplicate_groups
-from .simhash import near_duplicates
+from .lattice_lm import score_documents
 from .sharding import Level, assign_shards
+from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -48,3 +49,8 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op3_simhash")
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"), shingle=3, radius=2, seed=42)
+
+
+@query("op10_lattice_lm")
+def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
