@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import toxicity
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
@@ -54,3 +55,9 @@ def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_lattice_lm")
 def op10_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_documents(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op8_toxicity")
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return toxicity.score_documents(docs, toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic")))
