@@ -107,3 +107,17 @@ def _batch(schema: pa.Schema, part: list[tuple]) -> pa.RecordBatch:
 def utf8_bytes(column: pa.Array) -> list[bytes]:
     """Texts as UTF-8 bytes; a null is the empty text."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, parts: int = 1000) -> DataFrame:
+    """``rows`` inner-joined with ``groups`` (one row per ``key``) where a few keys may hold most rows.
+
+    ``size``: the column of ``groups`` with the number of rows of the key.
+    Fewer than ``parts`` keys can have over ``total / parts`` rows each, so
+    these are broadcast whatever the data; the rows of all other keys meet
+    their group by shuffle.
+    """
+    hot = groups.filter(F.col(size) * parts > total)
+    cold = groups.filter(F.col(size) * parts <= total)
+    keys = F.broadcast(hot.select(key))
+    return rows.join(F.broadcast(hot), key).unionByName(rows.join(keys, key, "left_anti").join(cold, key))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fuse
-from .common import SPACES, Scratch, ship_package, small_enough
+from .common import SPACES, Scratch, join_groups, ship_package, small_enough
 
 #: Digests in one shard of a snapshot, as the target: bounds what one filter holds in memory.
 SHARD_DIGESTS = 8_192
@@ -161,11 +161,9 @@ def duplicate_groups(docs: DataFrame, snapshots: int = 3, id_col: str = "doc_id"
 
     groups = scratch.save(found.groupBy("digest").agg(F.min("keep_id").alias("keep_id"), F.sum("n").alias("group_size"),
                                                       F.sum(F.col("hit").cast("long")).alias("filter_hits")), "groups")
-    groups, split = _byte_check(docs, rows, groups, scratch, id_col, text_col, digest_bytes)
     counted = rows.groupBy("doc_id", "sha", "digest").agg(F.count("*").alias("copies"))
-    decided = counted.join(groups, "digest")
-    if split is not None:
-        decided = decided.select(*_DECIDED).unionByName(split.select(*_DECIDED))
+    decided = scratch.save(join_groups(counted, groups, "digest", "group_size", total).select("digest", *_DECIDED), "decided")
+    decided = _byte_check(docs, decided, scratch, id_col, text_col, digest_bytes)
     return (decided.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
             .select("doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
                     (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"),
@@ -175,16 +173,14 @@ def duplicate_groups(docs: DataFrame, snapshots: int = 3, id_col: str = "doc_id"
 _DECIDED = ["doc_id", "sha", "copies", "keep_id", "group_size", "filter_hits"]
 
 
-def _byte_check(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Scratch, id_col: str, text_col: str,
-                digest_bytes: int) -> tuple[DataFrame, DataFrame | None]:
-    """Groups whose texts are all the same bytes, and decisions for the rows of all others.
+def _byte_check(docs: DataFrame, decided: DataFrame, scratch: Scratch, id_col: str, text_col: str, digest_bytes: int) -> DataFrame:
+    """``decided`` with every group split whose texts are not all the same bytes.
 
     Only texts of groups of two or more are read again.  All texts of a
     group are equal when its least and greatest text are, so copies meet
     as partial aggregates and no group is gathered.
     """
-    many = groups.filter("group_size > 1")
-    members = scratch.save(rows.join(many.select("digest"), "digest", "left_semi").select("doc_id", "digest").distinct(), "members")
+    members = scratch.save(decided.filter("group_size > 1").select("doc_id", "digest").distinct(), "members")
     asked = small_enough(members, members.count(), 48)
     texts = (docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
              .join(asked, F.col("id").eqNullSafe(F.col("doc_id")))
@@ -194,14 +190,14 @@ def _byte_check(docs: DataFrame, rows: DataFrame, groups: DataFrame, scratch: Sc
     unequal = scratch.save(spread.filter("least <> most").select("digest"), "unequal")
     n = unequal.count()
     if not n:
-        return groups, None
+        return decided.select(*_DECIDED)
     few = small_enough(unequal, n, 48)
     apart = texts.join(few, "digest", "left_semi")
     subgroups = apart.groupBy("digest", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     per_row = apart.groupBy("doc_id", "digest", "sha", "norm").agg(F.count("*").alias("copies"))
-    split = (per_row.join(subgroups, ["digest", "norm"]).join(groups.select("digest", "filter_hits"), "digest")
-             .select(*_DECIDED))
-    return groups.join(few, "digest", "left_anti"), scratch.save(split, "split")
+    hits = decided.select("digest", "filter_hits").distinct()
+    split = per_row.join(subgroups, ["digest", "norm"]).join(hits, "digest")
+    return decided.join(few, "digest", "left_anti").select(*_DECIDED).unionByName(split.select(*_DECIDED))
 
 
 def drop_duplicates(docs: DataFrame, snapshots: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

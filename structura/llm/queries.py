@@ -10,8 +10,11 @@ from . import toxicity, warc
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
+from .packing import pack_documents
+from .segment import segment_documents
 from .sharding import Level, assign_shards
 from .simhash import near_duplicates
+from .token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -76,3 +79,18 @@ FROM g
 """)
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages", "page_id", "url", "html"))
+
+
+@query("op5_packing")
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents", "doc_id", "text", "source"), capacity=2048, per_source=4)
+
+
+@query("op1_token_counts")
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+@query("op2_segment")
+def op2_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment_documents(table(spark, sf_dir, "documents", "doc_id", "text"), n=4)

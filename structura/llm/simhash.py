@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, ship_package, small_enough, utf8_bytes
+from .common import Scratch, join_groups, ship_package, small_enough, utf8_bytes
 from .components import star_components
 
 BITS = 64
@@ -277,7 +277,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = scratch.save(rows.mapInArrow(run, "doc_id long, print long"), "prints")
-    owners = scratch.save(rows.groupBy("print").agg(F.min("doc_id").alias("least_id")), "owners")
+    owners = scratch.save(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "owners")
     edges = links(owners.select("print"), radius, scratch)
     member = scratch.save(star_components(edges.select("a", "b"), scratch), "members")
     scratch.drop("links")
@@ -288,8 +288,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = named.join(names, "root").select("print", "component_id")
     named = scratch.save(named, "named")
-    owners = owners.join(named, "print", "left").select("print", F.coalesce("component_id", "least_id").alias("component_id"))
-    return (rows.join(owners, "print")
+    owners = owners.join(named, "print", "left").select("print", F.coalesce("component_id", "least_id").alias("component_id"), "n")
+    total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    return (join_groups(rows, scratch.save(owners, "groups"), "print", "n", total)
             .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
