@@ -1,19 +1,48 @@
-"""The corpus pipeline: a list of stages over ``documents``."""
+"""The corpus pipeline: documents that are clean, each text once, packed into training sequences.
 
-from __future__ import annotations
+Every stage takes the documents that the stage before kept and calls one
+operator; all but the last return the columns of ``documents``.
+"""
 
-from collections.abc import Callable
+from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+from structura.llm import exact_dedup, packing, simhash, toxicity
+from structura.llm.common import Scratch, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, trained on the labelled ones, doesn't reject."""
+    model = toxicity.train(docs, table(spark, sf_dir, "labels", "doc_id", "toxic"))
+    return toxicity.reject(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the smallest id."""
+    return exact_dedup.drop_duplicates(docs, snapshots=3)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of linked fingerprints the document with the smallest id."""
+    return simhash.keep_first(docs, shingle=3, radius=2)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Where each document's tokens lie in the training sequences."""
+    return packing.pack_documents(docs, capacity=2048, per_source=4)
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_exact_copies), ("SimHash near-dedup", drop_near_copies), ("best-fit packing", pack)]
 
-#: Training a classifier and best-fit packing cannot be said in SQL.
+#: SQL can't train a classifier or pack best-fit.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``; each one's result is written and read again."""
+    scratch = Scratch(spark, "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.save(stage(spark, docs, sf_dir), str(k))
     return docs

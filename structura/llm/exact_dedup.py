@@ -127,7 +127,8 @@ def duplicate_groups(docs: DataFrame, snapshots: int = 3, id_col: str = "doc_id"
     rows = scratch.save(_digested(docs, id_col, text_col, digest_bytes), "digests")
     total = rows.count()
     shards = max(1, -(-total // SHARD_DIGESTS))
-    cuts = sorted(set(rows.approxQuantile("doc_id", [k / snapshots for k in range(1, snapshots)], 0.01))) if total else []
+    at = [k / snapshots for k in range(1, snapshots)]
+    cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", at, 1000)).first()[0] or [])) if at else []
     batch = F.lit(0)
     for k, cut in enumerate(cuts):
         batch = F.when(F.col("doc_id") > cut, k + 1).otherwise(batch)

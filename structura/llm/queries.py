@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import toxicity, warc
+from . import nn_descent, toxicity, warc
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
@@ -94,3 +94,8 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_segment")
 def op2_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment_documents(table(spark, sf_dir, "documents", "doc_id", "text"), n=4)
+
+
+@query("op4_nn_descent")
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nn_descent.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=20, every=20)

@@ -41,24 +41,29 @@ def forward(v: pieces.Vocabulary, token: str) -> tuple[list[list[tuple[int, floa
 
 
 def nbest(v: pieces.Vocabulary, token: str, n: int) -> list[tuple[float, list[tuple[int, int]]]]:
-    """Up to ``n`` best segmentations as (score, piece spans), best first; ties go to the longer last piece."""
+    """Up to ``n`` best segmentations as (score, piece spans), best first.
+
+    Scores that agree to six decimals are ties; of tied partial paths the
+    one that is nearest to the start goes first, so equal-scored ways are
+    followed one by one and not all at once.
+    """
     edges, alpha = forward(v, token)
     end = len(token)
-    heap: list[tuple] = [(-alpha[end], 0, end, 0.0, None)]
+    heap: list[tuple] = [(-round(alpha[end], 6), end, 0, 0.0, None)]
     out, made = [], 0
     while heap and len(out) < n:
-        f, _, at, tail, spans = heapq.heappop(heap)
+        _, at, _, tail, spans = heapq.heappop(heap)
         if at == 0:
             found = []
             while spans is not None:
                 found.append(spans[0])
                 spans = spans[1]
-            out.append((-f, found))
+            out.append((tail, found))
             continue
         for i, p in edges[at]:
             made += 1
-            heapq.heappush(heap, (-(alpha[i] + p + tail), made, i, p + tail, ((i, at), spans)))
-    return out
+            heapq.heappush(heap, (-round(alpha[i] + p + tail, 6), i, -made, p + tail, ((i, at), spans)))
+    return sorted(out, key=lambda x: -x[0])
 
 
 def _ids(v: pieces.Vocabulary, token: str, spans: list[tuple[int, int]]) -> list[int]:
