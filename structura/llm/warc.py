@@ -164,9 +164,12 @@ def _record(data: bytes, at: int) -> Record:
     headers: dict[str, str] = {}
     for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
-        if not colon:
-            raise ValueError("a header line without a colon")
+        if not colon or not re.fullmatch(r"[A-Za-z0-9-]+", name):
+            raise ValueError("a line that is no header")
         headers[name.strip().lower()] = value.strip()
+    for name in ("warc-record-id", "warc-type", "warc-date"):
+        if not headers.get(name):
+            raise ValueError(f"no {name}")
     size = headers.get("content-length", "")
     if not (size.isascii() and size.isdigit()):
         raise ValueError("no content length")
