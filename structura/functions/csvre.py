@@ -1,5 +1,9 @@
 """CSV record and cell patterns (one dialect: ``,`` or any single
-delimiter, ``"`` quoting with doubled quotes), valid in Java regex and RE2.
+delimiter, ``"`` quoting with doubled quotes) in Java regex.
+
+All repeats are possessive: no field can be read in two ways, so nothing is
+lost, and Java runs them as loops.  Greedy repeats of a group recurse once
+per turn and overflow the stack on a cell with thousands of doubled quotes.
 
 A field is one of
   * a quoted field ``"..."`` with doubled quotes inside, then any junk up to
@@ -23,16 +27,16 @@ def _d(delim: str) -> str:
 
 def field_re(delim: str = ",") -> str:
     d = _d(delim)
-    quoted = r'"[^"]*(?:""[^"]*)*"'
-    return (f'(?:{quoted}[^{d}\\n"]*'
-            rf'|"[^"]*(?:""[^"]*)*\z'
-            f'|[^{d}"\\n][^{d}\\n]*)?')
+    open_quoted = r'"[^"]*+(?:""[^"]*+)*+'
+    return (f'(?:{open_quoted}"[^{d}\\n"]*+'
+            rf'|{open_quoted}\z'
+            f'|[^{d}"\\n][^{d}\\n]*+)?+')
 
 
 def record_re(delim: str = ",") -> str:
     d = _d(delim)
     f = field_re(delim)
-    return f"({f}(?:{d}{f})*)(?:\\n|\\z)"
+    return f"({f}(?:{d}{f})*+)(?:\\n|\\z)"
 
 
 def cell_re(delim: str = ",") -> str:
@@ -46,10 +50,10 @@ def unclosed_re(delim: str = ",") -> str:
     at the record start and read field by field, so a quoted cell that ends
     in ``,"`` is not mistaken for a delimiter plus an opening quote."""
     d = _d(delim)
-    closed = f'(?:"[^"]*(?:""[^"]*)*"[^{d}\\n"]*|[^{d}"\\n][^{d}\\n]*)?'
-    return f'\\A(?:{closed}{d})*"[^"]*(?:""[^"]*)*\\z'
+    closed = f'(?:"[^"]*+(?:""[^"]*+)*+"[^{d}\\n"]*+|[^{d}"\\n][^{d}\\n]*+)?+'
+    return f'\\A(?:{closed}{d})*+"[^"]*+(?:""[^"]*+)*+\\z'
 
 
 # Quoted cell: inner text (doubled quotes, newlines allowed) and the junk
-# after the closing quote.  Runs of [^"] keep Java's regex stack shallow.
-QUOTED_CELL_RE = r'\A"([^"]*(?:""[^"]*)*)"([^"]*)\z'
+# after the closing quote.
+QUOTED_CELL_RE = r'\A"([^"]*+(?:""[^"]*+)*+)"([^"]*+)\z'

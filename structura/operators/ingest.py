@@ -2,7 +2,7 @@
 (R1-R5, S5).
 
 Design: a questionnaire file is one row (Spark's binaryFile source gives one
-row per file, capped by the 200 MB upload limit).  Every step of the
+row per file).  Every step of the
 reference's per-file parse - decode, header search, record assembly, cell
 split, long-row rejection, blank-line skipping, header mangling, role and
 client-name detection - is a higher-order-function expression over that
@@ -28,7 +28,6 @@ CLIENT_SAMPLE_ROWS = 5
 CLIENT_VALUE_MAX_LEN = 100
 DEFAULT_NAME = "sitemap"
 DELIMITERS = [",", ";", "\t", "|"]       # candidates for dialect='auto'
-DIALECT_SAMPLE_LINES = 11                # header line and 10 rows
 QUOTED_SPAN_RE = r'"[^"]*"'             # removed before counting delimiters
 # ---------------------------------------------------------------------------
 
@@ -68,11 +67,11 @@ def _pos(arr: Column, pred) -> Column:
 # I7 --------------------------------------------------------------------------
 def detect_delimiter(text: Column) -> Column:
     """Opt-in dialect sniffing.  Quoted spans are removed first (they may
-    hold delimiters and newlines); over the first non-blank lines left, the
+    hold delimiters and newlines); over all non-blank lines left, the
     candidate found on the most lines wins, then the one found most often,
     then the earlier candidate.  None found: comma."""
     bare = F.regexp_replace(text, QUOTED_SPAN_RE, "")
-    lines = F.slice(F.filter(F.split(bare, "\n", -1), lambda l: ~is_blank(l)), 1, DIALECT_SAMPLE_LINES)
+    lines = F.filter(F.split(bare, "\n", -1), lambda l: ~is_blank(l))
 
     def score(d: str) -> Column:
         counts = F.transform(lines, lambda l: _count(l, F.lit(d)))
@@ -108,22 +107,32 @@ def _mangle(header: Column) -> Column:
         .otherwise(x))
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """``df`` with every column worked out once per row.
+
+    Catalyst merges projections, and a column that a lambda reads would be
+    worked out again for each element; it does not merge across a generator.
+    """
+    one = F.array(F.struct(*[F.col(c) for c in df.columns]))
+    return df.select(F.explode_outer(one).alias("_s")).select("_s.*")  # outer: no filter is inferred that would repeat the work
+
+
 # I2-I10 ---------------------------------------------------------------------
 def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     """One row per file with every per-file result of the parse.
 
-    ``files``: ``file_id, content BINARY`` (null content = over the size
-    limit).  ``dialect``: ``'comma'`` (the reference: comma in effect the only
+    ``files``: ``file_id, content BINARY`` (null content = over the limit
+    that the reader was given).  ``dialect``: ``'comma'`` (the reference: comma in effect the only
     delimiter) or ``'auto'`` (I7).
     Output columns: ``file_id, encoding, delimiter, status, header_kw_line,
     header_any_line, header_line, header ARRAY<STRING>, data
     ARRAY<STRUCT<rec_no, raw, cells, reason>>, rows ARRAY<STRUCT<row_id,
-    rec_no, cells>>``.
+    rec_no, cells>>, roles STRUCT<q_idx, a_idx>``.
     """
     df = decode(files)
     text = F.col("text")
     delim = detect_delimiter(text) if dialect == "auto" else F.lit(",")
-    df = df.withColumn("delimiter", delim).withColumn("lines", F.split(text, "\n", -1))
+    df = _settled(df.withColumn("delimiter", delim).withColumn("lines", F.split(text, "\n", -1)))
     d = F.col("delimiter")
     kw_line = _pos(F.col("lines"), lambda l: _contains_any(F.lower(l), HEADER_KEYWORDS) & (_count(l, d) >= 2))
     any_line = _pos(F.col("lines"), lambda l: _count(l, d) >= 2)
@@ -145,9 +154,9 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
         r.alias("raw"),
         F.transform(F.regexp_extract_all(F.concat(d, r), cell_re, 1), _unquote).alias("cells")))
     non_blank = F.filter(with_cells, lambda x: ~((F.size(x["cells"]) == 1) & is_blank(x["cells"][0])))
-    df = df.withColumn("nb", non_blank)
+    df = _settled(df.withColumn("nb", non_blank))
     header = _mangle(F.coalesce(F.get(F.col("nb"), 0)["cells"], F.array().cast("array<string>")))
-    df = df.withColumn("header", header)
+    df = _settled(df.withColumn("header", header))
     unclosed = _re_for(d, csvre.unclosed_re)
     data = F.transform(F.slice(F.col("nb"), 2, n), lambda x, i: F.struct(
         i.cast("bigint").alias("rec_no"), x["raw"].alias("raw"),
@@ -161,12 +170,13 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
               .otherwise(F.lit("ok")))
     df = df.withColumn("status", status)
     ok = F.col("status") == "ok"
-    df = df.withColumn("data", F.when(ok, data).otherwise(F.array()))
+    df = _settled(df.withColumn("data", F.when(ok, data).otherwise(F.array())).drop("nb", "lines", "text"))
     kept = F.filter(F.col("data"), lambda x: x["reason"].isNull())
     rows = F.transform(kept, lambda x, i: F.struct(i.cast("bigint").alias("row_id"), x["rec_no"].alias("rec_no"),
                                                    x["cells"].alias("cells")))
-    return df.select("file_id", "encoding", "delimiter", "status", "header_kw_line", "header_any_line",
-                     "header_line", F.when(ok, F.col("header")).alias("header"), "data", rows.alias("rows"))
+    df = _settled(df.select("file_id", "encoding", "delimiter", "status", "header_kw_line", "header_any_line",
+                            "header_line", F.when(ok, F.col("header")).alias("header"), "data", rows.alias("rows")))
+    return _settled(df.withColumn("roles", _roles(F.col("header"))))
 
 
 def _explode(parsed: DataFrame, arr: Column, name: str = "r") -> DataFrame:
@@ -211,7 +221,8 @@ def rejects(parsed: DataFrame) -> DataFrame:
 
 
 # R1 / R4 / R5 --------------------------------------------------------------
-def _roles(header: Column, rows: Column) -> Column:
+def _roles(header: Column) -> Column:
+    """Indexes of the question and the answer column."""
     lh = F.transform(header, F.lower)
     n = F.size(header)
     q1 = _pos(lh, lambda x: F.contains(x, F.lit("question")))
@@ -220,6 +231,13 @@ def _roles(header: Column, rows: Column) -> Column:
     a2 = _pos(lh, lambda x: _contains_any(x, ANSWER_KEYWORDS))
     q_idx = F.when(q1 > 0, q1 - 1).when(q2 > 0, q2 - 1).when(n > 0, F.lit(0))
     a_idx = F.when(a1 > 0, a1 - 1).when(a2 > 0, a2 - 1).when(n > 1, F.lit(1)).when(n > 0, F.lit(0))
+    return F.struct(q_idx.cast("int").alias("q_idx"), a_idx.cast("int").alias("a_idx"))
+
+
+def _client(header: Column, rows: Column) -> Column:
+    """Index of the client-name column and the name."""
+    lh = F.transform(header, F.lower)
+    n = F.size(header)
 
     def values(i):
         return F.filter(F.transform(rows, lambda r: F.get(r["cells"], i)), lambda v: v.isNotNull())
@@ -235,17 +253,16 @@ def _roles(header: Column, rows: Column) -> Column:
     cleaned = F.substring(F.replace(F.regexp_replace(py_strip(first), FILENAME_BAD_CHARS_RE, ""),
                                     F.lit(" "), F.lit("-")), 1, CLIENT_NAME_MAX)
     name = F.when(first.isNotNull(), cleaned).otherwise(F.lit(DEFAULT_NAME))
-    return F.struct(q_idx.cast("int").alias("q_idx"), a_idx.cast("int").alias("a_idx"),
-                    c_idx.cast("int").alias("client_idx"), name.alias("client_name"))
+    return F.struct(c_idx.cast("int").alias("client_idx"), name.alias("client_name"))
 
 
 def column_roles(parsed: DataFrame) -> DataFrame:
     """``file_id, header, q_idx, a_idx, client_idx, client_name``
     for every readable file."""
-    r = _roles(F.col("header"), F.col("rows"))
+    r, c = F.col("roles"), _client(F.col("header"), F.col("rows"))
     one = _one_if(F.col("status") == "ok", F.struct(
         F.col("header").alias("header"), r["q_idx"].alias("q_idx"), r["a_idx"].alias("a_idx"),
-        r["client_idx"].alias("client_idx"), r["client_name"].alias("client_name")))
+        c["client_idx"].alias("client_idx"), c["client_name"].alias("client_name")))
     return _explode(parsed, one).select("file_id", "r.header", "r.q_idx", "r.a_idx", "r.client_idx",
                                         "r.client_name")
 
@@ -269,7 +286,7 @@ def _pair(row: Column, q_idx: Column, a_idx: Column) -> Column:
 def pair_array(parsed: DataFrame) -> Column:
     """R2 in-row: the file's pairs as ``ARRAY<STRUCT<id, question, answer, keep>>``
     in row order (null for unreadable files)."""
-    r = _roles(F.col("header"), F.col("rows"))
+    r = F.col("roles")
     return F.filter(F.transform(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])),
                     lambda p: p["keep"])
 
@@ -293,7 +310,7 @@ def ingest_metrics(parsed: DataFrame) -> DataFrame:
 def files_without_pairs(parsed: DataFrame) -> DataFrame:
     """Readable files that yield no question/answer pair (in-row test,
     so no anti join is needed)."""
-    r = _roles(F.col("header"), F.col("rows"))
+    r = F.col("roles")
     has_pair = F.exists(F.col("rows"), lambda row: _pair(row, r["q_idx"], r["a_idx"])["keep"])
     one = _one_if((F.col("status") == "ok") & ~has_pair, F.col("file_id"))
     return _explode(parsed, one, "f").select("file_id")

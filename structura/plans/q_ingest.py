@@ -149,7 +149,7 @@ WITH {qfiles_text_cte('qtext', ';')}, {doc_text_cte('dtext')},
 ftext AS (SELECT file_id, text FROM qtext UNION ALL SELECT file_id, text FROM dtext),
 s AS (SELECT file_id,
              list_filter(string_split(regexp_replace(text, {sql_str(I.QUOTED_SPAN_RE)}, '', 'g'), chr(10)),
-                         lambda l: {duck_strip('l')} <> '')[1:{I.DIALECT_SAMPLE_LINES}] AS sample FROM ftext),
+                         lambda l: {duck_strip('l')} <> '') AS sample FROM ftext),
 sc AS (SELECT file_id, list_max([{{'score': {_score(',')}, 'rank': 0, 'delim': ','}},
                                  {{'score': {_score(';')}, 'rank': -1, 'delim': ';'}},
                                  {{'score': {_score(chr(9))}, 'rank': -2, 'delim': chr(9)}},

@@ -12,7 +12,7 @@ from ..operators import tree as T
 from ..operators.sinks import tree_output_names, write_tree_files
 from ..session import ensure_checkpoint_dir
 from ..sources.fixtures import catalog_urls, qfiles_text
-from ..streaming.ingest_stream import start_ingest_stream
+from ..streaming.ingest_stream import read_pairs, start_ingest_stream
 from .q_ingest import _PAIRS_TRUTH
 from .registry import register
 from .sqlparts import catalog_cte, nodes_cte, ordered_cte, qa_source_cte
@@ -32,7 +32,7 @@ def q_stream_ingest(spark, sf):
      .write.partitionBy("file_id").text(landing))
     q = start_ingest_stream(spark, landing, out, ckpt, glob="*.txt", file_id_re=r"file_id=([^/]+)/")
     q.awaitTermination()
-    return spark.read.parquet(out).select("file_id", "id", "question", "answer")
+    return read_pairs(spark, out).select("file_id", "id", "question", "answer")
 
 
 @register("tree_files", f"""

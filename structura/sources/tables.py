@@ -15,22 +15,24 @@ TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineite
           "events", "documents", "embeddings", "pages", "benchmark", "labels",
           "conversations")
 
-# The reference's upload limit per questionnaire file (bytes).
-MAX_FILE_BYTES = 200 * 1024 * 1024
-
-
 def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return df.select(*cols) if cols else df
 
 
-def binary_files(spark: SparkSession, path: str, glob: str = "*.csv",
-                 recursive: bool = True) -> DataFrame:
-    """Questionnaire files as ``file_id STRING, content BINARY, length``.
+def within_limit(max_bytes: int | None):
+    """The content column, null for files over ``max_bytes`` (None: no limit)."""
+    content = F.col("content")
+    return content if max_bytes is None else F.when(F.col("length") <= max_bytes, content)
+
+
+def binary_files(spark: SparkSession, path: str, glob: str = "*.csv", recursive: bool = True,
+                 max_bytes: int | None = None) -> DataFrame:
+    """Questionnaire files as ``file_id STRING, content BINARY, n_bytes``.
 
-    One row per file (Spark's binaryFile source); files above the upload
-    limit are kept as rows with null content so ingest can reject them
-    instead of failing the job.
+    One row per file (Spark's binaryFile source, up to 2 GB).  With
+    ``max_bytes`` larger files keep their row with null content, and ingest
+    rejects them as ``too_large`` (the reference's upload form takes 200 MB).
     """
     raw = (spark.read.format("binaryFile")
            .option("pathGlobFilter", glob)
@@ -38,7 +40,7 @@ def binary_files(spark: SparkSession, path: str, glob: str = "*.csv",
            .load(path))
     return raw.select(
         F.col("path").alias("file_id"),
-        F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).alias("content"),
+        within_limit(max_bytes).alias("content"),
         F.col("length").alias("n_bytes"),
     )
 

@@ -2,9 +2,11 @@
 
 ``readStream.format('binaryFile')`` picks up new files; each micro-batch
 runs the same batch functions (parse -> pairs), which use per-file arrays
-and so need no stream-unsupported window.  ``foreachBatch`` appends the
-pairs to a parquet table; the checkpoint records which files were done, so
-a restarted query (or a lost executor) neither drops nor repeats a file.
+and so need no stream-unsupported window.  ``foreachBatch`` writes the
+pairs to ``out/pairs`` and the rejects to ``out/rejects``, each batch to a
+partition of its own that is overwritten: a batch that is run again after
+a failure replaces its rows and repeats none.  The checkpoint records
+which files were done.
 """
 
 from __future__ import annotations
@@ -12,14 +14,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.ingest import parse_files, qa_pairs
-from ..sources.tables import MAX_FILE_BYTES
+from ..operators.ingest import parse_files, qa_pairs, rejects
+from ..sources.tables import within_limit
 
 STREAM_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 
 
 def start_ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint: str,
-                        glob: str = "*", available_now: bool = True, file_id_re: str | None = None):
+                        glob: str = "*", available_now: bool = True, file_id_re: str | None = None,
+                        max_bytes: int | None = None):
     """Start the stream; returns the ``StreamingQuery``.
 
     ``file_id_re``: optional regex whose group 1, taken from the path, is
@@ -30,12 +33,34 @@ def start_ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint:
            .load(landing))
     fid = F.regexp_extract("path", file_id_re, 1) if file_id_re else F.col("path")
     files = src.select(fid.alias("file_id"),
-                       F.when(F.col("length") <= MAX_FILE_BYTES, F.col("content")).alias("content"))
+                       within_limit(max_bytes).alias("content"))
 
     def batch(df: DataFrame, batch_id: int) -> None:
-        qa_pairs(parse_files(df)).withColumn("batch_id", F.lit(batch_id)) \
-            .write.mode("append").parquet(out)
+        write_batch(df, batch_id, out)
 
     w = files.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")
     return w.start()
+
+
+def write_batch(files: DataFrame, batch_id: int, out: str) -> None:
+    """Pairs and rejects of one batch, each in its own overwritten folder."""
+    parsed = parse_files(files)
+    qa_pairs(parsed).write.mode("overwrite").parquet(f"{out}/pairs/batch_id={batch_id}")
+    rejects(parsed).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+
+
+def read_pairs(spark: SparkSession, out: str) -> DataFrame:
+    """All pairs so far (also when no batch was written yet)."""
+    return _read(spark, f"{out}/pairs", "file_id string, id bigint, question string, answer string, batch_id int")
+
+
+def read_rejects(spark: SparkSession, out: str) -> DataFrame:
+    return _read(spark, f"{out}/rejects", "file_id string, rec_no bigint, reason string, raw string, batch_id int")
+
+
+def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
