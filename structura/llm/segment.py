@@ -13,8 +13,8 @@ from __future__ import annotations
 import heapq
 import math
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +22,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import pieces
+from .lattice_batch import BatchLattice
 from .common import ship_package, utf8_bytes
 
 #: Distinct words that a task remembers.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
+#: Bytes of text whose new words are worked out at once.
+LEARN_BYTES = 4 << 20
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()),
                   ("nbest_scores", pa.list_(pa.float64()))])
@@ -128,28 +131,51 @@ class Codec:
     """Encodes and decodes texts with one vocabulary; remembers a bounded number of words."""
 
     def __init__(self, vocabulary: pieces.Vocabulary) -> None:
-        self.v = vocabulary
+        self.v, self.lattice = vocabulary, BatchLattice(vocabulary)
         self.names = [n.replace(pieces.MARK, " ", 1).encode() if n.startswith(pieces.MARK) else n.encode() for n in vocabulary.names]
         for b, i in enumerate(vocabulary.byte_ids):
             self.names[i] = bytes([b])
         self.clear()
 
     def clear(self) -> None:
-        self.best: dict[bytes, tuple[bytes, float, float]] = {}
+        self.number: dict[bytes, int] = {}
+        self.ids: list[bytes] = []  # little-endian int32
+        self.best, self.loss = np.zeros(0), np.zeros(0)  # best score, and by how much the second best is behind
         self.more: dict[tuple[bytes, int], list[float]] = {}
 
-    def word(self, word: bytes) -> tuple[bytes, float, float]:
-        """(ids as little-endian int32, best score, loss of the second best) of one word."""
-        known = self.best.get(word)
-        if known is None:
-            token = _token(word)
-            top, next_, spans = two_best(self.v, token)
-            known = self.best[word] = (np.array(_ids(self.v, token, spans), "<i4").tobytes(), top, top - next_)
-        return known
+    def learn(self, some: Iterable[bytes]) -> None:
+        """Work out the forward passes of the words that are new, all at once."""
+        number = self.number
+        new = [w for w in dict.fromkeys(some) if w not in number]
+        if not new:
+            return
+        tokens = [_token(w) for w in new]
+        ids: list[bytes | None] = [None] * len(new)
+        best, second = np.empty(len(new)), np.empty(len(new))
+        groups, rest = self.lattice.groups(tokens)
+        for places, chars in groups:
+            best[places], second[places], back, via = self.lattice.two_best(chars)
+            for k, found in zip(places.tolist(), self.lattice.best_ids(back, via), strict=True):
+                if found is None:
+                    rest.append(k)
+                else:
+                    ids[k] = found.tobytes()
+        for k in rest:
+            best[k], second[k], spans = two_best(self.v, tokens[k])
+            ids[k] = array("i", _ids(self.v, tokens[k], spans)).tobytes()
+        number.update(zip(new, range(len(self.ids), len(self.ids) + len(new)), strict=True))
+        self.ids += ids
+        self.best, self.loss = np.append(self.best, best), np.append(self.loss, best - second)
+
+    def places(self, text: bytes) -> np.ndarray:
+        """The numbers of the text's words, learnt or learnt now."""
+        some = words(text)
+        self.learn(some)
+        return np.fromiter(map(self.number.__getitem__, some), np.int64, len(some))
 
     def encode(self, text: bytes) -> bytes:
         """Ids of the best segmentation as little-endian int32."""
-        return b"".join([self.word(w)[0] for w in words(text)])
+        return b"".join(map(self.ids.__getitem__, self.places(text).tolist()))
 
     def decode(self, ids: bytes) -> bytes:
         """The words that the ids spell, joined by one space."""
@@ -165,14 +191,14 @@ class Codec:
 
     def scores(self, text: bytes, n: int) -> list[float]:
         """Scores of the document's ``n`` best segmentations, best first (fewer if there are fewer)."""
-        counts = Counter(words(text))
-        total = math.fsum(times * self.word(w)[1] for w, times in counts.items())
+        places, some = self.places(text), words(text)
+        total, behind = float(self.best[places].sum()), self.loss[places]
         # only the n - 1 places with the least second-best losses can differ in one of the n best
-        order = heapq.nsmallest(n - 1, ((self.best[w][2], w) for w in counts if self.best[w][2] < math.inf)) if n > 1 else []
-        lists = [self.losses(w, n) for _, w in order for _ in range(min(counts[w], n - 1))]
+        least = np.argpartition(behind, n - 2)[:n - 1] if len(behind) >= n > 1 else np.arange(len(behind) if n > 1 else 0)
         best = [0.0]
-        for losses in lists:
-            best = heapq.nsmallest(n, (a + b for a in best for b in losses))
+        for k in least.tolist():
+            if behind[k] < math.inf:
+                best = heapq.nsmallest(n, (a + b for a in best for b in self.losses(some[k], n)))
         return [total - x for x in best]
 
 
@@ -190,8 +216,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str = pieces.VOCABULARY,
         codec = Codec(vocabulary.value)
         for part in parts:
             ids = []
-            for text in utf8_bytes(part.column(1)):
-                _bounded(codec)
+            for text in _learnt(codec, utf8_bytes(part.column(1))):
                 ids.append(np.frombuffer(codec.encode(text), "<i4"))
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
@@ -215,10 +240,24 @@ def decode_documents(encoded: DataFrame, vocabulary_path: str = pieces.VOCABULAR
 
 
 def _bounded(codec: Codec) -> None:
-    if len(codec.best) + len(codec.more) > CACHE_WORDS:
+    if len(codec.ids) + len(codec.more) > CACHE_WORDS:
         codec.clear()
 
 
+def _learnt(codec: Codec, texts: list[bytes]) -> Iterator[bytes]:
+    """The texts, after the words of some megabytes of them have been learnt together."""
+    at = 0
+    while at < len(texts):
+        _bounded(codec)
+        end, size = at, 0
+        while end < len(texts) and size < LEARN_BYTES:
+            size += len(texts[end])
+            end += 1
+        codec.learn(w for t in texts[at:end] for w in words(t))
+        yield from texts[at:end]
+        at = end
+
+
 def segment_documents(docs: DataFrame, n: int = 4, vocabulary_path: str = pieces.VOCABULARY, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
     """``doc_id, n_pieces, ids_crc32, round_trip, nbest_scores`` for every row of ``docs``.
@@ -238,8 +277,7 @@ def segment_documents(docs: DataFrame, n: int = 4, vocabulary_path: str = pieces
         codec = Codec(vocabulary.value)
         for part in parts:
             sizes, crcs, trips, scores = [], [], [], []
-            for text in utf8_bytes(part.column(1)):
-                _bounded(codec)
+            for text in _learnt(codec, utf8_bytes(part.column(1))):
                 scores.append(codec.scores(text, n))
                 ids = codec.encode(text)
                 sizes.append(len(ids) // 4)

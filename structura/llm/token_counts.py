@@ -32,8 +32,13 @@ class Trie:
 
     def __init__(self, vocabulary: pieces.Vocabulary) -> None:
         self.v = vocabulary
-        self.longest = max(map(len, vocabulary.steps))
-        self.logp = {p: s for p, s in vocabulary.steps.items() if s is not None}
+        #: Every end of a piece -> the piece's log-probability, or None where no piece begins.
+        self.ends: dict[str, float | None] = {}
+        for piece, logp in vocabulary.steps.items():
+            if logp is not None:
+                for k in range(1, len(piece)):
+                    self.ends.setdefault(piece[k:], None)
+        self.ends |= {p: s for p, s in vocabulary.steps.items() if s is not None}
         self.clear()
 
     def clear(self) -> None:
@@ -46,48 +51,61 @@ class Trie:
         node = self.terminal.get(word)
         if node is None:
             token = pieces.MARK + word.decode("utf-8", "replace")
-            if len(token) > LONG_TOKEN:
+            if len(token) > LONG_TOKEN or pieces.MARK in token[1:]:
                 return self._beside(token)
             node = self.terminal[word] = self._insert(token)
         return self.count[node], self.best[node]
 
     def _insert(self, token: str) -> int:
-        child, path, node = self.child, [0], 0
-        for n, char in enumerate(token, 1):
-            key = node << 21 | ord(char)
-            down = child.get(key)
+        child, best, count = self.child, self.best, self.count
+        node, scores, sizes = 0, [0.0], [0]
+        for char in token:  # the prefix that the trie has
+            down = child.get(node << 21 | ord(char))
             if down is None:
-                down = child[key] = len(self.best)
-                score, tokens = self._extend(token, n, lambda i: self.best[path[i]], lambda i: self.count[path[i]])
-                self.best.append(score)
-                self.count.append(tokens)
+                break
+            node = down
+            scores.append(best[node])
+            sizes.append(count[node])
+        for n in range(len(scores), len(token) + 1):
+            score, tokens = self._extend(token, n, scores, sizes)
+            down = child[node << 21 | ord(token[n - 1])] = len(best)
+            best.append(score)
+            count.append(tokens)
+            scores.append(score)
+            sizes.append(tokens)
             node = down
-            path.append(node)
         return node
 
     def _beside(self, token: str) -> tuple[int, float]:
-        best, count = [0.0], [0]
+        """As :meth:`_insert`, leaving the trie alone."""
+        scores, sizes = [0.0], [0]
         for n in range(1, len(token) + 1):
-            score, tokens = self._extend(token, n, best.__getitem__, count.__getitem__)
-            best.append(score)
-            count.append(tokens)
-        return count[-1], best[-1]
-
-    def _extend(self, token: str, n: int, best, count) -> tuple[float, int]:
-        """Forward score of the prefix of ``n`` characters from those of shorter ones; fewer tokens win ties."""
-        get, top, tokens = self.logp.get, -math.inf, 0
+            score, tokens = self._extend(token, n, scores, sizes)
+            scores.append(score)
+            sizes.append(tokens)
+        return sizes[-1], scores[-1]
+
+    def _extend(self, token: str, n: int, scores: list[float], sizes: list[int]) -> tuple[float, int]:
+        """Forward score of the prefix of ``n`` characters from those of shorter ones; fewer tokens win ties.
+
+        A word mark inside the token is spelled in bytes.
+        """
+        get, mark, top, tokens = self.ends.get, pieces.MARK, -math.inf, 0
+        i = n - 1
+        while i >= 0:
+            p = get(token[i:n], 0.0)
+            if p == 0.0 or i and token[i] == mark:
+                break
+            if p is not None:
+                s = scores[i] + p
+                if s > top or s == top and sizes[i] + 1 < tokens:
+                    top, tokens = s, sizes[i] + 1
+            i -= 1
         char = token[n - 1]
-        if n == 1 or char != pieces.MARK:
-            for i in range(n - 1, max(-1, n - 1 - self.longest), -1):
-                p = get(token[i:n])
-                if p is not None and (i == 0 or token[i] != pieces.MARK):
-                    s = best(i) + p
-                    if s > top or s == top and count(i) + 1 < tokens:
-                        top, tokens = s, count(i) + 1
-        if n > 1 and char == pieces.MARK or char not in self.logp:
-            s, spelled = best(n - 1) + self.v.spelled(char), len(char.encode("utf-8", "surrogatepass"))
-            if s > top or s == top and count(n - 1) + spelled < tokens:
-                top, tokens = s, count(n - 1) + spelled
+        if n > 1 and char == mark or get(char) is None:
+            s, spelled = scores[n - 1] + self.v.spelled(char), len(char.encode("utf-8", "surrogatepass"))
+            if s > top or s == top and sizes[n - 1] + spelled < tokens:
+                top, tokens = s, sizes[n - 1] + spelled
         return top, tokens
 
 

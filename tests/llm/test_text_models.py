@@ -9,6 +9,7 @@ from itertools import combinations
 import pytest
 
 from structura.llm import lattice_lm, pieces, segment
+from structura.llm.lattice_batch import BatchLattice
 from structura.llm.token_counts import Trie, count_tokens
 
 from .conftest import docs_df
@@ -60,6 +61,11 @@ def test_lattice_equals_enumeration(toy, token):
     first, second, _ = segment.two_best(toy, token)
     assert first == pytest.approx(every[0][0])
     assert second == pytest.approx(every[1][0]) if len(every) > 1 else second == -math.inf
+    batch = BatchLattice(toy)
+    assert batch.marginals([token, "▁a", token]).tolist() == pytest.approx([toy.marginal(token), toy.marginal("▁a"), toy.marginal(token)])
+    for _, chars in batch.groups([token])[0]:
+        top, next_, _, _ = batch.two_best(chars)
+        assert (top[0], next_[0]) == pytest.approx((first, second))
     trie = Trie(toy)
     for _ in range(2):
         tokens, score = trie.lookup(token[1:].encode())
