@@ -1,10 +1,10 @@
-"""Skew-safe running sums over ordered groups.
+"""Ranks within groups of any size, by one distributed sort.
 
-A plain ``sum(v).over(partitionBy(keys).orderBy(o))`` sends a whole group to
-one task; one hot key may hold a third of all rows.  ``running_sum`` splits
-each group into blocks of at most ``block`` distinct order values, sums the
-blocks (map-side partial aggregation), prefix-sums the small block table and
-joins the block offsets back, so every window holds one block only.
+``row_number().over(partitionBy(keys).orderBy(...))`` sends a whole group to
+one task, and one group may hold most rows.  Here the rows are
+range-partitioned by keys and order, numbered inside their partition, and
+shifted by the row counts of the group's earlier partitions, a table with at
+most one row per group and partition.
 """
 
 from __future__ import annotations
@@ -12,35 +12,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_BLOCK = 1 << 16
+from .scratch import materialize
 
 
-def running_sums(df: DataFrame, keys: list[str], order: str,
-                 specs: list[tuple[str, str, bool]], block: int = DEFAULT_BLOCK) -> DataFrame:
-    """Several running sums over the same groups and order in one pass.
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+    """``df`` with ``out``: the row's 0-based place within its ``keys`` by ``order`` (any orderable columns).
 
-    ``specs``: ``(value, out, inclusive)``; ``out`` = sum of ``value`` over
-    rows of the same ``keys`` whose ``order`` is smaller (and, when
-    ``inclusive``, the row itself).  ``order`` must be an integral column
-    unique within each key group.
+    The sorted rows are written once, so the numbers are the same for every reader.
     """
-    blk = "__blk"
-    with_blk = df.withColumn(blk, F.floor(F.col(order) / F.lit(block)))
-    totals = with_blk.groupBy(*keys, blk).agg(*[F.sum(v).alias(f"__bsum{i}") for i, (v, _, _) in enumerate(specs)])
-    w_blocks = (Window.partitionBy(*keys).orderBy(blk)
-                .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.select(*keys, blk, *[F.coalesce(F.sum(f"__bsum{i}").over(w_blocks), F.lit(0))
-                                          .alias(f"__boff{i}") for i in range(len(specs))])
-    out = with_blk.join(offsets, [*keys, blk], "inner")
-    for i, (v, name, inclusive) in enumerate(specs):
-        upper = Window.currentRow if inclusive else -1
-        w_rows = (Window.partitionBy(*keys, blk).orderBy(order)
-                  .rowsBetween(Window.unboundedPreceding, upper))
-        out = out.withColumn(name, F.col(f"__boff{i}") + F.coalesce(F.sum(v).over(w_rows), F.lit(0)))
-    return out.drop(blk, *[f"__boff{i}" for i in range(len(specs))])
-
-
-def running_sum(df: DataFrame, keys: list[str], order: str, value: str, out: str,
-                block: int = DEFAULT_BLOCK, inclusive: bool = True) -> DataFrame:
-    """One running sum; see :func:`running_sums`."""
-    return running_sums(df, keys, order, [(value, out, inclusive)], block)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = materialize(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
+                         .withColumn("__at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("__at", 33)
+    runs = placed.groupBy(*keys, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
+    return (placed.withColumn("__part", part).join(runs, [*keys, "__part"])
+            .withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift"))

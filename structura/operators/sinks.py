@@ -1,51 +1,55 @@
-"""Sinks: the tree download (S3) and reusable table writes.
+"""Sinks: the tree download (S3).
 
 The reference offers the printed tree as one text file per questionnaire,
 named by S5.  Here every site's lines are written as ordered text under a
-directory per output name; nothing passes through the driver and no task
-holds more than one partition of lines.
+folder per site and output name; nothing passes through the driver and no
+task holds more than one partition of lines.
 """
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..session import ensure_checkpoint_dir
+from ..functions.scratch import materialize  # noqa: F401  (part of this module's interface)
 
 
 def write_tree_files(lines: DataFrame, names: DataFrame, path: str, partitions: int | None = None) -> None:
-    """S3: ``lines`` (``site_id, line_no, line``) to ``path/output_name=<name>/part-*``.
+    """S3: ``lines`` (``site_id, line_no, line``) to ``path/site_id=<id>/output_name=<name>/part-*``.
 
-    ``names``: ``site_id, output_name`` (see ``ingest.output_name``).  Rows
-    are range-partitioned on ``(output_name, line_no)``, so a very large
-    site spreads over several part files, each holding a consecutive run
-    of lines; reading a site's part files in name order restores its text.
+    ``names``: ``site_id, output_name`` (see ``ingest.output_name``); two
+    sites may share a name and stay apart.  Rows are range-partitioned on
+    ``(site_id, line_no)``, so a very large site spreads over several part
+    files, each a consecutive run of lines; the part files in name order
+    give the site's text.
     """
-    j = lines.join(names, "site_id").select("output_name", "line_no", "line")
+    j = lines.select("site_id", "line_no", "line").join(names.select("site_id", "output_name"), "site_id")
     n = partitions or lines.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    (j.repartitionByRange(int(n), "output_name", "line_no")
-     .sortWithinPartitions("output_name", "line_no")
-     .select("output_name", "line")
-     .write.mode("overwrite").partitionBy("output_name").text(path))
-
+    (j.repartitionByRange(int(n), "site_id", "line_no")
+     .sortWithinPartitions("site_id", "output_name", "line_no")
+     .select("site_id", "output_name", "line")
+     .write.mode("overwrite").partitionBy("site_id", "output_name").text(path))
 
-def materialize(df: DataFrame, name: str, spark: SparkSession | None = None) -> DataFrame:
-    """Write ``df`` as parquet under the session's shared checkpoint folder
-    and read it back: cuts lineage so a lost executor re-reads files instead
-    of recomputing the plan (e.g. model replies, which must not be
-    generated twice)."""
-    spark = spark or df.sparkSession
-    base = ensure_checkpoint_dir(spark)
-    out = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(out)
-    return spark.read.parquet(out)
 
+def read_tree_files(spark: SparkSession, path: str) -> DataFrame:
+    """The written lines in file order: ``site_id, output_name, line_no, line``.
 
-def tree_output_names(lines: DataFrame, run_ts: str) -> DataFrame:
+    The text source reads a file in order; a line's place in its file plus
+    the lines of the site's earlier files is its number.
+    """
+    rows = spark.read.option("wholetext", "false").text(path).select(
+        F.col("site_id").cast("string").alias("site_id"), "output_name", F.col("value").alias("line"), F.input_file_name().alias("file"),
+        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    rows = materialize(rows, "tree-lines-read")
+    block = ["site_id", "output_name", "file", "start"]
+    runs = rows.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = Window.partitionBy("site_id", "output_name").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    runs = runs.select(*block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
+    return rows.join(runs, block).select("site_id", "output_name", (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
+
+
+def site_output_names(urls: DataFrame, run_ts: str) -> DataFrame:
     """S5 for URL tables without a questionnaire: the site id is the name."""
     from .ingest import output_name
-    return (lines.select("site_id").distinct()
+    return (urls.select("site_id").distinct()
             .select("site_id", output_name(F.col("site_id"), F.to_timestamp(F.lit(run_ts))).alias("output_name")))

@@ -5,23 +5,20 @@ is a unique ordinal in document order within the site (dense or sparse).
 
 The reference builds a trie per sitemap and prints it recursively with
 siblings in first-appearance order.  Here the trie is a flat node table
-``(site_id, path)`` and the depth-first line number comes from a closed
-form that needs no window over a whole site:
-
-    line_no(n) = 1 + depth(n) + sum over a in ancestors-or-self(n) of before(a)
-
-where ``before(a)`` is the number of tree lines in the subtrees of the
-siblings of ``a`` that appeared earlier.  Subtree sizes are a partial
-aggregation, ``before`` a blocked running sum over siblings, and the final
-sum a join + aggregation; hot keys are split by the blocks or by AQE.
+``(site_id, path)``.  Level by level a node takes its parent's sort key and
+adds its own first appearance; depth-first order is the order of these
+keys, so line numbers are ranks of one distributed sort.  A node moves
+twice in all, and neither a large site nor a large sibling group meets in
+one task.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.order import running_sums
+from ..functions.order import ranked
+from ..functions.scratch import materialize
 from ..functions.url import path_segments
 
 # --- fixed values -----------------------------------------------------------
@@ -86,40 +83,69 @@ def tree_nodes(urls: DataFrame, max_depth: int | None = None) -> DataFrame:
     )
 
 
-def _ancestors_or_self(nodes: DataFrame) -> DataFrame:
-    parts = F.split(F.col("path"), "/")
-    prefixes = F.transform(F.sequence(F.lit(1), F.col("depth") + 1),
-                           lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
-    return nodes.select("site_id", "path", F.explode(prefixes).alias("anc"))
-
+def _key_levels(nodes: DataFrame, levels: int, per_site: int | None = None) -> list[DataFrame]:
+    """One written table per depth: ``nodes`` with ``key``, the ancestors' and the node's own ``first_seen``.
 
-def dfs_order(nodes: DataFrame) -> DataFrame:
+    ``per_site``: only each site's first nodes of every depth by ``key``,
+    and of the next depth only those below them.
+    """
+    out: list[DataFrame] = []
+    for d in range(levels):
+        level = nodes.filter(F.col("depth") == d)
+        if d == 0:
+            level = level.withColumn("key", F.array("first_seen"))
+        else:
+            up = out[-1].select("site_id", F.col("path").alias("parent_path"), F.col("key").alias("above"))
+            level = (level.join(up, ["site_id", "parent_path"])
+                     .withColumn("key", F.concat("above", F.array("first_seen"))).drop("above"))
+        if per_site is not None:
+            first = Window.partitionBy("site_id").orderBy("key")  # a limit per group, applied before the shuffle, too
+            level = level.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= per_site).drop("turn")
+        out.append(materialize(level, f"tree-level{d}"))
+    return out
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def dfs_order(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Add ``line_no`` (1-based depth-first rank, siblings by first_seen)
-    and ``sibling_idx`` (0-based rank among siblings) to a node table that
-    is closed under ancestors (every node's parent is present)."""
-    anc = _ancestors_or_self(nodes)
-    sizes = anc.groupBy("site_id", F.col("anc").alias("path")).agg(F.count(F.lit(1)).alias("size"))
-    sib = (nodes.join(sizes, ["site_id", "path"])
-           .withColumn("parent_key", F.coalesce(F.col("parent_path"), F.lit("")))
-           .withColumn("one", F.lit(1)))
-    sib = running_sums(sib, ["site_id", "parent_key"], "first_seen",
-                       [("size", "before", False), ("one", "sibling_rank", True)])
-    before = sib.select("site_id", F.col("path").alias("anc"), "before")
-    total = (anc.join(before, ["site_id", "anc"])
-             .groupBy("site_id", "path").agg(F.sum("before").alias("before_sum")))
-    return (sib.join(total, ["site_id", "path"])
-            .select("site_id", "path", "parent_path", "name", "depth", "first_seen",
-                    (F.col("before_sum") + F.col("depth") + 1).alias("line_no"),
-                    (F.col("sibling_rank") - 1).alias("sibling_idx")))
-
-
-def tree_lines(urls: DataFrame, max_depth: int = TREE_MAX_DEPTH) -> DataFrame:
-    """T3+T4: printed tree lines ``site_id, line_no, depth, line``."""
-    ordered = dfs_order(tree_nodes(urls, max_depth))
+    to a node table that is closed under ancestors (every node's parent is
+    present).  ``max_depth``: the greatest depth in ``nodes``, counted when
+    None."""
+    nodes = materialize(nodes, "tree-nodes")
+    if max_depth is None:
+        max_depth = nodes.agg(F.max("depth")).first()[0]
+    keyed = _union(_key_levels(nodes, (max_depth or 0) + 1))
+    return ranked(keyed, ["site_id"], ["key"], "line_no").withColumn("line_no", F.col("line_no") + 1).drop("key")
+
+
+def with_sibling_idx(ordered: DataFrame) -> DataFrame:
+    """Adds ``sibling_idx``, the 0-based rank among siblings."""
+    keyed = ordered.withColumn("parent_key", F.coalesce("parent_path", F.lit("")))
+    return ranked(keyed, ["site_id", "parent_key"], ["first_seen"], "sibling_idx").drop("parent_key")
+
+
+def tree_lines(urls: DataFrame, max_depth: int | None = TREE_MAX_DEPTH) -> DataFrame:
+    """T3+T4: printed tree lines ``site_id, line_no, depth, line``.
+
+    Deeper nodes are left out (None: no limit); :func:`hidden_nodes` counts them."""
+    ordered = dfs_order(tree_nodes(urls, max_depth), max_depth)
     line = F.concat(F.repeat(F.lit(INDENT), F.col("depth")), F.lit(BULLET), F.col("name"))
     return ordered.select("site_id", "line_no", "depth", line.alias("line"))
 
 
+def hidden_nodes(urls: DataFrame, max_depth: int = TREE_MAX_DEPTH) -> DataFrame:
+    """Per site the nodes that ``tree_lines`` prints and those below its depth: ``site_id, n_printed, n_hidden``."""
+    return (tree_nodes(urls).groupBy("site_id")
+            .agg(F.count_if(F.col("depth") <= max_depth).alias("n_printed"),
+                 F.count_if(F.col("depth") > max_depth).alias("n_hidden")))
+
+
 def tree_text(lines: DataFrame, chunk_lines: int = TEXT_CHUNK_LINES) -> DataFrame:
     """T5: the tree as text, ``site_id, chunk, n_lines, text``.
 
@@ -149,11 +175,14 @@ def graph_nodes(urls: DataFrame, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
     is a folder even though they are not drawn).  ``edge_no`` is the
     traversal rank of the edge into the node.
     """
-    nodes = tree_nodes(urls, max_depth + 1)
+    nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
+    return _graph(nodes, with_sibling_idx(dfs_order(nodes.filter(F.col("depth") <= max_depth), max_depth)))
+
+
+def _graph(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
     has_children = (nodes.filter(F.col("parent_path").isNotNull())
                     .select("site_id", F.col("parent_path").alias("path")).distinct()
                     .withColumn("is_folder", F.lit(True)))
-    ordered = dfs_order(nodes.filter(F.col("depth") <= max_depth))
     with_id = ordered.withColumn("node_id", _node_id(F.col("depth"), F.col("sibling_idx"), F.col("name")))
     parents = with_id.select("site_id", F.col("path").alias("parent_path"), F.col("node_id").alias("parent_id"))
     return (with_id.join(has_children, ["site_id", "path"], "left")
@@ -172,7 +201,23 @@ def graph_edges(gnodes: DataFrame) -> DataFrame:
                          F.col("path").alias("to_path"))
 
 
-def graph_edges_top(edges: DataFrame, k: int = GRAPH_MAX_EDGES) -> DataFrame:
-    """The first ``k`` edges per site in traversal order (a filter on the
-    dense traversal rank, so no per-site window is needed)."""
-    return edges.filter(F.col("edge_no") <= k)
+def first_graph_nodes(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
+    """T6 for the first ``k`` nodes per site in traversal order.
+
+    A node can only be among them if it is among the first ``k`` of its
+    depth, so every level is cut to these before the next one joins it: a
+    site has at most ``k`` rows per depth from there on.  Their earlier
+    siblings are all among them, so ``sibling_idx`` is the whole one.
+    """
+    nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
+    keyed = _union(_key_levels(nodes.filter(F.col("depth") <= max_depth), max_depth + 1, per_site=k))
+    keyed = keyed.withColumn("sibling_idx", F.row_number().over(Window.partitionBy("site_id", "parent_path").orderBy("first_seen")) - 1)
+    ordered = (keyed.withColumn("line_no", F.row_number().over(Window.partitionBy("site_id").orderBy("key")))
+               .filter(F.col("line_no") <= k).drop("key"))
+    return _graph(nodes.join(ordered.select("site_id", F.col("path").alias("parent_path")), ["site_id", "parent_path"], "left_semi"),
+                  ordered)
+
+
+def graph_edges_top(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
+    """The first ``k`` edges per site in traversal order."""
+    return graph_edges(first_graph_nodes(urls, k, max_depth))

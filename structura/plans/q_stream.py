@@ -4,13 +4,9 @@ back, so they exercise the real file paths."""
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import functions as F
-
 from ..operators import tree as T
-from ..operators.sinks import tree_output_names, write_tree_files
-from ..session import ensure_checkpoint_dir
+from ..operators.sinks import read_tree_files, site_output_names, write_tree_files
+from ..functions.scratch import scratch_path
 from ..sources.fixtures import catalog_urls, qfiles_text
 from ..streaming.ingest_stream import read_pairs, start_ingest_stream
 from .q_ingest import _PAIRS_TRUTH
@@ -20,13 +16,9 @@ from .sqlparts import catalog_cte, nodes_cte, ordered_cte, qa_source_cte
 RUN_TS = "2025-01-01 12:00:00"
 
 
-def _scratch(spark, name: str) -> str:
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 @register("stream_ingest", f"WITH {qa_source_cte()}" + _PAIRS_TRUTH)
 def q_stream_ingest(spark, sf):
-    landing, out, ckpt = _scratch(spark, "landing"), _scratch(spark, "pairs"), _scratch(spark, "stream-ckpt")
+    landing, out, ckpt = scratch_path(spark, "landing"), scratch_path(spark, "pairs"), scratch_path(spark, "stream-ckpt")
     # The landing folder: one text file per questionnaire, in a folder per file id.
     (qfiles_text(spark, sf).select("file_id", "text")
      .write.partitionBy("file_id").text(landing))
@@ -38,10 +30,10 @@ def q_stream_ingest(spark, sf):
 @register("tree_files", f"""
 WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', T.TREE_MAX_DEPTH)},
 {ordered_cte('nodes', 'ordered')}
-SELECT 'sitemap_structure-' || site_id || '.txt' AS output_name, repeat('  ', depth) || '• ' || name AS line
+SELECT site_id, 'sitemap_structure-' || site_id || '.txt' AS output_name, line_no, repeat('  ', depth) || '• ' || name AS line
 FROM ordered""")
 def q_tree_files(spark, sf):
-    lines = T.tree_lines(catalog_urls(spark, sf, shorten=True))
-    path = _scratch(spark, "tree-files")
-    write_tree_files(lines, tree_output_names(lines, RUN_TS), path)
-    return spark.read.text(path).select("output_name", F.col("value").alias("line"))
+    urls = catalog_urls(spark, sf, shorten=True)
+    path = scratch_path(spark, "tree-files")
+    write_tree_files(T.tree_lines(urls), site_output_names(urls, RUN_TS), path)
+    return read_tree_files(spark, path)

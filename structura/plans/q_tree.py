@@ -120,4 +120,19 @@ def q_graph_edges(spark, sf):
 
 @register("graph_edges_top", _GRAPH_SQL + _EDGES + f" WHERE edge_no <= {T.GRAPH_MAX_EDGES}")
 def q_graph_edges_top(spark, sf):
-    return T.graph_edges_top(T.graph_edges(T.graph_nodes(catalog_urls(spark, sf, shorten=True))))
+    return T.graph_edges_top(catalog_urls(spark, sf, shorten=True))
+
+
+@register("tree_lines_unlimited", f"""
+WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', None)},
+{ordered_cte('nodes', 'ordered')}""" + _LINES_SQL)
+def q_tree_lines_unlimited(spark, sf):
+    return T.tree_lines(catalog_urls(spark, sf, shorten=True), max_depth=None)
+
+
+@register("tree_hidden_nodes", f"""
+WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', None)}
+SELECT site_id, count(*) FILTER (WHERE depth <= {T.TREE_MAX_DEPTH}) AS n_printed,
+       count(*) FILTER (WHERE depth > {T.TREE_MAX_DEPTH}) AS n_hidden FROM nodes GROUP BY site_id""")
+def q_tree_hidden_nodes(spark, sf):
+    return T.hidden_nodes(catalog_urls(spark, sf, shorten=True))
