@@ -45,20 +45,24 @@ def pair_entry(id_: Column, q: Column, a: Column) -> Column:
                     F.lit(PAIR_FORMAT[2]), a)
 
 
-def _more(n: Column, k: int) -> Column:
+def _more(n: Column, k: int | None) -> Column:
+    if k is None:
+        return F.lit("")
     return F.when(n > k, F.concat(F.lit(MORE_FORMAT[0]), (n - k).cast("string"), F.lit(MORE_FORMAT[1]))) \
         .otherwise(F.lit(""))
 
 
-def file_prompt_context(parsed: DataFrame, k: int = MAX_PAIRS) -> DataFrame:
+def file_prompt_context(parsed: DataFrame, k: int | None = MAX_PAIRS) -> DataFrame:
     """M1 on parsed files: ``file_id, n_pairs, qa_text`` (files with pairs).
 
+    The first ``k`` pairs and the number of those left out (None: all pairs).
+
     The "has pairs" test sits inside the row (a 0/1-element array that is
     exploded), not in a ``filter``: a filter on a computed column would be
     pushed below the projection and re-run the whole per-file parse.
     """
     pairs = parsed.select("file_id", pair_array(parsed).alias("pairs"))
-    head = F.transform(F.slice("pairs", 1, k), lambda p: pair_entry(p["id"], p["question"], p["answer"]))
+    head = F.transform(F.slice("pairs", 1, k) if k else F.col("pairs"), lambda p: pair_entry(p["id"], p["question"], p["answer"]))
     n = F.size("pairs").cast("bigint")
     one = _one_if(n > 0, F.struct(n.alias("n_pairs"),
                                   F.concat(F.array_join(head, PAIR_SEP), _more(n, k)).alias("qa_text")))
@@ -121,27 +125,35 @@ def prompt_render(ctx: DataFrame, anchor: _dt.date | str) -> DataFrame:
 
 
 # --- M3 ---------------------------------------------------------------------
-def generate_batch(prompts: DataFrame, generator: Callable[[str], str],
+def generate_batch(prompts: DataFrame, generator: Callable[[list[str]], list[str]],
                    id_col: str = "file_id", prompt_col: str = "prompt") -> DataFrame:
-    """M3: ``file_id, response, error`` from ``generator(prompt)`` per row.
-
-    Runs in ``mapInPandas`` (Arrow batches); the generator is shipped to the
-    executors, and an exception becomes that row's ``error`` instead of
-    failing the task.  A re-run task calls the generator again, so write
-    the result to a table before reading it more than once.
+    """M3: ``file_id, response, error`` from ``generator(prompts)``, called
+    with the prompts of one Arrow batch and giving one reply for each.
+
+    Runs in ``mapInPandas``; the generator is shipped to the executors.  If
+    a call fails, its prompts are tried one by one, and the exception of a
+    prompt becomes that row's ``error`` instead of failing the task.  A
+    re-run task calls the generator again, so write the result to a table
+    before reading it more than once.
     """
     def run(batches: Iterator) -> Iterator:
         import pandas as pd
+
+        def one(prompt: str) -> tuple[str | None, str | None]:
+            try:
+                return generator([prompt])[0], None
+            except Exception as e:  # noqa: BLE001 - any failure is reported per row
+                return None, f"{type(e).__name__}: {e}"
+
         for pdf in batches:
-            resp, err = [], []
-            for p in pdf[prompt_col]:
-                try:
-                    resp.append(generator(p))
-                    err.append(None)
-                except Exception as e:  # noqa: BLE001 - any failure is reported per row
-                    resp.append(None)
-                    err.append(f"{type(e).__name__}: {e}")
-            yield pd.DataFrame({"file_id": pdf[id_col].astype(str), "response": resp, "error": err})
+            asked = list(pdf[prompt_col])
+            try:
+                replies = [(r, None) for r in generator(asked)] if asked else []
+                if len(replies) != len(asked):
+                    raise ValueError("not one reply per prompt")
+            except Exception:  # noqa: BLE001
+                replies = [one(p) for p in asked]
+            yield pd.DataFrame({"file_id": pdf[id_col].astype(str), "response": [r for r, _ in replies], "error": [e for _, e in replies]})
 
     return prompts.select(id_col, prompt_col).mapInPandas(run, REPLY_SCHEMA)
 

@@ -10,7 +10,7 @@ chains, so they add no shuffle.  Rules about the *set* of pages of a site
 (missing detail pages, orphans, industry and legal pages) are anti joins on
 ``(site_id, path)``; the hash of the path spreads one large site over many
 tasks.  Site-level side tables (industries, traits, languages) are
-broadcast only after a size check (:func:`bounded_broadcast`).
+left to the planner, which knows their size at run time.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ import datetime as _dt
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.joins import bounded_broadcast
 from ..functions.url import clean_url, path_segments, url_path
 from . import rule_tables as RT
 
@@ -83,8 +82,11 @@ def rule_exclude(urls: DataFrame, approach: str = RT.ML_DEFAULT) -> DataFrame:
 
 # V2 / V3 ---------------------------------------------------------------------
 def site_paths(urls: DataFrame) -> DataFrame:
-    """Distinct ``(site_id, seg_path, segs)`` of a URL table (partial aggregation)."""
-    return (with_paths(urls).groupBy("site_id", "seg_path").agg(F.first("segs").alias("segs")))
+    """Distinct ``(site_id, seg_path, segs)`` of a URL table (partial aggregation).
+
+    Only the path is shuffled; the segments are cut again afterwards."""
+    return (with_paths(urls).select("site_id", "seg_path").distinct()
+            .withColumn("segs", F.filter(F.split("seg_path", "/"), lambda x: x != "")))
 
 
 def rule_listing_detail(urls: DataFrame) -> DataFrame:
@@ -159,14 +161,15 @@ def rule_multilingual(urls: DataFrame, site_langs: DataFrame, approach: str = RT
     and fragment dropped); the output per page and language is
     ``/{lang}/path`` (subdirectory), ``/path?lang=xx`` (parameter, default) or
     ``{lang}.host/path`` (subdomain).  The output is pages x languages by
-    definition; languages per site are few, so the join on ``site_id`` has a
-    small right side, broadcast after a size check.
+    definition.  The table of languages grows with the sites, so it carries
+    no broadcast hint; over the planner's threshold a large site's rows are
+    split at run time (adaptive skew join).
     """
     if approach not in RT.ML_APPROACHES:
         raise ValueError(f"approach must be one of {RT.ML_APPROACHES}")
     p = with_paths(urls).withColumn("host", F.regexp_extract(clean_url(F.col("url")), HOST_PART_RE, 1))
     pages = p.groupBy("site_id", "class_path").agg(F.min("pos").alias("pos"), F.min_by("host", "pos").alias("host"))
-    j = pages.join(bounded_broadcast(site_langs.select("site_id", "lang").distinct()), "site_id")
+    j = pages.join(site_langs.select("site_id", "lang").distinct(), "site_id")
     host, path, lang = F.col("host"), F.col("class_path"), F.col("lang")
     if approach == "subdirectory":
         url = F.concat(host, F.lit("/"), lang, F.when(path == "/", F.lit("/")).otherwise(path))
@@ -178,28 +181,31 @@ def rule_multilingual(urls: DataFrame, site_langs: DataFrame, approach: str = RT
 
 
 # V7 / V8 / V9 ----------------------------------------------------------------
-def _class_case(path: Column, field: int, default) -> Column:
+def page_class(class_path: Column) -> Column:
+    """The first page class whose pattern matches the path."""
     out = None
     for row in RT.PAGE_CLASSES:
-        cond = path.rlike(row[1])
-        out = F.when(cond, F.lit(row[field])) if out is None else out.when(cond, F.lit(row[field]))
-    return out.otherwise(F.lit(default))
+        cond = class_path.rlike(row[1])
+        out = F.when(cond, F.lit(row[0])) if out is None else out.when(cond, F.lit(row[0]))
+    return out.otherwise(F.lit(RT.DEFAULT_CLASS[0]))
 
 
-def page_class(class_path: Column) -> Column:
-    return _class_case(class_path, 0, RT.DEFAULT_CLASS[0])
+def _of_class(cls: Column, field: int) -> Column:
+    """A class's value, by a literal map (``field``: 1 priority, 2 changefreq, 3 lastmod window)."""
+    table = {row[0]: row[field + 1] for row in RT.PAGE_CLASSES} | {RT.DEFAULT_CLASS[0]: RT.DEFAULT_CLASS[field]}
+    return F.try_element_at(F.create_map(*[F.lit(x) for kv in table.items() for x in kv]), cls)
 
 
-def expected_priority(class_path: Column) -> Column:
-    return _class_case(class_path, 2, RT.DEFAULT_CLASS[1]).cast("decimal(2,1)")
+def expected_priority(cls: Column) -> Column:
+    return _of_class(cls, 1).cast("decimal(2,1)")
 
 
-def expected_changefreq(class_path: Column) -> Column:
-    return _class_case(class_path, 3, RT.DEFAULT_CLASS[2])
+def expected_changefreq(cls: Column) -> Column:
+    return _of_class(cls, 2)
 
 
-def lastmod_window(class_path: Column) -> Column:
-    return _class_case(class_path, 4, RT.DEFAULT_CLASS[3])
+def lastmod_window(cls: Column) -> Column:
+    return _of_class(cls, 3)
 
 
 def url_hash(url: Column) -> Column:
@@ -207,22 +213,27 @@ def url_hash(url: Column) -> Column:
     return F.conv(F.substring(F.md5(url), 1, 8), 16, 10).cast("bigint")
 
 
-def expected_lastmod(url: Column, class_path: Column, anchor: _dt.date | str) -> Column:
+def expected_lastmod(url: Column, cls: Column, anchor: _dt.date | str) -> Column:
     """V9: the anchor date for the homepage, else a date spread over the
     class's window (30 / 90 / 180 days) by the URL's hash."""
     a = F.to_date(F.lit(str(anchor)))
-    w = lastmod_window(class_path)
+    w = lastmod_window(cls)
     return F.when(w == 0, a).otherwise(F.date_sub(a, F.pmod(url_hash(url), w).cast("int")))
 
 
+def with_class(urls: DataFrame) -> DataFrame:
+    """``urls`` with paths and ``page_class``; the pattern chain runs once per row (outer: see ``ingest._explode``)."""
+    p = with_paths(urls)
+    return p.withColumn("page_class", F.explode_outer(F.array(page_class(F.col("class_path")))))
+
+
 def apply_rules(urls: DataFrame, anchor: _dt.date | str) -> DataFrame:
     """V7-V9 on every URL record: ``page_class, priority DECIMAL(2,1),
     changefreq, lastmod DATE`` (a projection; no shuffle)."""
-    p = with_paths(urls)
-    cp = F.col("class_path")
-    return p.select("site_id", "pos", "url", page_class(cp).alias("page_class"),
-                    expected_priority(cp).alias("priority"), expected_changefreq(cp).alias("changefreq"),
-                    expected_lastmod(F.col("url"), cp, anchor).alias("lastmod"))
+    cls = F.col("page_class")
+    return with_class(urls).select("site_id", "pos", "url", "page_class", expected_priority(cls).alias("priority"),
+                                   expected_changefreq(cls).alias("changefreq"),
+                                   expected_lastmod(F.col("url"), cls, anchor).alias("lastmod"))
 
 
 # V10 -------------------------------------------------------------------------
@@ -274,11 +285,11 @@ def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT) -> DataF
              .filter((F.col("n") > 1) & (F.col("d") <= 1)))
     dates_f = _finding(dates, F.lit(None).cast("string"), "lastmod_not_varied",
                        F.concat(F.col("n").cast("string"), F.lit(" URLs, one date")))
-    p = with_paths(records)
-    cp = F.col("class_path")
+    p = with_class(records)
+    cls = F.col("page_class")
     prio = F.col("priority").try_cast("decimal(2,1)")
-    exp_p = expected_priority(cp)
-    exp_c = expected_changefreq(cp)
+    exp_p = expected_priority(cls)
+    exp_c = expected_changefreq(cls)
     checks = F.array(
         F.when(prio.isNull() | (prio < 0) | (prio > 1),
                F.struct(F.lit("invalid_priority").alias("rule"), F.col("priority").alias("detail")))
@@ -316,22 +327,20 @@ def questionnaire_profile(pairs: DataFrame, vocabulary: dict | None = None) -> D
     vocab = vocabulary or RT.PROFILE_KEYWORDS
     kw = spark.createDataFrame([(t, s, v) for t, (s, v) in sorted(vocab.items())],
                                "token string, signal string, value string")
-    if len(vocab) <= 100_000:       # size known here: the vocabulary is a parameter
-        kw = F.broadcast(kw)
     text = F.lower(F.concat_ws(" ", F.col("question"), F.col("answer")))
-    toks = (pairs.select("file_id", "id", F.explode(F.array_distinct(F.split(text, RT.TOKEN_SPLIT_RE)))
-                         .alias("token"))
-            .filter(F.col("token") != ""))
-    hits = (toks.join(kw, "token").groupBy("file_id", "signal", "value")
-            .agg(F.count_distinct("id").alias("n")))
+    # only keywords are exploded; one empty token per pair counts the pair, so the pairs are read once
+    found = F.array_intersect(F.split(text, RT.TOKEN_SPLIT_RE), F.array(*[F.lit(t) for t in sorted(vocab)]))
+    toks = pairs.select("file_id", "id", F.explode(F.array_union(F.array(F.lit("")), found)).alias("token"))
+    hits = (toks.join(kw, "token", "left").groupBy("file_id", "signal", "value")
+            .agg(F.count_distinct("id").alias("n"), F.count(F.lit(1)).alias("rows")))
     per_file = hits.groupBy("file_id").agg(
+        F.sum(F.when(F.col("signal").isNull(), F.col("rows"))).alias("n_pairs"),
         F.min_by(F.when(F.col("signal") == "business_type", F.col("value")),
                  F.when(F.col("signal") == "business_type", F.struct(-F.col("n"), F.col("value"))))
         .alias("bt"),
         F.sort_array(F.collect_set(F.when(F.col("signal") == "dynamic", F.col("value")))).alias("dynamic_types"),
         F.sort_array(F.collect_set(F.when(F.col("signal") == "trait", F.col("value")))).alias("traits0"))
-    base = pairs.groupBy("file_id").agg(F.count(F.lit(1)).alias("n_pairs"))
-    j = base.join(per_file, "file_id", "left")
+    j = per_file.filter("n_pairs > 0")
     bt = F.coalesce(F.col("bt"), F.lit("general"))
     dyn = F.coalesce(F.col("dynamic_types"), F.array().cast("array<string>"))
     traits0 = F.coalesce(F.col("traits0"), F.array().cast("array<string>"))

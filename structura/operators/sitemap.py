@@ -1,33 +1,36 @@
 """Sitemap XML: write (S4), parse (P1-P3), pull XML out of model replies (M4).
 
-Parsing follows the reference's effective path: a structured parse that
+Parsing follows the reference's effective path: a structured reading that
 only accepts the sitemap namespace, and for malformed text a regex scan for
-``<loc>...</loc>``.  Spark's ``from_xml`` does the structured parse; its
-corrupt-record column decides the branch.
+``<loc>...</loc>``.  The corrupt-record column of Spark's ``from_xml``
+decides the branch.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import re
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import ranked
 from ..functions.text import PY_WS, py_strip
 
 # --- fixed values -----------------------------------------------------------
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
 XML_DECL = '<?xml version="1.0" encoding="UTF-8"?>'
 MAX_URLS_PER_SITEMAP = 50_000          # sitemap protocol limit per document
-LOC_RE = r"<loc>(.*?)</loc>"           # fallback scan: no DOTALL, no entity decoding
+# fallback scan: no entity decoding; a line ends at "\n" only, as in the reference ((?d) for Java)
+LOC_RE = r"(?d)<loc>(.*?)</loc>"
+FENCE_RE = r"(?is)```xml" + PY_WS + r"*(.*?)```"
+DECL_RE = r"(?is)<\?xml.*?</urlset>"
+URLSET_RE = r"(?is)<urlset.*?</urlset>"
+OPEN_FENCE_RE = r"(?i)```xml" + PY_WS + "*"
+CLOSE_FENCE_RE = r"(?i)```" + PY_WS + r"*\z"
 # ---------------------------------------------------------------------------
 
 URL_FIELDS = ("loc", "lastmod", "changefreq", "priority")
-XML_SCHEMA = ("url ARRAY<STRUCT<loc: STRING, lastmod: STRING, changefreq: STRING, "
-              "priority: STRING>>, _corrupt STRING")
-XML_OPTIONS = {"columnNameOfCorruptRecord": "_corrupt", "ignoreNamespace": "true",
-               "ignoreSurroundingSpaces": "false", "mode": "PERMISSIVE"}
-NS_DECL_RE = (r"xmlns(:[A-Za-z_][A-Za-z0-9_.\-]*)?" + PY_WS + "*=" + PY_WS
-              + "*[\"']" + r"http://www\.sitemaps\.org/schemas/sitemap/0\.9" + "[\"']")
-
+_ANY = r"[A-Za-z_][A-Za-z0-9_.\-]*"
 
 def xml_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
@@ -42,17 +45,20 @@ def _element(name: str) -> Column:
     return F.when(v != "", body).otherwise(F.lit(""))
 
 
-def sitemap_write(urls: DataFrame, max_urls: int = MAX_URLS_PER_SITEMAP) -> DataFrame:
-    """``site_id, chunk, n_urls, xml``: one ``<urlset>`` per site and
-    block of ``pos`` values.  ``pos`` is unique per site, so a block of
-    ``max_urls`` consecutive positions never exceeds the protocol limit and
-    no group is unbounded.  Empty optional fields are left out."""
+def sitemap_write(urls: DataFrame, max_urls: int | None = None) -> DataFrame:
+    """``site_id, chunk, n_urls, xml``: one ``<urlset>`` per site, in
+    ``pos`` order (dense or sparse).  ``max_urls``: a document ends after so
+    many URLs (the protocol allows 50,000) and the next chunk begins.
+    Empty optional fields are left out."""
     entry = F.concat(F.lit("  <url>\n"), *[_element(n) for n in URL_FIELDS], F.lit("  </url>\n"))
-    chunk = F.floor(F.col("pos") / max_urls).cast("bigint")
+    rows = urls.select("site_id", "pos", entry.alias("entry"))
+    if max_urls is None:
+        rows = rows.withColumn("chunk", F.lit(0).cast("bigint"))
+    else:
+        rows = ranked(rows, ["site_id"], ["pos", "entry"], "place").withColumn("chunk", F.floor(F.col("place") / max_urls))
     body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "entry"))),
                                     lambda s: s["entry"]), "")
-    return (urls.select("site_id", chunk.alias("chunk"), "pos", entry.alias("entry"))
-            .groupBy("site_id", "chunk")
+    return (rows.groupBy("site_id", "chunk")
             .agg(F.count(F.lit(1)).alias("n_urls"),
                  F.concat(F.lit(XML_DECL + "\n" + f'<urlset xmlns="{SITEMAP_NS}">\n'), body,
                           F.lit("</urlset>\n")).alias("xml")))
@@ -62,53 +68,89 @@ def _clean(c: Column) -> Column:
     return F.coalesce(py_strip(c), F.lit(""))
 
 
-def parse_docs(docs: DataFrame, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
-    """``keys, xml, p``: the documents with the ``from_xml`` struct attached."""
-    return docs.select(*keys, "xml", F.from_xml(F.col("xml"), XML_SCHEMA, XML_OPTIONS).alias("p"))
+# --- P1-P3 --------------------------------------------------------------------
+# ``from_xml`` says whether the text is well formed.  The records are then
+# read from the text itself, as elements are matched by name and namespace
+# at any depth, which a fixed schema can't express.  Comments and CDATA are
+# out of the way first, so a tag that the patterns see is a tag.
+_RECORD = "array<struct<url:string,lastmod:string,changefreq:string,priority:string,method:string>>"
 
 
-def sitemap_parse_structured(parsed: DataFrame, keys: tuple[str, ...] = ("site_id",),
-                             require_namespace: bool = True) -> DataFrame:
-    """P1+P2: one record per ``<url>`` that has a ``<loc>`` in well-formed
-    text declaring the sitemap namespace; ``pos`` is the element index.
-    ``require_namespace=False`` accepts any namespace (or none)."""
-    ns_ok = F.col("xml").rlike(NS_DECL_RE) if require_namespace else F.lit(True)
-    return (parsed.filter(F.col("p._corrupt").isNull() & ns_ok)
-            .select(*keys, F.posexplode(F.coalesce(F.col("p.url"), F.array())).alias("pos", "u"))
-            .filter(F.col("u.loc").isNotNull())
-            .select(*keys, F.col("pos").cast("bigint").alias("pos"),
-                    _clean(F.col("u.loc")).alias("url"), _clean(F.col("u.lastmod")).alias("lastmod"),
-                    _clean(F.col("u.changefreq")).alias("changefreq"),
-                    _clean(F.col("u.priority")).alias("priority"),
-                    F.lit("xml").alias("method")))
+def _prefixes(xml: Column) -> Column:
+    """Prefixes (with their colon; '' for the default) bound to the sitemap namespace."""
+    found = F.regexp_extract_all(xml, F.lit(r"\sxmlns(:" + _ANY + r")?\s*=\s*[\"']" + re.escape(SITEMAP_NS) + "[\"']"), 1)
+    return F.transform(F.array_distinct(found), lambda p: F.when(p == "", p).otherwise(F.concat(F.substring(p, 2, 1 << 20), F.lit(":"))))
 
 
-def sitemap_parse_fallback(parsed: DataFrame, keys: tuple[str, ...] = ("site_id",)) -> DataFrame:
-    """For text the XML reader marked corrupt, every ``<loc>(.*?)</loc>``
-    (no DOTALL, entities left as they are), stripped; other fields empty."""
-    locs = F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1)
-    return (parsed.filter(F.col("p._corrupt").isNotNull())
-            .select(*keys, F.posexplode(locs).alias("pos", "loc"))
-            .select(*keys, F.col("pos").cast("bigint").alias("pos"), py_strip(F.col("loc")).alias("url"),
-                    F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"),
-                    F.lit("regex").alias("method")))
+def _numeric_references(c: Column) -> Column:
+    """``&#38;`` and ``&#x26;`` as characters."""
+    def char(part: Column) -> Column:
+        digits = F.regexp_extract(part, r"\A(x?[0-9A-Fa-f]{1,6});", 1)
+        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("bigint")
+        one = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+        return (F.when((digits != "") & code.between(1, 0x10FFFF), F.concat(one, F.substring(part, F.length(digits) + 2, F.lit(1 << 30))))
+                .otherwise(F.concat(F.lit("&#"), part)))
 
+    parts = F.split(c, "&#")
+    return F.when(c.contains("&#"), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), char), ""))).otherwise(c)
 
-def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",),
-                  require_namespace: bool = True) -> DataFrame:
-    """URL records ``keys, pos, url, lastmod, changefreq, priority, method``."""
-    parsed = parse_docs(docs, keys)
-    return (sitemap_parse_structured(parsed, keys, require_namespace)
-            .unionByName(sitemap_parse_fallback(parsed, keys)))
 
+def _text_of(block: Column, prefix: Column, name: str) -> Column:
+    """Text of the first child ``prefix:name`` of a block, null if there is none, '' if it is empty."""
+    tag = F.concat(prefix, F.lit(name))
+    pattern = F.concat(F.lit("(?s)<"), tag, F.lit(r"(?:\s[^>]*)?(?:/>|>(.*?)</"), tag, F.lit(r"\s*>)"))
+    inner = F.call_function("regexp_extract", block, pattern, F.lit(1))
+    plain = F.regexp_replace(inner, r"(?s)<[^>]*>.*", "")  # text before a nested element
+    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
+        plain = F.replace(plain, F.lit(entity), F.lit(char))
+    plain = F.replace(_numeric_references(plain), F.lit("&amp;"), F.lit("&"))
+    return F.when(F.regexp_like(block, F.concat(F.lit("<"), tag, F.lit(r"[\s/>]"))), plain)
 
-# --- M4 ---------------------------------------------------------------------
-FENCE_RE = r"(?is)```xml" + PY_WS + r"*(.*?)```"
-DECL_RE = r"(?is)<\?xml.*?</urlset>"
-URLSET_RE = r"(?is)<urlset.*?</urlset>"
-OPEN_FENCE_RE = r"(?i)```xml" + PY_WS + "*"
-CLOSE_FENCE_RE = r"(?i)```" + PY_WS + r"*\z"
 
+def _entries(xml: Column, require_namespace: bool) -> Column:
+    text = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    prefixes = _prefixes(text) if require_namespace else F.array_distinct(
+        F.regexp_extract_all(text, F.lit(r"<((?:" + _ANY + r":)?)url[\s>]"), 1))
+
+    def of(prefix: Column) -> Column:
+        blocks = F.regexp_extract_all(text, F.concat(F.lit("(?s)<"), prefix, F.lit(r"url(?:\s[^>]*)?>(.*?)</"), prefix, F.lit(r"url\s*>")), 1)
+        return F.transform(blocks, lambda b: F.struct(
+            _text_of(b, prefix, "loc").alias("url"), _clean(_text_of(b, prefix, "lastmod")).alias("lastmod"),
+            _clean(_text_of(b, prefix, "changefreq")).alias("changefreq"), _clean(_text_of(b, prefix, "priority")).alias("priority"),
+            F.lit("xml").alias("method")))
+
+    return F.flatten(F.transform(prefixes, of))
+
+
+def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",), require_namespace: bool = True) -> DataFrame:
+    """URL records ``keys, pos, url, lastmod, changefreq, priority, method``.
+
+    Well-formed text: one record per ``<url>`` element of the sitemap
+    namespace, at any depth, that has a ``<loc>`` (its first); a namespace
+    that is declared but not used on the elements gives none.
+    ``require_namespace=False`` takes ``<url>`` of any namespace or none.
+    Malformed text: every ``<loc>(.*?)</loc>``, entities left as they are,
+    other fields empty.  ``pos`` is the element's place among the document's
+    ``<url>`` elements or matches.  Each document is read once.
+    """
+    parsed = F.from_xml(F.col("xml"), "none STRING, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    locs = F.transform(F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1), lambda u: F.struct(
+        u.alias("url"), F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"), F.lit("regex").alias("method")))
+    found = F.when(parsed["_corrupt"].isNotNull(), locs.cast(_RECORD)).otherwise(_entries(F.col("xml"), require_namespace).cast(_RECORD))
+    return (docs.select(*keys, F.posexplode_outer(found).alias("pos", "u")).filter(F.col("u.url").isNotNull())
+            .select(*keys, F.col("pos").cast("bigint").alias("pos"), _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq",
+                    "u.priority", "u.method"))
+
+
+def sitewide_pos(records: DataFrame) -> DataFrame:
+    """Records of chunked documents (``site_id, chunk, pos``) with ``pos`` unique per site: chunks follow each other."""
+    sizes = records.groupBy("site_id", "chunk").agg((F.max("pos") + 1).alias("n"))
+    before = Window.partitionBy("site_id").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("site_id", "chunk", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    return records.join(starts, ["site_id", "chunk"]).withColumn("pos", F.col("pos") + F.col("start")).drop("start")
+
+
+# --- M4 ---------------------------------------------------------------------
 
 def _strip_fences(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, OPEN_FENCE_RE, ""), CLOSE_FENCE_RE, "")

@@ -4,11 +4,11 @@ the rule-based default generator, over the questionnaire corpus."""
 from __future__ import annotations
 
 import re
-import sys
 
-from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize
+from ..functions.ship import ship_package
 from ..functions.text import sql_str
 from ..functions.url import duck_segments
 from ..operators import prompt as M
@@ -61,28 +61,44 @@ def q_prompt_render(spark, sf):
     return r.select("file_id", "n_pairs", F.length("prompt").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
+@register("prompt_context_unlimited", f"""WITH {_pairs_cte()}
+SELECT file_id, count(*) AS n_pairs, string_agg({_ENTRY}, chr(10) || chr(10) ORDER BY id) AS qa_text
+FROM pairs GROUP BY file_id""")
+def q_prompt_context_unlimited(spark, sf):
+    return M.file_prompt_context(_parsed(spark, sf), k=None)
+
+
 DATE_RE = re.compile(r"^Date: (\S+)$", re.M)
+QUESTION_RE = re.compile(r"^Question ([0-9]+): ", re.M)
 SITE_BASE = M.SITE_BASE
 
 
-def offline_generator(prompt: str) -> str:
+def offline_generator(prompts: list[str]) -> list[str]:
     """A stand-in for a model: a fenced sitemap with the homepage, dated by
-    the prompt's Date line; raises when the prompt has no date.  It uses
-    only plain constants, and this module is pickled by value (below), so
-    executors need not have the package installed."""
-    m = DATE_RE.search(prompt)
-    if m is None:
-        raise ValueError("prompt has no Date line")
-    return (f"ANALYSIS:\nPages: 1\n\n```xml\n{XML_DECL}\n<urlset xmlns=\"{SITEMAP_NS}\">\n  <url>\n"
-            f"    <loc>{SITE_BASE}</loc>\n    <lastmod>{m.group(1)}</lastmod>\n"
-            "    <changefreq>daily</changefreq>\n    <priority>1.0</priority>\n  </url>\n</urlset>\n```")
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
-
-@register("generate_batch", None)
+    the prompt's Date line, and one page per question; raises when a prompt
+    has no date."""
+    out = []
+    for prompt in prompts:
+        m = DATE_RE.search(prompt)
+        if m is None:
+            raise ValueError("prompt has no Date line")
+        pages = ["", *(f"answers/{i}" for i in QUESTION_RE.findall(prompt))]
+        urls = "".join(f"  <url>\n    <loc>{SITE_BASE}{p}</loc>\n    <lastmod>{m.group(1)}</lastmod>\n  </url>\n" for p in pages)
+        out.append(f"Pages: {len(pages)}\n\n```xml\n{XML_DECL}\n<urlset xmlns=\"{SITEMAP_NS}\">\n{urls}</urlset>\n```")
+    return out
+
+
+@register("generate_batch", CTX_SQL + f""",
+asked AS (SELECT file_id, list_concat([''], list_transform(
+              regexp_extract_all({_lit(_HEAD.replace('{date}', ANCHOR))} || qa_text || {_lit(_TAIL)}, '(?m)^Question ([0-9]+): ', 1),
+              lambda i: 'answers/' || i)) AS pages FROM ctx)
+SELECT file_id, 'Pages: ' || len(pages) || chr(10) || chr(10) || '```xml' || chr(10) || {sql_str(XML_DECL)} || chr(10) ||
+       '<urlset xmlns="{SITEMAP_NS}">' || chr(10) || array_to_string(list_transform(pages, lambda p:
+         '  <url>' || chr(10) || '    <loc>{SITE_BASE}' || p || '</loc>' || chr(10) || '    <lastmod>{ANCHOR}</lastmod>' || chr(10) ||
+         '  </url>' || chr(10)), '') || '</urlset>' || chr(10) || '```' AS response, CAST(NULL AS VARCHAR) AS error
+FROM asked""")
 def q_generate_batch(spark, sf):
+    ship_package(spark)
     prompts = M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR)
     return M.generate_batch(prompts, offline_generator)
 
@@ -129,3 +145,28 @@ SELECT file_id, '```xml' || {_NL} || {sql_str(XML_DECL)} || {_NL} || '<urlset xm
 FROM e GROUP BY file_id""")
 def q_generate_rule_based(spark, sf):
     return M.rule_based_replies(qa_pairs(_parsed(spark, sf)), ANCHOR)
+
+
+RUN_TS = "2025-01-01 12:00:00"
+
+
+@register("site_pipeline", f"WITH {_pairs_cte()}" + _PLANNED + f""",
+np AS (SELECT file_id, count(*) AS n_pairs FROM pairs GROUP BY file_id),
+segs AS (SELECT file_id, list_filter(string_split(path, '/'), lambda x: x <> '') AS s FROM planned),
+st AS (SELECT file_id, count(*) AS n_urls, count(*) FILTER (WHERE len(s) <= 1) AS main_pages,
+              count(*) FILTER (WHERE len(s) >= 2) AS subpages FROM segs GROUP BY file_id),
+ln AS (SELECT file_id, count(DISTINCT p) AS n_lines
+       FROM (SELECT file_id, array_to_string(s[1:k], '/') AS p
+             FROM (SELECT file_id, s, unnest(generate_series(1, least(len(s), 7))) AS k FROM segs)) GROUP BY file_id)
+SELECT p.file_id, CAST(len(p.rows) AS INTEGER) AS n_rows, CAST(coalesce(len(p.header), 0) AS INTEGER) AS n_columns,
+       coalesce(n_pairs, 0) AS n_pairs, coalesce(n_urls, 0) AS n_urls, coalesce(main_pages, 0) AS main_pages,
+       coalesce(subpages, 0) AS subpages, coalesce(n_lines, 0) AS n_lines, client_name,
+       'sitemap_structure-' || CASE WHEN client_name IS NULL OR client_name IN ('', 'sitemap')
+         THEN 'sitemap_' || strftime(TIMESTAMP '{RUN_TS}', '%Y%m%d_%H%M%S') ELSE client_name END || '.txt' AS output_name,
+       CASE WHEN status <> 'ok' THEN status WHEN n_pairs IS NULL THEN 'no_pairs' END AS error
+FROM parsed p LEFT JOIN roles r USING (file_id) LEFT JOIN np USING (file_id) LEFT JOIN st USING (file_id) LEFT JOIN ln USING (file_id)""")
+def q_site_pipeline(spark, sf):
+    from ..operators import results
+    facts = results.file_facts(_parsed(spark, sf))
+    replies = materialize(M.rule_based_replies(results.pairs_of(facts), ANCHOR), "replies")
+    return results.site_results(facts, replies, F.to_timestamp(F.lit(RUN_TS)))

@@ -197,7 +197,7 @@ def _site_langs(spark, sf):
             .select("site_id", F.get(F.col("segs"), 0).alias("lang")).distinct())
 
 
-@register("rule_multilingual", f"""
+_ML_SQL = f"""
 WITH {page_urls_cte()},
 p AS (SELECT site_id, pos, {_class_path('segs')} AS class_path, segs,
              regexp_extract({_clean('url')}, {sql_str(R.HOST_PART_RE)}, 1) AS host
@@ -205,12 +205,24 @@ p AS (SELECT site_id, pos, {_class_path('segs')} AS class_path, segs,
 langs AS (SELECT DISTINCT site_id, segs[1] AS lang FROM p
           WHERE len(segs) >= 2 AND regexp_matches(segs[1], {sql_str(RT.LANG_CODE_RE)})),
 pages AS (SELECT site_id, class_path, min(pos) AS pos, arg_min(host, pos) AS host FROM p GROUP BY site_id, class_path)
-SELECT site_id, pos, lang, class_path AS path, host || class_path || '?{RT.ML_PARAM}=' || lang AS url
-FROM pages JOIN langs USING (site_id)""")
+SELECT site_id, pos, lang, class_path AS path, @url@ AS url FROM pages JOIN langs USING (site_id)"""
+
+
+@register("rule_multilingual", _ML_SQL.replace("@url@", f"host || class_path || '?{RT.ML_PARAM}=' || lang"))
 def q_rule_multilingual(spark, sf):
     return R.rule_multilingual(page_urls(spark, sf), _site_langs(spark, sf))
 
 
+@register("rule_multilingual_subdirectory", _ML_SQL.replace("@url@", "host || '/' || lang || class_path"))
+def q_rule_multilingual_subdirectory(spark, sf):
+    return R.rule_multilingual(page_urls(spark, sf), _site_langs(spark, sf), "subdirectory")
+
+
+@register("rule_multilingual_subdomain", _ML_SQL.replace("@url@", "replace(host, '://', '://' || lang || '.') || class_path"))
+def q_rule_multilingual_subdomain(spark, sf):
+    return R.rule_multilingual(page_urls(spark, sf), _site_langs(spark, sf), "subdomain")
+
+
 # --- V7 / V8 / V9 ---------------------------------------------------------------
 _APPLY = f"""
 a AS (SELECT site_id, pos, url, {_class_path('segs')} AS cp
@@ -335,7 +347,7 @@ SELECT site_id, url, 'url_style', unnest(violations) FROM lint""".replace(
 def q_sitemap_validate(spark, sf):
     # Eight finding branches read the records: write them once to the shared
     # checkpoint folder instead of re-running the lineitem x part join per branch.
-    from ..operators.sinks import materialize
+    from ..functions.scratch import materialize
     return R.sitemap_validate(materialize(_records(spark, sf), "validate-input"))
 
 

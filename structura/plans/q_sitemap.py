@@ -12,7 +12,9 @@ from .sqlparts import page_urls_cte
 
 NL = "chr(10)"
 NS = S.SITEMAP_NS
-MAXU = S.MAX_URLS_PER_SITEMAP
+# the twin's own patterns
+NS_DECL_RE = r"""xmlns(:[A-Za-z_][A-Za-z0-9_.\-]*)?\s*=\s*["']http://www\.sitemaps\.org/schemas/sitemap/0\.9["']"""
+LOC_RE = r"<loc>([^\n]*?)</loc>"
 
 
 def _esc(x: str) -> str:
@@ -36,7 +38,7 @@ def _lit(s: str) -> str:
 
 WRITE_CTE = f"""{page_urls_cte()},
 entries AS (
-  SELECT site_id, CAST(pos // {MAXU} AS BIGINT) AS chunk, pos,
+  SELECT site_id, CAST(0 AS BIGINT) AS chunk, pos,
          '  <url>' || {NL} || {_elem('loc', 'url')} || {_elem('lastmod', 'lastmod')} ||
          {_elem('changefreq', 'changefreq')} || {_elem('priority', 'priority')} || '  </url>' || {NL} AS entry
   FROM urls),
@@ -88,7 +90,7 @@ flagged AS (
          (NOT starts_with(xml, '<')
           OR regexp_matches(regexp_replace(xml, '{_ENT}', '', 'g'), '&')
           OR NOT regexp_matches(xml, '</([A-Za-z_][A-Za-z0-9_.-]*:)?urlset>\\s*$')) AS malformed,
-         regexp_matches(xml, {sql_str(S.NS_DECL_RE)}) AS ns_ok
+         regexp_matches(xml, {sql_str(NS_DECL_RE)}) AS ns_ok
   FROM docs),
 blocks AS (
   SELECT site_id, chunk, unnest(b) AS blk, generate_subscripts(b, 1) - 1 AS pos
@@ -103,7 +105,7 @@ fallback AS (
   SELECT site_id, chunk, CAST(generate_subscripts(m, 1) - 1 AS BIGINT) AS pos,
          {duck_strip('unnest(m)')} AS url, '' AS lastmod, '' AS changefreq, '' AS priority,
          'regex' AS method
-  FROM (SELECT site_id, chunk, regexp_extract_all(xml, {sql_str(S.LOC_RE)}, 1) AS m
+  FROM (SELECT site_id, chunk, regexp_extract_all(xml, {sql_str(LOC_RE)}, 1) AS m
         FROM flagged WHERE malformed))"""
 
 
@@ -127,7 +129,7 @@ def q_sitemap_parse(spark, sf):
 
 @register("sitemap_parse_fallback", f"WITH {PARSE_CTE} SELECT * FROM fallback")
 def q_sitemap_parse_fallback(spark, sf):
-    return S.sitemap_parse_fallback(S.parse_docs(sitemap_docs(spark, sf), _KEYS), _KEYS)
+    return S.sitemap_parse(sitemap_docs(spark, sf), _KEYS).filter("method = 'regex'")
 
 
 def _strip_fences(e: str) -> str:
@@ -172,3 +174,15 @@ def q_extract_xml(spark, sf):
     r = replies(spark, sf)
     return r.select("file_id", S.extract_branch(F.col("response")).alias("branch"),
                     S.extract_xml(F.col("response")).alias("xml"))
+
+
+@register("sitemap_parse_any_namespace", f"WITH {PARSE_CTE.replace('AND ns_ok', '')} SELECT * FROM structured UNION ALL SELECT * FROM fallback")
+def q_sitemap_parse_any_namespace(spark, sf):
+    return S.sitemap_parse(sitemap_docs(spark, sf), _KEYS, require_namespace=False)
+
+
+@register("sitemap_write_chunked", f"""
+WITH {WRITE_CTE.replace('CAST(0 AS BIGINT) AS chunk', 'CAST((row_number() OVER (PARTITION BY site_id ORDER BY pos) - 1) // 3 AS BIGINT) AS chunk')}
+SELECT * FROM written""")
+def q_sitemap_write_chunked(spark, sf):
+    return S.sitemap_write(page_urls(spark, sf), max_urls=3)

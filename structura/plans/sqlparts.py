@@ -177,7 +177,8 @@ def shop_cte(name: str = "urls") -> str:
     legal = "[" + ", ".join(map(sql_str, SHOP_LEGAL)) + f"][l_orderkey % {len(SHOP_LEGAL)} + 1]"
     pt = slug("p_type")
     return f"""{name} AS (
-  SELECT {slug('p_brand')} AS site_id, l_orderkey * {ORDER_STRIDE} + l_linenumber AS pos,
+  SELECT {slug('p_brand')} AS site_id, l_orderkey * {ORDER_STRIDE} + row_number() OVER (
+             PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) - 1 AS pos,
          'https://' || {slug('p_brand')} || '.example.com' || CASE l_linenumber
            WHEN 1 THEN '/' || {lst}
            WHEN 2 THEN '/' || {lst} || '/' || {pt}

@@ -3,7 +3,7 @@
 The reference ships no data; these DataFrames turn the driver's parquet
 tables into the shapes the operators consume (URL tables, questionnaire
 files, sitemap documents, model replies).  All of them grow with the
-tables and each has a DuckDB twin in :mod:`structura.plans.oracle`.
+tables and each has a DuckDB twin in :mod:`structura.plans.sqlparts`.
 """
 
 from __future__ import annotations
@@ -98,7 +98,7 @@ def _first_loc_replaced(x, repl: str):
 
 
 def sitemap_docs(spark: SparkSession, sf_dir: str, variants: bool = True) -> DataFrame:
-    """One ``<urlset>`` per host of ``pages`` (per 50,000 positions), in variants."""
+    """One ``<urlset>`` per host of ``pages``, in variants."""
     from ..operators.sitemap import SITEMAP_NS, sitemap_write
     docs = sitemap_write(page_urls(spark, sf_dir))
     if not variants:
@@ -227,9 +227,12 @@ def shop_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     listing comes from the part key, the page kind from the line number
     (listing, subcategory, item, detail template for every other listing
     kind or about, homepage, legal
-    or contact, tag archive).  ``pos = orderkey * stride + linenumber``."""
+    or contact, tag archive).  ``pos``: order key times a stride plus the
+    rank inside the order, which is unique (line numbers are not)."""
     from ..operators.rule_tables import LISTING_DETAIL
-    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_linenumber")
+    li = table(spark, sf_dir, "lineitem", "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    li = li.withColumn("rk", F.row_number().over(w) - 1)
     part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
     j = li.join(part, li.l_partkey == part.p_partkey)
     k = len(LISTING_DETAIL)
@@ -248,6 +251,6 @@ def shop_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(ln == 6, F.concat(F.lit("/"), legal))
             .otherwise(F.concat(F.lit("/tag/"), ptype)))
     site = slug(F.col("p_brand"))
-    return j.select(site.alias("site_id"), (F.col("l_orderkey") * ORDER_STRIDE + ln).alias("pos"),
+    return j.select(site.alias("site_id"), (F.col("l_orderkey") * ORDER_STRIDE + F.col("rk")).alias("pos"),
                     F.concat(F.lit("https://"), site, F.lit(".example.com"), path).alias("url"),
                     F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"))
