@@ -33,7 +33,7 @@ def url_path(url: Column) -> Column:
 
 
 def path_segments(url: Column) -> Column:
-    """Non-empty path segments: ``[p for p in urlparse(u).path.split('/') if p]``."""
+    """The path's segments; empty ones (leading, trailing and doubled slashes) are left out."""
     return F.filter(F.split(url_path(url), "/"), lambda s: s != "")
 
 

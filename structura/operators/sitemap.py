@@ -73,6 +73,8 @@ def _clean(c: Column) -> Column:
 # read from the text itself, as elements are matched by name and namespace
 # at any depth, which a fixed schema can't express.  Comments and CDATA are
 # out of the way first, so a tag that the patterns see is a tag.
+_ONE_ROOT_RE = (r"(?s)\A(?:\s*<\?.*?\?>)*\s*(?:<!DOCTYPE[^>]*>\s*)?<([^\s/>!?]+)(?:\s[^>]*)?(?:/>|>.*</\1\s*>)"
+                r"(?:\s|<\?.*?\?>)*\z")
 _RECORD = "array<struct<url:string,lastmod:string,changefreq:string,priority:string,method:string>>"
 
 
@@ -136,7 +138,9 @@ def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",), require
     parsed = F.from_xml(F.col("xml"), "none STRING, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
     locs = F.transform(F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1), lambda u: F.struct(
         u.alias("url"), F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"), F.lit("regex").alias("method")))
-    found = F.when(parsed["_corrupt"].isNotNull(), locs.cast(_RECORD)).otherwise(_entries(F.col("xml"), require_namespace).cast(_RECORD))
+    # from_xml stops after the root element; what follows it must be looked at, too
+    whole = F.regexp_replace(F.col("xml"), r"(?s)<!--.*?-->", "").rlike(_ONE_ROOT_RE)
+    found = F.when(parsed["_corrupt"].isNotNull() | ~whole, locs.cast(_RECORD)).otherwise(_entries(F.col("xml"), require_namespace).cast(_RECORD))
     return (docs.select(*keys, F.posexplode_outer(found).alias("pos", "u")).filter(F.col("u.url").isNotNull())
             .select(*keys, F.col("pos").cast("bigint").alias("pos"), _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq",
                     "u.priority", "u.method"))

@@ -94,7 +94,7 @@ FROM (SELECT file_id, row_id,
         list_transform(['Conversation ' || conv_id, coalesce(question, ''), coalesce(answer, '')]
                        || CASE WHEN has_client THEN ['Acme Corp ' || file_id] ELSE []::VARCHAR[] END,
                        lambda c: {_na('c')}) AS cells
-      FROM truth)""", headline=True)
+      FROM truth)""")
 def q_csv_parse(spark, sf):
     rows = I.csv_rows(I.parse_files(qfiles(spark, sf)))
     return rows.select("file_id", "row_id", "rec_no", F.size("cells").alias("n_cells"),
@@ -108,7 +108,7 @@ SELECT file_id, r.row_id, r.rec_no, CAST(len(r.cells) AS INTEGER) AS n_cells,
 FROM (SELECT file_id, unnest(rows) AS r FROM parsed)"""
 
 
-@register("csv_parse_docs", _DOC_ROWS, headline=True)
+@register("csv_parse_docs", _DOC_ROWS)
 def q_csv_parse_docs(spark, sf):
     rows = I.csv_rows(I.parse_files(doc_files(spark, sf)))
     return rows.select("file_id", "row_id", "rec_no", F.size("cells").alias("n_cells"),
@@ -168,7 +168,7 @@ WHERE question IS NOT NULL AND answer IS NOT NULL
   AND {duck_strip('question')} <> '' AND {duck_strip('answer')} <> ''"""
 
 
-@register("qa_pairs", f"WITH {qa_source_cte()}" + _PAIRS_TRUTH, headline=True)
+@register("qa_pairs", f"WITH {qa_source_cte()}" + _PAIRS_TRUTH)
 def q_qa_pairs(spark, sf):
     return I.qa_pairs(I.parse_files(qfiles(spark, sf)))
 

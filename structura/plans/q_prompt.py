@@ -40,7 +40,7 @@ ctx AS (SELECT file_id, count(*) AS n_pairs,
 CTX_SQL = f"WITH {_pairs_cte()}" + _CTX
 
 
-@register("prompt_context", CTX_SQL + "\nSELECT * FROM ctx", headline=True)
+@register("prompt_context", CTX_SQL + "\nSELECT * FROM ctx")
 def q_prompt_context(spark, sf):
     return M.file_prompt_context(_parsed(spark, sf))
 

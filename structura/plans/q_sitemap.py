@@ -75,7 +75,7 @@ docs AS (
   FROM (SELECT *, {_variant(10)} AS v FROM written))"""
 
 
-@register("sitemap_write", f"WITH {WRITE_CTE} SELECT * FROM written", headline=True)
+@register("sitemap_write", f"WITH {WRITE_CTE} SELECT * FROM written")
 def q_sitemap_write(spark, sf):
     return S.sitemap_write(page_urls(spark, sf))
 
@@ -122,7 +122,7 @@ _KEYS = ("site_id", "chunk")
 
 
 @register("sitemap_parse", f"WITH {PARSE_CTE} SELECT * FROM structured UNION ALL SELECT * FROM fallback",
-          headline=True)
+          )
 def q_sitemap_parse(spark, sf):
     return S.sitemap_parse(sitemap_docs(spark, sf), _KEYS)
 

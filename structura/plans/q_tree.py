@@ -33,14 +33,14 @@ FROM (SELECT site_id, len({segs}) AS n FROM urls) GROUP BY site_id"""
 
 
 @register("page_stats", f"WITH {page_urls_cte()}" + _STATS_SQL.format(segs=duck_segments("url")),
-          headline=True)
+          )
 def q_page_stats(spark, sf):
     return T.page_stats(page_urls(spark, sf))
 
 
 @register("page_stats_catalog",
           f"WITH {catalog_cte(shorten=True)}" + _STATS_SQL.format(segs=duck_segments("url")),
-          headline=True)
+          )
 def q_page_stats_catalog(spark, sf):
     return T.page_stats(catalog_urls(spark, sf, shorten=True))
 
@@ -65,7 +65,7 @@ SELECT site_id, line_no, depth, repeat('  ', depth) || '• ' || name AS line FR
 
 @register("tree_lines", f"""
 WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', T.TREE_MAX_DEPTH)},
-{ordered_cte('nodes', 'ordered')}""" + _LINES_SQL, headline=True)
+{ordered_cte('nodes', 'ordered')}""" + _LINES_SQL)
 def q_tree_lines(spark, sf):
     return T.tree_lines(catalog_urls(spark, sf, shorten=True))
 
@@ -83,7 +83,7 @@ WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', T.TREE_MAX_DEPTH)}
 lines AS ({_LINES_SQL})
 SELECT site_id, CAST((line_no - 1) // {CHUNK} AS BIGINT) AS chunk, count(*) AS n_lines,
        string_agg(line, chr(10) ORDER BY line_no) AS text
-FROM lines GROUP BY site_id, (line_no - 1) // {CHUNK}""", headline=True)
+FROM lines GROUP BY site_id, (line_no - 1) // {CHUNK}""")
 def q_tree_text(spark, sf):
     return T.tree_text(T.tree_lines(catalog_urls(spark, sf, shorten=True)))
 

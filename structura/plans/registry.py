@@ -21,15 +21,14 @@ class Query:
     key: str
     fn: QueryFn
     sql: str | None
-    headline: bool = False
 
 
 _REGISTRY: dict[str, Query] = {}
 
 
-def register(key: str, sql: str | None, headline: bool = False):
+def register(key: str, sql: str | None):
     def deco(fn: QueryFn) -> QueryFn:
-        _REGISTRY[key] = Query(key, fn, sql, headline)
+        _REGISTRY[key] = Query(key, fn, sql)
         return fn
     return deco
 

@@ -136,3 +136,56 @@ def test_malformed_quoting_matches_python_csv(spark):
     p = I.parse_files(files_df(spark, {"f": t}))
     got = [tuple(r.cells) for r in I.csv_rows(p).orderBy("row_id").collect()]
     assert got == want == [("abcdef", 'x"yz', 'plain"q')]
+
+
+def test_cells_with_many_quotes_and_records_with_many_fields(spark):
+    """Patterns that recurse once per quote or field end the executor here."""
+    text = "section,question,answer\n1,\"" + '""' * 1_000_000 + "\",b\n" + ",".join("x" * 100_000) + "\n2,q,a\n"
+    parsed = I.parse_files(files_df(spark, {"f": text})).cache()
+    assert [(r.id, len(r.question)) for r in I.qa_pairs(parsed).orderBy("id").collect()] == [(1, 1_000_000), (2, 1)]
+    assert [r.reason for r in I.rejects(parsed).select("reason").collect()] == ["too_many_fields"]
+
+
+def test_delimiter_is_counted_over_all_lines(spark):
+    """The first twenty lines would say comma, the file says tab."""
+    text = "\n".join(["a,b"] * 20 + ["x\ty\tz"] * 30)
+    assert I.parse_files(files_df(spark, {"f": text}), dialect="auto").first().delimiter == "\t"
+
+
+def test_files_over_the_given_limit_are_rejected(spark, tmp_path):
+    from structura.sources.tables import binary_files, xml_texts
+    (tmp_path / "small.csv").write_text("section,question,answer\n1,q,a\n")
+    (tmp_path / "large.csv").write_text("section,question,answer\n" + "1,q,a\n" * 50)
+    assert I.qa_pairs(I.parse_files(binary_files(spark, str(tmp_path)))).count() == 51
+    limited = I.rejects(I.parse_files(binary_files(spark, str(tmp_path), max_bytes=100))).collect()
+    assert [(r.file_id.rsplit("/", 1)[1], r.reason) for r in limited] == [("large.csv", "too_large")]
+    (tmp_path / "a.xml").write_text("<x>\n</x>")
+    assert [r.xml for r in xml_texts(spark, str(tmp_path / "a.xml")).collect()] == ["<x>\n</x>"]
+
+
+def test_a_batch_run_again_repeats_no_pair(spark, tmp_path):
+    from structura.streaming.ingest_stream import read_pairs, read_rejects, write_batch
+    out = str(tmp_path / "out")
+    assert read_pairs(spark, out).count() == 0
+    files = files_df(spark, {"f": "section,question,answer\n1,q,a\n2,q,a,too,long\n"})
+    for _ in range(2):
+        write_batch(files, 0, out)
+    write_batch(files_df(spark, {"g": "section,question,answer\n1,q2,a2\n"}), 1, out)
+    assert sorted((r.file_id, r.question) for r in read_pairs(spark, out).collect()) == [("f", "q"), ("g", "q2")]
+    assert [r.reason for r in read_rejects(spark, out).collect()] == ["too_many_fields"]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    import pytest
+    from structura.session import ensure_checkpoint_dir
+
+    class Spark:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getCheckpointDir = staticmethod(lambda: None)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(Spark)

@@ -121,14 +121,18 @@ def test_prompt_context_cap_and_suffix(spark):
 
 
 def test_generate_batch_captures_errors(spark):
-    df = spark.createDataFrame([("a", "ok"), ("b", "boom")], "file_id string, prompt string")
+    df = spark.createDataFrame([("a", "ok"), ("b", "boom"), ("c", "fine")], "file_id string, prompt string").coalesce(1)
 
-    def gen(p):
-        if p == "boom":
+    def gen(prompts):
+        if "boom" in prompts:
             raise RuntimeError("model down")
-        return p.upper()
+        return [p.upper() for p in prompts]
     got = {r.file_id: (r.response, r.error) for r in M.generate_batch(df, gen).collect()}
-    assert got == {"a": ("OK", None), "b": (None, "RuntimeError: model down")}
+    assert got == {"a": ("OK", None), "b": (None, "RuntimeError: model down"), "c": ("FINE", None)}
+
+
+def test_class_values_agree_within_a_class():
+    assert len({row[0] for row in R.RT.PAGE_CLASSES}) == len(R.RT.PAGE_CLASSES)
 
 
 def test_driver_contract(spark):
@@ -136,4 +140,4 @@ def test_driver_contract(spark):
     q, sql = E.queries(), E.oracle_sql()
     assert set(sql) <= set(q) and len(q) >= 50
     df = E.entry(spark)
-    assert df.columns == ["site_id", "line_no", "depth", "line"] and df.count() >= 0
+    assert df.columns == ["site_id", "line_no", "depth", "line"] and df.count() > 1000

@@ -10,16 +10,16 @@ from structura.operators import sitemap as S
 from structura.operators import tree as T
 from tests.conftest import urls_df
 
-SKELETON = """<?xml version="1.0" encoding="UTF-8"?>
-<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">
-  <url>
-    <loc>https://example.com/</loc>
-    <lastmod>2025-01-01</lastmod>
-    <changefreq>daily</changefreq>
-    <priority>1.0</priority>
-  </url>
-  <!-- more pages -->
-</urlset>"""
+NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
+PAGES = [("http://shop.test/", "2024-03-05", "weekly", "0.8"), ("http://shop.test/tea/green", "2024-02-11", "monthly", "0.5"),
+         ("http://shop.test/tea/black?pack=2", "", "", "0.4")]
+
+
+def _sitemap(pages=PAGES, root=f'<urlset xmlns="{NS}">'):
+    """A sitemap on one line, with a comment, empty fields left out."""
+    fields = ("loc", "lastmod", "changefreq", "priority")
+    body = "".join("<url>" + "".join(f"<{f}>{v}</{f}>" for f, v in zip(fields, p, strict=True) if v) + "</url>" for p in pages)
+    return S.XML_DECL + "\n" + root + "<!-- own test data -->" + body + "</urlset>"
 
 
 def _docs(spark, xmls):
@@ -38,54 +38,69 @@ def test_segments_match_urlparse(spark):
         assert got[u] == [p for p in urlparse(u).path.split("/") if p], u
 
 
-def _trie_lines(urls, max_depth=6):
-    root = {}
-    for u in urls:
-        node = root
-        for seg in [p for p in urlparse(u).path.split("/") if p]:
-            node = node.setdefault(seg, {})
-    out = []
-
-    def walk(n, d):
-        for k, v in n.items():
-            if d <= max_depth:
-                out.append("  " * d + "• " + k)
-                walk(v, d + 1)
-    walk(root, 0)
-    return out
+def _sorted_lines(urls, max_depth=6):
+    """Every path prefix, sorted by where each of its own prefixes first appears."""
+    paths = [tuple(x for x in urlparse(u).path.split("/") if x) for u in urls]
+    first = {}
+    for at, path in enumerate(paths):
+        for k in range(1, len(path) + 1):
+            first.setdefault(path[:k], at)
+    order = sorted(first, key=lambda p: [first[p[:k]] for k in range(1, len(p) + 1)])
+    return ["  " * (len(p) - 1) + "• " + p[-1] for p in order if len(p) - 1 <= max_depth]
 
 
-def test_tree_lines_match_trie(spark):
+def test_tree_lines_match_sorted_prefixes(spark):
     rng = random.Random(11)
     for trial in range(3):
         urls = ["https://e.com/" + "/".join(rng.choice("abc") for _ in range(rng.randint(0, 9)))
                 for _ in range(rng.randint(5, 60))]
         got = [r.line for r in T.tree_lines(urls_df(spark, urls)).orderBy("line_no").collect()]
-        assert got == _trie_lines(urls), trial
+        assert got == _sorted_lines(urls), trial
+        deep = [r.line for r in T.tree_lines(urls_df(spark, urls), None).orderBy("line_no").collect()]
+        assert deep == _sorted_lines(urls, 99), trial
 
 
-def test_skeleton_sitemap_parse_stats_and_tree(spark):
-    recs = S.sitemap_parse(_docs(spark, {"s": SKELETON}))
-    rows = recs.collect()
-    assert [(r.url, r.lastmod, r.changefreq, r.priority) for r in rows] == [
-        ("https://example.com/", "2025-01-01", "daily", "1.0")]
+def test_sitemap_parse_stats_and_tree(spark):
+    recs = S.sitemap_parse(_docs(spark, {"s": _sitemap()}))
+    assert [(r.url, r.lastmod, r.changefreq, r.priority) for r in recs.orderBy("pos").collect()] == PAGES
     st = T.page_stats(recs).first()
-    assert (st.total_pages, st.main_pages, st.subpages) == (1, 1, 0)
-    assert T.tree_lines(recs).count() == 0
+    assert (st.total_pages, st.main_pages, st.subpages) == (3, 1, 2)
+    assert [r.line for r in T.tree_lines(recs).orderBy("line_no").collect()] == ["• tea", "  • green", "  • black"]
 
 
 def test_namespace_rules_and_regex_fallback(spark):
-    no_ns = SKELETON.replace(' xmlns="http://www.sitemaps.org/schemas/sitemap/0.9"', "")
-    bad = SKELETON.replace("<!-- more pages -->", "<note>R&D</note>")
-    got = S.sitemap_parse(_docs(spark, {"none": no_ns, "bad": bad, "blank": " " + SKELETON})).collect()
+    home = PAGES[:1]
+    docs = {
+        "none": _sitemap(home, "<urlset>"), "bad": _sitemap(home).replace("<!--", "<note>R&D</note><!--"), "blank": " " + _sitemap(home),
+        "wrapped": S.XML_DECL + "<root>" + _sitemap(home).removeprefix(S.XML_DECL + "\n") + "</root>",
+        "unused": _sitemap(home, f'<urlset xmlns:sm="{NS}">'), "foreign": _sitemap(home, '<urlset xmlns="http://other.test/">'),
+        "two": _sitemap([("first</loc><loc>second", "", "", "")]), "entities": _sitemap([("a&amp;b&#38;c&#x26;d&lt;", "", "", "")]),
+        "cr": "<loc>a\rb</loc> &", "separator": "<loc>a\u2028b\x85c</loc> &", "newline": "<loc>a\nb</loc> &", "empty": "",
+        "image": _sitemap(home).replace("<loc>", '<i:image xmlns:i="http://i.test/"><i:loc>no</i:loc></i:image><loc>'),
+    }
     by = {}
-    for r in got:
+    for r in S.sitemap_parse(_docs(spark, docs)).collect():
         by.setdefault(r.site_id, []).append((r.url, r.lastmod, r.method))
-    assert "none" not in by                               # well-formed, no namespace: nothing
-    assert by["bad"] == [("https://example.com/", "", "regex")]
-    assert by["blank"] == [("https://example.com/", "", "regex")]
-    relaxed = S.sitemap_parse(_docs(spark, {"none": no_ns}), require_namespace=False).count()
-    assert relaxed == 1
+    url, lastmod = PAGES[0][:2]
+    assert by == {"bad": [(url, "", "regex")], "blank": [(url, "", "regex")], "wrapped": [(url, lastmod, "xml")], "two": [("first", "", "xml")],
+                  "entities": [("a&b&c&d<", "", "xml")], "cr": [("a\rb", "", "regex")], "separator": [("a\u2028b\x85c", "", "regex")],
+                  "image": [(url, lastmod, "xml")]}
+    relaxed = S.sitemap_parse(_docs(spark, {k: docs[k] for k in ("none", "unused", "foreign")}), require_namespace=False)
+    assert sorted(r.site_id for r in relaxed.collect()) == ["foreign", "none", "unused"]
+
+
+def test_chunks_follow_each_other(spark):
+    """Dense and sparse positions give the same documents, and a tree of chunked documents keeps its order."""
+    urls = [f"http://shop.test/{name}" for name in "fbdaec"]
+    dense = urls_df(spark, urls).withColumns({f: F.lit("") for f in ("lastmod", "changefreq", "priority")})
+    sparse = dense.withColumn("pos", F.col("pos") * 40_000)
+    one = [r.xml for r in S.sitemap_write(sparse).collect()]
+    assert len(one) == 1 and one == [r.xml for r in S.sitemap_write(dense).collect()]
+    docs = S.sitemap_write(sparse, max_urls=2)
+    assert sorted((r.chunk, r.n_urls) for r in docs.collect()) == [(0, 2), (1, 2), (2, 2)]
+    recs = S.sitewide_pos(S.sitemap_parse(docs, ("site_id", "chunk")))
+    assert [r.url for r in recs.orderBy("pos").collect()] == urls
+    assert [r.line for r in T.tree_lines(recs).orderBy("line_no").collect()] == ["• " + n for n in "fbdaec"]
 
 
 def test_write_parse_round_trip(spark):
@@ -97,7 +112,7 @@ def test_write_parse_round_trip(spark):
 
 
 def test_extract_xml_branches(spark):
-    xml = SKELETON
+    xml = _sitemap()
     body = xml.split("\n", 1)[1]
     replies = {"fenced": f"ANALYSIS\n```xml\n{xml}\n```\nNOTES", "nodecl": f"```XML\n{body}```",
                "bare": f"Here:\n{xml}\nbye", "urlset": f"Sitemap:\n{body}\nThanks", "none": "no xml here"}
@@ -111,24 +126,42 @@ def test_extract_xml_branches(spark):
     assert got["none"] == ("raw", "no xml here")
 
 
-def test_graph_edges_cap_and_root(spark):
-    urls = [f"https://e.com/s{i}/p{j}" for i in range(30) for j in range(10)]
-    e = T.graph_edges_top(T.graph_edges(T.graph_nodes(urls_df(spark, urls))))
-    rows = e.orderBy("edge_no").collect()
-    assert len(rows) == 200 and rows[0].from_id == "root" and rows[1].from_path == "s0"
+def test_first_edges_equal_the_whole_graph_cut(spark):
+    rng = random.Random(5)
+    urls = [f"https://e.com/s{i}/p{j}" for i in range(30) for j in range(10)] + [
+        "https://e.com/" + "/".join(rng.choice("abcd") for _ in range(rng.randint(0, 7))) for _ in range(300)]
+    rng.shuffle(urls)
+    df = urls_df(spark, urls)
+    whole = T.graph_edges(T.graph_nodes(df)).filter("edge_no <= 200")
+    first = T.graph_edges_top(df)
+    assert sorted(map(tuple, first.collect())) == sorted(map(tuple, whole.collect()))
+    assert first.count() == 200 and first.orderBy("edge_no").first().from_id == "root"
+    folders = T.first_graph_nodes(df).select("path", "is_folder")
+    assert sorted(map(tuple, folders.collect())) == sorted(map(tuple, T.graph_nodes(df).filter("edge_no <= 200").select("path", "is_folder").collect()))
 
 
-def test_tree_files_keep_line_order(spark, tmp_path):
-    import glob
-    import os
-    from structura.operators.sinks import tree_output_names, write_tree_files
+def test_tree_files_keep_sites_and_line_order(spark, tmp_path):
+    """Two sites of one output name stay apart; the files give the lines in order."""
+    from structura.operators.sinks import read_tree_files, write_tree_files
     urls = [f"https://e.com/{a}/{b}/{c}" for a in "pqr" for b in "xyz" for c in range(20)]
-    lines = T.tree_lines(urls_df(spark, urls, site="shop"))
+    lines = T.tree_lines(urls_df(spark, urls, site="shop").unionByName(urls_df(spark, urls[::-1], site="other")))
+    names = spark.createDataFrame([("shop", "same.txt"), ("other", "same.txt")], "site_id string, output_name string")
     out = str(tmp_path / "trees")
-    write_tree_files(lines, tree_output_names(lines, "2025-01-01 00:00:00"), out, partitions=4)
-    d = os.path.join(out, "output_name=sitemap_structure-shop.txt")
-    parts = sorted(glob.glob(os.path.join(d, "part-*")))
-    assert len(parts) > 1
-    text = "".join(open(p, encoding="utf-8").read() for p in parts)
-    want = [r.line for r in lines.orderBy("line_no").collect()]
-    assert text.splitlines() == want
+    write_tree_files(lines, names, out, partitions=4)
+    got = sorted(map(tuple, read_tree_files(spark, out).select("site_id", "line_no", "line").collect()))
+    assert got == sorted(map(tuple, lines.select("site_id", "line_no", "line").collect()))
+
+
+def test_ranks_over_many_partitions_and_sparse_order(spark):
+    from structura.functions.order import ranked
+    rows = [(k, (i * 7919 % 5000) * 1_000_003) for k, n in (("hot", 5000), ("cold", 3), ("one", 1)) for i in range(n)]
+    got = ranked(spark.createDataFrame(rows, "k string, o long").repartition(7), ["k"], ["o"], "at").collect()
+    want = {(k, o): at for key in ("hot", "cold", "one") for at, (k, o) in enumerate(sorted(r for r in rows if r[0] == key))}
+    assert {(r.k, r.o): r["at"] for r in got} == want and len(got) == len(rows)
+
+
+def test_tree_text_chunks_restore_the_text(spark):
+    lines = T.tree_lines(urls_df(spark, [f"https://e.com/{i % 9}/{i}" for i in range(50)]))
+    whole = T.tree_text(lines).first().text
+    parts = T.tree_text(lines, chunk_lines=7).orderBy("chunk").collect()
+    assert len(parts) > 1 and "\n".join(r.text for r in parts) == whole
