@@ -527,8 +527,8 @@ def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree
     return scratch.save(pairs.mapInArrow(_exact, "query long, near long, score double"), "found")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24, trees: int = 16, rounds: int = 2, beam: int = 64, head: int = 32,
-           degree: int = 48, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24, trees: int = 16, rounds: int = 2, beam: int = 96, head: int = 48,
+           degree: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``every``.
 
     Candidates are all rows but the query's own id, nearest (largest inner
