@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
-import zipfile
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-import structura
-
+from ..functions.ship import ship_package  # noqa: F401  (for the operators)
 from ..session import delete_path, ensure_checkpoint_dir
 
 #: A run of the six ASCII white-space characters, and a word (Java regex).
@@ -21,27 +17,6 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def ship_package(spark: SparkSession) -> None:
-    """Give the executors this package, once per application.
-
-    Python functions inside tasks import their module; the package need not
-    be installed on the workers for that.
-    """
-    sc = spark.sparkContext
-    if getattr(sc, "_structura_shipped", False):
-        return
-    root = os.path.dirname(os.path.abspath(structura.__file__))
-    target = os.path.join(tempfile.mkdtemp(prefix="structura-zip-"), "structura_package.zip")
-    with zipfile.ZipFile(target, "w") as z:
-        for folder, _, names in os.walk(root):
-            for n in sorted(names):
-                if n.endswith(".py"):
-                    full = os.path.join(folder, n)
-                    z.write(full, os.path.join("structura", os.path.relpath(full, root)))
-    sc.addPyFile(target)
-    sc._structura_shipped = True
-
-
 class Scratch:
     """Intermediate tables of one run, written under the shared checkpoint folder.
 
