@@ -24,10 +24,7 @@ EXCLUDED_SEGMENTS = {
     "customer-feedback": "internal_process",
     "submit": "form_endpoint", "form-submit": "form_endpoint",
 }
-SEARCH_QUERY_RE = r"[?&]q="                      # /search?q=...
-FILTER_QUERY_RE = r"\?[^#]*="                    # any other parameter filter
 PAGINATION_RE = r"(^|/)page/[0-9]+$"            # /blog/page/2 (on the segment path)
-PAGE_PARAM_RE = r"[?&]page=[0-9]+"              # ?page=2
 LANG_CODE_RE = r"^[a-z]{2}(-[a-z]{2})?$"        # language prefix segment (ISO 639-1 shape)
 
 # V2: listing page -> its detail-page template.
