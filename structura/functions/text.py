@@ -36,11 +36,6 @@ def is_blank(c: Column) -> Column:
     return F.length(py_strip(c)) == 0
 
 
-def count_char(c: Column, ch: str) -> Column:
-    """Occurrences of one character: length - length(without it)."""
-    return F.length(c) - F.length(F.replace(c, F.lit(ch), F.lit("")))
-
-
 def slug(c: Column) -> Column:
     """lower-case, every run of characters outside [a-z0-9] becomes '-'."""
     return F.regexp_replace(F.lower(c), "[^a-z0-9]+", "-")

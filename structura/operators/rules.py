@@ -371,3 +371,23 @@ def planned_pages(profile: DataFrame) -> DataFrame:
                      F.coalesce(F.try_element_at(ind, F.col("business_type")), F.array().cast("array<string>")),
                      F.col("legal_pages"))
     return profile.select("file_id", F.explode(F.array_distinct(pages)).alias("path"))
+
+
+def estimated_pages(profile: DataFrame) -> DataFrame:
+    """``file_id, estimated_pages``: the number of pages that the profile implies."""
+    return planned_pages(profile).groupBy("file_id").agg(F.count(F.lit(1)).alias("estimated_pages"))
+
+
+def profile_findings(records: DataFrame, profile: DataFrame) -> DataFrame:
+    """V11 from V12 facts: industry and legal pages that a site lacks, and fewer pages than its profile implies.
+
+    ``records``: ``site_id, pos, url``; a site is the questionnaire file of ``profile``.
+    """
+    industry = profile.select(F.col("file_id").alias("site_id"), F.col("business_type").alias("industry"))
+    legal = profile.select(F.col("file_id").alias("site_id"), F.explode("legal_pages").alias("path"), F.lit("profile").alias("why"))
+    got = records.groupBy(F.col("site_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
+    few = (estimated_pages(profile).join(got, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+           .filter(F.col("n") < F.col("estimated_pages")).withColumnRenamed("file_id", "site_id"))
+    count = _finding(few, F.lit(None).cast("string"), "page_count",
+                     F.concat(F.lit("expected "), F.col("estimated_pages").cast("string"), F.lit(" got "), F.col("n").cast("string")))
+    return rule_industry(records, industry).unionByName(_missing(legal, records, "legal")).unionByName(count)

@@ -170,3 +170,32 @@ def q_site_pipeline(spark, sf):
     facts = results.file_facts(_parsed(spark, sf))
     replies = materialize(M.rule_based_replies(results.pairs_of(facts), ANCHOR), "replies")
     return results.site_results(facts, replies, F.to_timestamp(F.lit(RUN_TS)))
+
+
+@register("estimated_pages", f"WITH {_pairs_cte()}" + _PLANNED + """
+SELECT file_id, count(*) AS estimated_pages FROM planned GROUP BY file_id""")
+def q_estimated_pages(spark, sf):
+    from ..operators.rules import estimated_pages, questionnaire_profile
+    return estimated_pages(questionnaire_profile(qa_pairs(_parsed(spark, sf))))
+
+
+@register("profile_findings", f"WITH {_pairs_cte()}" + _PLANNED + """,
+kept AS (SELECT * FROM planned WHERE length(path) % 3 <> 0),
+est AS (SELECT file_id, count(*) AS e FROM planned GROUP BY file_id),
+got AS (SELECT file_id, count(*) AS n FROM kept GROUP BY file_id)
+SELECT file_id AS site_id, '/' || path AS url, 'industry' AS rule, business_type AS detail
+FROM (SELECT file_id, business_type, unnest(pages) AS path FROM profile p JOIN ind ON ind.industry = p.business_type) x
+WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.file_id = x.file_id AND k.path = x.path)
+UNION ALL
+SELECT file_id, '/' || path, 'legal', 'profile' FROM (SELECT file_id, unnest(legal_pages) AS path FROM profile) x
+WHERE NOT EXISTS (SELECT 1 FROM kept k WHERE k.file_id = x.file_id AND k.path = x.path)
+UNION ALL
+SELECT file_id, NULL, 'page_count', 'expected ' || e || ' got ' || coalesce(n, 0)
+FROM est LEFT JOIN got USING (file_id) WHERE coalesce(n, 0) < e""")
+def q_profile_findings(spark, sf):
+    """Sites that lack every planned page whose path length is a multiple of three."""
+    from ..operators.rules import planned_pages, profile_findings, questionnaire_profile
+    profile = materialize(questionnaire_profile(qa_pairs(_parsed(spark, sf))), "profile")
+    pages = planned_pages(profile).filter(F.length("path") % 3 != 0)
+    records = pages.select(F.col("file_id").alias("site_id"), F.lit(0).cast("bigint").alias("pos"), F.concat(F.lit(SITE_BASE), F.col("path")).alias("url"))
+    return profile_findings(records, profile)

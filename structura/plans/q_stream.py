@@ -4,12 +4,18 @@ back, so they exercise the real file paths."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import tree as T
+from ..operators.ingest import parse_files, qa_pairs
+from ..operators.sitemap import sitemap_parse
 from ..operators.sinks import read_tree_files, site_output_names, write_tree_files
 from ..functions.scratch import scratch_path
-from ..sources.fixtures import catalog_urls, qfiles_text
+from ..sources.fixtures import catalog_urls, qfiles_text, sitemap_docs
+from ..sources.tables import binary_files, xml_texts
 from ..streaming.ingest_stream import read_pairs, start_ingest_stream
 from .q_ingest import _PAIRS_TRUTH
+from .q_sitemap import PARSE_CTE
 from .registry import register
 from .sqlparts import catalog_cte, nodes_cte, ordered_cte, qa_source_cte
 
@@ -27,6 +33,24 @@ def q_stream_ingest(spark, sf):
     return read_pairs(spark, out).select("file_id", "id", "question", "answer")
 
 
+@register("files_ingest", f"WITH {qa_source_cte()}" + _PAIRS_TRUTH)
+def q_files_ingest(spark, sf):
+    """S1 in batch: questionnaire files written to a folder and read as files."""
+    landing = scratch_path(spark, "files")
+    qfiles_text(spark, sf).select("file_id", "text").write.partitionBy("file_id").text(landing)
+    files = binary_files(spark, landing, glob="*.txt")
+    return qa_pairs(parse_files(files.withColumn("file_id", F.regexp_extract("file_id", r"file_id=([^/]+)/", 1))))
+
+
+@register("sitemap_files", f"WITH {PARSE_CTE} SELECT * EXCLUDE (chunk) FROM structured UNION ALL SELECT * EXCLUDE (chunk) FROM fallback")
+def q_sitemap_files(spark, sf):
+    """S2 from files: one sitemap per file, read whole."""
+    folder = scratch_path(spark, "sitemaps")
+    sitemap_docs(spark, sf).select("site_id", "xml").write.partitionBy("site_id").text(folder)
+    docs = xml_texts(spark, folder)
+    return sitemap_parse(docs.withColumn("site_id", F.regexp_extract("site_id", r"site_id=([^/]+)/", 1)))
+
+
 @register("tree_files", f"""
 WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', T.TREE_MAX_DEPTH)},
 {ordered_cte('nodes', 'ordered')}
