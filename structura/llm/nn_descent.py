@@ -8,8 +8,10 @@ directed graph of each node's ``graph_k`` nearest.
   are cut into blocks, and the nearest within a block are first edges.
 * Descent: a Spark join brings the vectors of a centre's neighbours, in
   both directions, together; every two of them are tried as neighbours of
-  each other.  A centre with many reverse neighbours is split by a salt, so
-  no group grows with the data.
+  each other, once: later rounds try pairs with an edge that is new.  A
+  centre with many reverse neighbours is split by a salt, another one every
+  round, so no group grows with the data; all pairs of its parts are tried.
+  Rounds follow until hardly an edge changes.
 * Search: a query's beam is expanded by its best unexpanded nodes until
   the beam's head has no such node.  Requests travel to cells of nodes
   (a hash of the node), so a query's vector moves once per cell and not
@@ -22,6 +24,7 @@ double precision on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import count as count_up
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +44,8 @@ MEET = 96
 CELL_NODES = 2_048
 _FOLD_ROWS = 1 << 21
 
-_EDGES = pa.schema([("node", pa.int64()), ("near", pa.int64()), ("score", pa.float32())])
-_EDGES_SQL = "node long, near long, score float"
+_EDGES = pa.schema([("node", pa.int64()), ("near", pa.int64()), ("score", pa.float32()), ("fresh", pa.bool_())])
+_EDGES_SQL = "node long, near long, score float, fresh boolean"
 
 
 def _valid(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,19 +80,24 @@ def _half(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column(0), pa.array([u.tobytes() for u in unit], pa.binary()), pa.array(norm.astype(np.float32))], names=["node", "half", "norm"])
 
 
-def _fold(node: np.ndarray, near: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The ``k`` nearest per node, each once, best first; ties go to the smaller id."""
-    order = np.lexsort((-score, near, node))
-    node, near, score = node[order], near[order], score[order]
-    fresh = np.ones(len(node), bool)
-    fresh[1:] = (node[1:] != node[:-1]) | (near[1:] != near[:-1])
-    node, near, score = node[fresh], near[fresh], score[fresh]
+def _fresh(node: np.ndarray, near: np.ndarray, score: np.ndarray) -> pa.RecordBatch:
+    """Edges as found: new until they have been through a round."""
+    return pa.RecordBatch.from_arrays([pa.array(node), pa.array(near), pa.array(score.astype(np.float32)), pa.array(np.ones(len(node), bool))], schema=_EDGES)
+
+
+def _fold(node: np.ndarray, near: np.ndarray, score: np.ndarray, fresh: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The ``k`` nearest per node, each once, best first; ties go to the smaller id.  An edge found again stays old."""
+    order = np.lexsort((-score, fresh, near, node))
+    node, near, score, fresh = node[order], near[order], score[order], fresh[order]
+    first = np.ones(len(node), bool)
+    first[1:] = (node[1:] != node[:-1]) | (near[1:] != near[:-1])
+    node, near, score, fresh = node[first], near[first], score[first], fresh[first]
     order = np.lexsort((near, -score, node))
-    node, near, score = node[order], near[order], score[order]
+    node, near, score, fresh = node[order], near[order], score[order], fresh[order]
     first = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1]))) if len(node) else np.zeros(0, np.int64)
     rank = np.arange(len(node)) - np.repeat(first, np.diff(np.append(first, len(node))))
     keep = rank < k
-    return node[keep], near[keep], score[keep]
+    return node[keep], near[keep], score[keep], fresh[keep]
 
 
 def _folding(k: int):
@@ -98,7 +106,7 @@ def _folding(k: int):
         held: list[tuple] = []
         size, folded = 0, 0
         for part in parts:
-            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in part.columns[:3]))
+            held.append(tuple(c.to_numpy(zero_copy_only=False) for c in part.columns))
             size += part.num_rows
             if size > folded + _FOLD_ROWS:
                 held = [_fold(*(np.concatenate(c) for c in zip(*held, strict=True)), k)]
@@ -140,11 +148,11 @@ def _blocks(block: int, k: int):
         np.fill_diagonal(s, -np.inf)
         m = min(k, len(nodes) - 1)
         if m < 1:
-            return pa.RecordBatch.from_arrays([pa.array([], f.type) for f in _EDGES], schema=_EDGES)
+            return _fresh(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32))
         top = np.argpartition(-s, m - 1, axis=1)[:, :m]
         rows = np.repeat(np.arange(len(nodes)), m)
         score = s[rows, top.ravel()] * norm[rows]
-        return pa.RecordBatch.from_arrays([pa.array(nodes[rows]), pa.array(nodes[top.ravel()]), pa.array(score.astype(np.float32))], schema=_EDGES)
+        return _fresh(nodes[rows], nodes[top.ravel()], score)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, before = None, None
@@ -178,29 +186,21 @@ def _blocks(block: int, k: int):
     return run
 
 
-def _pairs(round_: int, share: float):
-    """Edges -> (centre, member) both ways, for the ``share`` of the edges that a hash picks this round."""
-    limit = int(share * 256)
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            u, v = part.column(0).to_numpy(), part.column(1).to_numpy()
-            h = (u.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ v.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)) + np.uint64(round_ * 0x165667B19E3779F9 % (1 << 64))
-            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-            pick = (h >> np.uint64(56)) < limit
-            u, v = u[pick], v[pick]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate((u, v))), pa.array(np.concatenate((v, u)))], names=["centre", "member"])
-    return run
+def _pairs(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges -> (centre, member, fresh) both ways."""
+    for part in parts:
+        u, v, _, fresh = (c.to_numpy(zero_copy_only=False) for c in part.columns)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in ((u, v), (v, u), (fresh, fresh))], names=["centre", "member", "fresh"])
 
 
 def _meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows ``(group, node, half, norm, worst)`` sorted by group -> edges between a group's members that beat a node's worst."""
+    """Rows ``(group, node, half, norm, worst, fresh)`` sorted by group -> edges between a group's members, one of them fresh, that beat a node's worst."""
     held: list[pa.RecordBatch] = []
     size = 0
 
     def run(table: pa.Table) -> pa.RecordBatch:
         group = table.column(0).to_numpy()
-        nodes, norm, worst = (table.column(c).to_numpy() for c in (1, 3, 4))
+        nodes, norm, worst, fresh = (table.column(c).to_numpy() for c in (1, 3, 4, 5))
         x = _matrix(table.column(2).combine_chunks(), "<f2").astype(np.float32) * norm[:, None]
         cuts = np.concatenate(([0], np.flatnonzero(np.diff(group)) + 1, [len(group)]))
         out: list[tuple] = []
@@ -208,12 +208,12 @@ def _meet(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if b - a < 2:
                 continue
             s = x[a:b] @ x[a:b].T
-            i, j = np.nonzero(s > worst[a:b, None])
+            i, j = np.nonzero((s > worst[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b]))
             other = nodes[a + i] != nodes[a + j]
             i, j = i[other], j[other]
             out.append((nodes[a + i], nodes[a + j], s[i, j]))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.float32)]
-        return pa.RecordBatch.from_arrays([pa.array(cols[0]), pa.array(cols[1]), pa.array(cols[2].astype(np.float32))], schema=_EDGES)
+        return _fresh(*cols)
 
     for part in parts:
         if not part.num_rows:
@@ -236,9 +236,12 @@ class Index:
         self.scratch, self.nodes, self.halves, self.ids, self.members, self.graph, self.count = scratch, nodes, halves, ids, members, graph, count
 
 
-def build(vectors: DataFrame, k: int = 20, graph_k: int = 24, trees: int = 16, rounds: int = 2, share: float = 0.5,
+def build(vectors: DataFrame, k: int = 20, graph_k: int = 24, trees: int = 16, delta: float = 0.001,
           seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
-    """Index of all valid rows of ``vectors`` (see :func:`search`); serves up to ``k`` results per query."""
+    """Index of all valid rows of ``vectors`` (see :func:`search`); serves up to ``k`` results per query.
+
+    The descent ends after a round that changes at most the share ``delta`` of the edges.
+    """
     spark = vectors.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "nn-descent")
@@ -266,18 +269,27 @@ def build(vectors: DataFrame, k: int = 20, graph_k: int = 24, trees: int = 16, r
     blocks = (coded.repartitionByRange(shuffle_partitions(spark), "tree", "code", "node").sortWithinPartitions("tree", "code", "node")
               .mapInArrow(_blocks(BLOCK, BLOCK_K), _EDGES_SQL))
     graph = scratch.save(_nearest(blocks, graph_k), "graph0")
-    for r in range(1, rounds + 1):
+    split = None
+    for r in count_up(1):
         worst = graph.groupBy("node").agg(F.count("*").alias("n"), F.min("score").alias("least")).select(
             "node", F.when(F.col("n") >= graph_k, F.col("least")).otherwise(F.lit(float("-inf")).cast("float")).alias("worst"))
         told = halves.join(worst, "node", "left").select(F.col("node").alias("member"), "half", "norm", F.coalesce("worst", F.lit(float("-inf")).cast("float")).alias("worst"))
-        pairs = scratch.save(graph.mapInArrow(_pairs(r, share), "centre long, member long").distinct(), f"pairs{r}")
-        hubs = pairs.groupBy("centre").agg(F.count("*").alias("n")).filter(F.col("n") > MEET)
-        salt = F.coalesce(F.pmod(F.xxhash64("member", F.lit(r)), F.ceil(F.col("n") / MEET)), F.lit(0))
-        met = (pairs.join(hubs, "centre", "left").select("member", F.xxhash64("centre", salt).alias("group"))
-               .join(told, "member").select("group", F.col("member").alias("node"), "half", "norm", "worst"))
+        pairs = graph.mapInArrow(_pairs, "centre long, member long, fresh boolean")
+        pairs = scratch.save(pairs.groupBy("centre", "member").agg(F.min("fresh").alias("fresh")), f"pairs{r}")
+        centres = scratch.save(pairs.groupBy("centre").agg(F.count("*").alias("n"), F.max("fresh").alias("any")), f"centres{r}")
+        # pairs of a split centre may never have met: none of its members counts as old from then on
+        hubs = scratch.save(centres.filter(F.col("n") > MEET).select("centre"), f"hubs{r}")
+        split = hubs if split is None else scratch.save(split.unionByName(hubs).distinct(), f"split{r}")
+        busy = centres.join(split.withColumn("all", F.lit(True)), "centre", "left").filter("any or all").select("centre", "n", F.col("all").isNotNull().alias("all"))
+        salt = F.pmod(F.xxhash64("member", F.lit(r)), F.ceil(F.col("n") / MEET))
+        met = (pairs.join(busy, "centre").select("member", F.xxhash64("centre", salt).alias("group"), (F.col("fresh") | F.col("all")).alias("fresh"))
+               .join(told, "member").select("group", F.col("member").alias("node"), "half", "norm", "worst", "fresh"))
         met = met.repartition("group").sortWithinPartitions("group").mapInArrow(_meet, _EDGES_SQL)
-        graph = scratch.save(_nearest(graph.unionByName(met), graph_k), f"graph{r}")
-        scratch.drop(f"pairs{r}", f"graph{r - 1}")
+        graph = scratch.save(_nearest(graph.withColumn("fresh", F.lit(False)).unionByName(met), graph_k), f"graph{r}")
+        scratch.drop(f"pairs{r}", f"centres{r}", f"graph{r - 1}")
+        edges, changed = graph.agg(F.count("*"), F.count_if("fresh")).first()
+        if changed <= delta * edges:
+            break
     return Index(scratch, nodes, halves, ids, members, graph, count)
 
 
@@ -493,7 +505,7 @@ def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree
     """
     scratch, spark = index.scratch, queries.sparkSession
     cells = max(1, -(-index.count // CELL_NODES))
-    both = index.graph.unionByName(index.graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "score"))
+    both = index.graph.unionByName(index.graph.select(F.col("near").alias("node"), F.col("node").alias("near"), "score", "fresh"))
     lists = _nearest(both, degree).repartition("node").sortWithinPartitions("node").mapInArrow(_packed, "node long, ids binary")
     placed = scratch.save(index.halves.join(lists, "node", "left").select("node", "half", "norm", "ids").mapInArrow(_celled(cells), _CELL_SQL), "cells")
     sample = index.halves.orderBy(F.xxhash64("node")).limit(ENTRIES).toArrow()
@@ -527,7 +539,7 @@ def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree
     return scratch.save(pairs.mapInArrow(_exact, "query long, near long, score double"), "found")
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24, trees: int = 16, rounds: int = 2, beam: int = 96, head: int = 48,
+def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24, trees: int = 16, delta: float = 0.001, beam: int = 96, head: int = 48,
            degree: int = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row whose id is divisible by ``every``.
 
@@ -540,7 +552,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24,
     each and may be found with each.  Other columns are ignored; an empty
     table gives no rows.
     """
-    index = build(vectors, k, graph_k, trees, rounds, id_col=id_col, vector_col=vector_col)
+    index = build(vectors, k, graph_k, trees, delta, id_col=id_col, vector_col=vector_col)
     asking = index.ids.filter(F.col("vec_id") % every == 0)
     own = index.nodes.join(asking.select("node").distinct(), "node", "left_semi")
     queries = index.scratch.save(own.select(F.col("node").alias("query"), "data", F.col("node").alias("own")), "queries")

@@ -250,6 +250,20 @@ def test_nearest_neighbours_recall(spark):
     assert hits / (20 * len(got)) >= 0.9
 
 
+def test_descent_reaches_what_the_start_blocks_miss(spark, monkeypatch):
+    """24 times more rows than the start blocks of both trees cover: the neighbours have to come from the descent."""
+    monkeypatch.setattr(nn_descent, "BLOCK", 64)
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x / np.linalg.norm(x, axis=1, keepdims=True))], "vec_id long, embedding array<double>")
+    x = np.array([r.embedding for r in df.orderBy("vec_id").collect()])
+    near = nn_descent.build(df, trees=2).graph.filter("node % 10 = 0").collect()
+    s = x @ x.T
+    np.fill_diagonal(s, -9)
+    want = {i: set(np.argsort(-s[i])[:24].tolist()) for i in range(0, len(x), 10)}
+    assert sum(r.near in want[r.node] for r in near) / (24 * len(want)) > 0.95
+
+
 def test_queries_and_pipeline_run_on_the_small_tables(spark):
     import corpus_pipeline
 
