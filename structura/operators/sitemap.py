@@ -9,6 +9,7 @@ decides the branch.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,13 +72,28 @@ def _clean(c: Column) -> Column:
 # --- P1-P3 --------------------------------------------------------------------
 # ``from_xml`` says whether the text is well formed.  The records are then
 # read from the text itself, as elements are matched by name and namespace
-# at any depth, which a fixed schema can't express.  Comments and CDATA are
-# out of the way first, so a tag that the patterns see is a tag.
+# at any depth, which a fixed schema can't express.  Comments are out of the
+# way first and CDATA sections are escaped text, so a tag that the patterns
+# see is a tag.
 _ONE_ROOT_RE = (r"(?s)\A(?:\s*<\?.*?\?>)*\s*(?:<!DOCTYPE[^>]*>\s*)?<([^\s/>!?]+)(?:\s[^>]*)?(?:/>|>.*</\1\s*>)"
                 r"(?:\s|<\?.*?\?>)*\z")
+# a comment, a CDATA section, a processing instruction, or a tag or text up to the next "<"
+_TOKEN_RE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<[^<]*+|[^<]++"
 _RECORD = "array<struct<url:string,lastmod:string,changefreq:string,priority:string,method:string>>"
 
 
+def _escaped(content: Column) -> Column:
+    return F.replace(F.replace(xml_escape(content), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&apos;"))
+
+
+def _plain(xml: Column, of_cdata: Callable[[Column], Column] = _escaped) -> Column:
+    """The text without comments, with ``of_cdata`` of its content for every CDATA section."""
+    tokens = F.regexp_extract_all(xml, F.lit(_TOKEN_RE), F.lit(0))
+    texts = F.transform(tokens, lambda t: F.when(t.startswith("<!--") & t.endswith("-->"), "").when(
+        t.startswith("<![CDATA[") & t.endswith("]]>"), of_cdata(F.substring(t, F.lit(10), F.length(t) - 12))).otherwise(t))
+    return F.when(xml.contains("<![CDATA["), F.array_join(texts, "")).otherwise(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""))
+
+
 def _prefixes(xml: Column) -> Column:
     """Prefixes (with their colon; '' for the default) bound to the sitemap namespace."""
     found = F.regexp_extract_all(xml, F.lit(r"\sxmlns(:" + _ANY + r")?\s*=\s*[\"']" + re.escape(SITEMAP_NS) + "[\"']"), 1)
@@ -110,7 +126,7 @@ def _text_of(block: Column, prefix: Column, name: str) -> Column:
 
 
 def _entries(xml: Column, require_namespace: bool) -> Column:
-    text = F.regexp_replace(xml, r"(?s)<!--.*?-->", "")
+    text = _plain(xml)
     prefixes = _prefixes(text) if require_namespace else F.array_distinct(
         F.regexp_extract_all(text, F.lit(r"<((?:" + _ANY + r":)?)url[\s>]"), 1))
 
@@ -139,7 +155,7 @@ def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",), require
     locs = F.transform(F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1), lambda u: F.struct(
         u.alias("url"), F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"), F.lit("regex").alias("method")))
     # from_xml stops after the root element; what follows it must be looked at, too
-    whole = F.regexp_replace(F.col("xml"), r"(?s)<!--.*?-->", "").rlike(_ONE_ROOT_RE)
+    whole = _plain(F.col("xml"), lambda _: F.lit("x")).rlike(_ONE_ROOT_RE)
     found = F.when(parsed["_corrupt"].isNotNull() | ~whole, locs.cast(_RECORD)).otherwise(_entries(F.col("xml"), require_namespace).cast(_RECORD))
     return (docs.select(*keys, F.posexplode_outer(found).alias("pos", "u")).filter(F.col("u.url").isNotNull())
             .select(*keys, F.col("pos").cast("bigint").alias("pos"), _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq",

@@ -89,6 +89,23 @@ def test_namespace_rules_and_regex_fallback(spark):
     assert sorted(r.site_id for r in relaxed.collect()) == ["foreign", "none", "unused"]
 
 
+def test_cdata_sections_are_text(spark):
+    """Values in CDATA are read as they are, in whole or in part; in a comment or behind the root it is no text."""
+    def one(loc, lastmod="", tail=""):
+        return f'{S.XML_DECL}\n<urlset xmlns="{NS}"><url><loc>{loc}</loc><lastmod>{lastmod}</lastmod></url></urlset>{tail}'
+
+    docs = {
+        "whole": one("<![CDATA[https://e.com/a?x=1&y=2]]>", "<![CDATA[ 2024-01-02 ]]>"), "part": one("https://e.com/<![CDATA[a]]>&amp;<![CDATA[b]]>"),
+        "entity": one("<![CDATA[a&amp;b&#38;c<loc>d</loc>\"']]>"), "comment": one("a<!-- <![CDATA[ -->b<![CDATA[<!--c-->]]>"),
+        "empty": one("<![CDATA[]]>"), "brackets": one("\n  <![CDATA[a]b]]c>]]>\n"), "behind": one("a", "", "<![CDATA[]]>"),
+        "prefix": one("<![CDATA[p]]>").replace("<", "<s:").replace("<s:/", "</s:").replace("<s:!", "<!").replace("<s:?", "<?").replace("xmlns=", "xmlns:s="),
+    }
+    by = {r.site_id: (r.url, r.lastmod, r.method) for r in S.sitemap_parse(_docs(spark, docs)).collect()}
+    assert by == {"whole": ("https://e.com/a?x=1&y=2", "2024-01-02", "xml"), "part": ("https://e.com/a&b", "", "xml"),
+                  "entity": ("a&amp;b&#38;c<loc>d</loc>\"'", "", "xml"), "comment": ("ab<!--c-->", "", "xml"), "empty": ("", "", "xml"),
+                  "brackets": ("a]b]]c>", "", "xml"), "behind": ("a", "", "regex"), "prefix": ("p", "", "xml")}
+
+
 def test_chunks_follow_each_other(spark):
     """Dense and sparse positions give the same documents, and a tree of chunked documents keeps its order."""
     urls = [f"http://shop.test/{name}" for name in "fbdaec"]
