@@ -266,6 +266,17 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     often as they come.  Other columns are ignored; an empty table gives no
     rows.
     """
+    return (_labelled(docs, shingle, radius, seed, id_col, text_col)
+            .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
+
+
+def _labelled(docs: DataFrame, shingle: int, radius: int, seed: int, id_col: str, text_col: str) -> DataFrame:
+    """``doc_id, print, component_id, first_print``: one row per row of ``docs``.
+
+    ``first_print`` names the component, which a null or repeated id
+    doesn't: of the fingerprints that have the component's smallest id
+    the smallest.
+    """
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "simhash")
@@ -285,26 +296,54 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     linked = member.select(F.col("a").alias("print"), F.col("b").alias("root")).unionByName(
         member.select(F.col("b").alias("print"), F.col("b").alias("root")).distinct())
     named = linked.join(owners, "print")
-    names = named.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = named.join(names, "root").select("print", "component_id")
+    first = F.struct(F.col("least_id").isNull().alias("none"), "least_id", "print")
+    names = named.groupBy("root").agg(F.min(first).alias("first"))
+    named = named.join(names, "root").select("print", F.col("first.least_id").alias("component_id"), F.col("first.print").alias("first_print"))
     named = scratch.save(named, "named")
-    owners = owners.join(named, "print", "left").select("print", F.coalesce("component_id", "least_id").alias("component_id"), "n")
+    owners = owners.join(named, "print", "left").select("print", F.coalesce("component_id", "least_id").alias("component_id"),
+                                                        F.coalesce("first_print", "print").alias("first_print"), "n")
     total = owners.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return (join_groups(rows, scratch.save(owners, "groups"), "print", "n", total)
-            .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
+            .select("doc_id", "print", "component_id", "first_print"))
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose id names their component, all columns as they were.
+    """One row of ``docs`` of each component, all columns as they were.
 
-    Rows repeated with that id stay as often as they come; rows of a
-    component without any id stay.
+    It has the component's smallest id (none, where no row has one) and of
+    the fingerprints with that id the smallest; of rows equal in both the
+    one with the least text stays.
     """
     scratch = Scratch(docs.sparkSession, "simhash-drops")
-    found = near_duplicates(docs, shingle, radius, id_col=id_col, text_col=text_col)
-    gone = scratch.save(found.filter("not doc_id <=> component_id").select(F.col("doc_id").alias(_GONE)).distinct(), "gone")
-    return docs.join(small_enough(gone, gone.count(), 16), F.col(id_col).cast("long").eqNullSafe(F.col(_GONE)), "left_anti")
-
-
-#: A name that no column of a caller's table has.
-_GONE = "structura_gone_id"
+    rows = _labelled(docs, shingle, radius, 42, id_col, text_col)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("print") == F.col("first_print"))
+    changed = rows.groupBy("doc_id", "print").agg(F.max(stays).alias("stays"), F.count("*").alias("copies"))
+    changed = scratch.save(changed.filter("not stays or copies > 1").select(
+        F.col("doc_id").alias(_ID), F.col("print").alias(_PRINT), F.col("stays").alias(_STAYS)), "changed")
+    n = changed.count()
+    if not n:
+        return docs
+    seen = docs.withColumn(_OWN, _print_column(shingle)(F.col(text_col).cast("string")))
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(_ID)) & (F.col(_OWN) == F.col(_PRINT))
+    left = seen.join(small_enough(changed, n, 32), same, "left_anti").select(*docs.columns)
+    repeated = changed.filter(_STAYS)
+    n = repeated.count()
+    if not n:
+        return left
+    one = seen.join(small_enough(repeated, n, 32), same).groupBy(_ID, _PRINT).agg(
+        F.min_by(F.struct(*docs.columns), F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias(_ROW))
+    return left.unionByName(one.select(f"{_ROW}.*"))
+
+
+def _print_column(shingle: int, seed: int = 42):
+    """Fingerprint of a text column, as a long."""
+    def run(texts: pa.Array) -> pa.Array:
+        return pa.array(fingerprints(utf8_bytes(texts), shingle, seed).view(np.int64))
+
+    run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, "long")
+
+
+#: Names that no column of a caller's table has.
+_ID, _PRINT, _STAYS = "structura_gone_id", "structura_gone_print", "structura_gone_stays"
+_OWN, _ROW = "structura_own_print", "structura_row"

@@ -126,6 +126,20 @@ def test_simhash_equals_brute_force(spark, words):
     assert kept == {i for i, (_, c) in got.items() if i == c}
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark, words):
+    """Null and repeated ids whose texts differ: each component of texts keeps one row, whatever its ids."""
+    texts = [words(60) for _ in range(9)]
+    near = [t + "  " for t in texts]  # other text, same fingerprint
+    rows = [(3, texts[0]), (None, near[0]), (None, texts[1]), (None, texts[2]), (None, near[2]),
+            (5, texts[3]), (5, near[0]), (5, texts[4]), (5, near[4]), (7, texts[5]), (7, texts[5]), (8, near[5]),
+            (None, texts[6]), (9, near[6]), (5, texts[7]), (4, near[7]), (None, None), (11, ""), (12, texts[8])]
+    left = simhash.keep_first(docs_df(spark, rows))
+    assert left.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    want = [(3, texts[0]), (None, texts[1]), (None, texts[2]), (5, texts[3]), (5, texts[4]), (7, texts[5]), (9, near[6]), (4, near[7]),
+            (11, ""), (12, texts[8])]
+    assert sorted([(r.doc_id, r.text) for r in left.collect()], key=str) == sorted(want, key=str)
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_bit_sliced_pairs_equal_popcount(radius):
     rng = np.random.default_rng(radius)
