@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nn_descent, toxicity, warc
+from . import nn_descent, toxicity, vector_codes, warc
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
@@ -99,3 +99,8 @@ def op2_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_nn_descent")
 def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nn_descent.search(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), k=20, every=20)
+
+
+@query("op13_vector_codes", sql=vector_codes.oracle())
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
