@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nn_descent, toxicity, vector_codes, warc
+from . import nn_descent, prefix_trie, toxicity, vector_codes, warc
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
@@ -104,3 +104,8 @@ def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op13_vector_codes", sql=vector_codes.oracle())
 def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vector_codes.vector_codes(table(spark, sf_dir, "embeddings", "vec_id", "embedding", "label"))
+
+
+@query("op11_prefix_trie", sql=prefix_trie.ORACLE)
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
