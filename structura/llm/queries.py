@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import nn_descent, prefix_trie, toxicity, vector_codes, warc
+from . import nn_descent, prefix_trie, quality, toxicity, vector_codes, warc
 from .common import table
 from .exact_dedup import duplicate_groups
 from .lattice_lm import score_documents
@@ -109,3 +109,9 @@ def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op11_prefix_trie", sql=prefix_trie.ORACLE)
 def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefix_trie.prefix_trie(table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text"))
+
+
+@query("op12_quality")
+def op12_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return quality.score_documents(docs, quality.train(docs, table(spark, sf_dir, "labels", "doc_id", "quality")))
