@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import csvre
+from ..functions.settle import settled
 from ..functions.text import is_blank, na_to_null, py_strip
 
 # --- fixed values -----------------------------------------------------------
@@ -107,16 +108,6 @@ def _mangle(header: Column) -> Column:
         .otherwise(x))
 
 
-def _settled(df: DataFrame) -> DataFrame:
-    """``df`` with every column worked out once per row.
-
-    Catalyst merges projections, and a column that a lambda reads would be
-    worked out again for each element; it does not merge across a generator.
-    """
-    one = F.array(F.struct(*[F.col(c) for c in df.columns]))
-    return df.select(F.explode_outer(one).alias("_s")).select("_s.*")  # outer: no filter is inferred that would repeat the work
-
-
 # I2-I10 ---------------------------------------------------------------------
 def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     """One row per file with every per-file result of the parse.
@@ -132,7 +123,7 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     df = decode(files)
     text = F.col("text")
     delim = detect_delimiter(text) if dialect == "auto" else F.lit(",")
-    df = _settled(df.withColumn("delimiter", delim).withColumn("lines", F.split(text, "\n", -1)))
+    df = settled(df.withColumn("delimiter", delim).withColumn("lines", F.split(text, "\n", -1)))
     d = F.col("delimiter")
     kw_line = _pos(F.col("lines"), lambda l: _contains_any(F.lower(l), HEADER_KEYWORDS) & (_count(l, d) >= 2))
     any_line = _pos(F.col("lines"), lambda l: _count(l, d) >= 2)
@@ -154,9 +145,9 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
         r.alias("raw"),
         F.transform(F.regexp_extract_all(F.concat(d, r), cell_re, 1), _unquote).alias("cells")))
     non_blank = F.filter(with_cells, lambda x: ~((F.size(x["cells"]) == 1) & is_blank(x["cells"][0])))
-    df = _settled(df.withColumn("nb", non_blank))
+    df = settled(df.withColumn("nb", non_blank))
     header = _mangle(F.coalesce(F.get(F.col("nb"), 0)["cells"], F.array().cast("array<string>")))
-    df = _settled(df.withColumn("header", header))
+    df = settled(df.withColumn("header", header))
     unclosed = _re_for(d, csvre.unclosed_re)
     data = F.transform(F.slice(F.col("nb"), 2, n), lambda x, i: F.struct(
         i.cast("bigint").alias("rec_no"), x["raw"].alias("raw"),
@@ -170,13 +161,13 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
               .otherwise(F.lit("ok")))
     df = df.withColumn("status", status)
     ok = F.col("status") == "ok"
-    df = _settled(df.withColumn("data", F.when(ok, data).otherwise(F.array())).drop("nb", "lines", "text"))
+    df = settled(df.withColumn("data", F.when(ok, data).otherwise(F.array())).drop("nb", "lines", "text"))
     kept = F.filter(F.col("data"), lambda x: x["reason"].isNull())
     rows = F.transform(kept, lambda x, i: F.struct(i.cast("bigint").alias("row_id"), x["rec_no"].alias("rec_no"),
                                                    x["cells"].alias("cells")))
-    df = _settled(df.select("file_id", "encoding", "delimiter", "status", "header_kw_line", "header_any_line",
+    df = settled(df.select("file_id", "encoding", "delimiter", "status", "header_kw_line", "header_any_line",
                             "header_line", F.when(ok, F.col("header")).alias("header"), "data", rows.alias("rows")))
-    return _settled(df.withColumn("roles", _roles(F.col("header"))))
+    return settled(df.withColumn("roles", _roles(F.col("header"))))
 
 
 def _explode(parsed: DataFrame, arr: Column, name: str = "r") -> DataFrame:

@@ -2,20 +2,19 @@
 
 Parsing follows the reference's effective path: a structured reading that
 only accepts the sitemap namespace, and for malformed text a regex scan for
-``<loc>...</loc>``.  The corrupt-record column of Spark's ``from_xml``
-decides the branch.
+``<loc>...</loc>``.  The corrupt-record column of Spark's ``from_xml`` and
+the fold over the tags (``xmlfold``) decide the branch.
 """
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.order import ranked
+from ..functions.settle import settled
 from ..functions.text import PY_WS, py_strip
+from .xmlfold import document_entries, tags_and_text, without_doctype
 
 # --- fixed values -----------------------------------------------------------
 SITEMAP_NS = "http://www.sitemaps.org/schemas/sitemap/0.9"
@@ -31,7 +30,7 @@ CLOSE_FENCE_RE = r"(?i)```" + PY_WS + r"*\z"
 # ---------------------------------------------------------------------------
 
 URL_FIELDS = ("loc", "lastmod", "changefreq", "priority")
-_ANY = r"[A-Za-z_][A-Za-z0-9_.\-]*"
+
 
 def xml_escape(c: Column) -> Column:
     return F.replace(F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")),
@@ -70,96 +69,48 @@ def _clean(c: Column) -> Column:
 
 
 # --- P1-P3 --------------------------------------------------------------------
-# ``from_xml`` says whether the text is well formed.  The records are then
-# read from the text itself, as elements are matched by name and namespace
-# at any depth, which a fixed schema can't express.  Comments are out of the
-# way first and CDATA sections are escaped text, so a tag that the patterns
-# see is a tag.
-_ONE_ROOT_RE = (r"(?s)\A(?:\s*<\?.*?\?>)*\s*(?:<!DOCTYPE[^>]*>\s*)?<([^\s/>!?]+)(?:\s[^>]*)?(?:/>|>.*</\1\s*>)"
-                r"(?:\s|<\?.*?\?>)*\z")
-# a comment, a CDATA section, a processing instruction, or a tag or text up to the next "<"
-_TOKEN_RE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<[^<]*+|[^<]++"
-_RECORD = "array<struct<url:string,lastmod:string,changefreq:string,priority:string,method:string>>"
-
-
-def _escaped(content: Column) -> Column:
-    return F.replace(F.replace(xml_escape(content), F.lit('"'), F.lit("&quot;")), F.lit("'"), F.lit("&apos;"))
-
-
-def _plain(xml: Column, of_cdata: Callable[[Column], Column] = _escaped) -> Column:
-    """The text without comments, with ``of_cdata`` of its content for every CDATA section."""
-    tokens = F.regexp_extract_all(xml, F.lit(_TOKEN_RE), F.lit(0))
-    texts = F.transform(tokens, lambda t: F.when(t.startswith("<!--") & t.endswith("-->"), "").when(
-        t.startswith("<![CDATA[") & t.endswith("]]>"), of_cdata(F.substring(t, F.lit(10), F.length(t) - 12))).otherwise(t))
-    return F.when(xml.contains("<![CDATA["), F.array_join(texts, "")).otherwise(F.regexp_replace(xml, r"(?s)<!--.*?-->", ""))
-
+_RECORD = "array<struct<pos:bigint,url:string,lastmod:string,changefreq:string,priority:string,method:string>>"
 
-def _prefixes(xml: Column) -> Column:
-    """Prefixes (with their colon; '' for the default) bound to the sitemap namespace."""
-    found = F.regexp_extract_all(xml, F.lit(r"\sxmlns(:" + _ANY + r")?\s*=\s*[\"']" + re.escape(SITEMAP_NS) + "[\"']"), 1)
-    return F.transform(F.array_distinct(found), lambda p: F.when(p == "", p).otherwise(F.concat(F.substring(p, 2, 1 << 20), F.lit(":"))))
 
+def _entries(entries: Column) -> Column:
+    return F.transform(entries, lambda e: F.struct(
+        e["pos"].alias("pos"), e["loc"].alias("url"), *(_clean(e[f]).alias(f) for f in URL_FIELDS[1:]), F.lit("xml").alias("method"))).cast(_RECORD)
 
-def _numeric_references(c: Column) -> Column:
-    """``&#38;`` and ``&#x26;`` as characters."""
-    def char(part: Column) -> Column:
-        digits = F.regexp_extract(part, r"\A(x?[0-9A-Fa-f]{1,6});", 1)
-        code = F.when(digits.startswith("x"), F.conv(F.substring(digits, 2, 6), 16, 10)).otherwise(F.conv(digits, 10, 10)).try_cast("bigint")
-        one = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
-        return (F.when((digits != "") & code.between(1, 0x10FFFF), F.concat(one, F.substring(part, F.length(digits) + 2, F.lit(1 << 30))))
-                .otherwise(F.concat(F.lit("&#"), part)))
 
-    parts = F.split(c, "&#")
-    return F.when(c.contains("&#"), F.concat(F.get(parts, 0), F.array_join(F.transform(F.slice(parts, 2, F.size(parts)), char), ""))).otherwise(c)
+def parsed_entries(docs: DataFrame, require_namespace: bool = True) -> DataFrame:
+    """``docs`` (with ``xml``) and ``entries``: the entries of a well-formed document, null for a malformed one.
 
-
-def _text_of(block: Column, prefix: Column, name: str) -> Column:
-    """Text of the first child ``prefix:name`` of a block, null if there is none, '' if it is empty."""
-    tag = F.concat(prefix, F.lit(name))
-    pattern = F.concat(F.lit("(?s)<"), tag, F.lit(r"(?:\s[^>]*)?(?:/>|>(.*?)</"), tag, F.lit(r"\s*>)"))
-    inner = F.call_function("regexp_extract", block, pattern, F.lit(1))
-    plain = F.regexp_replace(inner, r"(?s)<[^>]*>.*", "")  # text before a nested element
-    for entity, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'")):
-        plain = F.replace(plain, F.lit(entity), F.lit(char))
-    plain = F.replace(_numeric_references(plain), F.lit("&amp;"), F.lit("&"))
-    return F.when(F.regexp_like(block, F.concat(F.lit("<"), tag, F.lit(r"[\s/>]"))), plain)
-
-
-def _entries(xml: Column, require_namespace: bool) -> Column:
-    text = _plain(xml)
-    prefixes = _prefixes(text) if require_namespace else F.array_distinct(
-        F.regexp_extract_all(text, F.lit(r"<((?:" + _ANY + r":)?)url[\s>]"), 1))
-
-    def of(prefix: Column) -> Column:
-        blocks = F.regexp_extract_all(text, F.concat(F.lit("(?s)<"), prefix, F.lit(r"url(?:\s[^>]*)?>(.*?)</"), prefix, F.lit(r"url\s*>")), 1)
-        return F.transform(blocks, lambda b: F.struct(
-            _text_of(b, prefix, "loc").alias("url"), _clean(_text_of(b, prefix, "lastmod")).alias("lastmod"),
-            _clean(_text_of(b, prefix, "changefreq")).alias("changefreq"), _clean(_text_of(b, prefix, "priority")).alias("priority"),
-            F.lit("xml").alias("method")))
-
-    return F.flatten(F.transform(prefixes, of))
+    ``from_xml`` judges the tags and the characters inside the root element;
+    the fold judges namespaces, entities and what stands outside the root.
+    Documents over the XML reader's own limits (elements nested over 1,000
+    deep, over 1,000 attributes in a tag) count as malformed.
+    """
+    plain = settled(docs.withColumn("plain", without_doctype(F.col("xml"))))
+    parsed = F.from_xml(F.col("plain"), "none STRING, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
+    formed = settled(plain.withColumn("plain", F.when(parsed["_corrupt"].isNull(), tags_and_text(F.col("plain")))))
+    return document_entries(formed, SITEMAP_NS if require_namespace else None)
 
 
 def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",), require_namespace: bool = True) -> DataFrame:
     """URL records ``keys, pos, url, lastmod, changefreq, priority, method``.
 
     Well-formed text: one record per ``<url>`` element of the sitemap
-    namespace, at any depth, that has a ``<loc>`` (its first); a namespace
-    that is declared but not used on the elements gives none.
-    ``require_namespace=False`` takes ``<url>`` of any namespace or none.
+    namespace, at any depth, that has a ``<loc>`` child in it (its first);
+    a namespace that is declared but not in scope gives none.
+    ``require_namespace=False`` takes ``<url>`` of any namespace or none,
+    and its children in the same one.
     Malformed text: every ``<loc>(.*?)</loc>``, entities left as they are,
     other fields empty.  ``pos`` is the element's place among the document's
-    ``<url>`` elements or matches.  Each document is read once.
+    ``<url>`` elements (also those without ``<loc>``) or matches.  A null
+    document gives no record.  Each document is read once.
     """
-    parsed = F.from_xml(F.col("xml"), "none STRING, _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    locs = F.transform(F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1), lambda u: F.struct(
-        u.alias("url"), F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"), F.lit("regex").alias("method")))
-    # from_xml stops after the root element; what follows it must be looked at, too
-    whole = _plain(F.col("xml"), lambda _: F.lit("x")).rlike(_ONE_ROOT_RE)
-    found = F.when(parsed["_corrupt"].isNotNull() | ~whole, locs.cast(_RECORD)).otherwise(_entries(F.col("xml"), require_namespace).cast(_RECORD))
-    return (docs.select(*keys, F.posexplode_outer(found).alias("pos", "u")).filter(F.col("u.url").isNotNull())
-            .select(*keys, F.col("pos").cast("bigint").alias("pos"), _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq",
-                    "u.priority", "u.method"))
+    locs = F.transform(F.regexp_extract_all(F.col("xml"), F.lit(LOC_RE), 1), lambda u, i: F.struct(
+        i.cast("bigint").alias("pos"), u.alias("url"), F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"),
+        F.lit("regex").alias("method")))
+    parsed = parsed_entries(docs.select(*keys, "xml"), require_namespace)
+    found = F.when(F.col("entries").isNull(), locs.cast(_RECORD)).otherwise(_entries(F.col("entries")))
+    return (parsed.select(*keys, F.explode_outer(found).alias("u")).filter(F.col("u.url").isNotNull())
+            .select(*keys, "u.pos", _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq", "u.priority", "u.method"))
 
 
 def sitewide_pos(records: DataFrame) -> DataFrame:

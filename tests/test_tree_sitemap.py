@@ -2,6 +2,8 @@
 write/parse round trip, XML fallbacks and reply extraction."""
 
 import random
+import re
+import xml.etree.ElementTree as ET
 from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
@@ -182,3 +184,78 @@ def test_tree_text_chunks_restore_the_text(spark):
     whole = T.tree_text(lines).first().text
     parts = T.tree_text(lines, chunk_lines=7).orderBy("chunk").collect()
     assert len(parts) > 1 and "\n".join(r.text for r in parts) == whole
+
+
+# --- the tag fold against ElementTree -------------------------------------------
+def _random_document(rng):
+    """Nested, prefixed and redeclared elements, comments, CDATA, DOCTYPE, entities, and some faults."""
+    def text():
+        if rng.random() < 0.004:
+            return rng.choice(["R&D", "&nbsp;", "<", "&e;"])
+        return rng.choice(["a", "b &amp; c", "&#65;&#x42;", "<![CDATA[<loc>x</loc></url>]]>", "x<!-- </url> -->y", " \n ", "é😀", "<?pi x?>z", "&lt;i&gt;"])
+
+    def attributes():
+        kinds = [f' xmlns="{rng.choice([S.SITEMAP_NS, "urn:o", ""])}"', f" xmlns:s='{rng.choice([S.SITEMAP_NS, 'urn:o'])}'", " title=\"a > b xmlns='x'\"", ' t:k="v"']
+        r = rng.random()
+        return rng.choice(kinds) if r < 0.2 else ' zz:k="v"' if r < 0.203 else ""
+
+    def element(depth):
+        prefix = rng.choice(["", "s:", "t:"]) if rng.random() < 0.3 else ""
+        name = rng.choice(["url", "url", "url", "group", "x"] if depth % 2 == 0 else ["loc", "loc", "loc", "lastmod", "priority", "changefreq", "x", "url"])
+        if rng.random() < 0.12:
+            return f"<{prefix}{name}{attributes()}/>"
+        inner = "".join(element(depth + 1) if rng.random() < 0.6 / (1 + depth * 0.3) else text() for _ in range(rng.randint(0, 4)))
+        return f"<{prefix}{name}{attributes()}>{inner}</{prefix}{name}{rng.choice(['', ' '])}>"
+
+    def flat():
+        return "<url><loc>u&amp;v</loc><priority>0.5</priority></url>"
+
+    head = rng.choice(['<?xml version="1.0"?>\n', "", "<!-- c -->\n", "\n\n"]) if rng.random() < 0.95 else ' <?xml version="1.0"?>'
+    head += rng.choice(["", "", "", "<!DOCTYPE urlset [<!ENTITY e \"ent &amp; x\"> <!-- it's ]> -->]>\n", '<!DOCTYPE urlset SYSTEM "a[b>c">\n'])
+    root = rng.choice(["urlset", "urlset", "s:urlset", "url"])
+    spaces = f' xmlns="{rng.choice([S.SITEMAP_NS, S.SITEMAP_NS, "urn:o"])}" xmlns:s="{rng.choice([S.SITEMAP_NS, "urn:o"])}" xmlns:t="{rng.choice([S.SITEMAP_NS, "urn:t"])}"'
+    plain = rng.random() < 0.4
+    body = "".join(flat() if plain and rng.random() < 0.8 else element(0) if rng.random() < 0.85 else text() for _ in range(rng.randint(0, 8)))
+    tail = rng.choice(["", "\n", "<!-- t -->", "\n\n<?p i?>\n"]) if rng.random() < 0.95 else rng.choice(["x", "<a/>", "<?xml version='1.0'?>"])
+    return f"{head}<{root}{spaces}>{body}</{root}>{tail}"
+
+
+def _element_tree(xml):
+    ns = "{%s}" % S.SITEMAP_NS
+    try:
+        root = ET.fromstring(xml)
+    except ET.ParseError:
+        return [(i, u.strip(), "", "", "", "regex") for i, u in enumerate(re.findall(r"<loc>(.*?)</loc>", xml))]
+    value = lambda e: "" if e is None or not e.text else e.text.strip()
+    return [(pos, *(value(u.find(ns + f)) for f in S.URL_FIELDS), "xml") for pos, u in enumerate(root.findall(f".//{ns}url")) if u.find(ns + "loc") is not None]
+
+
+def _found(spark, docs):
+    got = {k: [] for k in docs}
+    for r in S.sitemap_parse(spark.createDataFrame(list(docs.items()), "site_id string, xml string").repartition(8)).collect():
+        got[r.site_id].append((r.pos, r.url, r.lastmod, r.changefreq, r.priority, r.method))
+    return {k: sorted(v) for k, v in got.items()}
+
+
+def test_random_documents_equal_element_tree(spark):
+    rng = random.Random(11)
+    docs = {f"d{i}": _random_document(rng) for i in range(1_000)}
+    want = {k: _element_tree(x) for k, x in docs.items()}
+    assert _found(spark, docs) == want
+    kinds = [w[0][-1] for w in want.values() if w]
+    assert kinds.count("xml") > 300 and kinds.count("regex") > 50
+
+
+def test_named_cases_equal_element_tree(spark):
+    one, ns = "<url><loc>a</loc></url>", S.SITEMAP_NS
+    docs = {
+        "redeclared": f'<urlset xmlns="{ns}"><url xmlns="urn:other"><loc>no</loc></url>{one}</urlset>',
+        "inner loc": f'<urlset xmlns="{ns}"><url><alt><loc>inner</loc></alt><loc>own</loc></url></urlset>',
+        "two prefixes": f'<urlset xmlns:a="{ns}" xmlns:b="{ns}"><b:url><b:loc>1</b:loc></b:url><a:url><b:loc>2</b:loc></a:url></urlset>',
+        "subset": f'<!DOCTYPE urlset [<!ENTITY who "w&amp;o">]><urlset xmlns="{ns}"><url><loc>&who;</loc><lastmod>2024-01-01</lastmod></url></urlset>',
+        "empty url": f'<urlset xmlns="{ns}"><url />{one}<url/></urlset>', "no root close": f'<urlset xmlns="{ns}">{one}', "null": None,
+        "blank behind": f'<urlset xmlns="{ns}">{one}</urlset>' + "\n" * 1_000_000, "blank before": "\n" * 100_000 + f'<urlset xmlns="{ns}">{one}</urlset>',
+        "comments": f'<urlset xmlns="{ns}">{one}</urlset>' + "<!-- c -->\n" * 100_000, "instructions": f'<urlset xmlns="{ns}">{one}</urlset>' + "<?p i?>" * 100_000,
+        "many": f'<urlset xmlns="{ns}" xmlns:i="urn:i">' + f"{one}<url><loc>b</loc><i:image><i:loc>z</i:loc></i:image></url>" * 2_000 + "</urlset>",
+    }
+    assert _found(spark, docs) == {k: _element_tree(x) if x is not None else [] for k, x in docs.items()}
