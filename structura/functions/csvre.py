@@ -1,5 +1,5 @@
-"""CSV record and cell patterns (one dialect: ``,`` or any single
-delimiter, ``"`` quoting with doubled quotes) in Java regex.
+"""CSV record and cell patterns (a dialect: one delimiter, one quote character
+that is doubled inside quotes) in Java regex.
 
 All repeats are possessive: no field can be read in two ways, so nothing is
 lost, and Java runs them as loops.  Greedy repeats of a group recurse once
@@ -25,35 +25,36 @@ def _d(delim: str) -> str:
     return re.escape(delim) if delim not in "\t" else r"\t"
 
 
-def field_re(delim: str = ",") -> str:
-    d = _d(delim)
-    open_quoted = r'"[^"]*+(?:""[^"]*+)*+'
-    return (f'(?:{open_quoted}"[^{d}\\n"]*+'
-            rf'|{open_quoted}\z'
-            f'|[^{d}"\\n][^{d}\\n]*+)?+')
+def field_re(delim: str = ",", quote: str = '"') -> str:
+    d, q = _d(delim), quote
+    open_quoted = f"{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+"
+    return (f"(?:{open_quoted}{q}[^{d}\\n{q}]*+"
+            rf"|{open_quoted}\z"
+            f"|[^{d}{q}\\n][^{d}\\n]*+)?+")
 
 
-def record_re(delim: str = ",") -> str:
+def record_re(delim: str = ",", quote: str = '"') -> str:
     d = _d(delim)
-    f = field_re(delim)
+    f = field_re(delim, quote)
     return f"({f}(?:{d}{f})*+)(?:\\n|\\z)"
 
 
-def cell_re(delim: str = ",") -> str:
+def cell_re(delim: str = ",", quote: str = '"') -> str:
     """Applied to ``delim + record``: group 1 is one raw cell."""
     d = _d(delim)
-    return f"{d}({field_re(delim)})"
+    return f"{d}({field_re(delim, quote)})"
 
 
-def unclosed_re(delim: str = ",") -> str:
+def unclosed_re(delim: str = ",", quote: str = '"') -> str:
     """A record whose last field opens a quote that never closes.  Anchored
     at the record start and read field by field, so a quoted cell that ends
     in ``,"`` is not mistaken for a delimiter plus an opening quote."""
-    d = _d(delim)
-    closed = f'(?:"[^"]*+(?:""[^"]*+)*+"[^{d}\\n"]*+|[^{d}"\\n][^{d}\\n]*+)?+'
-    return f'\\A(?:{closed}{d})*+"[^"]*+(?:""[^"]*+)*+\\z'
+    d, q = _d(delim), quote
+    closed = f"(?:{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+{q}[^{d}\\n{q}]*+|[^{d}{q}\\n][^{d}\\n]*+)?+"
+    return f"\\A(?:{closed}{d})*+{q}[^{q}]*+(?:{q}{q}[^{q}]*+)*+\\z"
 
 
-# Quoted cell: inner text (doubled quotes, newlines allowed) and the junk
-# after the closing quote.
-QUOTED_CELL_RE = r'\A"([^"]*+(?:""[^"]*+)*+)"([^"]*+)\z'
+def quoted_cell_re(quote: str = '"') -> str:
+    """Quoted cell: inner text (doubled quotes, newlines allowed) and the junk after the closing quote."""
+    q = quote
+    return rf"\A{q}([^{q}]*+(?:{q}{q}[^{q}]*+)*+){q}([^{q}]*+)\z"

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import csvre
-from ..functions.settle import settled
+from ..functions.settle import let, settled
 from ..functions.text import is_blank, na_to_null, py_strip
 
 # --- fixed values -----------------------------------------------------------
@@ -29,7 +29,7 @@ CLIENT_SAMPLE_ROWS = 5
 CLIENT_VALUE_MAX_LEN = 100
 DEFAULT_NAME = "sitemap"
 DELIMITERS = [",", ";", "\t", "|"]       # candidates for dialect='auto'
-QUOTED_SPAN_RE = r'"[^"]*"'             # removed before counting delimiters
+QUOTES = ['"', "'"]
 # ---------------------------------------------------------------------------
 
 BOM_RE = r"\A\x{FEFF}"
@@ -66,36 +66,54 @@ def _pos(arr: Column, pred) -> Column:
 
 
 # I7 --------------------------------------------------------------------------
-def detect_delimiter(text: Column) -> Column:
-    """Opt-in dialect sniffing.  Quoted spans are removed first (they may
-    hold delimiters and newlines); over all non-blank lines left, the
-    candidate found on the most lines wins, then the one found most often,
-    then the earlier candidate.  None found: comma."""
-    bare = F.regexp_replace(text, QUOTED_SPAN_RE, "")
-    lines = F.filter(F.split(bare, "\n", -1), lambda l: ~is_blank(l))
-
-    def score(d: str) -> Column:
-        counts = F.transform(lines, lambda l: _count(l, F.lit(d)))
-        return F.struct(F.size(F.filter(counts, lambda c: c > 0)).alias("n_lines"),
-                        F.aggregate(counts, F.lit(0), lambda a, c: a + c).alias("total"))
-
-    scored = F.array(*[F.struct(score(d).alias("score"), F.lit(-i).alias("rank"), F.lit(d).alias("delim"))
-                       for i, d in enumerate(DELIMITERS)])
-    best = F.array_max(scored)
-    return F.when(best["score"]["n_lines"] > 0, best["delim"]).otherwise(F.lit(","))
-
-
-def _re_for(delim: Column, make) -> Column:
-    expr = F.lit(make(DELIMITERS[0]))
-    for d in DELIMITERS[1:]:
-        expr = F.when(delim == d, F.lit(make(d))).otherwise(expr)
+def detect_dialect(text: Column) -> Column:
+    """Opt-in dialect sniffing: ``struct<delimiter, quote>``.
+
+    For each delimiter and quote character the text is cut into records and
+    fields under quotes, and the numbers of fields give a histogram over the
+    non-blank records.  The score is the share of records with the most
+    frequent number above one (the larger number on ties).  On equal scores
+    the dialect wins whose delimiter is less often followed by a space (as
+    it is in prose), then the one with more fields that begin with its
+    quote, then the earlier candidate.  No delimiter found: comma and ``"``.
+    """
+    def candidate(d: str, q: str, order: int) -> Column:
+        records = F.filter(F.regexp_extract_all(text, F.lit(csvre.record_re(d, q)), F.lit(1)), lambda r: ~is_blank(r))
+        widths = F.transform(records, lambda r: F.size(F.regexp_extract_all(F.concat(F.lit(d), r), F.lit(csvre.cell_re(d, q)), F.lit(1))))
+
+        def share(w: Column) -> Column:
+            most = F.array_max(F.transform(F.array_distinct(F.filter(w, lambda n: n > 1)), lambda n: F.size(F.filter(w, lambda m: m == n))))
+            return F.coalesce(most, F.lit(0)) / F.greatest(F.size(w), F.lit(1))
+
+        times = _count(text, F.lit(d))
+        loose = (F.length(text) - F.length(F.replace(text, F.lit(d + " "), F.lit("")))) / 2
+        begun = F.regexp_count(text, F.lit(r"(?:\A|[\n" + ("\\t" if d == "\t" else d) + "])" + q))
+        rank = F.struct(let(widths, share).cast("double").alias("share"), (1 - loose / F.greatest(times, F.lit(1))).cast("double").alias("tight"),
+                        begun.cast("int").alias("begun"), F.lit(-order).alias("order"), F.lit(d).alias("delimiter"), F.lit(q).alias("quote"))
+        there = text.contains(d) if q == QUOTES[0] else text.contains(d) & (begun > 0)
+        return F.when(there, rank)
+
+    best = F.array_max(F.array(*[candidate(d, q, len(QUOTES) * i + k) for i, d in enumerate(DELIMITERS) for k, q in enumerate(QUOTES)]))
+    return let(best, lambda b: F.when(b["share"] > 0, F.struct(b["delimiter"].alias("delimiter"), b["quote"].alias("quote")))
+               .otherwise(F.struct(F.lit(DELIMITERS[0]).alias("delimiter"), F.lit(QUOTES[0]).alias("quote"))))
+
+
+def _re_for(delim: Column, quote: Column, make, dialect: str) -> Column:
+    """The pattern of a file's dialect; one literal if all files have the same."""
+    expr = F.lit(make(DELIMITERS[0], QUOTES[0]))
+    if dialect == "auto":
+        for d in DELIMITERS:
+            for q in QUOTES:
+                expr = F.when((delim == d) & (quote == q), F.lit(make(d, q))).otherwise(expr)
     return expr
 
 
-def _unquote(c: Column) -> Column:
-    q = csvre.QUOTED_CELL_RE
-    inner = F.replace(F.regexp_extract(c, q, 1), F.lit('""'), F.lit('"'))
-    return F.when(c.rlike(q), F.concat(inner, F.regexp_extract(c, q, 2))).otherwise(c)
+def _unquote(c: Column, quote: Column, dialect: str) -> Column:
+    def of(q: str) -> Column:
+        pattern = csvre.quoted_cell_re(q)
+        inner = F.replace(F.regexp_extract(c, pattern, 1), F.lit(q + q), F.lit(q))
+        return F.when(c.rlike(pattern), F.concat(inner, F.regexp_extract(c, pattern, 2))).otherwise(c)
+    return F.when(quote == QUOTES[1], of(QUOTES[1])).otherwise(of(QUOTES[0])) if dialect == "auto" else of(QUOTES[0])
 
 
 def _mangle(header: Column) -> Column:
@@ -115,15 +133,16 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     ``files``: ``file_id, content BINARY`` (null content = over the limit
     that the reader was given).  ``dialect``: ``'comma'`` (the reference: comma in effect the only
     delimiter) or ``'auto'`` (I7).
-    Output columns: ``file_id, encoding, delimiter, status, header_kw_line,
+    Output columns: ``file_id, encoding, delimiter, quote, status, header_kw_line,
     header_any_line, header_line, header ARRAY<STRING>, data
     ARRAY<STRUCT<rec_no, raw, cells, reason>>, rows ARRAY<STRUCT<row_id,
     rec_no, cells>>, roles STRUCT<q_idx, a_idx>``.
     """
     df = decode(files)
     text = F.col("text")
-    delim = detect_delimiter(text) if dialect == "auto" else F.lit(",")
-    df = settled(df.withColumn("delimiter", delim).withColumn("lines", F.split(text, "\n", -1)))
+    found = detect_dialect(text) if dialect == "auto" else F.struct(F.lit(DELIMITERS[0]).alias("delimiter"), F.lit(QUOTES[0]).alias("quote"))
+    df = settled(df.withColumn("dialect", found)) if dialect == "auto" else df.withColumn("dialect", found)
+    df = settled(df.withColumn("delimiter", F.col("dialect.delimiter")).withColumn("quote", F.col("dialect.quote")).withColumn("lines", F.split(text, "\n", -1)).drop("dialect"))
     d = F.col("delimiter")
     kw_line = _pos(F.col("lines"), lambda l: _contains_any(F.lower(l), HEADER_KEYWORDS) & (_count(l, d) >= 2))
     any_line = _pos(F.col("lines"), lambda l: _count(l, d) >= 2)
@@ -137,18 +156,18 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     after = F.slice(F.col("lines"), h + 2, n)
     no_data = (h > 0) & ~F.exists(after, lambda l: ~is_blank(l))
     body = F.array_join(F.slice(F.col("lines"), h + 1, n), "\n")
-    rec_re = _re_for(d, csvre.record_re)
-    cell_re = _re_for(d, csvre.cell_re)
+    rec_re = _re_for(d, F.col("quote"), csvre.record_re, dialect)
+    cell_re = _re_for(d, F.col("quote"), csvre.cell_re, dialect)
     records = F.transform(F.regexp_extract_all(body, rec_re, 1),
                           lambda r: F.regexp_replace(r, CR_END_RE, ""))
     with_cells = F.transform(records, lambda r: F.struct(
         r.alias("raw"),
-        F.transform(F.regexp_extract_all(F.concat(d, r), cell_re, 1), _unquote).alias("cells")))
+        F.transform(F.regexp_extract_all(F.concat(d, r), cell_re, 1), lambda c: _unquote(c, F.col("quote"), dialect)).alias("cells")))
     non_blank = F.filter(with_cells, lambda x: ~((F.size(x["cells"]) == 1) & is_blank(x["cells"][0])))
     df = settled(df.withColumn("nb", non_blank))
     header = _mangle(F.coalesce(F.get(F.col("nb"), 0)["cells"], F.array().cast("array<string>")))
     df = settled(df.withColumn("header", header))
-    unclosed = _re_for(d, csvre.unclosed_re)
+    unclosed = _re_for(d, F.col("quote"), csvre.unclosed_re, dialect)
     data = F.transform(F.slice(F.col("nb"), 2, n), lambda x, i: F.struct(
         i.cast("bigint").alias("rec_no"), x["raw"].alias("raw"),
         F.transform(x["cells"], na_to_null).alias("cells"),
@@ -165,7 +184,7 @@ def parse_files(files: DataFrame, dialect: str = "comma") -> DataFrame:
     kept = F.filter(F.col("data"), lambda x: x["reason"].isNull())
     rows = F.transform(kept, lambda x, i: F.struct(i.cast("bigint").alias("row_id"), x["rec_no"].alias("rec_no"),
                                                    x["cells"].alias("cells")))
-    df = settled(df.select("file_id", "encoding", "delimiter", "status", "header_kw_line", "header_any_line",
+    df = settled(df.select("file_id", "encoding", "delimiter", "quote", "status", "header_kw_line", "header_any_line",
                             "header_line", F.when(ok, F.col("header")).alias("header"), "data", rows.alias("rows")))
     return settled(df.withColumn("roles", _roles(F.col("header"))))
 

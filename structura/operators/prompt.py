@@ -62,18 +62,18 @@ def file_prompt_context(parsed: DataFrame, k: int | None = MAX_PAIRS) -> DataFra
     pushed below the projection and re-run the whole per-file parse.
     """
     pairs = parsed.select("file_id", pair_array(parsed).alias("pairs"))
-    head = F.transform(F.slice("pairs", 1, k) if k else F.col("pairs"), lambda p: pair_entry(p["id"], p["question"], p["answer"]))
+    head = F.transform(F.slice("pairs", 1, k) if k is not None else F.col("pairs"), lambda p: pair_entry(p["id"], p["question"], p["answer"]))
     n = F.size("pairs").cast("bigint")
     one = _one_if(n > 0, F.struct(n.alias("n_pairs"),
                                   F.concat(F.array_join(head, PAIR_SEP), _more(n, k)).alias("qa_text")))
     return _explode(pairs, one).select("file_id", "r.n_pairs", "r.qa_text")
 
 
-def prompt_context(pairs: DataFrame, k: int = MAX_PAIRS) -> DataFrame:
-    """M1 on any ``file_id, id, question, answer`` table."""
+def prompt_context(pairs: DataFrame, k: int | None = MAX_PAIRS) -> DataFrame:
+    """M1 on any ``file_id, id, question, answer`` table; ``k`` None: all pairs."""
     w = Window.partitionBy("file_id").orderBy("id")
-    top = (pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
-           .select("file_id", "id", pair_entry(F.col("id"), F.col("question"), F.col("answer")).alias("e")))
+    top = pairs if k is None else pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
+    top = (top.select("file_id", "id", pair_entry(F.col("id"), F.col("question"), F.col("answer")).alias("e")))
     head = (top.groupBy("file_id")
             .agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("id", "e"))),
                                           lambda s: s["e"]), PAIR_SEP).alias("head")))

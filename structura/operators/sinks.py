@@ -35,15 +35,18 @@ def read_tree_files(spark: SparkSession, path: str) -> DataFrame:
     """The written lines in file order: ``site_id, output_name, line_no, line``.
 
     The text source reads a file in order; a line's place in its file plus
-    the lines of the site's earlier files is its number.
+    the lines of the site's earlier files is its number.  Ids and names come
+    back as they were written (``007`` stays ``007``).
     """
-    rows = spark.read.option("wholetext", "false").text(path).select(
-        F.col("site_id").cast("string").alias("site_id"), "output_name", F.col("value").alias("line"), F.input_file_name().alias("file"),
+    text = spark.read.schema("value string, site_id string, output_name string").text(path)
+    rows = text.select(
+        F.coalesce("site_id", F.lit("")).alias("site_id"), F.coalesce("output_name", F.lit("")).alias("output_name"), F.col("value").alias("line"), F.input_file_name().alias("file"),
         F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
     rows = materialize(rows, "tree-lines-read")
     block = ["site_id", "output_name", "file", "start"]
     runs = rows.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    before = Window.partitionBy("site_id", "output_name").orderBy("file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    part = F.regexp_extract("file", r"/part-([0-9]+)[^/]*\z", 1).try_cast("bigint")  # names stop sorting at 100,000 parts
+    before = Window.partitionBy("site_id", "output_name").orderBy(part, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
     return rows.join(runs, block).select("site_id", "output_name", (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
 

@@ -167,14 +167,17 @@ def _node_id(depth: F.Column, idx: F.Column, name: F.Column) -> F.Column:
     return F.concat(F.lit("node_"), depth.cast("string"), F.lit("_"), idx.cast("string"), F.lit("_"), label)
 
 
-def graph_nodes(urls: DataFrame, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
+def graph_nodes(urls: DataFrame, max_depth: int | None = GRAPH_MAX_DEPTH) -> DataFrame:
     """``site_id, node_id, name, path, depth, is_folder, parent_path,
     parent_id, sibling_idx, edge_no``.
 
     ``is_folder`` looks one level past the cut (a depth-4 node with children
     is a folder even though they are not drawn).  ``edge_no`` is the
-    traversal rank of the edge into the node.
+    traversal rank of the edge into the node.  ``max_depth`` None: all depths.
     """
+    if max_depth is None:
+        nodes = materialize(tree_nodes(urls), "graph-nodes")
+        return _graph(nodes, with_sibling_idx(dfs_order(nodes)))
     nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
     return _graph(nodes, with_sibling_idx(dfs_order(nodes.filter(F.col("depth") <= max_depth), max_depth)))
 
@@ -201,7 +204,7 @@ def graph_edges(gnodes: DataFrame) -> DataFrame:
                          F.col("path").alias("to_path"))
 
 
-def first_graph_nodes(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
+def first_graph_nodes(urls: DataFrame, k: int | None = GRAPH_MAX_EDGES, max_depth: int | None = GRAPH_MAX_DEPTH) -> DataFrame:
     """T6 for the first ``k`` nodes per site in traversal order.
 
     A node can only be among them if it is among the first ``k`` of its
@@ -209,6 +212,10 @@ def first_graph_nodes(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int
     site has at most ``k`` rows per depth from there on.  Their earlier
     siblings are all among them, so ``sibling_idx`` is the whole one.
     """
+    if k is None:
+        return graph_nodes(urls, max_depth)
+    if max_depth is None:
+        max_depth = tree_nodes(urls).agg(F.max("depth")).first()[0] or 0
     nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
     keyed = _union(_key_levels(nodes.filter(F.col("depth") <= max_depth), max_depth + 1, per_site=k))
     keyed = keyed.withColumn("sibling_idx", F.row_number().over(Window.partitionBy("site_id", "parent_path").orderBy("first_seen")) - 1)
@@ -218,6 +225,6 @@ def first_graph_nodes(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int
                   ordered)
 
 
-def graph_edges_top(urls: DataFrame, k: int = GRAPH_MAX_EDGES, max_depth: int = GRAPH_MAX_DEPTH) -> DataFrame:
-    """The first ``k`` edges per site in traversal order."""
+def graph_edges_top(urls: DataFrame, k: int | None = GRAPH_MAX_EDGES, max_depth: int | None = GRAPH_MAX_DEPTH) -> DataFrame:
+    """The first ``k`` edges per site in traversal order; None: no limit."""
     return graph_edges(first_graph_nodes(urls, k, max_depth))

@@ -18,12 +18,10 @@ whole.  Both ways give the same entries.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.settle import settled
+from ..functions.settle import let, settled
 
 FIELDS = ("loc", "lastmod", "changefreq", "priority")
 TEXT, START, EMPTY, END, BAD = range(5)
@@ -53,11 +51,6 @@ _STATE = (f"struct<depth:int,scopes:array<struct<d:int,p:string,u:string>>,open:
           f"recent:array<{_ENTRY}>,blocks:array<array<{_ENTRY}>>>")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def numeric_references(c: Column) -> Column:
     """``&#38;`` and ``&#x26;`` as characters."""
     def char(part: Column) -> Column:

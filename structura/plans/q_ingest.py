@@ -4,6 +4,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions.text import NA_TOKENS, duck_strip, sql_list, sql_str
@@ -137,27 +139,37 @@ def q_null_tokens(spark, sf):
     return I.null_counts(I.parse_files(doc_files(spark, sf)))
 
 
-def _score(d: str) -> str:
-    dd = "chr(9)" if d == "\t" else sql_str(d)
-    cnt = f"list_transform(sample, lambda l: length(l) - length(replace(l, {dd}, '')))"
-    return (f"{{'n_lines': len(list_filter({cnt}, lambda c: c > 0)), "
-            f"'total': coalesce(list_sum({cnt}), 0)}}")
+def _candidate(k: int, d: str, q: str) -> str:
+    """Records and their numbers of fields under one dialect, as rows; the twin's own patterns."""
+    quoted = f"{q}(?:[^{q}]|{q}{q})*"
+    e = re.escape(d)
+    field = rf"(?:{quoted}{q}[^{e}\n{q}]*|{quoted}\z|[^{e}{q}\n][^{e}\n]*)?"
+    text = f"list_filter(regexp_extract_all(text, {sql_str(rf'({field}(?:{e}{field})*)(?:\n|\z)')}, 1), lambda r: {duck_strip('r')} <> '')"
+    return f"""SELECT file_id, {k} AS k, {sql_str(d)} AS d, {sql_str(q)} AS q, text, r.rec AS rec, len(regexp_extract_all({sql_str(d)} || r.rec, {sql_str(f'{e}({field})')}, 1)) AS n
+FROM (SELECT file_id, text, unnest(list_transform({text}, lambda x: {{'rec': x}})) AS r FROM ftext WHERE contains(text, {sql_str(d)}))"""
+
+
+_CANDIDATES = [(d, q) for d in (",", ";", "\t", "|") for q in ('"', "'")]
 
 
 @register("dialect_detect", f"""
 WITH {qfiles_text_cte('qtext', ';')}, {doc_text_cte('dtext')},
 ftext AS (SELECT file_id, text FROM qtext UNION ALL SELECT file_id, text FROM dtext),
-s AS (SELECT file_id,
-             list_filter(string_split(regexp_replace(text, {sql_str(I.QUOTED_SPAN_RE)}, '', 'g'), chr(10)),
-                         lambda l: {duck_strip('l')} <> '') AS sample FROM ftext),
-sc AS (SELECT file_id, list_max([{{'score': {_score(',')}, 'rank': 0, 'delim': ','}},
-                                 {{'score': {_score(';')}, 'rank': -1, 'delim': ';'}},
-                                 {{'score': {_score(chr(9))}, 'rank': -2, 'delim': chr(9)}},
-                                 {{'score': {_score('|')}, 'rank': -3, 'delim': '|'}}]) AS best FROM s)
-SELECT file_id, CASE WHEN best.score.n_lines > 0 THEN best.delim ELSE ',' END AS delimiter FROM sc""")
+records AS ({' UNION ALL '.join(_candidate(k, d, q) for k, (d, q) in enumerate(_CANDIDATES))}),
+facts AS (SELECT file_id, k, any_value(d) AS d, any_value(q) AS q, any_value(text) AS text, count(*) AS records FROM records GROUP BY file_id, k),
+modes AS (SELECT file_id, k, max(times) AS times FROM (SELECT file_id, k, n, count(*) AS times FROM records WHERE n > 1 GROUP BY file_id, k, n) GROUP BY file_id, k),
+ranked AS (
+  SELECT f.file_id, d, q, row_number() OVER (PARTITION BY f.file_id ORDER BY m.times / f.records DESC,
+      1 - (length(text) - length(replace(text, d || ' ', ''))) / 2 / (length(text) - length(replace(text, d, ''))) DESC,
+      len(regexp_extract_all(text, '(\A|[\n' || d || '])' || q)) DESC, f.k) AS place
+  FROM facts AS f JOIN modes AS m ON m.file_id = f.file_id AND m.k = f.k
+  WHERE q = '"' OR regexp_matches(text, '(\A|[\n' || d || '])' || q))
+SELECT t.file_id, coalesce(d, ',') AS delimiter, coalesce(q, '"') AS quote
+FROM ftext AS t LEFT JOIN (SELECT * FROM ranked WHERE place = 1) AS r ON r.file_id = t.file_id""")
 def q_dialect_detect(spark, sf):
     files = qfiles(spark, sf, ";").unionByName(doc_files(spark, sf))
-    return I.decode(files).select("file_id", I.detect_delimiter(F.col("text")).alias("delimiter"))
+    found = I.decode(files).select("file_id", I.detect_dialect(F.col("text")).alias("found"))
+    return found.select("file_id", "found.delimiter", "found.quote")
 
 
 _PAIRS_TRUTH = f"""

@@ -189,3 +189,21 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="checkpoint"):
         ensure_checkpoint_dir(Spark)
+
+
+def test_dialect_by_consistent_fields(spark):
+    rng = random.Random(3)
+    prose = lambda: " ".join(rng.choice(["well,", "so", "it, is", "yes", "and;", "no"]) for _ in range(rng.randint(2, 9))).replace(";", "")
+    cases = {
+        "semicolon, prose with commas": ("Question, in full;Answer, in full\n" + "".join(f"{prose()};{prose()}\n" for _ in range(30)), ";", '"'),
+        "same commas in every line": ("Question, in full;Answer, in full\n" + "a, b;c, d\n" * 9, ";", '"'),
+        "tab": ("question\tanswer\n" + "".join(f"{prose()}\t{prose()}\n" for _ in range(9)), "\t", '"'),
+        "pipe": ("section|question|answer\n" + "a, b|c; d|e, f\n" * 9, "|", '"'),
+        "quoted delimiters": ('a;b\n' + '"x;y, z";"u\nv"\n' * 9, ";", '"'),
+        "single quotes": ("question;answer\n" + "'x; y';'it''s; so'\n" * 9, ";", "'"),
+        "one column": ("question\nwhy\nhow\n", ",", '"'), "empty": ("", ",", '"'), "comma": ("question,answer,x\n1, 2, 3\n", ",", '"'),
+        "apostrophes": ("question,answer\n'tis so,yes\nwhy,'cause\nhow,so\n", ",", '"'),
+    }
+    parsed = I.parse_files(files_df(spark, {k: t for k, (t, _, _) in cases.items()}), dialect="auto").collect()
+    assert {r.file_id: (r.delimiter, r.quote) for r in parsed} == {k: (d, q) for k, (_, d, q) in cases.items()}
+    assert [list(r.cells) for r in next(r for r in parsed if r.file_id == "single quotes").rows][0] == ["x; y", "it's; so"]

@@ -171,6 +171,31 @@ def test_tree_files_keep_sites_and_line_order(spark, tmp_path):
     assert got == sorted(map(tuple, lines.select("site_id", "line_no", "line").collect()))
 
 
+def test_tree_files_keep_ids_as_written(spark, tmp_path):
+    from structura.operators.sinks import read_tree_files, write_tree_files
+    ids = ["007", "7", "1e3", "2024-01-02", "", "a b/c"]
+    lines = spark.createDataFrame([(s, i, f"{s}-{i}") for s in ids for i in (1, 2, 3)], "site_id string, line_no bigint, line string")
+    names = spark.createDataFrame([(s, "01") for s in ids], "site_id string, output_name string")
+    out = str(tmp_path / "trees")
+    write_tree_files(lines, names, out)
+    got = read_tree_files(spark, out).collect()
+    assert sorted((r.site_id, r.line_no, r.line) for r in got) == sorted((s, i, f"{s}-{i}") for s in ids for i in (1, 2, 3))
+    assert {r.output_name for r in got} == {"01"}
+
+
+def test_limits_take_none(spark):
+    urls = urls_df(spark, [f"https://e.com/{'/'.join('abcdefgh'[:n])}/{i}" for n in range(8) for i in range(30)])
+    deep = T.graph_nodes(urls, None)
+    assert deep.count() == T.tree_nodes(urls).count() > T.graph_nodes(urls).count()
+    assert T.graph_edges_top(urls, None, None).count() == deep.count()
+    assert T.graph_edges_top(urls, None).count() == T.graph_nodes(urls).count()
+    assert T.graph_edges_top(urls, 5, None).count() == 5
+    from structura.operators.prompt import prompt_context
+    pairs = spark.createDataFrame([("f", i, f"q{i}", "a") for i in range(1, 71)], "file_id string, id bigint, question string, answer string")
+    assert [(r.n_pairs, r.qa_text.count("Question ")) for r in prompt_context(pairs, None).collect()] == [(70, 70)]
+    assert prompt_context(pairs).first().qa_text.count("Question ") == 50
+
+
 def test_ranks_over_many_partitions_and_sparse_order(spark):
     from structura.functions.order import ranked
     rows = [(k, (i * 7919 % 5000) * 1_000_003) for k, n in (("hot", 5000), ("cold", 3), ("one", 1)) for i in range(n)]
