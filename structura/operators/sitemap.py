@@ -64,7 +64,7 @@ def sitemap_write(urls: DataFrame, max_urls: int | None = None) -> DataFrame:
                           F.lit("</urlset>\n")).alias("xml")))
 
 
-def _clean(c: Column) -> Column:
+def clean(c: Column) -> Column:
     return F.coalesce(py_strip(c), F.lit(""))
 
 
@@ -74,7 +74,7 @@ _RECORD = "array<struct<pos:bigint,url:string,lastmod:string,changefreq:string,p
 
 def _entries(entries: Column) -> Column:
     return F.transform(entries, lambda e: F.struct(
-        e["pos"].alias("pos"), e["loc"].alias("url"), *(_clean(e[f]).alias(f) for f in URL_FIELDS[1:]), F.lit("xml").alias("method"))).cast(_RECORD)
+        e["pos"].alias("pos"), e["loc"].alias("url"), *(clean(e[f]).alias(f) for f in URL_FIELDS[1:]), F.lit("xml").alias("method"))).cast(_RECORD)
 
 
 def parsed_entries(docs: DataFrame, require_namespace: bool = True) -> DataFrame:
@@ -110,7 +110,7 @@ def sitemap_parse(docs: DataFrame, keys: tuple[str, ...] = ("site_id",), require
     parsed = parsed_entries(docs.select(*keys, "xml"), require_namespace)
     found = F.when(F.col("entries").isNull(), locs.cast(_RECORD)).otherwise(_entries(F.col("entries")))
     return (parsed.select(*keys, F.explode_outer(found).alias("u")).filter(F.col("u.url").isNotNull())
-            .select(*keys, "u.pos", _clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq", "u.priority", "u.method"))
+            .select(*keys, "u.pos", clean(F.col("u.url")).alias("url"), "u.lastmod", "u.changefreq", "u.priority", "u.method"))
 
 
 def sitewide_pos(records: DataFrame) -> DataFrame:

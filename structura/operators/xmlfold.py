@@ -33,11 +33,12 @@ _DOCTYPE_RE = rf"""<!DOCTYPE(?:[^\["'>]|{_Q})*+(?:\[(?:<!--.*?-->|[^\]"'<]|<(?!!
 _ENTITY_RE = rf"""<!ENTITY\s++([^\s%"']++)\s++({_Q})\s*+>"""
 _MARKUP_RE = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|[^<]++|<"
 _TAG_RE = rf"""<(?![!?])[^>"']*+(?:(?:{_Q})[^>"']*+)*+>"""
+ROOT_RE = rf"\A\s*+({_TAG_RE})"
 _TOKEN_RE = rf"{_TAG_RE}|[^<]++|<"
 _ATTRIBUTE_RE = rf"""\s([^\s=/>"']++)\s*+=\s*+({_Q})"""
 _UNKNOWN_RE = r"&(?!(?:amp|lt|gt|quot|apos|#[0-9]{1,7}|#x[0-9A-Fa-f]{1,6});)"
 _PIECE_RE = r"[^<]*+(?:<(?!/(?:[^\s<>:/]++:)?url\s*+>)[^<]*+)*+(?:</(?:[^\s<>:/]++:)?url\s*+>|\z)"
-_URL_RE = r"<(?:[^\s<>:/]++:)?url(?=[\s/>])"
+URL_RE = r"<(?:[^\s<>:/]++:)?url(?=[\s/>])"
 _FIRST_RE = r"\A[^<]*+<(?:[^\s<>:/]++:)?url(?=[\s>])"
 _FLAT_RE = (r"\A\s*+<((?:[A-Za-z_][A-Za-z0-9_.\-]*+:)?+)url\s*+>(?:\s*+<\1([A-Za-z_][A-Za-z0-9_.\-]*+)>[^<]*+</\1\2\s*+>)*+"
             r"\s*+</\1url\s*+>\z")
@@ -242,15 +243,15 @@ def is_flat(piece: Column, prefixes: Column) -> Column:
 
 def cut_document(df: DataFrame, namespace: str | None) -> DataFrame:
     """Adds to ``df`` (with ``plain``, tags and text): ``root`` and ``close`` (the root's tags), ``pieces``, ``single`` and ``prefixes``."""
-    root = F.regexp_extract("plain", rf"\A\s*+({_TAG_RE})", 1)
+    root = F.regexp_extract("plain", ROOT_RE, 1)
     df = settled(df.withColumn("root", root))
     rest = F.substring(F.col("plain"), F.instr("plain", F.col("root")) + F.length("root"), F.lit(1 << 30))
     pieces = F.filter(F.regexp_extract_all(rest, F.lit(_PIECE_RE), F.lit(0)), lambda p: p != "")
     df = settled(df.withColumn("close", F.concat(F.lit("</"), F.regexp_extract("root", r"\A<([^\s/>]++)", 1), F.lit(">")))
                  .withColumn("prefixes", root_prefixes(F.col("root"), namespace)).withColumn("pieces", F.when((F.col("root") != "") & ~F.endswith("root", F.lit("/>")), pieces)))
     # a piece that begins with its only url tag is one entry of the root: what it opens it closes, as the whole is well formed
-    whole = F.forall(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(1))), lambda p: p.rlike(_FIRST_RE) & (F.regexp_count(p, F.lit(_URL_RE)) == 1))
-    return settled(df.withColumn("single", F.coalesce((F.size("pieces") > 1) & whole & ~F.element_at("pieces", -1).rlike(_URL_RE) & ~F.col("root").rlike(r"\A<(?:[^\s:>]++:)?url[\s>]"), F.lit(False))))
+    whole = F.forall(F.slice("pieces", 1, F.greatest(F.size("pieces") - 1, F.lit(1))), lambda p: p.rlike(_FIRST_RE) & (F.regexp_count(p, F.lit(URL_RE)) == 1))
+    return settled(df.withColumn("single", F.coalesce((F.size("pieces") > 1) & whole & ~F.element_at("pieces", -1).rlike(URL_RE) & ~F.col("root").rlike(r"\A<(?:[^\s:>]++:)?url[\s>]"), F.lit(False))))
 
 
 def document_entries(df: DataFrame, namespace: str | None) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import tree as T
 from ..operators.ingest import parse_files, qa_pairs
 from ..operators.sitemap import sitemap_parse
+from ..operators.sitemap_split import sitemap_parse_files
 from ..operators.sinks import read_tree_files, site_output_names, write_tree_files
 from ..functions.scratch import scratch_path
 from ..sources.fixtures import catalog_urls, qfiles_text, sitemap_docs
@@ -51,6 +52,14 @@ def q_sitemap_files(spark, sf):
     return sitemap_parse(docs.withColumn("site_id", F.regexp_extract("site_id", r"site_id=([^/]+)/", 1)))
 
 
+@register("sitemap_records_split", f"WITH {PARSE_CTE} SELECT * EXCLUDE (chunk) FROM structured UNION ALL SELECT * EXCLUDE (chunk) FROM fallback")
+def q_sitemap_records_split(spark, sf):
+    """S2 from files that many tasks may share."""
+    folder = scratch_path(spark, "sitemaps")
+    sitemap_docs(spark, sf).select("site_id", "xml").write.partitionBy("site_id").text(folder)
+    return sitemap_parse_files(spark, folder, file_id_re=r"site_id=([^/]+)/")
+
+
 @register("tree_files", f"""
 WITH {catalog_cte(shorten=True)}, {nodes_cte('urls', 'nodes', T.TREE_MAX_DEPTH)},
 {ordered_cte('nodes', 'ordered')}
