@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..operators import tree as T
 from ..operators.ingest import parse_files, qa_pairs
+from ..operators.ingest_split import parse_split, split_pairs
 from ..operators.sitemap import sitemap_parse
 from ..operators.sitemap_split import sitemap_parse_files
 from ..operators.sinks import read_tree_files, site_output_names, write_tree_files
@@ -43,6 +44,14 @@ def q_files_ingest(spark, sf):
     return qa_pairs(parse_files(files.withColumn("file_id", F.regexp_extract("file_id", r"file_id=([^/]+)/", 1))))
 
 
+@register("qa_pairs_split", f"WITH {qa_source_cte()}" + _PAIRS_TRUTH)
+def q_qa_pairs_split(spark, sf):
+    """S1, I1-I9 and R2 from files that many tasks may share."""
+    landing = scratch_path(spark, "files")
+    qfiles_text(spark, sf).select("file_id", "text").write.partitionBy("file_id").text(landing)
+    return split_pairs(parse_split(spark, landing, "*.txt", r"file_id=([^/]+)/"))
+
+
 @register("sitemap_files", f"WITH {PARSE_CTE} SELECT * EXCLUDE (chunk) FROM structured UNION ALL SELECT * EXCLUDE (chunk) FROM fallback")
 def q_sitemap_files(spark, sf):
     """S2 from files: one sitemap per file, read whole."""

@@ -51,3 +51,29 @@ def test_split_sitemaps_equal_whole_texts(spark, tmp_path, small_splits):
     got = sitemap_parse_files(spark, str(tmp_path), file_id_re=name).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want))
     assert {r.method for r in got} == {"xml", "regex"} and sum(r.site_id == "plain" for r in got) == 400
+
+
+def test_split_questionnaires_equal_whole_files(spark, tmp_path, small_splits):
+    from structura.operators import ingest as I
+    from structura.operators.ingest_split import parse_split, split_pairs, split_rejects, split_rows
+    from structura.sources.tables import binary_files
+    rng = random.Random(12)
+    cell = lambda: rng.choice(["a", "", "why, so", "two\nlines", 'say ""hi""', "N/A", "x" * rng.randint(1, 300), "\n\n", "é"])
+    files = {}
+    for f in range(14):
+        lines = "".join(",".join(f'"{cell()}"' if rng.random() < 0.7 else rng.choice(["p", "", "q r", 'in"ner']) for _ in range(rng.choice([3, 3, 3, 2, 4]))) + rng.choice(["\n", "\r\n"])
+                        for _ in range(rng.randint(1, 60)))
+        files[f"f{f}"] = rng.choice(["", "note\n\n", 'a "quoted\nnote\n']) + "section,question,answer\n" + lines + rng.choice(["", '"open\nto the end,', "1,q,a"])
+    files |= {"none": "", "blank": " \n\n", "headeronly": "x\nsection,question,answer\n\n", "bom": "﻿section,question,answer\n1,q,a\n", "two": "question,answer\nq,a\n",
+              "cross": "section,question,answer\n1," + '"' + "many\n" * 2_000 + '",a\n2,q,a\n', "swaps": "section,question,answer\n" + 'x,"y\n' * 401 + 'z",end\n1,q,a\n'}
+    files |= {f"w{i}": "".join(rng.choice('ab ,"\n') for _ in range(rng.randint(0, 1_500))) for i in range(25)}
+    for k, x in files.items():
+        (tmp_path / f"{k}.csv").write_bytes(x.encode() if k != "f3" else ("section,question,answer\n1,\"café\n\",a\n" * 90).encode("latin-1"))
+    name = r"/([a-z0-9]+)\.csv"
+    whole = I.parse_files(binary_files(spark, str(tmp_path)).withColumn("file_id", F.regexp_extract("file_id", name, 1)))
+    parsed = parse_split(spark, str(tmp_path), "*.csv", name)
+    same = lambda a, b: sorted(map(repr, a.collect())) == sorted(map(repr, b.collect()))
+    assert same(parsed.files.select("file_id", "encoding", "status", "header_line", "header"), whole.select("file_id", "encoding", "status", "header_line", "header"))
+    assert same(split_rows(parsed), I.csv_rows(whole))
+    assert same(split_rejects(parsed), I.rejects(whole))
+    assert same(split_pairs(parsed), I.qa_pairs(whole)) and split_pairs(parsed).count() > 100
