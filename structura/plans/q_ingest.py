@@ -161,9 +161,9 @@ modes AS (SELECT file_id, k, max(times) AS times FROM (SELECT file_id, k, n, cou
 ranked AS (
   SELECT f.file_id, d, q, row_number() OVER (PARTITION BY f.file_id ORDER BY m.times / f.records DESC,
       1 - (length(text) - length(replace(text, d || ' ', ''))) / 2 / (length(text) - length(replace(text, d, ''))) DESC,
-      len(regexp_extract_all(text, '(\A|[\n' || d || '])' || q)) DESC, f.k) AS place
+      len(regexp_extract_all(text, '(\\A|[\\n' || d || '])' || q)) DESC, f.k) AS place
   FROM facts AS f JOIN modes AS m ON m.file_id = f.file_id AND m.k = f.k
-  WHERE q = '"' OR regexp_matches(text, '(\A|[\n' || d || '])' || q))
+  WHERE q = '"' OR regexp_matches(text, '(\\A|[\\n' || d || '])' || q))
 SELECT t.file_id, coalesce(d, ',') AS delimiter, coalesce(q, '"') AS quote
 FROM ftext AS t LEFT JOIN (SELECT * FROM ranked WHERE place = 1) AS r ON r.file_id = t.file_id""")
 def q_dialect_detect(spark, sf):

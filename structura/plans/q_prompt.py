@@ -16,6 +16,8 @@ from ..operators.ingest import parse_files, qa_pairs
 from ..operators.sitemap import SITEMAP_NS, XML_DECL
 from ..sources.fixtures import doc_files, qfiles
 from .q_rules import ANCHOR, PROFILE_SQL, _changefreq, _class_path, _lastmod, _pairs_cte, _priority
+from ..functions.scratch import materialize, scratch_path
+from ..operators.replies import generate_missing, replies_from_store
 from .registry import register
 
 
@@ -88,7 +90,7 @@ def offline_generator(prompts: list[str]) -> list[str]:
     return out
 
 
-@register("generate_batch", CTX_SQL + f""",
+_REPLIES_SQL = CTX_SQL + f""",
 asked AS (SELECT file_id, list_concat([''], list_transform(
               regexp_extract_all({_lit(_HEAD.replace('{date}', ANCHOR))} || qa_text || {_lit(_TAIL)}, '(?m)^Question ([0-9]+): ', 1),
               lambda i: 'answers/' || i)) AS pages FROM ctx)
@@ -96,13 +98,27 @@ SELECT file_id, 'Pages: ' || len(pages) || chr(10) || chr(10) || '```xml' || chr
        '<urlset xmlns="{SITEMAP_NS}">' || chr(10) || array_to_string(list_transform(pages, lambda p:
          '  <url>' || chr(10) || '    <loc>{SITE_BASE}' || p || '</loc>' || chr(10) || '    <lastmod>{ANCHOR}</lastmod>' || chr(10) ||
          '  </url>' || chr(10)), '') || '</urlset>' || chr(10) || '```' AS response, CAST(NULL AS VARCHAR) AS error
-FROM asked""")
+FROM asked"""
+
+
+@register("generate_batch", _REPLIES_SQL)
 def q_generate_batch(spark, sf):
     ship_package(spark)
     prompts = M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR)
     return M.generate_batch(prompts, offline_generator)
 
 
+@register("replies_stored", _REPLIES_SQL)
+def q_replies_stored(spark, sf):
+    """M3 through the reply store: two runs over the prompts, the second finds all replies stored."""
+    ship_package(spark)
+    prompts = materialize(M.prompt_render(M.file_prompt_context(_parsed(spark, sf)), ANCHOR).select("file_id", "prompt"), "prompts-rendered")
+    store = scratch_path(spark, "reply-store")
+    for _ in range(2):
+        generate_missing(prompts, offline_generator, store, batches=2)
+    return replies_from_store(prompts, store)
+
+
 _PLANNED = f""",
 {PROFILE_SQL.lstrip()},
 ld(d, t) AS (VALUES {", ".join(f"({sql_str(a)}, {sql_str(b)})" for a, b in M.RT.LISTING_DETAIL)}),
