@@ -6,7 +6,9 @@ group is packed best-fit, largest first.  Open bins stand ordered by
 residual space and carry bitmaps: of the duplicate clusters inside, and of
 the sources that are there at least once, twice, ... up to their limit.
 The search starts at the tightest bin that has room and goes on to its
-successors until a compatible one is found; none means a new bin.
+successors until a compatible one is found; none means a new bin.  Bins
+with the same full sources share a list, so a search never walks over bins
+that its source has filled, and equal items go on where the last one ended.
 """
 
 from __future__ import annotations
@@ -14,15 +16,18 @@ from __future__ import annotations
 from bisect import bisect_left, insort
 from collections import Counter
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, ship_package
+from .common import WORD, Scratch, ship_package, small_enough
 
-#: Tokens that one packing group holds, as the target.
-GROUP_TOKENS = 400_000
+#: Tokens and items that one packing group holds, as the target.
+GROUP_TOKENS, GROUP_ITEMS = 400_000, 100_000
+#: More equal rows than this are dealt over all groups.
+EQUAL_ROWS = 1_000
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("first_token", pa.int64()), ("tokens", pa.int64()), ("bin_id", pa.int64()),
                   ("bin_offset", pa.int64()), ("bin_tokens", pa.int64())])
@@ -37,24 +42,38 @@ def pack(items: list[tuple[int, object, object]], capacity: int, per_source: int
     often = Counter(c for _, _, c in items if c is not None)
     cluster_bit = {c: 1 << k for k, c in enumerate(c for c, n in often.items() if n > 1)}
     source_bit: dict[object, int] = {}
-    order: list[tuple[int, int]] = []  # (residual, bin) of the open bins
+    least = min((size for size, _, _ in items), default=1)
+    # open bins by the set of sources that are full in them, each list ordered by (residual, bin)
+    order: dict[int, list[tuple[int, int]]] = {}
     clusters: list[int] = []
     sources: list[list[int]] = []  # by bin: bitmap k has the sources that are there over k times
-    out = []
-    for size, source, cluster in items:
+    out: list[tuple[int, int]] = []
+    before, reached = None, (0, -1)
+    for item in items:
+        size, source, cluster = item
         own, bit = cluster_bit.get(cluster, 0), source_bit.setdefault(source, 1 << len(source_bit))
-        at = bisect_left(order, (size, -1))
-        while at < len(order):
-            b = order[at][1]
-            if not (clusters[b] & own or sources[b][-1] & bit):
-                break
-            at += 1
-        if at < len(order):
-            residual, b = order.pop(at)
+        # an equal item has just passed all bins before the one that it took, and they still conflict
+        start = reached if own and item == before else (size, -1)
+        best, where = None, 0
+        for full, bins in order.items():
+            if full & bit:
+                continue
+            at = bisect_left(bins, start)
+            while at < len(bins) and clusters[bins[at][1]] & own:
+                at += 1
+            if at < len(bins) and (best is None or bins[at] < best):
+                best, where = bins[at], full
+        if best is not None:
+            residual, b = best
+            bins = order[where]
+            del bins[bisect_left(bins, best)]
+            if not bins:
+                del order[where]
         else:
             residual, b = capacity, len(clusters)
             clusters.append(0)
             sources.append([0] * per_source)
+        before, reached = item, best or (capacity + 1, 0)
         out.append((b, capacity - residual))
         clusters[b] |= own
         levels = sources[b]
@@ -62,8 +81,8 @@ def pack(items: list[tuple[int, object, object]], capacity: int, per_source: int
             if not levels[k] & bit:
                 levels[k] |= bit
                 break
-        if residual > size:
-            insort(order, (residual - size, b))
+        if residual - size >= least:  # else no item that is left fits in
+            insort(order.setdefault(levels[-1], []), (residual - size, b))
     return out
 
 
@@ -112,7 +131,7 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, per_source: int = 4, i
     (``cluster_col``; by default documents with the same text) or more than
     ``per_source`` of one source (null is a source).  Null and empty texts
     have the end only and no cluster.  Repeated rows are packed each, as
-    one cluster; ties go by id.  Other columns are ignored; an empty table
+    one cluster; ties go by cluster, source and id.  Other columns are ignored; an empty table
     gives no rows.
     """
     if capacity < 1 or per_source < 1:
@@ -125,20 +144,34 @@ def pack_documents(docs: DataFrame, capacity: int = 2048, per_source: int = 4, i
     cluster = F.col(cluster_col).cast("string") if cluster_col else F.xxhash64(text).cast("string")
     sizes = scratch.save(docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens.alias("tokens"), F.col(source_col).cast("string").alias("source"),
                                      F.when(tokens > 1, cluster).alias("cluster")), "sizes")
-    total = sizes.agg(F.sum((F.col("tokens") - 1) % capacity + 1)).first()[0] or 0
-    groups = max(1, -(-total // group_tokens))
-    # a repeated id is dealt by its other columns, too, so it can't pile up in one group
-    dealt = sizes.select(F.pmod(F.xxhash64("doc_id", "tokens", "cluster", "source"), F.lit(groups)).alias("group"), "doc_id", "tokens", "source", "cluster")
-    rows = dealt.repartition("group").sortWithinPartitions("group", F.desc("tokens"), "doc_id", "source", "cluster")
+    total, n = sizes.agg(F.sum((F.col("tokens") - 1) % capacity + 1), F.count("*")).first()
+    groups = max(1, -(-(total or 0) // group_tokens), -(-n // GROUP_ITEMS))
+    # rows are dealt by all their columns, so a repeated id can't pile up in one group; many equal rows are numbered and dealt one by one
+    own = ["doc_id", "tokens", "cluster", "source"]
+    many = scratch.save(sizes.groupBy(*own).agg(F.count("*").alias("equal")).filter(F.col("equal") > EQUAL_ROWS), "equal")
+    heavy = many.count()
+    salt = F.lit(0).cast("long")
+    if heavy:  # fewer than one in EQUAL_ROWS of all rows
+        sizes = sizes.withColumn("at", F.monotonically_increasing_id()).alias("s").join(
+            small_enough(many, heavy, 200).alias("m"), reduce(lambda a, b: a & b, [F.col(f"s.{c}").eqNullSafe(F.col(f"m.{c}")) for c in own]), "left"
+        ).select("s.*", F.when(F.col("equal").isNotNull(), F.col("at")).otherwise(salt).alias("salt"))
+        salt = F.col("salt")
+    dealt = sizes.select(F.pmod(F.xxhash64(*own, salt), F.lit(groups)).alias("group"), "doc_id", "tokens", "source", "cluster")
+    rows = dealt.repartition("group").sortWithinPartitions("group", F.desc("tokens"), "cluster", "source", "doc_id")
     return rows.mapInArrow(_run(capacity, per_source), "doc_id long, piece int, first_token long, tokens long, bin_id long, bin_offset long, bin_tokens long")
 
 
 def sequences(docs: DataFrame, places: DataFrame, id_col: str = "doc_id", text_col: str = "text", end: str = "</s>") -> DataFrame:
     """``bin_id, text``: the sequences themselves, words and ends joined by one space.
 
-    ``doc_id`` must tell the rows of ``docs`` apart; rows without one are left out.
+    ``doc_id`` must tell the rows of ``docs`` apart (a null id is one, too):
+    rows that share an id can't be told apart in ``places``, and ValueError
+    is raised for them rather than a text repeated or left out.
     """
     words = F.concat(F.expr(f"regexp_extract_all(coalesce(`{text_col}`, ''), '{WORD}', 0)".replace("\\", "\\\\")), F.array(F.lit(end)))
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), words.alias("words"))
-    cut = places.join(texts, "doc_id").select("bin_id", "bin_offset", F.slice("words", (F.col("first_token") + 1).cast("int"), F.col("tokens").cast("int")).alias("part"))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), words.alias("words"))
+    if texts.groupBy("id").count().filter("count > 1").limit(1).count():
+        raise ValueError(f"{id_col} must tell the rows apart")
+    j = places.join(texts, places["doc_id"].eqNullSafe(texts["id"]))
+    cut = j.select("bin_id", "bin_offset", F.slice("words", (F.col("first_token") + 1).cast("int"), F.col("tokens").cast("int")).alias("part"))
     return cut.groupBy("bin_id").agg(F.array_join(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("bin_offset", "part"))), lambda x: x["part"])), " ").alias("text"))

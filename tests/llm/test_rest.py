@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -55,6 +56,36 @@ def test_packing_equals_brute_force_best_fit(seed):
     assert packing.pack(items, 30, 2) == _best_fit_truth(items, 30, 2)
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_packing_of_equal_items_equals_brute_force(seed):
+    rng = random.Random(seed)
+    kinds = [(rng.randint(1, 9), rng.choice("ab"), rng.choice([None, 1, 2, 3])) for _ in range(8)]
+    items = sorted((rng.choice(kinds) for _ in range(500)), key=lambda x: (-x[0], str(x[2]), x[1]) if seed % 2 else (-x[0],))
+    assert packing.pack(items, 12, 3) == _best_fit_truth(items, 12, 3)
+
+
+def test_packing_time_grows_with_the_items():
+    def took(items):
+        t = time.perf_counter()
+        assert len(packing.pack(items, 2_048, 4)) == len(items)
+        return time.perf_counter() - t
+    assert took([(1, "s", None)] * 400_000) < 20
+    assert took([(10, "s", "copy")] * 100_000) < 20
+    rng = random.Random(1)
+    assert took(sorted(((rng.randint(1, 60), rng.choice("sssabc"), rng.randint(0, 10_000)) for _ in range(60_000)), reverse=True)) < 60
+
+
+def test_many_equal_rows_are_dealt_over_the_groups(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP_ITEMS", 500)
+    monkeypatch.setattr(packing, "EQUAL_ROWS", 100)
+    rows = [(None, "")] * 3_000 + [(1, "a b")] * 50 + [(i, "w " * (i % 9)) for i in range(10, 40)]
+    docs = docs_df(spark, rows).selectExpr("*", "1 as tokens", "'c' as cluster", "2 as equal", "3 as salt", "4 as at")
+    got = packing.pack_documents(docs, capacity=40).collect()
+    assert len(got) == len(rows) and len({r.bin_id >> 32 for r in got if r.doc_id is None}) == 7
+    with pytest.raises(ValueError, match="tell the rows apart"):
+        packing.sequences(docs, packing.pack_documents(docs, capacity=40))
+
+
 def test_packed_documents_are_whole(spark, words):
     rows = [(i, words(1 + i * 7 % 50)) for i in range(80)] + [(200, words(500)), (201, None), (202, ""), (203, ""), (None, "a b"), (5, "twice"), (5, "twice"), (300, words(39))]
     docs = docs_df(spark, rows)
