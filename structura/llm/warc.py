@@ -31,6 +31,8 @@ _ID = "urn:page:"
 #: A gzip member of no bytes: what the text sink writes after every record.
 EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000030300000000000000" + "0000")
 _STEP = 1 << 16
+#: The longest header block of a record, and the most bytes that one member may inflate to.
+HEADER_BYTES, MEMBER_BYTES = 1 << 16, 1 << 30
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, length: int, digest: str, refers_to: int | None, revisit: bool) -> bytes:
@@ -71,66 +73,90 @@ class Gap:
     reason: str
 
 
+class _Marks:
+    """The next place of a mark in ``data``; a place found is kept until the search has passed it, so all searches together read the data once per mark."""
+
+    def __init__(self, data: bytes) -> None:
+        self.data, self.found = data, {}
+
+    def __call__(self, mark: bytes, start: int) -> int:
+        at = self.found.get(mark, -1)
+        if at < start:
+            at = self.data.find(mark, start)
+            self.found[mark] = at = len(self.data) if at < 0 else at
+        return at
+
+
 def salvage(data: bytes) -> Iterator[Record | Gap]:
     """All valid records of an archive in order, and the gaps between them.
 
-    Gzip members and plain records may follow each other.  A member that
-    inflates but holds damage is salvaged inside: its valid records are
-    returned (with the member's offsets), and the damage is a gap.
+    Gzip members and plain records may follow each other.  Of a member that
+    holds damage, or doesn't inflate to its end, the valid records before,
+    between and (as far as it inflates) after the damage are returned (with
+    the member's offsets), and the damage is a gap.  In a member that fails
+    its own check only records with a digest that holds count as valid, and
+    only if the damage is found: in another record, or in the check itself.
+    Else it may be in any header, which nothing checks, and all is a gap.
     """
+    marks = _Marks(data)
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            found, end = _at(data, at)
+            found, end, broken = _at(data, at, marks)
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
-            at = _next(data, at + 1)
+            at = min(marks(MEMBER, at + 1), marks(VERSION, at + 1))
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
             bad = None
         yield from found
-        at = end
+        if broken:
+            bad, reason = at, broken
+            # another member may begin before the place where this one broke off; plain text up to there is this member's
+            at = min(marks(MEMBER, at + 1), marks(VERSION, end))
+        else:
+            at = end
     if bad is not None:
         yield Gap(bad, len(data), reason)
 
 
-def _next(data: bytes, start: int) -> int:
-    """Place of the next member magic or version line."""
-    a = data.find(MEMBER, start)
-    b = data.find(VERSION, start, a if a >= 0 else len(data))
-    return b if b >= 0 else a if a >= 0 else len(data)
-
-
-def _at(data: bytes, at: int) -> tuple[list[Record | Gap], int]:
+def _at(data: bytes, at: int, marks: _Marks) -> tuple[list[Record | Gap], int, str]:
+    """Records and gaps of the record or member at ``at``, its end, and why the member broke off, if it did."""
     if data.startswith(VERSION, at):
-        r = _record(data, at)
-        return [r], r.end
+        r = _record(data, at, marks)
+        return [r], r.end, ""
     if not data.startswith(MEMBER, at):
         raise ValueError("no record begins here")
-    plain, end = _inflate(data, at)
-    if not plain:
-        return [], end
+    plain, end, broken, found = _inflate(data, at)
+    if not plain and not broken:
+        return [], end, ""
     out: list[Record | Gap] = []
-    for x in salvage_plain(plain):
-        out.append(Gap(at, end, f"in the member: {x.reason}") if isinstance(x, Gap) else Record(at, end, x.headers, x.payload, x.payload_bytes))
-    if not any(isinstance(x, Record) for x in out):
-        raise ValueError(out[0].reason if out else "empty member")
-    return out, end
-
-
-def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
-    """As :func:`salvage`, without members."""
+    for x in salvage_plain(plain, checked=bool(broken)):
+        found |= isinstance(x, Gap)
+        if isinstance(x, Record):
+            out.append(Record(at, end, x.headers, x.payload, x.payload_bytes))
+        elif not broken:
+            out.append(Gap(at, end, f"in the member: {x.reason}"))
+    if not any(isinstance(x, Record) for x in out) or broken and not found:
+        raise ValueError(broken or (out[0].reason if out else "empty member"))
+    return out, end, broken
+
+
+def salvage_plain(data: bytes, checked: bool = False) -> Iterator[Record | Gap]:
+    """As :func:`salvage`, without members; ``checked``: only records with a digest."""
+    marks = _Marks(data)
     at, bad, reason = 0, None, ""
     while at < len(data):
         try:
-            r = _record(data, at)
+            r = _record(data, at, marks)
+            if checked and not (r.headers.get("warc-block-digest") or r.headers.get("warc-payload-digest")):
+                raise ValueError("no digest in a damaged member")
         except ValueError as e:
             if bad is None:
                 bad, reason = at, str(e)
-            b = data.find(VERSION, at + 1)
-            at = b if b >= 0 else len(data)
+            at = marks(VERSION, at + 1)
             continue
         if bad is not None:
             yield Gap(bad, at, reason)
@@ -141,26 +167,42 @@ def salvage_plain(data: bytes) -> Iterator[Record | Gap]:
         yield Gap(bad, len(data), reason)
 
 
-def _inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    z, out, view = zlib.decompressobj(31), [], memoryview(data)
-    pos = at
-    try:
-        while not z.eof:
-            if pos >= len(data):
-                raise ValueError("member is cut off")
-            out.append(z.decompress(view[pos:pos + _STEP]))
-            pos = min(pos + _STEP, len(data))
-    except zlib.error as e:
-        raise ValueError(f"member: {e}") from None
-    return b"".join(out), pos - len(z.unused_data)
-
+def _inflate(data: bytes, at: int) -> tuple[bytes, int, str, bool]:
+    """What the member at ``at`` inflates to, its end, and why it broke off, if it did: then all that came before the damage.
 
-def _record(data: bytes, at: int) -> Record:
+    Last: whether the damage is known to be in the member's own check.
+    """
+    z, out, view, size = zlib.decompressobj(31), [], memoryview(data), 0
+    pos, step = at, _STEP
+    while not z.eof:
+        if pos >= len(data):
+            return b"".join(out), len(data), "member is cut off", False
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[pos:pos + step]))
+        except zlib.error as e:
+            if step > 1:
+                z, step = before, 256 if step > 256 else 1  # go up to the damage in smaller steps
+                continue
+            plain = b"".join(out)
+            differ = int.from_bytes(data[pos - 3:pos + 1], "little") ^ zlib.crc32(plain)  # the sum's last byte is at ``pos``
+            one_byte = sum((differ >> 8 * k) & 255 > 0 for k in range(4)) == 1
+            return plain, pos, f"member: {e}", "length check" in str(e) or "data check" in str(e) and one_byte
+        pos = min(pos + step, len(data))
+        size += len(out[-1])
+        if size > MEMBER_BYTES:
+            return b"".join(out), pos, f"member inflates to more than {MEMBER_BYTES} bytes", False
+    return b"".join(out), pos - len(z.unused_data), "", False
+
+
+def _record(data: bytes, at: int, marks: _Marks) -> Record:
     if not re.compile(rb"WARC/1\.\d\r\n").match(data, at):
         raise ValueError("no version line")
-    stop = data.find(b"\r\n\r\n", at)
-    if stop < 0:
+    stop = marks(b"\r\n\r\n", at)
+    if stop == len(data):
         raise ValueError("headers are cut off")
+    if stop - at > HEADER_BYTES:
+        raise ValueError("no end of the headers")
     headers: dict[str, str] = {}
     for line in data[at:stop].decode("utf-8", "replace").split("\r\n")[1:]:
         name, colon, value = line.partition(":")
@@ -288,10 +330,25 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     return files.mapInArrow(run, _READ_SQL)
 
 
-def round_trip(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` and read the archives back: ``page_id, payload_bytes, payload_digest, record_type, refers_to`` per page."""
+def read_back(pages: DataFrame, path: str, id_col: str = "page_id") -> DataFrame:
+    """The records of the archives that ``pages`` were written to, one per page: ``page_id, payload_bytes, payload_digest, record_type, refers_to``.
+
+    Gaps are written to a log table beside (``archive, start, end, gap``).
+    Where there is one, or records and pages differ in number, ValueError
+    names the log: no page is lost in silence.
+    """
     spark = pages.sparkSession
-    path = f"{Scratch(spark, 'warc').root}/archives"
+    scratch = Scratch(spark, "warc-read")
+    rows = scratch.save(read_archives(spark, path, payloads=False).drop("payload", "url"), "rows")
+    gaps, n = rows.agg(F.count("gap"), F.count(F.when(F.col("gap").isNull(), 1))).first()
+    if gaps or n != pages.count():
+        scratch.save(rows.filter("gap is not null").select("archive", "start", "end", "gap"), "gaps")
+        raise ValueError(f"{n} records read back, {gaps} gaps: see {scratch.root}/gaps")
+    return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def round_trip(pages: DataFrame) -> DataFrame:
+    """Write ``pages`` and read the archives back, see :func:`read_back`."""
+    path = f"{Scratch(pages.sparkSession, 'warc').root}/archives"
     write_archives(pages, path)
-    return (read_archives(spark, path, payloads=False).filter("gap is null")
-            .select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"))
+    return read_back(pages, path)

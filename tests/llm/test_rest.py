@@ -183,6 +183,60 @@ def test_salvage_recovers_what_is_whole(plain):
     assert _read(b"") == ([], []) and _read(junk)[0] == [] and _read(whole[:-1])[0] == [0, 1, 2, 3, 4]
 
 
+def _plain_records(n, size=300):
+    rng = random.Random(6)
+    return [warc.record(i, f"http://e.com/{i}", p, len(p), hashlib.sha256(p).hexdigest(), None, False) for i, p in ((i, rng.randbytes(size)) for i in range(n))]
+
+
+@pytest.mark.parametrize("level", [0, 1, 9])
+def test_salvage_of_damaged_members(level):
+    records = _plain_records(200)
+    member = bytearray(warc.member(b"".join(records), level))
+    tail = warc.member(b"".join(_plain_records(3)))
+    for at in (len(member) // 3, len(member) - 4):  # inside, and in the check sum
+        broken = bytearray(member)
+        broken[at] ^= 0x55
+        got = list(warc.salvage(bytes(broken) + tail))
+        ids = [x.headers["warc-record-id"] for x in got if isinstance(x, warc.Record)]
+        want = [f"<urn:page:{i}>" for i in range(200)]
+        assert ids[-3:] == want[:3] and len(set(ids[:-3])) == len(ids) - 3 and set(ids) <= set(want)
+        assert len(ids) - 3 >= (199 if at > len(member) - 9 or level == 0 else 60)
+        assert any(isinstance(x, warc.Gap) for x in got)
+    for cut in (20, 2_000):
+        got = list(warc.salvage(bytes(member[:-cut]) + tail))
+        assert len([x for x in got if isinstance(x, warc.Record)]) - 3 >= 200 - 1 - -(-cut // 300) * 2 and any("cut" in x.reason or "member" in x.reason for x in got if isinstance(x, warc.Gap))
+
+
+def test_salvage_time_grows_with_the_bytes(monkeypatch):
+    records = [bytearray(r) for r in _plain_records(40_000)]
+    for r in records:
+        r[-50] ^= 1
+    t = time.perf_counter()
+    got = list(warc.salvage(bytes(b"".join(records))))
+    assert len(got) == 1 and isinstance(got[0], warc.Gap) and time.perf_counter() - t < 20
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 1 << 20)
+    bomb = list(warc.salvage(warc.member(b"\0" * (1 << 24)) + warc.member(bytes(_plain_records(1)[0]))))
+    assert [type(x).__name__ for x in bomb] == ["Gap", "Record"]
+
+
+def test_a_lost_page_is_told(spark, tmp_path, words):
+    rows = [(i, f"http://e.com/{i}", words(60)) for i in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1).selectExpr("*", "1 as digest", "'g' as gap", "2 as archive")
+    path = str(tmp_path / "archives")
+    warc.write_archives(pages, path)
+    assert warc.read_back(pages, path).count() == 40
+    for part in (tmp_path / "archives").glob("part-*"):
+        data = bytearray(part.read_bytes())
+        data[len(data) // 2] ^= 0xFF
+        part.write_bytes(bytes(data))
+    for crc in (tmp_path / "archives").glob(".*.crc"):
+        crc.unlink()
+    with pytest.raises(ValueError, match="39 records read back, 1 gaps: see (.*)") as told:
+        warc.read_back(pages, path)
+    gap = spark.read.parquet(str(told.value).split("see ")[1]).collect()
+    assert len(gap) == 1 and gap[0].end > gap[0].start
+
+
 def test_salvage_inside_one_member_and_in_spark(spark, tmp_path):
     parts = _archive(plain=range(6))
     parts[2] = parts[2].replace(b"page 2", b"page X")
