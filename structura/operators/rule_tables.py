@@ -129,7 +129,23 @@ PROFILE_KEYWORDS = {
 TOKEN_SPLIT_RE = r"[^\p{L}\p{N}]+"
 # Pages every generated site has besides the homepage.
 BASE_PAGES = ["about", "contact"]
+# Words that refuse what follows them; sentence ends; words of a phrase.
+NEGATIONS = ["no", "not", "none", "never", "without", "don't", "doesn't", "ne", "nije", "bez"]
+SENTENCE_END_RE = r"[.!?;\n]+"
+PHRASE_SPLIT_RE = r"[^\p{L}\p{N}.']+"
+# Phrases that name an approach to languages.
+APPROACH_PHRASES = {"subdirectory": "subdirectory", "subfolder": "subdirectory", "language folder": "subdirectory", "language folders": "subdirectory",
+                    "subdomain": "subdomain", "subdomains": "subdomain", "language parameter": "parameter", "url parameter": "parameter"}
 # ---------------------------------------------------------------------------
 
 EXCLUDE_REASONS = ["admin", "account", "search", "filter", "pagination", "language_prefix",
                    "form_endpoint", "technical_feature", "questionnaire_metadata", "internal_process"]
+
+# Phrases that name a page: the last segment of every page of the tables above, its words apart, and singular forms of one word.
+PAGE_PHRASES = {}
+for _page in [*BASE_PAGES, *(a for a, _ in LISTING_DETAIL), *(p for pages in INDUSTRY_PAGES.values() for p in pages if "single-" not in p), *(p for _, p in LEGAL_PAGES)]:
+    _words = _page.rsplit("/", 1)[-1].replace("-", " ")
+    PAGE_PHRASES.setdefault(_words, _page)
+    if _words.endswith("s") and " " not in _words and _words not in ("news", "events"):
+        PAGE_PHRASES.setdefault(_words[:-1], _page)
+PAGE_PHRASES |= {"about us": "about", "contact us": "contact", "contact page": "contact", "event calendar": "events"}

@@ -17,9 +17,12 @@ from __future__ import annotations
 
 import datetime as _dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.joins import join_group_facts
+from ..functions.scratch import materialize
+from ..functions.settle import settled
 from ..functions.url import clean_url, path_segments, url_path
 from . import rule_tables as RT
 
@@ -105,11 +108,14 @@ def rule_listing_detail(urls: DataFrame) -> DataFrame:
 def rule_hierarchy(urls: DataFrame, max_levels: int = RT.MAX_LEVELS) -> DataFrame:
     """V3: orphans (parent path absent from the site) and pages deeper than
     ``max_levels``."""
-    paths = site_paths(urls).withColumn("n", F.size("segs"))
-    child = (paths.filter(F.col("n") >= 2)
-             .withColumn("parent", F.array_join(F.slice("segs", 1, F.col("n") - 1), "/")))
+    n = F.size("segs")
+    parent = F.when(n >= 2, F.array_join(F.slice("segs", 1, n - 1), "/"))
+    paths = materialize(site_paths(urls).select("site_id", "seg_path", n.alias("n"), parent.alias("parent")), "site-paths")
+    # distinct parents meet the paths; children meet only the parents that are missing, a missing parent of very many by broadcast
+    families = paths.filter(F.col("parent").isNotNull()).groupBy("site_id", "parent").agg(F.count("*").alias("children"))
     existing = paths.select("site_id", F.col("seg_path").alias("parent"))
-    orphans = child.join(existing, ["site_id", "parent"], "left_anti")
+    missing = materialize(families.join(existing, ["site_id", "parent"], "left_anti"), "missing-parents")
+    orphans = join_group_facts(paths.filter(F.col("parent").isNotNull()), missing, ["site_id", "parent"], "children")
     deep = paths.filter(F.col("n") > max_levels)
     url = F.concat(F.lit("/"), F.col("seg_path"))
     return (_finding(orphans, url, "hierarchy", F.concat(F.lit("orphan: missing /"), F.col("parent")))
@@ -314,6 +320,65 @@ def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT) -> DataF
 
 
 # V12 -------------------------------------------------------------------------
+def mentioned(pairs: DataFrame, phrases: dict[str, str]) -> DataFrame:
+    """``file_id, id, value``: what the phrases (one to three words -> value) that a pair says stand for; distinct.
+
+    Of overlapping phrases the longer one counts, if it covers the shorter.
+    A phrase is left out if one of the three words before it in its sentence
+    negates it, or if it stands in the question and the answer's first word
+    is a negation.  The phrase table is fixed and small; shingles meet it by
+    broadcast, and pairs without any phrase's first word are left out first.
+    """
+    spark = pairs.sparkSession
+    table = F.broadcast(spark.createDataFrame(sorted(phrases.items()), "phrase string, value string"))
+    firsts = F.array(*[F.lit(w) for w in sorted({p.split()[0] for p in phrases})])
+
+    def words(c: str) -> Column:
+        marked = F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), RT.SENTENCE_END_RE, " . ")
+        return F.filter(F.split(marked, RT.PHRASE_SPLIT_RE), lambda w: w != "")
+
+    negations = F.array(*[F.lit(w) for w in RT.NEGATIONS])
+    said = settled(pairs.select("file_id", "id", words("question").alias("q"), words("answer").alias("a")))
+    refused = F.array_contains(negations, F.coalesce(F.get("a", F.lit(0)), F.lit("")))
+    said = said.select("file_id", "id", F.size("q").alias("n_question"), refused.alias("refused"), F.concat("q", F.array(F.lit(".")), "a").alias("w"))
+    said = settled(said).filter(F.arrays_overlap("w", firsts))
+    starts = said.select("file_id", "id", "n_question", "refused", "w", F.posexplode("w").alias("at", "first")).filter(F.array_contains(firsts, F.col("first")))
+    near = F.slice("w", F.greatest(F.col("at") - 2, F.lit(1)), F.least(F.col("at"), F.lit(3)))
+    stop = F.array_position(F.reverse(near), ".")
+    before = F.when(stop > 0, F.slice(F.reverse(near), F.lit(1), stop.cast("int") - 1)).otherwise(near)
+    denied = F.arrays_overlap(before, negations) | (F.col("refused") & (F.col("at") < F.col("n_question")))
+    shingles = starts.select("file_id", "id", "at", denied.alias("denied"), F.explode(F.transform(
+        F.sequence(F.lit(1), F.lit(3)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice("w", F.col("at") + 1, n), " ").alias("phrase")))).alias("s"))
+    hits = shingles.select("file_id", "id", "at", "denied", "s.n", "s.phrase").join(table, "phrase")
+    hits = hits.groupBy("file_id", "id", "at").agg(F.max(F.struct("n", "value", "denied")).alias("m")).select("file_id", "id", "at", "m.*")
+    earlier = Window.partitionBy("file_id", "id").orderBy("at").rangeBetween(-2, -1)  # one pair's few phrases
+    covered = F.coalesce(F.max(F.col("at") + F.col("n")).over(earlier) >= F.col("at") + F.col("n"), F.lit(False))
+    return hits.withColumn("covered", covered).filter("not covered and not denied").select("file_id", "id", "value").distinct()
+
+
+def profile_details(pairs: DataFrame, profile: DataFrame) -> DataFrame:
+    """``file_id, explicit_pages, implied_pages, language_approach, industry`` for every row of ``profile``.
+
+    ``explicit_pages``: pages that the pairs name and don't refuse;
+    ``implied_pages``: those that the profile calls for (homepage: '');
+    ``language_approach``: the approach named in most pairs (ties: the
+    reference's order), the default for a multilingual profile that names
+    none, null otherwise; ``industry``: the business type if it is an
+    industry with pages of its own, else 'general'.
+    """
+    none = F.array().cast("array<string>")
+    said = mentioned(pairs, RT.PAGE_PHRASES | {p: f"={a}" for p, a in RT.APPROACH_PHRASES.items()})
+    pages = said.filter(~F.col("value").startswith("=")).groupBy("file_id").agg(F.sort_array(F.collect_set("value")).alias("explicit"))
+    votes = said.filter(F.col("value").startswith("=")).groupBy("file_id", F.substring("value", 2, 100).alias("approach")).agg(F.count("*").alias("n"))
+    order = F.array_position(F.array(*map(F.lit, RT.ML_APPROACHES)), F.col("approach"))
+    chosen = votes.groupBy("file_id").agg(F.max_by("approach", F.struct("n", -order)).alias("named"))
+    implied = planned_pages(profile).groupBy("file_id").agg(F.sort_array(F.collect_set("path")).alias("implied"))
+    j = profile.join(pages, "file_id", "left").join(chosen, "file_id", "left").join(implied, "file_id", "left")
+    return j.select("file_id", F.coalesce("explicit", none).alias("explicit_pages"), F.coalesce("implied", none).alias("implied_pages"),
+                    F.coalesce("named", F.when(F.col("multilingual"), F.lit(RT.ML_DEFAULT))).alias("language_approach"),
+                    F.when(F.col("business_type").isin(*RT.INDUSTRY_PAGES), F.col("business_type")).otherwise(F.lit("general")).alias("industry"))
+
+
 def questionnaire_profile(pairs: DataFrame, vocabulary: dict | None = None) -> DataFrame:
     """Per questionnaire file ``business_type, dynamic_types,
     ecommerce, multilingual, traits, legal_pages, n_pairs``.

@@ -15,7 +15,7 @@ from ..operators import prompt as M
 from ..operators.ingest import parse_files, qa_pairs
 from ..operators.sitemap import SITEMAP_NS, XML_DECL
 from ..sources.fixtures import doc_files, qfiles
-from .q_rules import ANCHOR, PROFILE_SQL, _changefreq, _class_path, _lastmod, _pairs_cte, _priority
+from .q_rules import ANCHOR, MENTIONED_SQL, PROFILE_SQL, _changefreq, _class_path, _lastmod, _pairs_cte, _priority
 from ..functions.scratch import materialize, scratch_path
 from ..operators.replies import generate_missing, replies_from_store
 from .registry import register
@@ -215,3 +215,19 @@ def q_profile_findings(spark, sf):
     pages = planned_pages(profile).filter(F.length("path") % 3 != 0)
     records = pages.select(F.col("file_id").alias("site_id"), F.lit(0).cast("bigint").alias("pos"), F.concat(F.lit(SITE_BASE), F.col("path")).alias("url"))
     return profile_findings(records, profile)
+
+
+@register("profile_details", f"WITH {_pairs_cte()}" + _PLANNED + f""",
+{MENTIONED_SQL.lstrip()},
+pages AS (SELECT file_id, list_sort(list(DISTINCT value)) AS explicit FROM said WHERE value NOT LIKE '=%' GROUP BY file_id),
+votes AS (SELECT file_id, value[2:] AS approach, count(*) AS n FROM said WHERE value LIKE '=%' GROUP BY file_id, value),
+chosen AS (SELECT file_id, first(approach ORDER BY n DESC, list_position({M.RT.ML_APPROACHES!r}, approach)) AS named FROM votes GROUP BY file_id),
+implied AS (SELECT file_id, list_sort(list(path)) AS implied FROM planned GROUP BY file_id)
+SELECT p.file_id, coalesce(explicit, []::VARCHAR[]) AS explicit_pages, implied AS implied_pages,
+       coalesce(named, CASE WHEN multilingual THEN {sql_str(M.RT.ML_DEFAULT)} END) AS language_approach,
+       CASE WHEN business_type IN ({', '.join(map(sql_str, M.RT.INDUSTRY_PAGES))}) THEN business_type ELSE 'general' END AS industry
+FROM profile AS p LEFT JOIN pages USING (file_id) LEFT JOIN chosen USING (file_id) LEFT JOIN implied USING (file_id)""")
+def q_profile_details(spark, sf):
+    from ..operators.rules import profile_details, questionnaire_profile
+    pairs = materialize(qa_pairs(_parsed(spark, sf)), "pairs")
+    return profile_details(pairs, materialize(questionnaire_profile(pairs), "profile"))

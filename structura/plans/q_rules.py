@@ -404,3 +404,22 @@ profile AS (
 @register("questionnaire_profile", f"WITH {_pairs_cte()}, {PROFILE_SQL} SELECT * FROM profile")
 def q_questionnaire_profile(spark, sf):
     return R.questionnaire_profile(_pairs(spark, sf))
+
+
+_NEGATIONS = "[" + ", ".join(map(sql_str, RT.NEGATIONS)) + "]"
+# the twin takes every shingle of every pair, and every longer one that covers it
+MENTIONED_SQL = f"""
+phrases(phrase, value, n) AS (VALUES {', '.join(f"({sql_str(p)}, {sql_str(v)}, {len(p.split())})" for p, v in
+                                                [*RT.PAGE_PHRASES.items(), *((p, '=' + a) for p, a in RT.APPROACH_PHRASES.items())])}),
+parts AS (SELECT file_id, id, {", ".join(
+    f"list_filter(regexp_split_to_array(regexp_replace(lower({c}), '[.!?;' || chr(10) || ']+', ' . ', 'g'), '[^\\p{{L}}\\p{{N}}.'']+'), lambda w: w <> '') AS {c[0]}"
+    for c in ("question", "answer"))} FROM pairs),
+spoken AS (SELECT file_id, id, len(q) AS nq, coalesce(list_contains({_NEGATIONS}, a[1]), false) AS refused, q || ['.'] || a AS w FROM parts),
+shingles AS (SELECT file_id, id, nq, refused, w, k, n, array_to_string(w[k : k + n - 1], ' ') AS phrase
+             FROM (SELECT *, unnest(range(1, len(w) + 1)) AS k FROM spoken), (VALUES (1), (2), (3)) AS t(n) WHERE k + n - 1 <= len(w)),
+found AS (SELECT s.*, p.value FROM shingles AS s JOIN phrases AS p ON p.phrase = s.phrase AND p.n = s.n),
+said AS (SELECT DISTINCT file_id, id, value FROM found AS f
+  WHERE NOT EXISTS (SELECT 1 FROM found AS g WHERE g.file_id = f.file_id AND g.id = f.id AND g.n > f.n AND g.k <= f.k AND g.k + g.n >= f.k + f.n)
+    AND NOT (refused AND k <= nq)
+    AND NOT (list_contains({_NEGATIONS}, w[k - 1]) OR (k > 2 AND w[k - 1] <> '.' AND list_contains({_NEGATIONS}, w[k - 2]))
+             OR (k > 3 AND w[k - 1] <> '.' AND w[k - 2] <> '.' AND list_contains({_NEGATIONS}, w[k - 3]))))"""

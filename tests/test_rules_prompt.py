@@ -141,3 +141,28 @@ def test_driver_contract(spark):
     assert set(sql) <= set(q) and len(q) >= 50
     df = E.entry(spark)
     assert df.columns == ["site_id", "line_no", "depth", "line"] and df.count() > 1000
+
+
+def test_mentioned_pages_and_refusals(spark):
+    from structura.operators import rules as R
+    rows = [("f", 1, "Which pages do you want?", "A blog, case results and an About us page."), ("f", 2, "Do you need a gallery?", "No, thanks."),
+            ("f", 3, "Anything else?", "We have no menu. Pricing is a must; without any shipping information"), ("f", 4, "And a team page?", "Yes, the team"),
+            ("g", 1, "Languages?", "Use a subdomain, not a language folder"), ("g", 2, "Sure?", "Subdomains. Contact form too"), ("h", 1, "Terms and conditions?", "no"),
+            ("i", 1, "x", "Blogging and newsroom"), ("n", 1, None, "privacy policy"), ("j", 1, "No.", "Blog, cookie  policy")]
+    pairs = spark.createDataFrame(rows, "file_id string, id bigint, question string, answer string")
+    got = {}
+    for r in R.mentioned(pairs, R.RT.PAGE_PHRASES | {p: f"={a}" for p, a in R.RT.APPROACH_PHRASES.items()}).collect():
+        got.setdefault(r.file_id, set()).add(r.value)
+    assert got == {"f": {"blog", "case-results", "about", "pricing", "team"}, "g": {"=subdomain", "contact"}, "n": {"privacy-policy"}, "j": {"blog", "cookie-policy"}}
+    details = {r.file_id: r for r in R.profile_details(pairs, R.questionnaire_profile(pairs)).collect()}
+    assert details["g"].language_approach == "subdomain" and details["f"].language_approach is None
+    assert details["f"].explicit_pages == ["about", "blog", "case-results", "pricing", "team"] and details["i"].explicit_pages == []
+    assert "blog" in details["f"].implied_pages and details["f"].industry == "restaurant" and details["i"].industry == "general"
+
+
+def test_orphans_of_a_missing_parent_with_many_children(spark):
+    from structura.operators import rules as R
+    urls = [f"https://e.com/gone/c{i}" for i in range(3_000)] + ["https://e.com/here", "https://e.com/here/x", "https://e.com/a/b/c/d"]
+    df = spark.createDataFrame([("s", i, u) for i, u in enumerate(urls)], "site_id string, pos bigint, url string")
+    got = [(r.url, r.detail) for r in R.rule_hierarchy(df).collect()]
+    assert sorted(got) == sorted([(f"/gone/c{i}", "orphan: missing /gone") for i in range(3_000)] + [("/a/b/c/d", "orphan: missing /a/b/c"), ("/a/b/c/d", "too_deep: 4 levels")])
