@@ -7,6 +7,12 @@ pairs to ``out/pairs`` and the rejects to ``out/rejects``, each batch to a
 partition of its own that is overwritten: a batch that is run again after
 a failure replaces its rows and repeats none.  The checkpoint records
 which files were done.
+
+A file id may come again, as a new upload at another path.  Its latest
+version counts: the one modified last, the later path on ties, then the
+later batch.  Every batch writes the versions that it has read to
+``out/versions``, one small row per file, and the readers take the pairs
+and rejects of each file's latest version only.
 """
 
 from __future__ import annotations
@@ -32,8 +38,7 @@ def start_ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint:
            .option("pathGlobFilter", glob).option("recursiveFileLookup", "true")
            .load(landing))
     fid = F.regexp_extract("path", file_id_re, 1) if file_id_re else F.col("path")
-    files = src.select(fid.alias("file_id"),
-                       within_limit(max_bytes).alias("content"))
+    files = src.select(fid.alias("file_id"), within_limit(max_bytes).alias("content"), F.col("modificationTime").alias("modified"), "path")
 
     def batch(df: DataFrame, batch_id: int) -> None:
         write_batch(df, batch_id, out)
@@ -44,19 +49,41 @@ def start_ingest_stream(spark: SparkSession, landing: str, out: str, checkpoint:
 
 
 def write_batch(files: DataFrame, batch_id: int, out: str) -> None:
-    """Pairs and rejects of one batch, each in its own overwritten folder."""
-    parsed = parse_files(files)
+    """Versions, pairs and rejects of one batch, each in its own overwritten folder.
+
+    ``files``: ``file_id, content`` and, if known, ``modified, path``; of
+    several versions of a file in one batch the latest is read.
+    """
+    for name, kind in (("modified", "timestamp"), ("path", "string")):
+        if name not in files.columns:
+            files = files.withColumn(name, F.lit(None).cast(kind))
+    version = F.struct("modified", "path")
+    latest = files.groupBy("file_id").agg(F.max(version).alias("v")).select("file_id", "v.modified", "v.path")
+    same = F.col("f.file_id").eqNullSafe(F.col("l.file_id")) & F.col("f.modified").eqNullSafe(F.col("l.modified")) & F.col("f.path").eqNullSafe(F.col("l.path"))
+    parsed = parse_files(files.alias("f").join(latest.alias("l"), same, "left_semi").select("file_id", "content"))
+    # the versions come last: until they are there, readers see the version before
     qa_pairs(parsed).write.mode("overwrite").parquet(f"{out}/pairs/batch_id={batch_id}")
     rejects(parsed).write.mode("overwrite").parquet(f"{out}/rejects/batch_id={batch_id}")
+    latest.write.mode("overwrite").parquet(f"{out}/versions/batch_id={batch_id}")
+
+
+def read_versions(spark: SparkSession, out: str) -> DataFrame:
+    """``file_id, modified, path, batch_id``: the latest version of every file."""
+    rows = _read(spark, f"{out}/versions", "file_id string, modified timestamp, path string, batch_id int")
+    return rows.groupBy("file_id").agg(F.max(F.struct("modified", "path", "batch_id")).alias("v")).select("file_id", "v.modified", "v.path", "v.batch_id")
 
 
 def read_pairs(spark: SparkSession, out: str) -> DataFrame:
-    """All pairs so far (also when no batch was written yet)."""
-    return _read(spark, f"{out}/pairs", "file_id string, id bigint, question string, answer string, batch_id int")
+    """The pairs of every file's latest version (none when no batch was written yet)."""
+    return _latest(spark, out, _read(spark, f"{out}/pairs", "file_id string, id bigint, question string, answer string, batch_id int"))
 
 
 def read_rejects(spark: SparkSession, out: str) -> DataFrame:
-    return _read(spark, f"{out}/rejects", "file_id string, rec_no bigint, reason string, raw string, batch_id int")
+    return _latest(spark, out, _read(spark, f"{out}/rejects", "file_id string, rec_no bigint, reason string, raw string, batch_id int"))
+
+
+def _latest(spark: SparkSession, out: str, rows: DataFrame) -> DataFrame:
+    return rows.join(read_versions(spark, out).select("file_id", "batch_id"), ["file_id", "batch_id"], "left_semi")
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:

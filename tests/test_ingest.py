@@ -207,3 +207,32 @@ def test_dialect_by_consistent_fields(spark):
     parsed = I.parse_files(files_df(spark, {k: t for k, (t, _, _) in cases.items()}), dialect="auto").collect()
     assert {r.file_id: (r.delimiter, r.quote) for r in parsed} == {k: (d, q) for k, (_, d, q) in cases.items()}
     assert [list(r.cells) for r in next(r for r in parsed if r.file_id == "single quotes").rows][0] == ["x; y", "it's; so"]
+
+
+def test_the_latest_version_of_a_file_counts(spark, tmp_path):
+    import datetime
+    from structura.streaming.ingest_stream import read_pairs, read_rejects, read_versions, start_ingest_stream, write_batch
+    head = "section,question,answer\n"
+
+    def files(rows):
+        at = lambda m: datetime.datetime(2025, 1, 1, 0, m)
+        return spark.createDataFrame([(i, t.encode(), at(m), p) for i, t, m, p in rows], "file_id string, content binary, modified timestamp, path string")
+
+    out = str(tmp_path / "out")
+    write_batch(files([("a", head + "1,q1,old\n1,q2,old\n", 1, "u1/a"), ("b", head + "1,q,kept\n", 5, "u1/b"), ("a", head + "1,q1,newer\n", 2, "u2/a")]), 0, out)
+    now = lambda: sorted((r.file_id, r.id, r.answer) for r in read_pairs(spark, out).collect())
+    assert now() == [("a", 1, "newer"), ("b", 1, "kept")]
+    again = files([("a", head + "1,q1,newest\n1,x,y,z\n", 3, "u3/a"), ("b", head + "1,q,late but old\n", 4, "u3/b"), ("c", "", 1, "u3/c")])
+    for _ in range(2):  # a batch that runs again changes nothing
+        write_batch(again, 1, out)
+        assert now() == [("a", 1, "newest"), ("b", 1, "kept")]
+        assert sorted((r.file_id, r.reason) for r in read_rejects(spark, out).collect()) == [("a", "too_many_fields"), ("c", "empty")]
+    assert {(r.file_id, r.path, r.batch_id) for r in read_versions(spark, out).collect()} == {("a", "u3/a", 1), ("b", "u1/b", 0), ("c", "u3/c", 1)}
+    # through the stream: a second upload of the same id in a new folder
+    landing, result, done = (str(tmp_path / n) for n in ("landing", "result", "done"))
+    for upload, answer in (("u1", "first"), ("u2", "second")):
+        folder = tmp_path / "landing" / upload
+        folder.mkdir(parents=True)
+        (folder / "f.csv").write_text(head + f"1,q,{answer}\n")
+        start_ingest_stream(spark, landing, result, done, file_id_re=r"/([^/]+)\.csv").awaitTermination()
+        assert [r.answer for r in read_pairs(spark, result).collect()] == [answer]
