@@ -1,4 +1,4 @@
-"""Sinks: the tree download (S3).
+"""Sinks: the tree download (S3) and sitemap files.
 
 The reference offers the printed tree as one text file per questionnaire,
 named by S5.  Here every site's lines are written as ordered text under a
@@ -11,7 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions.scratch import materialize  # noqa: F401  (part of this module's interface)
+from ..functions.scratch import materialize
+from .sitemap import SITEMAP_HEAD, sitemap_entry
 
 
 def write_tree_files(lines: DataFrame, names: DataFrame, path: str, partitions: int | None = None) -> None:
@@ -38,17 +39,43 @@ def read_tree_files(spark: SparkSession, path: str) -> DataFrame:
     the lines of the site's earlier files is its number.  Ids and names come
     back as they were written (``007`` stays ``007``).
     """
-    text = spark.read.schema("value string, site_id string, output_name string").text(path)
-    rows = text.select(
-        F.coalesce("site_id", F.lit("")).alias("site_id"), F.coalesce("output_name", F.lit("")).alias("output_name"), F.col("value").alias("line"), F.input_file_name().alias("file"),
-        F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
-    rows = materialize(rows, "tree-lines-read")
-    block = ["site_id", "output_name", "file", "start"]
+    return _ordered_lines(spark, path, ["site_id", "output_name"])
+
+
+def _ordered_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame:
+    """Lines of text files in folders by ``keys``, numbered from 1 in the order of parts and places: ``keys, line_no, line``."""
+    text = spark.read.schema(", ".join(["value string", *(f"{k} string" for k in keys)])).text(path)
+    rows = text.select(*(F.coalesce(k, F.lit("")).alias(k) for k in keys), F.col("value").alias("line"), F.input_file_name().alias("file"),
+                       F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("at"))
+    rows = materialize(rows, "lines-read")
+    block = [*keys, "file", "start"]
     runs = rows.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     part = F.regexp_extract("file", r"/part-([0-9]+)[^/]*\z", 1).try_cast("bigint")  # names stop sorting at 100,000 parts
-    before = Window.partitionBy("site_id", "output_name").orderBy(part, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy(part, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(runs, block).select("site_id", "output_name", (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
+    return rows.join(runs, block).select(*keys, (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
+
+
+def write_sitemap_files(urls: DataFrame, path: str, partitions: int | None = None) -> None:
+    """S4 as files: one sitemap per site under ``path/site_id=<id>/part-*``, in ``pos`` order.
+
+    ``sitemap_write`` holds a site's document in one value; here header,
+    entries and footer are ordered rows, range-partitioned, so a site of
+    any size spreads over part files that follow each other in name order.
+    """
+    rows = urls.select("site_id", F.lit(1).alias("kind"), "pos", F.regexp_replace(sitemap_entry(), r"\n\z", "").alias("text"))
+    frame = urls.select("site_id").distinct().select("site_id", F.explode(F.array(
+        F.struct(F.lit(0).alias("kind"), F.lit(SITEMAP_HEAD).alias("text")), F.struct(F.lit(2).alias("kind"), F.lit("</urlset>").alias("text")))).alias("f"))
+    every = rows.unionByName(frame.select("site_id", "f.kind", F.lit(0).cast("bigint").alias("pos"), "f.text"))
+    order = ["site_id", "kind", "pos", "text"]
+    n = partitions or int(urls.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    (every.repartitionByRange(n, *order).sortWithinPartitions(*order).select("site_id", "text")
+     .write.mode("overwrite").partitionBy("site_id").text(path))
+
+
+def read_sitemap_lines(spark: SparkSession, path: str) -> DataFrame:
+    """The written sitemaps: ``site_id, line_no, line``; a site's lines joined by line ends are its document."""
+    return _ordered_lines(spark, path, ["site_id"])
 
 
 def site_output_names(urls: DataFrame, run_ts: str) -> DataFrame:

@@ -45,13 +45,22 @@ def _element(name: str) -> Column:
     return F.when(v != "", body).otherwise(F.lit(""))
 
 
+#: What comes before the entries.
+SITEMAP_HEAD = XML_DECL + "\n" + f'<urlset xmlns="{SITEMAP_NS}">'
+
+
+def sitemap_entry() -> Column:
+    """The ``<url>`` element of a URL record."""
+    return F.concat(F.lit("  <url>\n"), *[_element(n) for n in URL_FIELDS], F.lit("  </url>\n"))
+
+
 def sitemap_write(urls: DataFrame, max_urls: int | None = None) -> DataFrame:
     """``site_id, chunk, n_urls, xml``: one ``<urlset>`` per site, in
     ``pos`` order (dense or sparse).  ``max_urls``: a document ends after so
     many URLs (the protocol allows 50,000) and the next chunk begins.
-    Empty optional fields are left out."""
-    entry = F.concat(F.lit("  <url>\n"), *[_element(n) for n in URL_FIELDS], F.lit("  </url>\n"))
-    rows = urls.select("site_id", "pos", entry.alias("entry"))
+    Empty optional fields are left out.  A document is one value: for sites
+    beyond that see ``sinks.write_sitemap_files``."""
+    rows = urls.select("site_id", "pos", sitemap_entry().alias("entry"))
     if max_urls is None:
         rows = rows.withColumn("chunk", F.lit(0).cast("bigint"))
     else:
@@ -60,7 +69,7 @@ def sitemap_write(urls: DataFrame, max_urls: int | None = None) -> DataFrame:
                                     lambda s: s["entry"]), "")
     return (rows.groupBy("site_id", "chunk")
             .agg(F.count(F.lit(1)).alias("n_urls"),
-                 F.concat(F.lit(XML_DECL + "\n" + f'<urlset xmlns="{SITEMAP_NS}">\n'), body,
+                 F.concat(F.lit(SITEMAP_HEAD + "\n"), body,
                           F.lit("</urlset>\n")).alias("xml")))
 
 

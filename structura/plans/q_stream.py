@@ -11,13 +11,13 @@ from ..operators.ingest import parse_files, qa_pairs
 from ..operators.ingest_split import parse_split, split_pairs
 from ..operators.sitemap import sitemap_parse
 from ..operators.sitemap_split import sitemap_parse_files
-from ..operators.sinks import read_tree_files, site_output_names, write_tree_files
+from ..operators.sinks import read_sitemap_lines, read_tree_files, site_output_names, write_sitemap_files, write_tree_files
 from ..functions.scratch import scratch_path
-from ..sources.fixtures import catalog_urls, qfiles_text, sitemap_docs
+from ..sources.fixtures import catalog_urls, page_urls, qfiles_text, sitemap_docs
 from ..sources.tables import binary_files, xml_texts
 from ..streaming.ingest_stream import read_pairs, start_ingest_stream
 from .q_ingest import _PAIRS_TRUTH
-from .q_sitemap import PARSE_CTE
+from .q_sitemap import PARSE_CTE, WRITE_CTE
 from .registry import register
 from .sqlparts import catalog_cte, nodes_cte, ordered_cte, qa_source_cte
 
@@ -79,3 +79,14 @@ def q_tree_files(spark, sf):
     path = scratch_path(spark, "tree-files")
     write_tree_files(T.tree_lines(urls), site_output_names(urls, RUN_TS), path)
     return read_tree_files(spark, path)
+
+
+@register("sitemap_write_files", f"""
+WITH {WRITE_CTE}
+SELECT site_id, CAST(generate_subscripts(l, 1) AS BIGINT) AS line_no, unnest(l) AS line
+FROM (SELECT site_id, string_split(regexp_replace(xml, '\\n$', ''), chr(10)) AS l FROM written)""")
+def q_sitemap_write_files(spark, sf):
+    """S4 through ordered part files."""
+    path = scratch_path(spark, "sitemap-files")
+    write_sitemap_files(page_urls(spark, sf), path)
+    return read_sitemap_lines(spark, path)

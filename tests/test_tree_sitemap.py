@@ -171,6 +171,18 @@ def test_tree_files_keep_sites_and_line_order(spark, tmp_path):
     assert got == sorted(map(tuple, lines.select("site_id", "line_no", "line").collect()))
 
 
+def test_sitemap_files_are_the_documents(spark, tmp_path):
+    from structura.operators.sinks import read_sitemap_lines, write_sitemap_files
+    rows = [(site, i * 7, f"https://e.com/{site}/{i}?a&b", "2024-01-01" if i % 2 else "", "", "0.5" if i % 3 else "") for site, n in (("big", 400), ("007", 1), ("7", 2)) for i in range(n)]
+    urls = spark.createDataFrame(rows, "site_id string, pos bigint, url string, lastmod string, changefreq string, priority string")
+    write_sitemap_files(urls.repartition(5), str(tmp_path / "maps"), partitions=6)
+    assert len(list((tmp_path / "maps" / "site_id=big").glob("part-*"))) > 2
+    got = {}
+    for r in read_sitemap_lines(spark, str(tmp_path / "maps")).orderBy("site_id", "line_no").collect():
+        got.setdefault(r.site_id, []).append(r.line)
+    assert {k: "\n".join(v) + "\n" for k, v in got.items()} == {r.site_id: r.xml for r in S.sitemap_write(urls).collect()}
+
+
 def test_tree_files_keep_ids_as_written(spark, tmp_path):
     from structura.operators.sinks import read_tree_files, write_tree_files
     ids = ["007", "7", "1e3", "2024-01-02", "", "a b/c"]
