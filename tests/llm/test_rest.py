@@ -363,4 +363,4 @@ def test_queries_and_pipeline_run_on_the_small_tables(spark):
     ids = {r.doc_id for r in kept.select("doc_id").collect()}
     placed = corpus_pipeline.run(spark, SF)
     assert {r.doc_id for r in placed.select("doc_id").distinct().collect()} == ids
-    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 10
+    assert len([q for q in queries.QUERIES if q.startswith("op")]) == 13
