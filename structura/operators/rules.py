@@ -16,11 +16,12 @@ left to the planner, which knows their size at run time.
 from __future__ import annotations
 
 import datetime as _dt
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.joins import join_group_facts
+from ..functions.ancestors import with_ancestors
 from ..functions.scratch import materialize
 from ..functions.settle import settled
 from ..functions.url import clean_url, path_segments, url_path
@@ -108,19 +109,47 @@ def rule_listing_detail(urls: DataFrame) -> DataFrame:
 def rule_hierarchy(urls: DataFrame, max_levels: int = RT.MAX_LEVELS) -> DataFrame:
     """V3: orphans (parent path absent from the site) and pages deeper than
     ``max_levels``."""
-    n = F.size("segs")
-    parent = F.when(n >= 2, F.array_join(F.slice("segs", 1, n - 1), "/"))
-    paths = materialize(site_paths(urls).select("site_id", "seg_path", n.alias("n"), parent.alias("parent")), "site-paths")
-    # distinct parents meet the paths; children meet only the parents that are missing, a missing parent of very many by broadcast
-    families = paths.filter(F.col("parent").isNotNull()).groupBy("site_id", "parent").agg(F.count("*").alias("children"))
-    existing = paths.select("site_id", F.col("seg_path").alias("parent"))
-    missing = materialize(families.join(existing, ["site_id", "parent"], "left_anti"), "missing-parents")
-    orphans = join_group_facts(paths.filter(F.col("parent").isNotNull()), missing, ["site_id", "parent"], "children")
-    deep = paths.filter(F.col("n") > max_levels)
-    url = F.concat(F.lit("/"), F.col("seg_path"))
-    return (_finding(orphans, url, "hierarchy", F.concat(F.lit("orphan: missing /"), F.col("parent")))
-            .unionByName(_finding(deep, url, "hierarchy",
-                                  F.concat(F.lit("too_deep: "), F.col("n").cast("string"), F.lit(" levels")))))
+    paths = (with_paths(urls).filter(F.col("seg_path").isNotNull()).select("site_id", F.col("seg_path").alias("path"), F.lit(None).alias("value")).distinct())
+    return _hierarchy(with_ancestors(paths), max_levels)
+
+
+def _hierarchy(paths: DataFrame, max_levels: int) -> DataFrame:
+    """V3 findings of paths with their nearest ancestor: each path is read once, both findings come from its row."""
+    n = F.when(F.col("path") == "", F.lit(0)).otherwise(F.size(F.split("path", "/")))
+    parent = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
+    found = F.array(F.when((F.col("n") >= 2) & ~F.col("near").eqNullSafe(F.col("parent")), F.concat(F.lit("orphan: missing /"), F.col("parent"))),
+                    F.when(F.col("n") > max_levels, F.concat(F.lit("too_deep: "), F.col("n").cast("string"), F.lit(" levels"))))
+    rows = (paths.select("site_id", "path", "near", n.alias("n"), parent.alias("parent"))
+            .select("site_id", "path", F.explode(found).alias("detail")).filter(F.col("detail").isNotNull()))
+    return _finding(rows, F.concat(F.lit("/"), F.col("path")), "hierarchy", F.col("detail"))
+
+
+def _priority_paths(records: DataFrame) -> DataFrame:
+    """Distinct paths with their nearest ancestor; ``value``: ten times the greatest valid priority of the path's records."""
+    prio = F.col("priority").try_cast("decimal(2,1)")
+    rows = with_paths(records).filter(F.col("seg_path").isNotNull()).groupBy("site_id", F.col("seg_path").alias("path")).agg(
+        F.max(F.when((prio >= 0) & (prio <= 1), (prio * 10).cast("long"))).alias("value"))
+    return with_ancestors(rows)
+
+
+def _outranking(paths: DataFrame) -> DataFrame:
+    own, up = F.col("value"), F.try_element_at("above", F.lit(-1))
+
+    def shown(value: Column) -> Column:
+        return (value / 10).cast("decimal(2,1)").cast("string")
+
+    return _finding(paths.filter(own > up), F.concat(F.lit("/"), F.col("path")), "priority_order",
+                    F.concat(shown(own), F.lit(" above "), shown(up), F.lit(" of /"), F.col("near")))
+
+
+def rule_priority_order(records: DataFrame) -> DataFrame:
+    """Pages that outrank their nearest existing ancestor (``records``: ``site_id, url, priority`` as text).
+
+    A path's priority is the greatest valid one of its records; the
+    homepage is an ancestor of all.  A path or nearest ancestor without a
+    valid priority gives no finding here.
+    """
+    return _outranking(_priority_paths(records))
 
 
 # V4 / V5 ---------------------------------------------------------------------
@@ -274,15 +303,21 @@ def url_lint_summary(urls: DataFrame) -> DataFrame:
 
 
 # V11 -------------------------------------------------------------------------
-def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT) -> DataFrame:
+def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT, site_industry: DataFrame | None = None,
+                     site_traits: DataFrame | None = None, site_langs: DataFrame | None = None, expected_pages: DataFrame | None = None) -> DataFrame:
     """One findings table for parsed sitemap records
     (``site_id, pos, url, lastmod, changefreq, priority`` as text).
 
     Checks: duplicate URLs, lastmod dates not varied, invalid or
     illogical priority and changefreq, invalid lastmod, and the findings of
-    V1 (exclusions), V2 (listing/detail pairs), V3 (hierarchy) and V10 (URL
-    style, one finding per violation).  Every branch reads ``records``:
-    pass a materialized table (``sinks.materialize``) when it is costly.
+    V1 (exclusions), V2 (listing/detail pairs), V3 (hierarchy), pages that
+    outrank their nearest ancestor, and V10 (URL style, one finding per
+    violation).  Facts about the sites add: ``site_industry`` (``site_id,
+    industry``) V4, ``site_traits`` (``site_id`` and flags) V5,
+    ``site_langs`` (``site_id, lang``) V6 (one finding per language, with
+    the pages that lack a URL in it) and ``expected_pages`` (``site_id,
+    pages``) the page count.  Every branch reads ``records``: pass a
+    materialized table (``scratch.materialize``) when it is costly.
     """
     dup = (records.groupBy("site_id", "url").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > 1))
     dup_f = _finding(dup, F.col("url"), "duplicate", F.concat(F.col("n").cast("string"), F.lit(" copies")))
@@ -314,9 +349,34 @@ def sitemap_validate(records: DataFrame, approach: str = RT.ML_DEFAULT) -> DataF
     excl = rule_exclude(records, approach).select(*FINDING_COLS)
     lint = (rule_url_lint(records).select("site_id", "url", F.explode("violations").alias("detail"))
             .select("site_id", "url", F.lit("url_style").alias("rule"), "detail"))
-    return (dup_f.unionByName(dates_f).unionByName(field_f).unionByName(excl)
-            .unionByName(rule_listing_detail(records)).unionByName(rule_hierarchy(records))
-            .unionByName(lint))
+    paths = materialize(_priority_paths(records), "validate-paths")
+    found = [dup_f, dates_f, field_f, excl, lint, rule_listing_detail(records), _hierarchy(paths, RT.MAX_LEVELS), _outranking(paths)]
+    if site_industry is not None:
+        found.append(rule_industry(records, site_industry))
+    if site_traits is not None:
+        found.append(rule_legal(records, site_traits))
+    if site_langs is not None:
+        found.append(rule_untranslated(records, site_langs, approach))
+    if expected_pages is not None:
+        found.append(rule_page_count(records, expected_pages))
+    return reduce(DataFrame.unionByName, found)
+
+
+def rule_untranslated(records: DataFrame, site_langs: DataFrame, approach: str = RT.ML_DEFAULT) -> DataFrame:
+    """V6 as findings: per site and language the number of pages whose URL in that language is not among the records."""
+    missing = rule_multilingual(records, site_langs, approach).join(records.select("site_id", "url"), ["site_id", "url"], "left_anti")
+    counts = missing.groupBy("site_id", "lang").agg(F.count("*").alias("n"))
+    return _finding(counts, F.lit(None).cast("string"), "multilingual", F.concat(F.col("lang"), F.lit(": "), F.col("n").cast("string"), F.lit(" pages missing")))
+
+
+def rule_page_count(records: DataFrame, expected_pages: DataFrame) -> DataFrame:
+    """Sites with fewer records than ``expected_pages`` (``site_id, pages``) says."""
+    got = records.groupBy("site_id").agg(F.count(F.lit(1)).alias("n"))
+    few = expected_pages.join(got, "site_id", "left").withColumn("n", F.coalesce("n", F.lit(0))).filter(F.col("n") < F.col("pages"))
+    return _finding(few, F.lit(None).cast("string"), "page_count",
+                    F.concat(F.lit("expected "), F.col("pages").cast("string"), F.lit(" got "), F.col("n").cast("string")))
+
+
 
 
 # V12 -------------------------------------------------------------------------
@@ -450,9 +510,6 @@ def profile_findings(records: DataFrame, profile: DataFrame) -> DataFrame:
     """
     industry = profile.select(F.col("file_id").alias("site_id"), F.col("business_type").alias("industry"))
     legal = profile.select(F.col("file_id").alias("site_id"), F.explode("legal_pages").alias("path"), F.lit("profile").alias("why"))
-    got = records.groupBy(F.col("site_id").alias("file_id")).agg(F.count(F.lit(1)).alias("n"))
-    few = (estimated_pages(profile).join(got, "file_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-           .filter(F.col("n") < F.col("estimated_pages")).withColumnRenamed("file_id", "site_id"))
-    count = _finding(few, F.lit(None).cast("string"), "page_count",
-                     F.concat(F.lit("expected "), F.col("estimated_pages").cast("string"), F.lit(" got "), F.col("n").cast("string")))
+    pages = estimated_pages(profile).select(F.col("file_id").alias("site_id"), F.col("estimated_pages").alias("pages"))
+    count = rule_page_count(records, pages)
     return rule_industry(records, industry).unionByName(_missing(legal, records, "legal")).unionByName(count)

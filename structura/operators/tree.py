@@ -5,11 +5,12 @@ is a unique ordinal in document order within the site (dense or sparse).
 
 The reference builds a trie per sitemap and prints it recursively with
 siblings in first-appearance order.  Here the trie is a flat node table
-``(site_id, path)``.  Level by level a node takes its parent's sort key and
-adds its own first appearance; depth-first order is the order of these
-keys, so line numbers are ranks of one distributed sort.  A node moves
-twice in all, and neither a large site nor a large sibling group meets in
-one task.
+``(site_id, path)``.  A node's sort key lists the first appearances of its
+ancestors and its own; depth-first order is the order of these keys, so line
+numbers are ranks of one distributed sort.  Ancestors come from one pass over
+the sorted paths (``functions.ancestors``), not from joins on the parent: a
+node moves three times, and neither a large site nor a large sibling group
+meets in one task.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.ancestors import with_ancestors
+from ..functions.joins import join_group_facts
 from ..functions.order import ranked
 from ..functions.scratch import materialize
 from ..functions.url import path_segments
@@ -71,7 +74,10 @@ def tree_nodes(urls: DataFrame, max_depth: int | None = None) -> DataFrame:
         ex = ex.filter(F.col("depth") <= max_depth)
     prefixes = ex.select("site_id", "pos",
                          F.array_join(F.slice("segs", F.lit(1), F.col("depth") + 1), "/").alias("path"))
-    nodes = prefixes.groupBy("site_id", "path").agg(F.min("pos").alias("first_seen"))
+    return _node_columns(prefixes.groupBy("site_id", "path").agg(F.min("pos").alias("first_seen")))
+
+
+def _node_columns(nodes: DataFrame, *more: str) -> DataFrame:
     parts = F.split(F.col("path"), "/")
     depth = F.size(parts) - 1
     return nodes.select(
@@ -79,49 +85,24 @@ def tree_nodes(urls: DataFrame, max_depth: int | None = None) -> DataFrame:
         F.when(depth > 0, F.regexp_extract(F.col("path"), r"\A(.*)/[^/]*\z", 1)).alias("parent_path"),
         F.element_at(parts, -1).alias("name"),
         depth.alias("depth"),
-        "first_seen",
+        "first_seen", *more,
     )
 
 
-def _key_levels(nodes: DataFrame, levels: int, per_site: int | None = None) -> list[DataFrame]:
-    """One written table per depth: ``nodes`` with ``key``, the ancestors' and the node's own ``first_seen``.
+def _keyed(nodes: DataFrame) -> DataFrame:
+    """``nodes`` with ``key``, the ``first_seen`` of the ancestors and of the node itself.
 
-    ``per_site``: only each site's first nodes of every depth by ``key``,
-    and of the next depth only those below them.
+    No join on a parent: a parent of very many children spreads over tasks.
     """
-    out: list[DataFrame] = []
-    for d in range(levels):
-        level = nodes.filter(F.col("depth") == d)
-        if d == 0:
-            level = level.withColumn("key", F.array("first_seen"))
-        else:
-            up = out[-1].select("site_id", F.col("path").alias("parent_path"), F.col("key").alias("above"))
-            level = (level.join(up, ["site_id", "parent_path"])
-                     .withColumn("key", F.concat("above", F.array("first_seen"))).drop("above"))
-        if per_site is not None:
-            first = Window.partitionBy("site_id").orderBy("key")  # a limit per group, applied before the shuffle, too
-            level = level.withColumn("turn", F.row_number().over(first)).filter(F.col("turn") <= per_site).drop("turn")
-        out.append(materialize(level, f"tree-level{d}"))
-    return out
-
-
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def dfs_order(nodes: DataFrame, max_depth: int | None = None) -> DataFrame:
+    placed = with_ancestors(nodes.select("site_id", "path", F.col("first_seen").alias("value")))
+    return _node_columns(placed.select("site_id", "path", F.col("value").alias("first_seen"), F.concat("above", F.array("value")).alias("key")), "key")
+
+
+def dfs_order(nodes: DataFrame) -> DataFrame:
     """Add ``line_no`` (1-based depth-first rank, siblings by first_seen)
     to a node table that is closed under ancestors (every node's parent is
-    present).  ``max_depth``: the greatest depth in ``nodes``, counted when
-    None."""
-    nodes = materialize(nodes, "tree-nodes")
-    if max_depth is None:
-        max_depth = nodes.agg(F.max("depth")).first()[0]
-    keyed = _union(_key_levels(nodes, (max_depth or 0) + 1))
-    return ranked(keyed, ["site_id"], ["key"], "line_no").withColumn("line_no", F.col("line_no") + 1).drop("key")
+    present)."""
+    return ranked(_keyed(nodes), ["site_id"], ["key"], "line_no").withColumn("line_no", F.col("line_no") + 1).drop("key")
 
 
 def with_sibling_idx(ordered: DataFrame) -> DataFrame:
@@ -134,7 +115,7 @@ def tree_lines(urls: DataFrame, max_depth: int | None = TREE_MAX_DEPTH) -> DataF
     """T3+T4: printed tree lines ``site_id, line_no, depth, line``.
 
     Deeper nodes are left out (None: no limit); :func:`hidden_nodes` counts them."""
-    ordered = dfs_order(tree_nodes(urls, max_depth), max_depth)
+    ordered = dfs_order(tree_nodes(urls, max_depth))
     line = F.concat(F.repeat(F.lit(INDENT), F.col("depth")), F.lit(BULLET), F.col("name"))
     return ordered.select("site_id", "line_no", "depth", line.alias("line"))
 
@@ -179,21 +160,22 @@ def graph_nodes(urls: DataFrame, max_depth: int | None = GRAPH_MAX_DEPTH) -> Dat
         nodes = materialize(tree_nodes(urls), "graph-nodes")
         return _graph(nodes, with_sibling_idx(dfs_order(nodes)))
     nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
-    return _graph(nodes, with_sibling_idx(dfs_order(nodes.filter(F.col("depth") <= max_depth), max_depth)))
+    return _graph(nodes, with_sibling_idx(dfs_order(nodes.filter(F.col("depth") <= max_depth))))
 
 
 def _graph(nodes: DataFrame, ordered: DataFrame) -> DataFrame:
-    has_children = (nodes.filter(F.col("parent_path").isNotNull())
-                    .select("site_id", F.col("parent_path").alias("path")).distinct()
-                    .withColumn("is_folder", F.lit(True)))
+    """Children meet their parent's id by a join that broadcasts the few parents of very many (``join_group_facts``)."""
+    families = (nodes.filter(F.col("parent_path").isNotNull()).groupBy("site_id", "parent_path")
+                .agg(F.count("*").alias("children")).withColumnRenamed("parent_path", "path"))
     with_id = ordered.withColumn("node_id", _node_id(F.col("depth"), F.col("sibling_idx"), F.col("name")))
-    parents = with_id.select("site_id", F.col("path").alias("parent_path"), F.col("node_id").alias("parent_id"))
-    return (with_id.join(has_children, ["site_id", "path"], "left")
-            .join(parents, ["site_id", "parent_path"], "left")
-            .select("site_id", "node_id", "name", "path", "depth",
-                    F.coalesce(F.col("is_folder"), F.lit(False)).alias("is_folder"),
-                    "parent_path", F.coalesce(F.col("parent_id"), F.lit("root")).alias("parent_id"),
-                    "sibling_idx", F.col("line_no").alias("edge_no")))
+    with_id = materialize(with_id.join(families, ["site_id", "path"], "left"), "graph-ids")
+    parents = with_id.filter("children is not null").select("site_id", F.col("path").alias("parent_path"), F.col("node_id").alias("parent_id"), "children")
+    every = with_id.withColumn("is_folder", F.col("children").isNotNull()).drop("children")
+    below = join_group_facts(every.filter(F.col("parent_path").isNotNull()), parents, ["site_id", "parent_path"], "children")
+    top = every.filter(F.col("parent_path").isNull()).withColumn("parent_id", F.lit("root"))
+    return (below.drop("children").unionByName(top)
+            .select("site_id", "node_id", "name", "path", "depth", "is_folder", "parent_path", "parent_id", "sibling_idx",
+                    F.col("line_no").alias("edge_no")))
 
 
 def graph_edges(gnodes: DataFrame) -> DataFrame:
@@ -207,20 +189,18 @@ def graph_edges(gnodes: DataFrame) -> DataFrame:
 def first_graph_nodes(urls: DataFrame, k: int | None = GRAPH_MAX_EDGES, max_depth: int | None = GRAPH_MAX_DEPTH) -> DataFrame:
     """T6 for the first ``k`` nodes per site in traversal order.
 
-    A node can only be among them if it is among the first ``k`` of its
-    depth, so every level is cut to these before the next one joins it: a
-    site has at most ``k`` rows per depth from there on.  Their earlier
-    siblings are all among them, so ``sibling_idx`` is the whole one.
+    The cut is a limit per site, applied before its shuffle, too.  The
+    earlier siblings of a node are among the first ``k`` with it, so
+    ``sibling_idx`` is the whole one.
     """
     if k is None:
         return graph_nodes(urls, max_depth)
-    if max_depth is None:
-        max_depth = tree_nodes(urls).agg(F.max("depth")).first()[0] or 0
-    nodes = materialize(tree_nodes(urls, max_depth + 1), "graph-nodes")
-    keyed = _union(_key_levels(nodes.filter(F.col("depth") <= max_depth), max_depth + 1, per_site=k))
-    keyed = keyed.withColumn("sibling_idx", F.row_number().over(Window.partitionBy("site_id", "parent_path").orderBy("first_seen")) - 1)
-    ordered = (keyed.withColumn("line_no", F.row_number().over(Window.partitionBy("site_id").orderBy("key")))
+    nodes = materialize(tree_nodes(urls, None if max_depth is None else max_depth + 1), "graph-nodes")
+    drawn = nodes if max_depth is None else nodes.filter(F.col("depth") <= max_depth)
+    ordered = (_keyed(drawn).withColumn("line_no", F.row_number().over(Window.partitionBy("site_id").orderBy("key")))
                .filter(F.col("line_no") <= k).drop("key"))
+    ordered = materialize(ordered.withColumn("sibling_idx", F.row_number().over(
+        Window.partitionBy("site_id", "parent_path").orderBy("first_seen")) - 1), "graph-first")
     return _graph(nodes.join(ordered.select("site_id", F.col("path").alias("parent_path")), ["site_id", "parent_path"], "left_semi"),
                   ordered)
 

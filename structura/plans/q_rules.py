@@ -312,8 +312,52 @@ urls AS (
   FROM a0)"""
 
 
+# the twin looks up every prefix of every path and takes the longest that is a page
+_ORDER_CTE = """
+pp AS (SELECT site_id, seg_path, max(CASE WHEN prio >= 0 AND prio <= 1 THEN prio END) AS top
+       FROM (SELECT site_id, array_to_string(segs, '/') AS seg_path, TRY_CAST(priority AS DECIMAL(2,1)) AS prio
+             FROM (SELECT site_id, priority, @segs@ AS segs FROM urls)) GROUP BY site_id, seg_path),
+up AS (SELECT site_id, seg_path, top, unnest(list_transform(range(0, CASE WHEN seg_path = '' THEN 0 ELSE len(string_split(seg_path, '/')) END),
+              lambda k: array_to_string(string_split(seg_path, '/')[1:k], '/'))) AS anc FROM pp),
+near AS (SELECT u.site_id, u.seg_path, any_value(u.top) AS top, max_by(a.seg_path, length(a.seg_path)) AS anc, max(length(a.seg_path)) AS n
+         FROM up AS u JOIN pp AS a ON a.site_id = u.site_id AND a.seg_path = u.anc GROUP BY u.site_id, u.seg_path),
+outranked AS (SELECT n.site_id, '/' || n.seg_path AS url, 'priority_order' AS rule,
+                     CAST(n.top AS VARCHAR) || ' above ' || CAST(a.top AS VARCHAR) || ' of /' || a.seg_path AS detail
+              FROM near AS n JOIN pp AS a ON a.site_id = n.site_id AND a.seg_path = n.anc WHERE n.top > a.top)""".replace("@segs@", duck_segments("url"))
+
+
+@register("rule_priority_order", f"WITH {_REC_CTE}, {_ORDER_CTE} SELECT * FROM outranked")
+def q_rule_priority_order(spark, sf):
+    return R.rule_priority_order(_records(spark, sf))
+
+
+def _site_pages(spark, sf):
+    sites = page_urls(spark, sf).select("site_id").distinct()
+    return sites.select("site_id", (variant_of(F.col("site_id"), 5) * 100).cast("bigint").alias("pages"))
+
+
+_FACTS_CTE = f"""{_CLASS_PATHS},
+sites AS (SELECT DISTINCT site_id FROM pg),
+si AS (SELECT site_id,
+              {'[' + ', '.join(map(sql_str, INDUSTRIES)) + ']'}[{_VARIANT.format(n=len(INDUSTRIES))} + 1] AS industry
+       FROM sites),
+it(industry, path) AS (VALUES {_IND_VALUES}),
+st AS ({_TRAIT_ROWS}),
+lt(trait, path) AS (VALUES {_LEGAL_VALUES}),
+expected_all AS (
+  SELECT si.site_id, it.path, 'industry' AS rule, it.industry AS why FROM si JOIN it USING (industry)
+  UNION ALL
+  SELECT site_id, path, 'legal', array_to_string(list_sort(list_distinct(list(trait))), ',') FROM st JOIN lt USING (trait) GROUP BY site_id, path),
+lp AS (SELECT site_id, pos, {_class_path('segs')} AS class_path, segs, regexp_extract({_clean('url')}, {sql_str(R.HOST_PART_RE)}, 1) AS host
+       FROM (SELECT site_id, pos, url, {duck_segments('url')} AS segs FROM urls)),
+langs AS (SELECT DISTINCT site_id, segs[1] AS lang FROM (SELECT site_id, {duck_segments('url')} AS segs FROM pg)
+          WHERE len(segs) >= 2 AND regexp_matches(segs[1], {sql_str(RT.LANG_CODE_RE)})),
+lpages AS (SELECT site_id, class_path, arg_min(host, pos) AS host FROM lp GROUP BY site_id, class_path),
+wanted AS (SELECT site_id, lang, host || class_path || '?{RT.ML_PARAM}=' || lang AS url FROM lpages JOIN langs USING (site_id))"""
+
+
 @register("sitemap_validate", f"""
-WITH {_REC_CTE}, {_paths_cte('urls')}, {_LINT},
+WITH {_REC_CTE}, {_paths_cte('urls')}, {_LINT}, {_ORDER_CTE}, {_FACTS_CTE},
 v AS (SELECT site_id, url, {_class_path(duck_segments('url'))} AS cp,
              TRY_CAST(priority AS DECIMAL(2,1)) AS prio, priority, changefreq, lastmod FROM urls),
 {_exclude_sql('urls')}
@@ -342,13 +386,26 @@ WHERE NOT EXISTS (SELECT 1 FROM paths p WHERE p.site_id = l.site_id AND p.seg_pa
 UNION ALL
 SELECT * FROM ({_hier_sql().replace('hp AS', 'WITH hp AS', 1)})
 UNION ALL
-SELECT site_id, url, 'url_style', unnest(violations) FROM lint""".replace(
+SELECT site_id, url, 'url_style', unnest(violations) FROM lint
+UNION ALL
+SELECT * FROM outranked
+UNION ALL
+SELECT site_id, '/' || path, rule, why FROM expected_all e
+WHERE NOT EXISTS (SELECT 1 FROM cpaths c WHERE c.site_id = e.site_id AND c.path = e.path)
+UNION ALL
+SELECT site_id, NULL, 'multilingual', lang || ': ' || count(*) || ' pages missing' FROM wanted w
+WHERE NOT EXISTS (SELECT 1 FROM urls u WHERE u.site_id = w.site_id AND u.url = w.url) GROUP BY site_id, lang
+UNION ALL
+SELECT site_id, NULL, 'page_count', 'expected ' || pages || ' got ' || n
+FROM (SELECT s.site_id, {_VARIANT.format(n=5).replace('site_id', 's.site_id')} * 100 AS pages,
+             (SELECT count(*) FROM urls u WHERE u.site_id = s.site_id) AS n FROM sites s) WHERE n < pages""".replace(
     "SELECT site_id, pos, url, 'exclude' AS rule", "SELECT site_id, url, 'exclude' AS rule"))
 def q_sitemap_validate(spark, sf):
-    # Eight finding branches read the records: write them once to the shared
+    # A dozen finding branches read the records: write them once to the shared
     # checkpoint folder instead of re-running the lineitem x part join per branch.
     from ..functions.scratch import materialize
-    return R.sitemap_validate(materialize(_records(spark, sf), "validate-input"))
+    return R.sitemap_validate(materialize(_records(spark, sf), "validate-input"), site_industry=_site_industry(spark, sf),
+                              site_traits=_site_traits(spark, sf), site_langs=_site_langs(spark, sf), expected_pages=_site_pages(spark, sf))
 
 
 # --- V12 ------------------------------------------------------------------------
