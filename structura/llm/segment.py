@@ -31,7 +31,10 @@ CACHE_WORDS = 400_000
 LEARN_BYTES = 4 << 20
 
 _OUT = pa.schema([("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("ids_crc32", pa.int64()), ("round_trip", pa.bool_()),
-                  ("nbest_scores", pa.list_(pa.float64()))])
+                  ("nbest_scores", pa.list_(pa.float64())), ("nbest_crc32", pa.list_(pa.int64()))])
+_RANKED = pa.schema([("doc_id", pa.int64()), ("rank", pa.int32()), ("score", pa.float64()), ("ids", pa.list_(pa.int32()))])
+#: Ids in one batch of written segmentations.
+OUT_IDS = 4 << 20
 
 
 def forward(v: pieces.Vocabulary, token: str) -> tuple[list[list[tuple[int, float]]], list[float]]:
@@ -141,7 +144,7 @@ class Codec:
         self.number: dict[bytes, int] = {}
         self.ids: list[bytes] = []  # little-endian int32
         self.best, self.loss = np.zeros(0), np.zeros(0)  # best score, and by how much the second best is behind
-        self.more: dict[tuple[bytes, int], list[float]] = {}
+        self.more: dict[tuple[bytes, int], list[tuple[float, bytes]]] = {}
 
     def learn(self, some: Iterable[bytes]) -> None:
         """Work out the forward passes of the words that are new, all at once."""
@@ -181,25 +184,42 @@ class Codec:
         """The words that the ids spell, joined by one space."""
         return b"".join(map(self.names.__getitem__, np.frombuffer(ids, "<i4").tolist()))[1:]
 
-    def losses(self, word: bytes, n: int) -> list[float]:
-        """By how much the word's ``n`` best segmentations lose to the best."""
+    def ways(self, word: bytes, n: int) -> list[tuple[float, bytes]]:
+        """The word's ``n`` best segmentations as (loss to the best, ids), the forward pass's one first."""
         known = self.more.get((word, n))
         if known is None:
-            found = nbest(self.v, _token(word), n)
-            known = self.more[(word, n)] = [max(0.0, found[0][0] - s) for s, _ in found]
+            token, first = _token(word), self.ids[self.number[word]]
+            found = nbest(self.v, token, n)
+            others = [(max(0.0, found[0][0] - s), array("i", _ids(self.v, token, spans)).tobytes()) for s, spans in found]
+            # of tied best ways A* may meet another one first, or n others
+            others = [x for x in others if x[1] != first][:n - 1]
+            known = self.more[(word, n)] = [(0.0, first), *others]
         return known
 
-    def scores(self, text: bytes, n: int) -> list[float]:
-        """Scores of the document's ``n`` best segmentations, best first (fewer if there are fewer)."""
+    def nbest(self, text: bytes, n: int) -> list[tuple[float, bytes]]:
+        """The document's ``n`` best segmentations as (score, ids as little-endian int32), best first (fewer if there are fewer)."""
         places, some = self.places(text), words(text)
         total, behind = float(self.best[places].sum()), self.loss[places]
         # only the n - 1 places with the least second-best losses can differ in one of the n best
         least = np.argpartition(behind, n - 2)[:n - 1] if len(behind) >= n > 1 else np.arange(len(behind) if n > 1 else 0)
-        best = [0.0]
-        for k in least.tolist():
+        best: list[tuple[float, tuple]] = [(0.0, ())]  # loss, and (place, way) where the way is not the first
+        for k in sorted(least.tolist()):
             if behind[k] < math.inf:
-                best = heapq.nsmallest(n, (a + b for a in best for b in self.losses(some[k], n)))
-        return [total - x for x in best]
+                ways = self.ways(some[k], n)
+                best = heapq.nsmallest(n, ((a + loss, (*taken, (k, w)) if w else taken) for a, taken in best for w, (loss, _) in enumerate(ways)))
+        parts = list(map(self.ids.__getitem__, places.tolist()))
+        out = []
+        for loss, taken in best:
+            for k, w in taken:
+                parts[k] = self.more[(some[k], n)][w][1]
+            out.append((total - loss, b"".join(parts)))
+            for k, _ in taken:
+                parts[k] = self.ids[places[k]]
+        return out
+
+    def scores(self, text: bytes, n: int) -> list[float]:
+        """Scores of the document's ``n`` best segmentations, best first."""
+        return [s for s, _ in self.nbest(text, n)]
 
 
 def _token(word: bytes) -> str:
@@ -224,6 +244,42 @@ def encode_documents(docs: DataFrame, vocabulary_path: str = pieces.VOCABULARY,
         run, "doc_id long, ids array<int>")
 
 
+def nbest_documents(docs: DataFrame, n: int = 4, vocabulary_path: str = pieces.VOCABULARY, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """``doc_id, rank, score, ids``: the ``n`` best segmentations of every text, best first (rank from 1; fewer if there are fewer).
+
+    ``score``: natural log; ``ids``: array of int, which ``decode_documents``
+    turns back to the text's words.  Ties are ordered by the words that
+    differ.  Null and empty texts have one segmentation without ids, of
+    score 0.  Null ids stay; repeated rows are returned each; other columns
+    are ignored; an empty table gives no rows.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    vocabulary = spark.sparkContext.broadcast(pieces.load(vocabulary_path))
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _RANKED, strict=True)], schema=_RANKED)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = Codec(vocabulary.value)
+        rows: list[tuple] = []
+        size = 0
+        for part in parts:
+            for doc_id, text in zip(part.column(0).to_pylist(), _learnt(codec, utf8_bytes(part.column(1))), strict=True):
+                for rank, (score, ids) in enumerate(codec.nbest(text, n), 1):
+                    rows.append((doc_id, rank, score, np.frombuffer(ids, "<i4")))
+                    size += len(ids) // 4
+                    if size >= OUT_IDS:
+                        yield batch(rows)
+                        rows, size = [], 0
+        if rows:
+            yield batch(rows)
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
+        run, "doc_id long, rank int, score double, ids array<int>")
+
+
 def decode_documents(encoded: DataFrame, vocabulary_path: str = pieces.VOCABULARY) -> DataFrame:
     """``doc_id, text``: the words of ``encoded`` (``doc_id, ids``) joined by one space; null ids give the empty text."""
     spark = encoded.sparkSession
@@ -260,13 +316,13 @@ def _learnt(codec: Codec, texts: list[bytes]) -> Iterator[bytes]:
 
 def segment_documents(docs: DataFrame, n: int = 4, vocabulary_path: str = pieces.VOCABULARY, id_col: str = "doc_id",
                       text_col: str = "text") -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, round_trip, nbest_scores`` for every row of ``docs``.
+    """``doc_id, n_pieces, ids_crc32, round_trip, nbest_scores, nbest_crc32`` for every row of ``docs``: digests of ``nbest_documents``.
 
     ``ids_crc32``: CRC-32 of the best segmentation's ids as little-endian
     int32; ``round_trip``: decoding those ids gives the text's words joined
     by one space; ``nbest_scores``: natural-log scores of the document's
-    ``n`` best segmentations.  Null and empty texts have no pieces and one
-    segmentation of score 0.  Null ids stay; repeated rows are returned
+    ``n`` best segmentations, ``nbest_crc32`` the CRC-32 of the ids of each.
+    Null and empty texts have no pieces and one segmentation of score 0.  Null ids stay; repeated rows are returned
     each; other columns are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
@@ -278,13 +334,14 @@ def segment_documents(docs: DataFrame, n: int = 4, vocabulary_path: str = pieces
         for part in parts:
             sizes, crcs, trips, scores = [], [], [], []
             for text in _learnt(codec, utf8_bytes(part.column(1))):
-                scores.append(codec.scores(text, n))
-                ids = codec.encode(text)
+                found = codec.nbest(text, n)
+                ids = found[0][1]
+                scores.append([s for s, _ in found])
+                crcs.append([zlib.crc32(x) for _, x in found])
                 sizes.append(len(ids) // 4)
-                crcs.append(zlib.crc32(ids))
                 trips.append(codec.decode(ids) == b" ".join(words(text)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64()), pa.array(trips),
-                                              pa.array(scores, pa.list_(pa.float64()))], schema=_OUT)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sizes, pa.int64()), pa.array([c[0] for c in crcs], pa.int64()), pa.array(trips),
+                                              pa.array(scores, pa.list_(pa.float64())), pa.array(crcs, pa.list_(pa.int64()))], schema=_OUT)
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, nbest_scores array<double>")
+        run, "doc_id long, n_pieces long, ids_crc32 long, round_trip boolean, nbest_scores array<double>, nbest_crc32 array<long>")

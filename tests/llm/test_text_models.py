@@ -138,3 +138,56 @@ def test_lm_without_training_rows(spark):
     held = [i for i in range(100) if _held(i)][:3]
     for r in lattice_lm.score_documents(docs_df(spark, [(i, "the on") for i in held])).collect():
         assert r.n_known == 0 and r.train_tokens == 0 and r.base_score == 0 and math.isfinite(r.score)
+
+
+def _ways(v, token):
+    """(score, ids) of every segmentation of a token."""
+    out, n = [], len(token)
+    for k in range(n):
+        for cut in combinations(range(1, n), k):
+            cut = (0, *cut, n)
+            score, ids = 0.0, []
+            for a, b in zip(cut, cut[1:], strict=False):
+                p = v.steps.get(token[a:b])
+                if p is not None and not (a and token[a] == "▁"):
+                    score, ids = score + p, [*ids, v.ids[token[a:b]]]
+                elif b == a + 1 and (token[a] not in v.ids or a and token[a] == "▁"):
+                    score, ids = score + v.spelled(token[a]), ids + [v.byte_ids[c] for c in token[a].encode()]
+                else:
+                    break
+            else:
+                out.append((score, tuple(ids)))
+    return out
+
+
+def test_document_nbest_ids_equal_enumeration(toy):
+    rng = random.Random(11)
+    for _ in range(40):
+        text = " ".join("".join(rng.choice("abé") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(0, 4)))
+        every = [(0.0, ())]
+        for w in text.split():
+            every = [(a + s, x + ids) for a, x in every for s, ids in _ways(toy, "▁" + w)]
+        every.sort(reverse=True)
+        exact = dict((x, s) for s, x in every)
+        for n in (1, 2, 5):
+            codec = segment.Codec(toy)
+            found = [(s, tuple(memoryview(ids).cast("i"))) for s, ids in codec.nbest(text.encode(), n)]
+            assert [s for s, _ in found] == pytest.approx([s for s, _ in every[:n]])
+            assert len({x for _, x in found}) == len(found) == min(n, len(every))
+            assert all(exact[x] == pytest.approx(s) for s, x in found)
+            assert found[0][1] == tuple(memoryview(codec.encode(text.encode())).cast("i"))
+
+
+def test_nbest_documents_decode_to_the_words(spark):
+    docs = docs_df(spark, [(1, "The tokenizers were segmenting it"), (2, ""), (3, None), (None, "naïve  naïve\tcafés"), (5, "x" * 3000)])
+    ranked = segment.nbest_documents(docs, n=3)
+    rows = ranked.collect()
+    texts = {1: "The tokenizers were segmenting it", 2: "", 3: "", None: "naïve naïve cafés", 5: "x" * 3000}
+    for doc_id, text in texts.items():
+        mine = sorted((r for r in rows if r.doc_id == doc_id), key=lambda r: r["rank"])
+        assert [r["rank"] for r in mine] == list(range(1, len(mine) + 1)) and len(mine) == (3 if text else 1)
+        assert [r.score for r in mine] == sorted((r.score for r in mine), reverse=True)
+        assert len({tuple(r.ids) for r in mine}) == len(mine)
+        whole = next(r for r in segment.segment_documents(docs, n=3).collect() if r.doc_id == doc_id)
+        assert whole.nbest_scores == [r.score for r in mine]
+    assert {(r.doc_id, r.text) for r in segment.decode_documents(ranked).collect()} == set(texts.items())
