@@ -24,6 +24,7 @@ double precision on the original vectors.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import count as count_up
 
 import numpy as np
@@ -236,19 +237,28 @@ class Index:
         self.scratch, self.nodes, self.halves, self.ids, self.members, self.graph, self.count = scratch, nodes, halves, ids, members, graph, count
 
 
+def valid_vectors(scratch: Scratch, vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """``vec_id, size, data`` (float64 bytes) of all rows that take part (see :func:`search`), written once."""
+    ship_package(vectors.sparkSession)
+    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
+    return scratch.save(rows.mapInArrow(_valid, "vec_id long, size int, data binary"), "valid")
+
+
 def build(vectors: DataFrame, k: int = 20, graph_k: int = 24, trees: int = 16, delta: float = 0.001,
           seed: int = 7, id_col: str = "vec_id", vector_col: str = "embedding") -> Index:
-    """Index of all valid rows of ``vectors`` (see :func:`search`); serves up to ``k`` results per query.
+    """Index of the rows of ``vectors`` of the commonest length (see :func:`search`); serves up to ``k`` results per query.
 
     The descent ends after a round that changes at most the share ``delta`` of the edges.
     """
-    spark = vectors.sparkSession
-    ship_package(spark)
-    scratch = Scratch(spark, "nn-descent")
-    rows = vectors.filter(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("v"))
-    rows = scratch.save(rows.mapInArrow(_valid, "vec_id long, size int, data binary"), "valid")
-    sizes = rows.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
-    rows = rows.filter(F.col("size") == (sizes["size"] if sizes else 0)).select("vec_id", "data", F.xxhash64("data").alias("h"))
+    scratch = Scratch(vectors.sparkSession, "nn-descent")
+    valid = valid_vectors(scratch, vectors, id_col, vector_col)
+    sizes = valid.groupBy("size").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "size").first()
+    return _build(scratch, valid, sizes["size"] if sizes else 0, k, graph_k, trees, delta, seed)
+
+
+def _build(scratch: Scratch, valid: DataFrame, size: int, k: int, graph_k: int, trees: int, delta: float, seed: int = 7) -> Index:
+    spark = valid.sparkSession
+    rows = valid.filter(F.col("size") == size).select("vec_id", "data", F.xxhash64("data").alias("h"))
     # the least k + 1 ids of a vector are enough for any query's k results
     least = rows.groupBy("data").agg(F.min("vec_id").alias("node"), F.count("*").alias("n"))
     nodes = scratch.save(least.select("node", "data", "n"), "nodes")
@@ -495,7 +505,7 @@ def _exact(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(score)], names=["query", "near", "score"])
 
 
-def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree: int, rounds: int = 50) -> DataFrame:
+def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree: int) -> DataFrame:
     """``query, near, score``: the ``beam`` best nodes found for every query ``(query, data, own)``.
 
     ``data``: the vector as float64 bytes; ``own``: the node with the same
@@ -522,7 +532,8 @@ def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree
     def by_query(answers: DataFrame) -> DataFrame:
         return state.unionByName(answers).repartition("query").sortWithinPartitions("query", "kind")
 
-    for r in range(1, rounds + 1):
+    # a node is expanded once per query, so every search ends
+    for r in count_up(1):
         near = routed(state.mapInArrow(_ask_edges(cells), _CELL_SQL))
         scores = routed(by_query(near).mapInArrow(_ask_scores(cells), _CELL_SQL))
         new = scratch.save(by_query(scores).mapInArrow(_merge(beam, head), _STATE_SQL), f"state{r}")
@@ -531,8 +542,6 @@ def greedy_search(index: Index, queries: DataFrame, beam: int, head: int, degree
         state = new.filter(F.octet_length("open") > 0)
         if not state.limit(1).count():
             break
-    else:
-        ended = ended.unionByName(state.select("query", "ids"))
     pairs = ended.mapInArrow(_beam_pairs(beam), "query long, near long")
     pairs = pairs.join(index.nodes.select(F.col("node").alias("near"), F.col("data").alias("near_data")), "near")
     pairs = pairs.join(queries.select("query", "data"), "query").select("query", "near", "data", "near_data")
@@ -545,14 +554,23 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, graph_k: int = 24,
 
     Candidates are all rows but the query's own id, nearest (largest inner
     product, double precision) first, ties to the smaller id.  Rows with a
-    null id, and vectors that are null, zero, of another length than most,
-    or hold null or non-finite components take no part.  Equal vectors are
+    null id, and vectors that are null, zero, or hold null or non-finite
+    components take no part.  An inner product needs equal lengths: vectors
+    of each length have an index of their own.  Equal vectors are
     one node and come back as all their ids.  Rows repeated with id and
     vector count once; a repeated id with several vectors is a query with
     each and may be found with each.  Other columns are ignored; an empty
     table gives no rows.
     """
-    index = build(vectors, k, graph_k, trees, delta, id_col=id_col, vector_col=vector_col)
+    spark = vectors.sparkSession
+    valid = valid_vectors(Scratch(spark, "nn-descent"), vectors, id_col, vector_col)
+    sizes = [r[0] for r in valid.select("size").distinct().orderBy("size").collect()] or [0]  # one row per length of vector
+    parts = [_search_index(_build(Scratch(spark, f"nn-descent-{size}"), valid, size, k, graph_k, trees, delta), k, every, beam, head, degree)
+             for size in sizes]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _search_index(index: Index, k: int, every: int, beam: int, head: int, degree: int) -> DataFrame:
     asking = index.ids.filter(F.col("vec_id") % every == 0)
     own = index.nodes.join(asking.select("node").distinct(), "node", "left_semi")
     queries = index.scratch.save(own.select(F.col("node").alias("query"), "data", F.col("node").alias("own")), "queries")

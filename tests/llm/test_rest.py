@@ -318,6 +318,21 @@ def test_nearest_neighbours_on_odd_vectors(spark):
     assert [(r.query_id, r.vec_id) for r in nn_descent.search(few).collect()] == [(0, j) for j in _nearest_truth(rows[:3], 20, 20)[0]]
 
 
+def test_vectors_of_each_length_have_their_own_neighbours(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, rng.normal(size=(3, 5)[i % 2 if i % 20 else i // 20 % 2]).tolist()) for i in range(90)]
+    rows.append((100, [1.0, 2.0]))
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nn_descent.search(df, k=7).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for size in (3, 5):
+        mine = [(i, v) for i, v in rows if len(v) == size]
+        want = _nearest_truth(mine, 7, 20)
+        assert want and {q: got[q] for q in want} == want
+    assert got.keys() == {0, 20, 40, 60, 80}  # the only vector of its length has no candidates
+
+
 def test_nearest_neighbours_recall(spark):
     """Clustered and isotropic vectors, more than a block holds, against brute force."""
     rng = np.random.default_rng(9)
