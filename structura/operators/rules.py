@@ -448,15 +448,8 @@ def questionnaire_profile(pairs: DataFrame, vocabulary: dict | None = None) -> D
     value) with partial aggregation.  ``business_type`` is the value found
     in most pairs (ties: name order), ``'general'`` when none.
     """
-    spark = pairs.sparkSession
     vocab = vocabulary or RT.PROFILE_KEYWORDS
-    kw = spark.createDataFrame([(t, s, v) for t, (s, v) in sorted(vocab.items())],
-                               "token string, signal string, value string")
-    text = F.lower(F.concat_ws(" ", F.col("question"), F.col("answer")))
-    # only keywords are exploded; one empty token per pair counts the pair, so the pairs are read once
-    found = F.array_intersect(F.split(text, RT.TOKEN_SPLIT_RE), F.array(*[F.lit(t) for t in sorted(vocab)]))
-    toks = pairs.select("file_id", "id", F.explode(F.array_union(F.array(F.lit("")), found)).alias("token"))
-    hits = (toks.join(kw, "token", "left").groupBy("file_id", "signal", "value")
+    hits = (_keywords(pairs, vocab).join(_keyword_table(pairs, vocab), "token", "left").groupBy("file_id", "signal", "value")
             .agg(F.count_distinct("id").alias("n"), F.count(F.lit(1)).alias("rows")))
     per_file = hits.groupBy("file_id").agg(
         F.sum(F.when(F.col("signal").isNull(), F.col("rows"))).alias("n_pairs"),
@@ -465,7 +458,22 @@ def questionnaire_profile(pairs: DataFrame, vocabulary: dict | None = None) -> D
         .alias("bt"),
         F.sort_array(F.collect_set(F.when(F.col("signal") == "dynamic", F.col("value")))).alias("dynamic_types"),
         F.sort_array(F.collect_set(F.when(F.col("signal") == "trait", F.col("value")))).alias("traits0"))
-    j = per_file.filter("n_pairs > 0")
+    return _profile_columns(per_file.filter("n_pairs > 0"))
+
+
+def _keyword_table(pairs: DataFrame, vocab: dict) -> DataFrame:
+    return pairs.sparkSession.createDataFrame([(t, s, v) for t, (s, v) in sorted(vocab.items())], "token string, signal string, value string")
+
+
+def _keywords(pairs: DataFrame, vocab: dict) -> DataFrame:
+    """``file_id, id, token``: the distinct keywords of each pair, and one empty token, so that the pairs are read once."""
+    text = F.lower(F.concat_ws(" ", F.col("question"), F.col("answer")))
+    found = F.array_intersect(F.split(text, RT.TOKEN_SPLIT_RE), F.array(*[F.lit(t) for t in sorted(vocab)]))
+    return pairs.select("file_id", "id", F.explode(F.array_union(F.array(F.lit("")), found)).alias("token"))
+
+
+def _profile_columns(j: DataFrame, *more: str) -> DataFrame:
+    """The columns of a profile from ``file_id, bt, dynamic_types, traits0, n_pairs``, and ``more`` as they are."""
     bt = F.coalesce(F.col("bt"), F.lit("general"))
     dyn = F.coalesce(F.col("dynamic_types"), F.array().cast("array<string>"))
     traits0 = F.coalesce(F.col("traits0"), F.array().cast("array<string>"))
@@ -481,7 +489,68 @@ def questionnaire_profile(pairs: DataFrame, vocabulary: dict | None = None) -> D
                                      F.array().cast("array<string>"))))))
     return j.select("file_id", bt.alias("business_type"), dyn.alias("dynamic_types"),
                     ecommerce.alias("ecommerce"), F.array_contains(traits, "multilingual").alias("multilingual"),
-                    traits.alias("traits"), legal.alias("legal_pages"), "n_pairs")
+                    traits.alias("traits"), legal.alias("legal_pages"), "n_pairs", *more)
+
+
+def keyword_counts(pairs: DataFrame, vocabulary: dict | None = None) -> DataFrame:
+    """``file_id, token, n``: the pairs of each file that hold a keyword; the empty token counts all its pairs.
+
+    One partial aggregate with at most one row per file and keyword.
+    """
+    vocab = vocabulary or RT.PROFILE_KEYWORDS
+    return _keywords(pairs, vocab).groupBy("file_id", "token").agg(F.count(F.lit(1)).alias("n"))
+
+
+def evidence_weights(counts: DataFrame, vocabulary: dict | None = None) -> DataFrame:
+    """``token, signal, value, n_files, n_backed, weight``: what each keyword tells, over all files.
+
+    ``counts`` is that of :func:`keyword_counts`.  ``n_files`` files hold
+    the keyword, ``n_backed`` of them another keyword of its value, too.
+    The weight, in millionths, is the inverse document frequency
+    ``ln((N + 1) / (n_files + 1))`` plus the log-odds of the keyword in
+    files with another keyword of its value against all files (shrunk to
+    all files by a prior worth one file), at least 0.  So a word of nearly
+    every file weighs nothing unless it goes with its value's other words,
+    and a keyword without others has its document frequency alone.  Every
+    keyword has a row, also one that no file holds.
+    """
+    vocab = vocabulary or RT.PROFILE_KEYWORDS
+    table = _keyword_table(counts, vocab)
+    total = F.lit(counts.filter("token = ''").count())
+    by_value = counts.join(F.broadcast(table), "token").groupBy("file_id", "signal", "value").agg(F.collect_list("token").alias("tokens"))
+    held = by_value.select("value", "signal", F.size("tokens").alias("k"), F.posexplode("tokens").alias("at", "token"))
+    held = held.groupBy("token").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("k") > 1).alias("n_backed"), F.count_if(F.col("at") == 0).alias("firsts"))
+    held = table.join(held, "token", "left").na.fill(0, ["n_files", "n_backed", "firsts"])
+    # a few dozen rows; a file is counted once per value, at the first of its tokens
+    of_value = F.sum("firsts").over(Window.partitionBy("signal", "value"))
+    others = of_value - F.col("n_files") + F.col("n_backed")
+    share = (F.col("n_files") + 0.5) / (total + 1)
+    odds = F.log((F.col("n_backed") + share) / (others - F.col("n_backed") + 1 - share)) - F.log(share / (1 - share))
+    weight = F.greatest(F.lit(0.0), F.log((total + 1) / (F.col("n_files") + 1)) + odds)
+    return held.select("token", "signal", "value", "n_files", "n_backed", F.round(weight * 1_000_000).cast("long").alias("weight"))
+
+
+def weighted_profile(counts: DataFrame, weights: DataFrame, least: int = 693_147) -> DataFrame:
+    """:func:`questionnaire_profile` by evidence instead of numbers of pairs; ``evidence`` is added.
+
+    ``weights``: a table as of :func:`evidence_weights`, in millionths.  A
+    value's evidence is the sum of its keywords' weights over the pairs
+    that hold them.  ``business_type`` has the most (ties: name order),
+    ``'general'`` if that is under ``least`` (ln 2); dynamic types and
+    traits hold with at least ``least``.  ``evidence`` is that of the
+    business type, 0 for ``'general'``.
+    """
+    hits = counts.join(F.broadcast(weights.select("token", "signal", "value", "weight")), "token", "left").groupBy("file_id", "signal", "value").agg(
+        F.sum(F.col("n") * F.col("weight")).alias("e"), F.sum("n").alias("n"))
+    holds = F.col("e") >= least
+    kind = holds & (F.col("signal") == "business_type")
+    per_file = hits.groupBy("file_id").agg(
+        F.sum(F.when(F.col("signal").isNull(), F.col("n"))).alias("n_pairs"),
+        F.min_by(F.when(kind, F.col("value")), F.when(kind, F.struct(-F.col("e"), F.col("value")))).alias("bt"),
+        F.coalesce(F.max(F.when(kind, F.col("e"))), F.lit(0)).alias("evidence"),
+        F.sort_array(F.collect_set(F.when(holds & (F.col("signal") == "dynamic"), F.col("value")))).alias("dynamic_types"),
+        F.sort_array(F.collect_set(F.when(holds & (F.col("signal") == "trait"), F.col("value")))).alias("traits0"))
+    return _profile_columns(per_file.filter("n_pairs > 0"), "evidence")
 
 
 def planned_pages(profile: DataFrame) -> DataFrame:

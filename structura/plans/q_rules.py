@@ -463,6 +463,57 @@ def q_questionnaire_profile(spark, sf):
     return R.questionnaire_profile(_pairs(spark, sf))
 
 
+# the twin looks for another keyword of the value in every file, and takes logarithms of ratios written out
+WEIGHTS_SQL = f"""
+kw(token, signal, value) AS (VALUES {_KW_VALUES}),
+held AS (SELECT p.file_id, k.token, k.signal, k.value, count(DISTINCT p.id) AS n
+         FROM (SELECT file_id, id, unnest(regexp_split_to_array(lower(concat_ws(' ', question, answer)), {sql_str(RT.TOKEN_SPLIT_RE)})) AS token FROM pairs) AS p
+         JOIN kw AS k USING (token) GROUP BY ALL),
+files AS (SELECT file_id, count(*) AS n_pairs FROM pairs GROUP BY file_id),
+seen AS (SELECT k.token, k.signal, k.value, (SELECT count(*) FROM files) AS total,
+                count(DISTINCT h.file_id) FILTER (WHERE h.token = k.token) AS n_files,
+                count(DISTINCT h.file_id) FILTER (WHERE h.token <> k.token) AS others,
+                count(DISTINCT h.file_id) FILTER (WHERE h.token <> k.token AND own.file_id IS NOT NULL) AS n_backed
+         FROM kw AS k LEFT JOIN held AS h ON h.signal = k.signal AND h.value = k.value
+         LEFT JOIN held AS own ON own.file_id = h.file_id AND own.token = k.token GROUP BY k.token, k.signal, k.value),
+shares AS (SELECT *, (n_files + 0.5::DOUBLE) / (total + 1) AS share FROM seen),
+weights AS (SELECT token, signal, value, n_files, n_backed,
+                   CAST(round(1000000 * greatest(0, ln((total + 1)::DOUBLE / (n_files + 1))
+                     + ln((n_backed + share) * (1 - share) / ((others - n_backed + 1 - share) * share)))) AS BIGINT) AS weight
+            FROM shares)"""
+
+
+@register("evidence_weights", f"WITH {_pairs_cte()}, {WEIGHTS_SQL} SELECT * FROM weights")
+def q_evidence_weights(spark, sf):
+    return R.evidence_weights(_keyword_counts(spark, sf))
+
+
+def _keyword_counts(spark, sf):
+    # the weights and the profile read the counts: the questionnaires are parsed once
+    from ..functions.scratch import materialize
+    return materialize(R.keyword_counts(_pairs(spark, sf)), "keyword-counts")
+
+
+@register("questionnaire_profile_weighted", f"""
+WITH {_pairs_cte()}, {WEIGHTS_SQL},
+told AS (SELECT file_id, signal, value, sum(n * weight) AS e FROM held JOIN weights USING (token, signal, value)
+         GROUP BY file_id, signal, value HAVING sum(n * weight) >= 693147),
+kinds AS (SELECT file_id, value, e FROM told WHERE signal = 'business_type'
+          QUALIFY row_number() OVER (PARTITION BY file_id ORDER BY e DESC, value) = 1),
+lists AS (SELECT file_id, list_sort(list(value) FILTER (WHERE signal = 'dynamic')) AS dyn, list(value) FILTER (WHERE signal = 'trait') AS tr
+          FROM told GROUP BY file_id),
+joined AS (SELECT f.file_id, f.n_pairs, coalesce(k.value, 'general') AS business_type, coalesce(k.e, 0) AS evidence,
+                  coalesce(l.dyn, []::VARCHAR[]) AS dynamic_types,
+                  list_sort(list_distinct(coalesce(l.tr, []::VARCHAR[]) || CASE WHEN k.value = 'ecommerce' THEN ['ecommerce'] ELSE []::VARCHAR[] END)) AS traits
+           FROM files AS f LEFT JOIN kinds AS k USING (file_id) LEFT JOIN lists AS l USING (file_id))
+SELECT file_id, business_type, dynamic_types, list_contains(traits, 'ecommerce') AS ecommerce, list_contains(traits, 'multilingual') AS multilingual,
+       traits, list_sort(list_distinct(flatten(list_transform(traits, lambda t: {_LEGAL_CASE})))) AS legal_pages, n_pairs, CAST(evidence AS BIGINT) AS evidence
+FROM joined""")
+def q_questionnaire_profile_weighted(spark, sf):
+    counts = _keyword_counts(spark, sf)
+    return R.weighted_profile(counts, R.evidence_weights(counts))
+
+
 _NEGATIONS = "[" + ", ".join(map(sql_str, RT.NEGATIONS)) + "]"
 # the twin takes every shingle of every pair, and every longer one that covers it
 MENTIONED_SQL = f"""

@@ -1,6 +1,9 @@
 """Rule operators on a small literal page set (one or two URLs per rule),
 prompt assembly, batch generation and the driver contract."""
 
+import math
+import re
+
 from pyspark.sql import functions as F
 
 from structura.operators import prompt as M
@@ -166,3 +169,62 @@ def test_orphans_of_a_missing_parent_with_many_children(spark):
     df = spark.createDataFrame([("s", i, u) for i, u in enumerate(urls)], "site_id string, pos bigint, url string")
     got = [(r.url, r.detail) for r in R.rule_hierarchy(df).collect()]
     assert sorted(got) == sorted([(f"/gone/c{i}", "orphan: missing /gone") for i in range(3_000)] + [("/a/b/c/d", "orphan: missing /a/b/c"), ("/a/b/c/d", "too_deep: 4 levels")])
+
+
+def _evidence_truth(files, vocab):
+    """Weights by going over all files for each keyword."""
+    out = {}
+    for token, (signal, value) in vocab.items():
+        peers = {t for t, sv in vocab.items() if sv == (signal, value) and t != token}
+        total = len(files)
+        n = sum(token in words for words in files)
+        backing = [words for words in files if words & peers]
+        both = sum(token in words for words in backing)
+        share = (n + 0.5) / (total + 1)
+        p = (both + share) / (len(backing) + 1)
+        weight = math.log((total + 1) / (n + 1)) + math.log(p / (1 - p)) - math.log(share / (1 - share))
+        out[token] = (signal, value, n, both, round(max(0.0, weight) * 1_000_000))
+    return out
+
+
+def test_words_of_every_file_stop_deciding(spark):
+    vocab = {"shop": ("business_type", "ecommerce"), "store": ("business_type", "ecommerce"), "dental": ("business_type", "medical"),
+             "clinic": ("business_type", "medical"), "studio": ("business_type", "agency"), "saas": ("business_type", "saas"),
+             "form": ("trait", "collects_data"), "blog": ("dynamic", "blog")}
+    files = [["shop form", "shop now", "a shop"] for _ in range(30)]
+    files[0] += ["dental care", "blog"]
+    files[1] += ["Clinic, dental"]
+    files[2] += ["studio saas"]
+    files[3] = ["nothing here"]
+    rows = [(f"f{k}", i, text, "") for k, texts in enumerate(files) for i, text in enumerate(texts)]
+    pairs = spark.createDataFrame(rows, "file_id string, id long, question string, answer string")
+    counts = R.keyword_counts(pairs, vocab)
+    weights = R.evidence_weights(counts, vocab)
+    got = {r["token"]: (r["signal"], r["value"], r["n_files"], r["n_backed"], r["weight"]) for r in weights.collect()}
+    assert got == _evidence_truth([{w for t in texts for w in re.split(r"\W+", t.lower())} for texts in files], vocab)
+    assert got["shop"][4] < 50_000 < 2_000_000 < got["dental"][4] and got["store"][2] == 0
+
+    by_count = {r["file_id"]: r for r in R.questionnaire_profile(pairs, vocab).collect()}
+    found = {r["file_id"]: r for r in R.weighted_profile(counts, weights).collect()}
+    assert set(found) == set(by_count) == {f"f{k}" for k in range(30)}
+    assert by_count["f0"]["business_type"] == "ecommerce" and found["f0"]["business_type"] == "medical"
+    assert found["f0"]["evidence"] == got["dental"][4] and found["f0"]["n_pairs"] == 5 and found["f0"]["dynamic_types"] == ["blog"]
+    assert found["f2"]["business_type"] == "agency"  # as much for each of two types: by name
+    assert found["f5"]["business_type"] == "general" and found["f5"]["evidence"] == 0
+    assert by_count["f5"]["traits"] == ["collects_data", "ecommerce"] and found["f5"]["traits"] == []
+    assert found["f3"]["business_type"] == "general" and found["f3"]["legal_pages"] == []
+
+    none = R.keyword_counts(pairs.limit(0), vocab)
+    assert {r["weight"] for r in R.evidence_weights(none, vocab).collect()} == {0}
+    assert R.weighted_profile(none, R.evidence_weights(none, vocab)).count() == 0
+
+
+def test_keywords_that_go_together_weigh_more(spark):
+    vocab = {"shop": ("business_type", "ecommerce"), "store": ("business_type", "ecommerce"), "dental": ("business_type", "medical"),
+             "clinic": ("business_type", "medical")}
+    # each word in ten of forty files: shop and store with each other, dental and clinic apart
+    files = [["shop store"]] * 10 + [["dental"]] * 10 + [["clinic"]] * 10 + [["else"]] * 10
+    rows = [(f"f{k}", 0, texts[0], None) for k, texts in enumerate(files)]
+    pairs = spark.createDataFrame(rows, "file_id string, id long, question string, answer string")
+    got = {r["token"]: r["weight"] for r in R.evidence_weights(R.keyword_counts(pairs, vocab), vocab).collect()}
+    assert got["shop"] == got["store"] > got["dental"] == got["clinic"]
