@@ -1,18 +1,22 @@
 """Language-model scores from a subword lattice (operator 10).
 
-A word is a path through the lattice of vocabulary pieces.  The file's
-unigram scores weight all its segmentations, and a log-space forward
-recursion sums them to the word's marginal probability; a document's is
-the product over its words and the end.  Word counts of the training
-documents sharpen it: a word seen ``c`` times among ``N`` training tokens
-of ``V`` kinds has probability ``(c + V * lattice) / (N + V)``, so the
-lattice shares out what unseen words get.
+A word is a path through the lattice of vocabulary pieces.  Unigram
+weights of the pieces weight all its segmentations, and a log-space
+forward recursion sums them to the word's marginal probability; a
+document's is the product over its words and the end.  The file's scores
+are the first weights; rounds of forward and backward sums over all
+distinct words of the training documents re-estimate them by expected
+counts (the pieces stay as they are).  A word seen ``c`` times among ``N``
+training tokens of ``V`` kinds is an edge over its whole lattice, too: its
+marginal is ``(c + V * lattice) / (N + V)``, where ``lattice`` sums the
+segmentations into pieces, so the pieces share out what unseen words get.
 
 Each map task cuts its documents into chunks and gives every distinct
 word of a chunk a local number: a word then moves once per chunk, not
-once per occurrence.  Words meet their corpus counts in one shuffle, the
-marginals are worked out there once per distinct word, and the values go
-back to the chunks, whose documents are kept as lists of local numbers.
+once per occurrence.  Words meet their corpus counts in one shuffle and
+are written in that order; the rounds and the marginals read them there,
+and the values go back to the chunks, whose documents are kept as lists
+of local numbers.
 """
 
 from __future__ import annotations
@@ -30,6 +34,8 @@ from pyspark.sql import Window as W
 
 from . import pieces
 from .common import Scratch, crc_mod, ship_package, utf8_bytes
+from .lattice_batch import BatchLattice
+from .lattice_fit import Expectation, reweighted
 
 #: A chunk ends after this many distinct words, or this many bytes of text.
 CHUNK_WORDS, CHUNK_BYTES = 200_000, 32 << 20
@@ -38,7 +44,7 @@ _CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out",
                      ("ids", pa.binary()), ("tfs", pa.binary()), ("local_id", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
 _CHUNKS_SQL = ("chunk long, doc_id long, held_out boolean, n_tokens long, ids binary, tfs binary, "
                "local_id int, word binary, c long")
-_VALUES = pa.schema([("chunk", pa.int64()), ("local_id", pa.int32()), ("c", pa.int64()), ("lattice", pa.float64()), ("first", pa.bool_())])
+_UNITS = pa.schema([("place", pa.int32()), ("units", pa.int64())])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()),
                      ("base_score", pa.float64()), ("score", pa.float64()), ("lattice_score", pa.float64())])
 
@@ -101,33 +107,79 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from now.rows(chunk)
 
 
-def _marginals(vocabulary):
-    """Rows ``(word, chunk, local_id, c)`` with equal words together -> values per (chunk, local_id)."""
+def _mark_first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows with equal words together -> the same rows and whether they are their word's first."""
+    last = None
+    for part in parts:
+        first = np.zeros(part.num_rows, bool)
+        for k, w in enumerate(part.column(0).to_pylist()):
+            first[k] = w != last
+            last = w
+        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first)], names=["word", "chunk", "local_id", "c", "first"])
+
+
+def _token(word: bytes) -> str:
+    return pieces.MARK + word.decode("utf-8", "replace")
+
+
+def _expected(lattice):
+    """Rows ``(word, c)`` of distinct words -> units by place in the lattice; byte ``b`` has place ``-1 - b``."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = None
+        for part in parts:
+            found = found or Expectation(lattice.value)
+            found.add([_token(w) for w in part.column(0).to_pylist()], part.column(1).to_numpy())
+        if found is None:
+            return
+        places, spelled = np.flatnonzero(found.taken), np.flatnonzero(found.spelled)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([places, -1 - spelled]).astype(np.int32)),
+                                          pa.array(np.concatenate([found.taken[places], found.spelled[spelled]]))], schema=_UNITS)
+    return run
+
+
+def fit(words: DataFrame, given: pieces.Vocabulary, ends: int, rounds: int) -> pieces.Vocabulary:
+    """``given`` with weights re-estimated in ``rounds`` rounds over ``words`` (``word, c``: distinct words and their counts).
+
+    Every round reads all words; tasks return sums per piece, and the
+    driver gets one sum per piece of the vocabulary, whatever the data.
+    """
+    now = given
+    for _ in range(rounds):
+        lattice = BatchLattice(now)
+        shared = words.sparkSession.sparkContext.broadcast(lattice)
+        units = dict(words.mapInArrow(_expected(shared), "place int, units long").groupBy("place").agg(F.sum("units")).collect())
+        shared.unpersist()
+        now = reweighted(lattice, {p: n for p, n in units.items() if p >= 0}, {-1 - p: n for p, n in units.items() if p < 0}, ends, given)
+    return now
+
+
+def _marginals(lattice):
+    """Rows ``(word, chunk, local_id, c)`` with equal words together -> ``(chunk, local_id, c, lattice)``."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary.value
-        # a word is one piece that begins with the mark and any number of others; the end is a word, too
-        last, value = None, 0.0
         for part in parts:
             words = part.column(0).to_pylist()
-            lattice, first = np.empty(len(words)), np.zeros(len(words), bool)
+            place, distinct = np.empty(len(words), np.int64), []
             for k, w in enumerate(words):
-                if w != last:
-                    last, first[k] = w, True
-                    value = word_logp(v, w)
-                lattice[k] = value
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(lattice), pa.array(first)], schema=_VALUES)
+                if not distinct or w != distinct[-1]:
+                    distinct.append(w)
+                place[k] = len(distinct) - 1
+            values = word_logps(lattice.value, distinct)[place] if distinct else np.empty(0)
+            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(values)], names=["chunk", "local_id", "c", "lattice"])
     return run
 
 
-def word_logp(v: pieces.Vocabulary, word: bytes) -> float:
-    """Natural log of the word's lattice probability; the empty word is the end of the text.
+def word_logps(lattice: BatchLattice, words: list[bytes]) -> np.ndarray:
+    """Natural log of each word's lattice probability; the empty word is the end of the text.
 
-    Given that a word begins or the text ends, so over all words and the
-    end it sums to at most one.
+    Given that a word begins or the text ends.  A word goes on until the
+    next piece begins a word or is the end; that piece's share follows the
+    word and precedes the next one, so a word has its pieces' product and
+    the end, which nothing follows, its share of the beginnings.  Over all
+    words and the end this sums to at most one.
     """
-    if not word:
-        return v.end_logp - v.start_logp
-    return v.marginal(pieces.MARK + word.decode("utf-8", "replace")) - v.start_logp
+    values = lattice.marginals([_token(w) for w in words])
+    values[[k for k, w in enumerate(words) if not w]] = lattice.v.end_logp - lattice.v.start_logp
+    return values
 
 
 def _score(n: int, kinds: int):
@@ -178,14 +230,16 @@ def _logs(ids: np.ndarray, c: np.ndarray, lattice: np.ndarray, n: int, kinds: in
 
 
 def score_documents(docs: DataFrame, vocabulary_path: str = pieces.VOCABULARY, folds: int = 5, held_out_fold: int = 1,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                    id_col: str = "doc_id", text_col: str = "text", rounds: int = 3) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, lattice_score`` per row of ``docs``.
 
     A-Z are lower-cased; tokens are the words (runs of non-white-space) and
     one end.  Rows whose CRC-32 of the id (as text) leaves ``held_out_fold``
     modulo ``folds`` are held out of the counts.  ``base_score``: add-half
-    unigram; ``score``: the model above; ``lattice_score``: the lattice
-    alone; all log10 of the whole text's probability.  A null text counts
+    unigram; ``score``: the model above; ``lattice_score``: pieces alone,
+    without edges for whole words; all log10 of the whole text's
+    probability.  ``rounds``: how often the weights are re-estimated; with
+    0 they are the file's.  A null text counts
     as empty (only the end); a null id as the id '' in the fold and stays
     null.  Repeated rows count each and are returned each.  With no
     training rows the counts are zero.  Other columns are ignored; an empty
@@ -194,16 +248,19 @@ def score_documents(docs: DataFrame, vocabulary_path: str = pieces.VOCABULARY, f
     spark = docs.sparkSession
     ship_package(spark)
     scratch = Scratch(spark, "lattice-lm")
-    vocabulary = spark.sparkContext.broadcast(pieces.load(vocabulary_path))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), (crc_mod(id_col, folds) == held_out_fold).alias("held_out"),
                        F.col(text_col).cast("string").alias("text"))
     chunks = scratch.save(rows.mapInArrow(_chunks, _CHUNKS_SQL), "chunks", compression="zstd")
     words = chunks.filter("word is not null").select("word", "chunk", "local_id", F.sum("c").over(W.partitionBy("word")).alias("c"))
-    values = scratch.save(words.mapInArrow(_marginals(vocabulary), "chunk long, local_id int, c long, lattice double, first boolean"),
-                          "values", compression="zstd")
-    n, kinds = values.filter("first").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+    words = scratch.save(words.mapInArrow(_mark_first, "word binary, chunk long, local_id int, c long, first boolean"), "words", compression="zstd")
+    distinct = words.filter("first and c > 0")
+    is_end = F.length("word") == 0
+    n, kinds, ends = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
+    fitted = fit(distinct.filter(~is_end).select("word", "c"), pieces.load(vocabulary_path), ends, rounds)
+    lattice = spark.sparkContext.broadcast(BatchLattice(fitted))
+    values = words.select("word", "chunk", "local_id", "c").mapInArrow(_marginals(lattice), "chunk long, local_id int, c long, lattice double")
     texts = chunks.filter("ids is not null").select("chunk", "doc_id", "held_out", "n_tokens", "ids", "tfs")
-    both = texts.unionByName(values.select("chunk", "local_id", "c", "lattice"), allowMissingColumns=True)
+    both = texts.unionByName(values, allowMissingColumns=True)
     both = both.repartition("chunk").sortWithinPartitions("chunk", F.col("ids").isNotNull())
     scored = both.mapInArrow(_score(n, kinds), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, lattice_score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"),

@@ -6,10 +6,12 @@ import zlib
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
 
 from structura.llm import lattice_lm, pieces, segment
 from structura.llm.lattice_batch import BatchLattice
+from structura.llm.lattice_fit import UNIT, Expectation
 from structura.llm.token_counts import Trie, count_tokens
 
 from .conftest import docs_df
@@ -118,20 +120,101 @@ def _held(i):
     return zlib.crc32(("" if i is None else str(i)).encode()) % 5 == 1
 
 
-def test_lm_base_counts_and_score_equal_brute_force(spark, words, real, monkeypatch):
-    rows = [(i, words(1 + i % 30)) for i in range(60)] + [(100, None), (101, ""), (102, "A B a É"), (None, "the on"), (7, words(3)), (7, words(3))]
-    got = sorted(lattice_lm.score_documents(docs_df(spark, rows)).collect(), key=str)
+def _paths(token, probs, spelled):
+    """(probability, pieces and bytes) of every segmentation, from plain tables."""
+    if not token:
+        return [(1.0, ())]
+    out = []
+    for k in range(1, len(token) + 1):
+        for p, rest in _paths(token[:-k], probs, spelled):
+            piece = token[-k:]
+            inner = len(token) > k and piece[0] == "▁"
+            if piece in probs and not inner:
+                out.append((p * probs[piece], (*rest, piece)))
+            elif k == 1:
+                own = tuple(piece.encode())
+                out.append((p * math.prod(spelled[x] for x in own), (*rest, *own)))
+    return out
+
+
+def _fitted_truth(v, counts, ends, rounds):
+    """Weights of pieces, bytes and end after ``rounds`` rounds, by enumeration."""
+    given = {x: math.exp(p) for x, p in v.steps.items() if p is not None}, [math.exp(p) for p in v.byte_logp], math.exp(v.end_logp)
+    probs, spelled, end = given
+    for _ in range(rounds):
+        found = Counter()
+        for w, c in counts.items():
+            every = _paths("▁" + w, probs, spelled)
+            total = sum(p for p, _ in every)
+            for p, path in every:
+                for x in path:
+                    found[x] += c * p / total
+        mass = len(given[0])
+        weights = {x: found[x] + mass * p for x, p in given[0].items()}
+        of_byte = [found[b] + mass * p for b, p in enumerate(given[1])]
+        end = ends + mass * given[2]
+        total = sum(weights.values()) + sum(of_byte) + end
+        probs, spelled, end = {x: w / total for x, w in weights.items()}, [w / total for w in of_byte], end / total
+    return probs, spelled, end
+
+
+def test_lm_base_counts_and_scores_equal_brute_force(spark, words, real):
+    rows = [(i, words(1 + i % 30)) for i in range(60)] + [(100, None), (101, ""), (102, "A B a É"), (None, "the on"), (7, words(3)), (7, words(3)), (4, "▁x ☃☃y")]
+    got = sorted(lattice_lm.score_documents(docs_df(spark, rows), rounds=2).collect(), key=str)
     bag = [(i, (t or "").encode().lower().split() + [b""]) for i, t in rows]
     c = Counter(w for i, ws in bag if not _held(i) for w in ws)
     n, v = sum(c.values()), len(c)
+    probs, spelled, end = _fitted_truth(real, {w.decode(): k for w, k in c.items() if w}, c[b""], 2)
+    begins = end + sum(p for x, p in probs.items() if x[0] == "▁")
+
+    def lattice(w):
+        return sum(p for p, _ in _paths("▁" + w.decode(), probs, spelled)) if w else end / begins
+
     want = []
     for i, ws in bag:
         base = sum(math.log10((c[w] + 0.5) / (n + 0.5 * (v + 1))) for w in ws)
-        want.append((i, _held(i), len(ws), sum(c[w] > 0 for w in ws), n, base))
+        want.append((i, _held(i), len(ws), sum(c[w] > 0 for w in ws), n, base,
+                     sum(math.log10((c[w] + v * lattice(w)) / (n + v)) for w in ws), sum(math.log10(lattice(w)) for w in ws)))
+    assert len(got) == len(want)
     for g, w in zip(got, sorted(want, key=lambda w: str(next(x for x in got if (x.doc_id, x.n_tokens) == (w[0], w[2]) and abs(x.base_score - w[5]) < 1e-6))), strict=True):
         assert (g.doc_id, g.held_out, g.n_tokens, g.n_known, g.train_tokens) == w[:5]
-        assert g.base_score == pytest.approx(w[5])
-        assert g.score < 0 and g.lattice_score < 0
+        assert (g.base_score, g.score, g.lattice_score) == pytest.approx(w[5:], rel=1e-4)
+
+
+def test_expected_counts_equal_enumeration(toy):
+    rng = random.Random(5)
+    tokens = ["▁" + "".join(rng.choice("abé▁☃") for _ in range(rng.randrange(0, 8))) for _ in range(60)]
+    counts = np.array([rng.randrange(1, 2000) for _ in tokens])
+    lattice = BatchLattice(toy)
+    bulk = Expectation(lattice)
+    bulk.add(tokens, counts)
+    want, names = Counter(), {k: x for x, k in toy.ids.items()}
+    for t, c in zip(tokens, counts.tolist(), strict=True):
+        every = _ways(toy, t)
+        total = math.log(sum(math.exp(s) for s, _ in every))
+        for s, ids in every:
+            for k in ids:
+                want[names.get(k, k - 100)] += c * math.exp(s - total)
+    got = {lattice.names[k]: bulk.taken[k] * UNIT for k in np.flatnonzero(bulk.taken)} | {int(b): bulk.spelled[b] * UNIT for b in np.flatnonzero(bulk.spelled)}
+    assert {k: x for k, x in want.items() if x > 1} .keys() <= got.keys() <= want.keys()
+    for k in want:
+        assert got.get(k, 0) == pytest.approx(want[k], abs=0.01)
+    one = Expectation(lattice)
+    for t, c in zip(tokens, counts.tolist(), strict=True):
+        one._one(t, c)
+    assert np.abs(one.taken - bulk.taken).max() < 200 and np.abs(one.spelled - bulk.spelled).max() < 200
+    long = Expectation(lattice)
+    long.add(["▁" + "ab" * 5000], np.array([3]))
+    units = sum(len(lattice.names[k].replace("▁", "")) * int(long.taken[k]) for k in np.flatnonzero(long.taken))
+    assert units * UNIT == pytest.approx(3 * 10_000, rel=1e-3)  # every character is covered once in each of three
+
+
+def test_word_probabilities_and_the_end_sum_to_one():
+    v = pieces.from_scores([("▁", -1.0, 0), ("▁a", -1.2, 1), ("a", -0.5, 2), ("aa", -2.0, 3)], [(-60.0, 10 + b) for b in range(256)], -1.5, [""] * 300)
+    words = [b"a" * k for k in range(200)]
+    p = np.exp(lattice_lm.word_logps(BatchLattice(v), words))
+    bare = math.exp(v.marginal("▁"))  # a word of no characters, which no text has
+    assert p.sum() + bare == pytest.approx(1.0)
 
 
 def test_lm_without_training_rows(spark):
