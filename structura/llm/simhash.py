@@ -266,28 +266,26 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, seed: in
     often as they come.  Other columns are ignored; an empty table gives no
     rows.
     """
-    return (_labelled(docs, shingle, radius, seed, id_col, text_col)
+    ship_package(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "simhash")
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            made = fingerprints(utf8_bytes(part.column(1)), shingle, seed).view(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], names=["doc_id", "print"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return (_labelled(scratch.save(rows.mapInArrow(run, "doc_id long, print long"), "prints"), radius, scratch)
             .select("doc_id", F.lower(F.lpad(F.hex("print"), 16, "0")).alias("fingerprint"), "component_id"))
 
 
-def _labelled(docs: DataFrame, shingle: int, radius: int, seed: int, id_col: str, text_col: str) -> DataFrame:
-    """``doc_id, print, component_id, first_print``: one row per row of ``docs``.
+def _labelled(rows: DataFrame, radius: int, scratch: Scratch) -> DataFrame:
+    """``doc_id, print, component_id, first_print``: one row per row of ``rows`` (``doc_id, print``, a written table).
 
     ``first_print`` names the component, which a null or repeated id
     doesn't: of the fingerprints that have the component's smallest id
     the smallest.
     """
-    spark = docs.sparkSession
-    ship_package(spark)
-    scratch = Scratch(spark, "simhash")
-
-    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in parts:
-            made = fingerprints(utf8_bytes(part.column(1)), shingle, seed).view(np.int64)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(made)], names=["doc_id", "print"])
-
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    rows = scratch.save(rows.mapInArrow(run, "doc_id long, print long"), "prints")
     owners = scratch.save(rows.groupBy("print").agg(F.min("doc_id").alias("least_id"), F.count("*").alias("n")), "owners")
     edges = links(owners.select("print"), radius, scratch)
     member = scratch.save(star_components(edges.select("a", "b"), scratch), "members")
@@ -314,16 +312,18 @@ def keep_first(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str =
     the fingerprints with that id the smallest; of rows equal in both the
     one with the least text stays.
     """
+    ship_package(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "simhash-drops")
-    rows = _labelled(docs, shingle, radius, 42, id_col, text_col)
+    # the rows are written with their fingerprints, which every later step reads
+    seen = scratch.save(docs.withColumn(_OWN, _print_column(shingle)(F.col(text_col).cast("string"))), "rows", compression="zstd")
+    rows = _labelled(seen.select(F.col(id_col).cast("long").alias("doc_id"), F.col(_OWN).alias("print")), radius, scratch)
     stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("print") == F.col("first_print"))
     changed = rows.groupBy("doc_id", "print").agg(F.max(stays).alias("stays"), F.count("*").alias("copies"))
     changed = scratch.save(changed.filter("not stays or copies > 1").select(
         F.col("doc_id").alias(_ID), F.col("print").alias(_PRINT), F.col("stays").alias(_STAYS)), "changed")
     n = changed.count()
     if not n:
-        return docs
-    seen = docs.withColumn(_OWN, _print_column(shingle)(F.col(text_col).cast("string")))
+        return seen.select(*docs.columns)
     same = F.col(id_col).cast("long").eqNullSafe(F.col(_ID)) & (F.col(_OWN) == F.col(_PRINT))
     left = seen.join(small_enough(changed, n, 32), same, "left_anti").select(*docs.columns)
     repeated = changed.filter(_STAYS)
