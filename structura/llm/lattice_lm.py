@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +40,8 @@ from .lattice_fit import Expectation, reweighted
 
 #: A chunk ends after this many distinct words, or this many bytes of text.
 CHUNK_WORDS, CHUNK_BYTES = 200_000, 32 << 20
+#: Marginals are worked out for this many distinct words at once, or for those of this many rows.
+BULK_WORDS, BULK_ROWS = 20_000, 400_000
 
 _CHUNKS = pa.schema([("chunk", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()),
                      ("ids", pa.binary()), ("tfs", pa.binary()), ("local_id", pa.int32()), ("word", pa.binary()), ("c", pa.int64())])
@@ -107,14 +110,21 @@ def _chunks(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from now.rows(chunk)
 
 
+def _changes(words: pa.Array, last: bytes | None) -> np.ndarray:
+    """Whether each word differs from the one before it; ``last`` is before the first."""
+    changed = np.ones(len(words), bool)
+    changed[0] = words[0].as_py() != last
+    changed[1:] = pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)
+    return changed
+
+
 def _mark_first(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with equal words together -> the same rows and whether they are their word's first."""
     last = None
     for part in parts:
-        first = np.zeros(part.num_rows, bool)
-        for k, w in enumerate(part.column(0).to_pylist()):
-            first[k] = w != last
-            last = w
+        words = part.column(0)
+        first = _changes(words, last) if len(words) else np.zeros(0, bool)
+        last = words[-1].as_py() if len(words) else last
         yield pa.RecordBatch.from_arrays([*part.columns, pa.array(first)], names=["word", "chunk", "local_id", "c", "first"])
 
 
@@ -154,17 +164,33 @@ def fit(words: DataFrame, given: pieces.Vocabulary, ends: int, rounds: int) -> p
 
 
 def _marginals(lattice):
-    """Rows ``(word, chunk, local_id, c)`` with equal words together -> ``(chunk, local_id, c, lattice)``."""
+    """Rows ``(word, chunk, local_id, c)`` with equal words together -> ``(chunk, local_id, c, lattice)``.
+
+    Words of several batches are worked out at once: a pass costs much the
+    same for a few words as for thousands.
+    """
+    def values(held: list[pa.RecordBatch], place: list[np.ndarray], words: list[bytes]) -> Iterator[pa.RecordBatch]:
+        logps = word_logps(lattice.value, words)
+        for part, at in zip(held, place, strict=True):
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(logps[at])], names=["chunk", "local_id", "c", "lattice"])
+
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, place, words, rows, size = [], [], [], 0, 0
         for part in parts:
-            words = part.column(0).to_pylist()
-            place, distinct = np.empty(len(words), np.int64), []
-            for k, w in enumerate(words):
-                if not distinct or w != distinct[-1]:
-                    distinct.append(w)
-                place[k] = len(distinct) - 1
-            values = word_logps(lattice.value, distinct)[place] if distinct else np.empty(0)
-            yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), part.column(3), pa.array(values)], names=["chunk", "local_id", "c", "lattice"])
+            if not part.num_rows:
+                continue
+            column = part.column(0)
+            changed = _changes(column, words[-1] if words else None)
+            place.append(np.cumsum(changed) + (len(words) - 1))
+            new = column.filter(pa.array(changed))
+            words += new.to_pylist()
+            held.append(part.drop_columns(["word"]))
+            rows, size = rows + part.num_rows, size + new.nbytes
+            if len(words) >= BULK_WORDS or rows >= BULK_ROWS or size >= CHUNK_BYTES:
+                yield from values(held, place, words)
+                held, place, words, rows, size = [], [], [], 0, 0
+        if held:
+            yield from values(held, place, words)
     return run
 
 
@@ -253,10 +279,11 @@ def score_documents(docs: DataFrame, vocabulary_path: str = pieces.VOCABULARY, f
     chunks = scratch.save(rows.mapInArrow(_chunks, _CHUNKS_SQL), "chunks", compression="zstd")
     words = chunks.filter("word is not null").select("word", "chunk", "local_id", F.sum("c").over(W.partitionBy("word")).alias("c"))
     words = scratch.save(words.mapInArrow(_mark_first, "word binary, chunk long, local_id int, c long, first boolean"), "words", compression="zstd")
-    distinct = words.filter("first and c > 0")
+    # the rounds read distinct words, many times fewer than there are rows
+    distinct = scratch.save(words.filter("first and c > 0").select("word", "c"), "distinct", compression="zstd")
     is_end = F.length("word") == 0
     n, kinds, ends = distinct.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*"), F.coalesce(F.sum(F.when(is_end, F.col("c"))), F.lit(0))).first()
-    fitted = fit(distinct.filter(~is_end).select("word", "c"), pieces.load(vocabulary_path), ends, rounds)
+    fitted = fit(distinct.filter(~is_end), pieces.load(vocabulary_path), ends, rounds)
     lattice = spark.sparkContext.broadcast(BatchLattice(fitted))
     values = words.select("word", "chunk", "local_id", "c").mapInArrow(_marginals(lattice), "chunk long, local_id int, c long, lattice double")
     texts = chunks.filter("ids is not null").select("chunk", "doc_id", "held_out", "n_tokens", "ids", "tfs")
