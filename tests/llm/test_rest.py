@@ -275,6 +275,27 @@ def test_toxicity_learns_on_held_out_rows(spark, words):
     assert toxicity.score_documents(docs_df(spark, []), toxicity.train(docs_df(spark, []), tags)).count() == 0
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, words):
+    # long texts have their telling words, short ones theirs: both must be learnt
+    rows = [(i, "plain words of no note " * (1_500 if i % 4 < 2 else 3) + words(20) + (" grumpf" if i % 4 < 2 else " zorkel") * (i % 2) * 3) for i in range(160)]
+    docs, tags = docs_df(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    assert max(len(t) for _, t in rows) > 1 << 15
+    known = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 3 != 1]
+    for part_bytes in (1 << 30, 1 << 19):  # one training task, several
+        model = toxicity.train(docs, tags, part_bytes=part_bytes)
+        got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
+        assert {i for i in got if i not in known} == {i for i, r in got.items() if r.held_out}
+        for kind in (0, 2):
+            assert np.mean([r.predicted == i % 2 for i, r in got.items() if r.held_out and i % 4 in (kind, kind + 1)]) > 0.95
+
+
+def test_toxicity_thresholds_from_counts():
+    raw, labels = np.array([0.9, 0.8, 0.8, 0.6, 0.4, 0.2]), np.array([1, 1, 0, 1, 0, 0])
+    low, high, n, right = np.array([0.6, 0.8, 0.2, 0.9]), np.array([0.6, 0.8, 0.4, 0.9]), np.array([1, 2, 2, 1]), np.array([1, 1, 0, 1])
+    assert toxicity._best(low, high, n, right) == pytest.approx(toxicity._best(raw, raw, np.ones(6, int), labels))
+    assert 0.4 < toxicity._best(low, high, n, right) < 0.6
+
+
 def test_toxicity_score_does_not_depend_on_batching():
     rng = np.random.default_rng(0)
     texts = [" ".join(rng.choice(["aa", "bb", "cc", "dd"], n)).encode() for n in (0, 1, 63, 64, 65, 5000, 90_000)]
