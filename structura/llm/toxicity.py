@@ -9,10 +9,11 @@ layer on top gives the raw score.  Training keeps only the arg-max
 positions, so its backward pass is sparse.
 
 Every labelled row outside the held-out fold counts, with its whole text.
-Training goes in passes: each task starts from the shared parameters, goes
-once over its rows in small batches, and the tasks' changes are averaged by
-a shuffle over slices of the parameters.  What reaches the driver in a pass
-is one model, whatever the data.
+Training goes in rounds: each task starts from the shared parameters, goes
+a few times over its rows in small batches, and the tasks' changes are
+averaged by a shuffle over slices of the parameters.  What reaches the
+driver in a round is one model, whatever the data; what is shuffled is one
+model for each task and round.
 
 Thresholds are calibrated by language on all labelled rows (a quarter) that
 training did not see, from counts by score.  The language is guessed from the text's own function words
@@ -45,6 +46,8 @@ PART_BYTES, MOST_PARTS = 24 << 20, 256
 BLOCK_ROWS, BLOCK_BYTES, BATCH_WORDS = 4_096, 16 << 20, 1 << 20
 #: Visits that a training row gets; passes in between so that there are about so many visits in all.
 VISITS, PASSES = 40_000, (8, 30)
+#: Passes that a task makes before changes are averaged, and the bytes of hashed rows that it holds for them; with more it streams them, one pass a round.
+ROUND_PASSES, HELD_BYTES = 4, 64 << 20
 #: Hashed rows in a slice of the parameters.
 SLICE = 1_024
 #: Calibration counts scores in steps of log odds of one over this.
@@ -548,8 +551,8 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int
     """Fit on every labelled row outside the held-out fold, whole texts: three quarters (by hash of the id) train, one sets the thresholds.
 
     Each training task has ``part_bytes`` bytes of text or more.  If that
-    makes one task, it goes over its rows as often as needed; else each
-    pass over the rows is a round that starts from the averaged model.
+    makes one task, it goes over its rows as often as needed; else rounds of
+    a few passes over the rows each start from the averaged model.
     An id labelled twice counts as toxic if it is so once, an id with
     several texts has the smallest; null ids and labels are left out.
     """
@@ -572,8 +575,9 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 3, held_out_fold: int
         parts = min(MOST_PARTS, max(1, size // part_bytes))
         rates = [_pass_rate(k, passes) for k in range(passes)]
         train_rows = train_rows.coalesce(parts)
-        for first, several in [(0, rates)] if parts == 1 else [(k, [rate]) for k, rate in enumerate(rates)]:
-            _one_round(train_rows, learner, share, several, first, batch, seed)
+        several = passes if parts == 1 else ROUND_PASSES if size // parts <= HELD_BYTES else 1
+        for first in range(0, passes, several):
+            _one_round(train_rows, learner, share, rates[first:first + several], first, batch, seed)
     _calibrated(held_rows, learner.model)
     scratch.drop("rows")
     return learner.model

@@ -289,6 +289,24 @@ def test_toxicity_learns_from_every_labelled_row(spark, words):
             assert np.mean([r.predicted == i % 2 for i, r in got.items() if r.held_out and i % 4 in (kind, kind + 1)]) > 0.95
 
 
+def test_toxicity_averages_changes_a_few_times(spark, words, monkeypatch):
+    rows = [(i, words(400) + " grumpf" * (i % 2)) for i in range(60)]
+    docs, tags = docs_df(spark, rows), spark.createDataFrame([(i, i % 2) for i, _ in rows], "doc_id long, toxic int")
+    rounds, one_round = [], toxicity._one_round
+
+    def told(rows, learner, share, rates, *more):
+        rounds.append(rates)
+        one_round(rows, learner, share, rates, *more)
+
+    monkeypatch.setattr(toxicity, "_one_round", told)
+    every = [toxicity._pass_rate(k, 8) for k in range(8)]
+    for held, n in ((toxicity.HELD_BYTES, 2), (0, 8)):  # a model is shuffled for each task and round; tasks with more rows than they hold stream them
+        monkeypatch.setattr(toxicity, "HELD_BYTES", held)
+        rounds.clear()
+        toxicity.train(docs, tags, visits=1, part_bytes=1 << 14)
+        assert len(rounds) == n and sum(rounds, []) == every
+
+
 def test_toxicity_thresholds_from_counts():
     raw, labels = np.array([0.9, 0.8, 0.8, 0.6, 0.4, 0.2]), np.array([1, 1, 0, 1, 0, 0])
     low, high, n, right = np.array([0.6, 0.8, 0.2, 0.9]), np.array([0.6, 0.8, 0.4, 0.9]), np.array([1, 2, 2, 1]), np.array([1, 1, 0, 1])
