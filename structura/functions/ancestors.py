@@ -68,8 +68,9 @@ def with_ancestors(rows: DataFrame) -> DataFrame:
     ship_package(spark)
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     segs = F.when(F.col("path") == "", F.array().cast("array<string>")).otherwise(F.split("path", "/"))
-    placed = rows.select(F.col("site_id").cast("string").alias("site_id"), "path", F.col("value").cast("long").alias("value"), segs.alias("__segs"))
-    placed = (placed.repartitionByRange(n, "site_id", "__segs").sortWithinPartitions("site_id", "__segs")
+    placed = rows.select(F.col("site_id").cast("string").alias("site_id"), "path", F.col("value").cast("long").alias("value"))
+    placed = (placed.repartitionByRange(n, "site_id", segs).withColumn("__segs", segs)  # only the path is moved
+              .sortWithinPartitions("site_id", "__segs")
               .select("site_id", "path", "value").mapInArrow(_walk, _OUT))
     placed = materialize(placed, "ancestors").withColumn("__part", F.shiftright("__at", 33))
     # one row per partition: the paths that may be open at its start

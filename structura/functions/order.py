@@ -14,18 +14,24 @@ from pyspark.sql import functions as F
 
 from .scratch import materialize
 
+#: As many runs of a group within a partition are broadcast at most; more meet their rows by shuffle.
+BROADCAST_RUNS = 100_000
 
-def ranked(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
+
+def ranked(df: DataFrame, keys: list[str], order: list[str], out: str, keep_order: bool = True) -> DataFrame:
     """``df`` with ``out``: the row's 0-based place within its ``keys`` by ``order`` (any orderable columns).
 
+    ``keep_order`` False: without the columns of ``order``, which then are neither written nor moved again.
+
     The sorted rows are written once, so the numbers are the same for every reader.
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = materialize(df.repartitionByRange(n, *keys, *order).sortWithinPartitions(*keys, *order)
-                         .withColumn("__at", F.monotonically_increasing_id()), "ranked")
+                         .withColumn("__at", F.monotonically_increasing_id()).drop(*([] if keep_order else order)), "ranked")
     part = F.shiftright("__at", 33)
-    runs = placed.groupBy(*keys, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n"))
+    runs = materialize(placed.groupBy(*keys, part.alias("__part")).agg(F.min("__at").alias("__first"), F.count("*").alias("__n")), "ranked-runs")
+    few = runs.count() <= BROADCAST_RUNS
     before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
     runs = runs.select(*keys, "__part", (F.coalesce(F.sum("__n").over(before), F.lit(0)) - F.col("__first")).alias("__shift"))
-    return (placed.withColumn("__part", part).join(runs, [*keys, "__part"])
+    return (placed.withColumn("__part", part).join(F.broadcast(runs) if few else runs, [*keys, "__part"])
             .withColumn(out, F.col("__at") + F.col("__shift")).drop("__at", "__part", "__shift"))

@@ -116,7 +116,7 @@ def rule_hierarchy(urls: DataFrame, max_levels: int = RT.MAX_LEVELS) -> DataFram
 def _hierarchy(paths: DataFrame, max_levels: int) -> DataFrame:
     """V3 findings of paths with their nearest ancestor: each path is read once, both findings come from its row."""
     n = F.when(F.col("path") == "", F.lit(0)).otherwise(F.size(F.split("path", "/")))
-    parent = F.regexp_extract("path", r"\A(.*)/[^/]*\z", 1)
+    parent = F.left(F.col("path"), F.length("path") - F.length(F.substring_index("path", "/", -1)) - 1)
     found = F.array(F.when((F.col("n") >= 2) & ~F.col("near").eqNullSafe(F.col("parent")), F.concat(F.lit("orphan: missing /"), F.col("parent"))),
                     F.when(F.col("n") > max_levels, F.concat(F.lit("too_deep: "), F.col("n").cast("string"), F.lit(" levels"))))
     rows = (paths.select("site_id", "path", "near", n.alias("n"), parent.alias("parent"))

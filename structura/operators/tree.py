@@ -68,41 +68,46 @@ def tree_nodes(urls: DataFrame, max_depth: int | None = None) -> DataFrame:
     ``pos`` that contains it.  ``max_depth`` (0-based) prunes deeper
     prefixes before the shuffle.
     """
-    segs = url_segments(urls).select("site_id", "pos", "segs")
-    ex = segs.select("site_id", "pos", "segs", F.posexplode("segs").alias("depth", "name"))
+    whole = urls.select("site_id", "pos", F.array_join(path_segments(F.col("url")), "/").alias("whole"))
+    n = _depth("whole") + 1
     if max_depth is not None:
-        ex = ex.filter(F.col("depth") <= max_depth)
-    prefixes = ex.select("site_id", "pos",
-                         F.array_join(F.slice("segs", F.lit(1), F.col("depth") + 1), "/").alias("path"))
+        n = F.least(n, F.lit(max_depth + 1))
+    # outer: no filter is inferred that would cut the URL again
+    ex = whole.select("site_id", "pos", "whole", F.explode_outer(F.when((F.col("whole") != "") & (n > 0), F.sequence(F.lit(1), n))).alias("n")).filter("n is not null")
+    prefixes = ex.select("site_id", "pos", F.expr("substring_index(whole, '/', n)").alias("path"))
     return _node_columns(prefixes.groupBy("site_id", "path").agg(F.min("pos").alias("first_seen")))
 
 
+def _depth(path: str) -> F.Column:
+    return F.length(path) - F.length(F.replace(F.col(path), F.lit("/"), F.lit("")))
+
+
 def _node_columns(nodes: DataFrame, *more: str) -> DataFrame:
-    parts = F.split(F.col("path"), "/")
-    depth = F.size(parts) - 1
+    name, depth = F.substring_index("path", "/", -1), _depth("path")
     return nodes.select(
         "site_id", "path",
-        F.when(depth > 0, F.regexp_extract(F.col("path"), r"\A(.*)/[^/]*\z", 1)).alias("parent_path"),
-        F.element_at(parts, -1).alias("name"),
+        F.when(depth > 0, F.left(F.col("path"), F.length("path") - F.length(name) - 1)).alias("parent_path"),
+        name.alias("name"),
         depth.alias("depth"),
         "first_seen", *more,
     )
 
 
 def _keyed(nodes: DataFrame) -> DataFrame:
-    """``nodes`` with ``key``, the ``first_seen`` of the ancestors and of the node itself.
+    """``site_id, path, first_seen, key`` of ``nodes``; ``key``: the ``first_seen`` of the ancestors and of the node itself.
 
     No join on a parent: a parent of very many children spreads over tasks.
     """
     placed = with_ancestors(nodes.select("site_id", "path", F.col("first_seen").alias("value")))
-    return _node_columns(placed.select("site_id", "path", F.col("value").alias("first_seen"), F.concat("above", F.array("value")).alias("key")), "key")
+    return placed.select("site_id", "path", F.col("value").alias("first_seen"), F.concat("above", F.array("value")).alias("key"))
 
 
 def dfs_order(nodes: DataFrame) -> DataFrame:
     """Add ``line_no`` (1-based depth-first rank, siblings by first_seen)
     to a node table that is closed under ancestors (every node's parent is
     present)."""
-    return ranked(_keyed(nodes), ["site_id"], ["key"], "line_no").withColumn("line_no", F.col("line_no") + 1).drop("key")
+    rows = ranked(_keyed(nodes), ["site_id"], ["key"], "line_no", keep_order=False)  # what the path says is worked out behind the sort
+    return _node_columns(rows.withColumn("line_no", F.col("line_no") + 1), "line_no")
 
 
 def with_sibling_idx(ordered: DataFrame) -> DataFrame:
@@ -197,8 +202,8 @@ def first_graph_nodes(urls: DataFrame, k: int | None = GRAPH_MAX_EDGES, max_dept
         return graph_nodes(urls, max_depth)
     nodes = materialize(tree_nodes(urls, None if max_depth is None else max_depth + 1), "graph-nodes")
     drawn = nodes if max_depth is None else nodes.filter(F.col("depth") <= max_depth)
-    ordered = (_keyed(drawn).withColumn("line_no", F.row_number().over(Window.partitionBy("site_id").orderBy("key")))
-               .filter(F.col("line_no") <= k).drop("key"))
+    ordered = _node_columns(_keyed(drawn).withColumn("line_no", F.row_number().over(Window.partitionBy("site_id").orderBy("key")))
+                            .filter(F.col("line_no") <= k), "line_no")
     ordered = materialize(ordered.withColumn("sibling_idx", F.row_number().over(
         Window.partitionBy("site_id", "parent_path").orderBy("first_seen")) - 1), "graph-first")
     return _graph(nodes.join(ordered.select("site_id", F.col("path").alias("parent_path")), ["site_id", "parent_path"], "left_semi"),

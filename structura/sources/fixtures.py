@@ -48,16 +48,17 @@ def catalog_urls(spark: SparkSession, sf_dir: str, shorten: bool = False) -> Dat
     # broadcasts them only under spark.sql.autoBroadcastJoinThreshold.
     geo = (sup.join(nat, sup.s_nationkey == nat.n_nationkey)
            .join(reg, nat.n_regionkey == reg.r_regionkey)
-           .select("s_suppkey", "n_name", "r_name"))
+           .select("s_suppkey", slug(F.col("n_name")).alias("n_slug"), slug(F.col("r_name")).alias("r_slug")))
+    part = part.select("p_partkey", slug(F.col("p_brand")).alias("b_slug"), slug(F.col("p_type")).alias("t_slug"))
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     j = (li.join(geo, li.l_suppkey == geo.s_suppkey)
          .join(part, li.l_partkey == part.p_partkey)
          .withColumn("rk", F.row_number().over(w) - 1))
     segs = F.array(
-        slug(F.col("n_name")),
+        F.col("n_slug"),
         F.concat(F.lit("s"), F.col("l_suppkey").cast("string")),
-        slug(F.col("p_brand")),
-        slug(F.col("p_type")),
+        F.col("b_slug"),
+        F.col("t_slug"),
         F.concat(F.lit("p"), F.col("l_partkey").cast("string")),
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")),
         F.concat(F.lit("l"), F.col("l_linenumber").cast("string")),
@@ -66,7 +67,7 @@ def catalog_urls(spark: SparkSession, sf_dir: str, shorten: bool = False) -> Dat
     if shorten:
         segs = F.slice(segs, F.lit(1), F.lit(8) - (F.col("l_orderkey") % 9).cast("int"))
     return j.select(
-        slug(F.col("r_name")).alias("site_id"),
+        F.col("r_slug").alias("site_id"),
         (F.col("l_orderkey") * ORDER_STRIDE + F.col("rk")).alias("pos"),
         F.concat(F.lit(CATALOG_HOST), F.array_join(segs, "/")).alias("url"),
         F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"),
@@ -234,12 +235,13 @@ def shop_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
     li = li.withColumn("rk", F.row_number().over(w) - 1)
     part = table(spark, sf_dir, "part", "p_partkey", "p_brand", "p_type")
+    part = part.select("p_partkey", slug(F.col("p_brand")).alias("site"), slug(F.col("p_type")).alias("ptype"))
     j = li.join(part, li.l_partkey == part.p_partkey)
     k = len(LISTING_DETAIL)
     listing = F.get(F.array(*[F.lit(a) for a, _ in LISTING_DETAIL]), (F.col("l_partkey") % k).cast("int"))
     detail = F.get(F.array(*[F.lit(b) for _, b in LISTING_DETAIL]), (F.col("l_partkey") % k).cast("int"))
     legal = F.get(F.array(*map(F.lit, SHOP_LEGAL)), (F.col("l_orderkey") % len(SHOP_LEGAL)).cast("int"))
-    ptype = slug(F.col("p_type"))
+    ptype = F.col("ptype")
     ln = F.col("l_linenumber")
     path = (F.when(ln == 1, F.concat(F.lit("/"), listing))
             .when(ln == 2, F.concat(F.lit("/"), listing, F.lit("/"), ptype))
@@ -250,7 +252,7 @@ def shop_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
             .when(ln == 5, F.lit("/"))
             .when(ln == 6, F.concat(F.lit("/"), legal))
             .otherwise(F.concat(F.lit("/tag/"), ptype)))
-    site = slug(F.col("p_brand"))
+    site = F.col("site")
     return j.select(site.alias("site_id"), (F.col("l_orderkey") * ORDER_STRIDE + F.col("rk")).alias("pos"),
                     F.concat(F.lit("https://"), site, F.lit(".example.com"), path).alias("url"),
                     F.lit("").alias("lastmod"), F.lit("").alias("changefreq"), F.lit("").alias("priority"))

@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import functions as F
 
+from structura.functions import order
 from structura.operators import sitemap as S
 from structura.operators import tree as T
 from tests.conftest import urls_df
@@ -296,3 +297,27 @@ def test_named_cases_equal_element_tree(spark):
         "many": f'<urlset xmlns="{ns}" xmlns:i="urn:i">' + f"{one}<url><loc>b</loc><i:image><i:loc>z</i:loc></i:image></url>" * 2_000 + "</urlset>",
     }
     assert _found(spark, docs) == {k: _element_tree(x) if x is not None else [] for k, x in docs.items()}
+
+
+def test_parent_of_a_path_with_a_line_separator(spark):
+    rows = {r.path: r for r in T.dfs_order(T.tree_nodes(urls_df(spark, ["http://e.com/a\u2028b/c/d", "http://e.com/", "http://e.com/z;p"]))).collect()}
+    assert {p: (r.parent_path, r.name, r.depth, r.line_no) for p, r in rows.items()} == {
+        "a\u2028b": (None, "a\u2028b", 0, 1), "a\u2028b/c": ("a\u2028b", "c", 1, 2), "a\u2028b/c/d": ("a\u2028b/c", "d", 2, 3), "z": (None, "z", 0, 4)}
+
+
+def test_nodes_move_without_what_their_path_says(spark):
+    nodes = T.tree_nodes(urls_df(spark, ["http://e.com/a/b"]))
+    assert T._keyed(nodes).columns == ["site_id", "path", "first_seen", "key"]
+    assert "key" not in T.dfs_order(nodes).columns
+
+
+def test_ranks_by_broadcast_and_by_shuffle(spark, monkeypatch, request):
+    rows = spark.createDataFrame([("ab"[i % 2], i * 7919 % 1000, str(i)) for i in range(1000)], "k string, o long, v string").repartition(7)
+    want = sorted((k, i, str(v)) for k in "ab" for i, (_, v) in enumerate(sorted((v * 7919 % 1000, v) for v in range(1000) if "ab"[v % 2] == k)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    request.addfinalizer(lambda: spark.conf.unset("spark.sql.autoBroadcastJoinThreshold"))
+    for most in (order.BROADCAST_RUNS, 0):
+        monkeypatch.setattr(order, "BROADCAST_RUNS", most)
+        got = order.ranked(rows, ["k"], ["o"], "at", keep_order=False)
+        assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (most > 0)
+        assert got.columns == ["k", "v", "at"] and sorted((r.k, r.at, r.v) for r in got.collect()) == want
