@@ -120,10 +120,12 @@ def _mangle(header: Column) -> Column:
     """pandas header names: '' -> 'Unnamed: i', repeats -> 'name.k'."""
     named = F.transform(header, lambda x, i: F.when(x == "", F.concat(F.lit("Unnamed: "), i.cast("string")))
                         .otherwise(x))
-    return F.transform(named, lambda x, i: F.when(
-        F.size(F.filter(F.slice(named, 1, i), lambda y: y == x)) > 0,
-        F.concat(x, F.lit("."), F.size(F.filter(F.slice(named, 1, i), lambda y: y == x)).cast("string")))
-        .otherwise(x))
+
+    def numbered(names: Column) -> Column:  # let: a lambda would name the columns again for every column
+        return F.transform(names, lambda x, i: let(
+            F.size(F.filter(F.slice(names, 1, i), lambda y: y == x)),
+            lambda k: F.when(k > 0, F.concat(x, F.lit("."), k.cast("string"))).otherwise(x)))
+    return let(named, lambda names: F.when(F.size(F.array_distinct(names)) == F.size(names), names).otherwise(numbered(names)))
 
 
 # I2-I10 ---------------------------------------------------------------------
@@ -247,32 +249,38 @@ def _roles(header: Column) -> Column:
 def _client(header: Column, rows: Column) -> Column:
     """Index of the client-name column and the name."""
     lh = F.transform(header, F.lower)
-    n = F.size(header)
 
     def values(i):
         return F.filter(F.transform(rows, lambda r: F.get(r["cells"], i)), lambda v: v.isNotNull())
 
+    # let: a lambda would work the index out again for every row, and the header's lower case for every column
     c1 = _pos(lh, lambda x: F.contains(x, F.lit("client")) & F.contains(x, F.lit("name")))
     c2 = F.array_position(F.transform(
-        F.sequence(F.lit(0), n - 1),
-        lambda i: F.contains(F.get(lh, i), F.lit("name")) & ~F.contains(F.get(lh, i), F.lit("client"))
+        lh, lambda x, i: F.contains(x, F.lit("name")) & ~F.contains(x, F.lit("client"))
         & F.exists(F.slice(values(i), 1, CLIENT_SAMPLE_ROWS),
                    lambda v: (F.length(v) < CLIENT_VALUE_MAX_LEN) & ~v.startswith(F.lit("http")))), True)
-    c_idx = F.when(c1 > 0, c1 - 1).when(c2 > 0, c2 - 1)
-    first = F.get(values(c_idx), 0)
-    cleaned = F.substring(F.replace(F.regexp_replace(py_strip(first), FILENAME_BAD_CHARS_RE, ""),
-                                    F.lit(" "), F.lit("-")), 1, CLIENT_NAME_MAX)
-    name = F.when(first.isNotNull(), cleaned).otherwise(F.lit(DEFAULT_NAME))
-    return F.struct(c_idx.cast("int").alias("client_idx"), name.alias("client_name"))
+    c_idx = let(c1, lambda one: F.when(one > 0, one - 1).otherwise(let(c2, lambda two: F.when(two > 0, two - 1)))).cast("int")
+
+    def named(first: Column) -> Column:
+        cleaned = F.substring(F.replace(F.regexp_replace(py_strip(first), FILENAME_BAD_CHARS_RE, ""),
+                                        F.lit(" "), F.lit("-")), 1, CLIENT_NAME_MAX)
+        return F.when(first.isNotNull(), cleaned).otherwise(F.lit(DEFAULT_NAME))
+
+    return let(c_idx, lambda i: F.struct(i.alias("client_idx"), let(F.get(values(i), 0), named).alias("client_name")))
+
+
+def client_name(parsed: DataFrame) -> Column:
+    """R5 in-row: the client's name, null for unreadable files."""
+    return F.when(F.col("status") == "ok", _client(F.col("header"), F.col("rows"))["client_name"])
 
 
 def column_roles(parsed: DataFrame) -> DataFrame:
     """``file_id, header, q_idx, a_idx, client_idx, client_name``
     for every readable file."""
-    r, c = F.col("roles"), _client(F.col("header"), F.col("rows"))
-    one = _one_if(F.col("status") == "ok", F.struct(
+    r = F.col("roles")
+    one = _one_if(F.col("status") == "ok", let(_client(F.col("header"), F.col("rows")), lambda c: F.struct(
         F.col("header").alias("header"), r["q_idx"].alias("q_idx"), r["a_idx"].alias("a_idx"),
-        c["client_idx"].alias("client_idx"), c["client_name"].alias("client_name")))
+        c["client_idx"].alias("client_idx"), c["client_name"].alias("client_name"))))
     return _explode(parsed, one).select("file_id", "r.header", "r.q_idx", "r.a_idx", "r.client_idx",
                                         "r.client_name")
 

@@ -236,3 +236,16 @@ def test_the_latest_version_of_a_file_counts(spark, tmp_path):
         (folder / "f.csv").write_text(head + f"1,q,{answer}\n")
         start_ingest_stream(spark, landing, result, done, file_id_re=r"/([^/]+)\.csv").awaitTermination()
         assert [r.answer for r in read_pairs(spark, result).collect()] == [answer]
+
+
+def test_client_column_is_found_once_per_file(spark):
+    header = "Section,Question,Answer," + ",".join(["name", "x", "name", "x", "x"])
+    texts = {"a": header + "\n" + "s,q,a,http://n,1,Short Name,2,3\n" * 5, "b": "Section,Question,Answer,Client Name\ns,q,a,\ns,q,a,A/B: C\n",
+             "c": "Section,Question,Answer,Name\ns,q,a," + "x" * 120 + "\n", "d": Q2}
+    roles = I.column_roles(I.parse_files(files_df(spark, texts)))
+    got = {r.file_id: (r.client_idx, r.client_name, r.header[3:]) for r in roles.collect()}
+    assert got == {"a": (5, "Short-Name", ["name", "x", "name.1", "x.1", "x.2"]), "b": (3, "AB-C", ["Client Name"]),
+                   "c": (None, "sitemap", ["Name"]), "d": (None, "sitemap", [])}
+    parsed = spark.createDataFrame([], "header array<string>, rows array<struct<row_id:long,rec_no:long,cells:array<string>>>")
+    said = parsed.select(I._client(F.col("header"), F.col("rows")).alias("c"))._jdf.queryExecution().analyzed().toString()
+    assert said.count("lower(") <= 2  # was worked out again for the index of every row's cell
