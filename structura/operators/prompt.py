@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scratch import materialize
 from . import rule_tables as RT
 from .ingest import _explode, _one_if, pair_array
 from .rules import apply_rules, planned_pages, questionnaire_profile
@@ -70,7 +71,10 @@ def file_prompt_context(parsed: DataFrame, k: int | None = MAX_PAIRS) -> DataFra
 
 
 def prompt_context(pairs: DataFrame, k: int | None = MAX_PAIRS) -> DataFrame:
-    """M1 on any ``file_id, id, question, answer`` table; ``k`` None: all pairs."""
+    """M1 on any ``file_id, id, question, answer`` table; ``k`` None: all pairs.
+
+    Both the first pairs and the totals read the pairs: they are written once, as a parse of all files may lie behind them."""
+    pairs = materialize(pairs.select("file_id", "id", "question", "answer"), "pairs")
     w = Window.partitionBy("file_id").orderBy("id")
     top = pairs if k is None else pairs.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= k)
     top = (top.select("file_id", "id", pair_entry(F.col("id"), F.col("question"), F.col("answer")).alias("e")))

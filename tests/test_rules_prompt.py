@@ -228,3 +228,22 @@ def test_keywords_that_go_together_weigh_more(spark):
     pairs = spark.createDataFrame(rows, "file_id string, id long, question string, answer string")
     got = {r["token"]: r["weight"] for r in R.evidence_weights(R.keyword_counts(pairs, vocab), vocab).collect()}
     assert got["shop"] == got["store"] > got["dental"] == got["clinic"]
+
+
+def _counting(spark, df):
+    """``df`` and an accumulator of how many of its rows were worked out."""
+    done = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            done.add(len(b))
+            yield b
+    return df.mapInPandas(run, df.schema), done
+
+
+def test_prompt_context_reads_its_pairs_once(spark):
+    rows = [("f", i, f"q{i}", f"a{i}") for i in range(1, 61)] + [("g", 1, "q", "a")]
+    pairs, done = _counting(spark, spark.createDataFrame(rows, "file_id string, id long, question string, answer string"))
+    got = {r.file_id: r for r in M.prompt_context(pairs).collect()}
+    assert got["f"].n_pairs == 60 and got["f"].qa_text.endswith("\n\n... and 10 more question-answer pairs.")
+    assert got["g"].qa_text == "Question 1: q\nAnswer: a" and done.value == len(rows)
