@@ -10,17 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scratch import materialize
-from .ingest import column_roles, output_name, pair_array
+from .ingest import client_name, output_name, pair_array
 from .sitemap import extract_xml, sitemap_parse
 from .tree import page_stats, tree_lines
 
 
 def file_facts(parsed: DataFrame) -> DataFrame:
     """What the later steps need of every file, written once: ``file_id, status, n_rows, n_columns, client_name, pairs``."""
-    client = column_roles(parsed).select("file_id", "client_name")
     facts = parsed.select("file_id", "status", F.size("rows").alias("n_rows"), F.coalesce(F.size("header"), F.lit(0)).alias("n_columns"),
-                          pair_array(parsed).alias("pairs"))
-    return materialize(facts.join(client, "file_id", "left"), "file-facts")
+                          pair_array(parsed).alias("pairs"), client_name(parsed).alias("client_name"))
+    facts = materialize(facts, "file-parsed")  # one parse: both sides of the join read what it wrote
+    client = facts.filter(F.col("status") == "ok").select("file_id", "client_name")
+    return materialize(facts.drop("client_name").join(client, "file_id", "left"), "file-facts")
 
 
 def pairs_of(facts: DataFrame) -> DataFrame:
@@ -31,7 +32,9 @@ def pairs_of(facts: DataFrame) -> DataFrame:
 
 def site_records(replies: DataFrame) -> DataFrame:
     """URL records of the replies (``file_id, response, error``): ``site_id`` is the file."""
-    xml = replies.filter("response is not null").select(F.col("file_id").alias("site_id"), extract_xml(F.col("response")).alias("xml"))
+    n = int(replies.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = replies.select("file_id", "response").repartition(n, "file_id")  # written replies are few bytes in few files, but long to parse
+    xml = spread.filter("response is not null").select(F.col("file_id").alias("site_id"), extract_xml(F.col("response")).alias("xml"))
     return sitemap_parse(xml, ("site_id",))
 
 

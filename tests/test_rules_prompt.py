@@ -247,3 +247,25 @@ def test_prompt_context_reads_its_pairs_once(spark):
     got = {r.file_id: r for r in M.prompt_context(pairs).collect()}
     assert got["f"].n_pairs == 60 and got["f"].qa_text.endswith("\n\n... and 10 more question-answer pairs.")
     assert got["g"].qa_text == "Question 1: q\nAnswer: a" and done.value == len(rows)
+
+
+def test_file_facts_parse_every_file_once(spark):
+    from structura.operators import results
+    from structura.operators.ingest import parse_files
+    from tests.conftest import files_df
+    texts = {"a": "Section,Question,Answer,Client Name\ns,q,a,Acme Inc\ns,r,b,\n", "b": "", "c": "Section,Question,Answer\ns,q,a\n"}
+    files, done = _counting(spark, files_df(spark, texts))
+    got = {r.file_id: r for r in results.file_facts(parse_files(files)).collect()}
+    assert {k: (r.status, r.n_rows, r.client_name) for k, r in got.items()} == {
+        "a": ("ok", 2, "Acme-Inc"), "b": ("empty", 0, None), "c": ("ok", 1, "sitemap")}
+    assert done.value == len(texts)
+    twice = results.file_facts(parse_files(files_df(spark, texts).unionByName(files_df(spark, {"a": texts["a"]}))))
+    assert twice.count() == 6  # a repeated id meets every row of its id, as it does in the SQL
+
+
+def test_replies_in_one_file_are_parsed_by_many_tasks(spark):
+    from structura.operators import results
+    xml = "```xml\n<urlset xmlns=\"http://www.sitemaps.org/schemas/sitemap/0.9\"><url><loc>https://x.y/{}</loc></url></urlset>\n```"
+    replies = spark.createDataFrame([(str(i), xml.format(i), None) for i in range(40)], "file_id string, response string, error string").coalesce(1)
+    records = results.site_records(replies)
+    assert records.rdd.getNumPartitions() > 1 and records.count() == 40
