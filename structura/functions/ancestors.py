@@ -24,6 +24,13 @@ from .ship import ship_package
 _OUT = "site_id string, path string, value long, near string, above array<long>, __at long"
 
 
+def _plain(column: pa.Array) -> list:
+    """As ``to_pylist``, which makes a scalar object of every value first."""
+    if pa.types.is_integer(column.type) and column.null_count:
+        return column.to_pylist()  # numpy would make floats of these
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def _walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted ``site_id, path, value`` -> ``near`` and ``above`` as far as this partition knows, and the row's place."""
     at = TaskContext.get().partitionId() << 33
@@ -35,7 +42,7 @@ def _walk(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         near: list[str | None] = []
         above: list[int | None] = []
         sizes = [0]
-        for s, path, value in zip(*(part.column(k).to_pylist() for k in range(3)), strict=True):
+        for s, path, value in zip(*map(_plain, part.columns[:3]), strict=True):
             if s != site:
                 site = s
                 names.clear(), heads.clear(), values.clear()
@@ -74,7 +81,8 @@ def with_ancestors(rows: DataFrame) -> DataFrame:
               .select("site_id", "path", "value").mapInArrow(_walk, _OUT))
     placed = materialize(placed, "ancestors").withColumn("__part", F.shiftright("__at", 33))
     # one row per partition: the paths that may be open at its start
-    ends = placed.groupBy("__part").agg(F.max_by(F.struct("site_id", "path"), "__at").alias("end"))
+    last = placed.groupBy("__part").agg(F.max("__at").alias("__at")).select("__at")  # no path is compared or copied for each row
+    ends = placed.select("__part", "__at", F.struct("site_id", "path").alias("end")).join(F.broadcast(last), "__at")
     ends = ends.select("__part", F.lag("end").over(Window.orderBy("__part")).alias("end")).filter("end is not null")
     segs = F.split("end.path", "/")
     prefixes = F.transform(F.sequence(F.lit(0), F.size(segs)), lambda k: F.array_join(F.slice(segs, F.lit(1), k), "/"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ancestors import with_ancestors
 from ..functions.joins import join_group_facts
-from ..functions.order import ranked
+from ..functions.order import ranked, ranked_in_many
 from ..functions.scratch import materialize
 from ..functions.url import path_segments
 
@@ -113,7 +113,7 @@ def dfs_order(nodes: DataFrame) -> DataFrame:
 def with_sibling_idx(ordered: DataFrame) -> DataFrame:
     """Adds ``sibling_idx``, the 0-based rank among siblings."""
     keyed = ordered.withColumn("parent_key", F.coalesce("parent_path", F.lit("")))
-    return ranked(keyed, ["site_id", "parent_key"], ["first_seen"], "sibling_idx").drop("parent_key")
+    return ranked_in_many(keyed, ["site_id", "parent_key"], ["first_seen"], "sibling_idx").drop("parent_key")
 
 
 def tree_lines(urls: DataFrame, max_depth: int | None = TREE_MAX_DEPTH) -> DataFrame:

@@ -321,3 +321,29 @@ def test_ranks_by_broadcast_and_by_shuffle(spark, monkeypatch, request):
         got = order.ranked(rows, ["k"], ["o"], "at", keep_order=False)
         assert ("BroadcastHashJoin" in got._jdf.queryExecution().executedPlan().toString()) == (most > 0)
         assert got.columns == ["k", "v", "at"] and sorted((r.k, r.at, r.v) for r in got.collect()) == want
+
+
+def test_ranks_in_many_groups_need_no_table_of_all_groups(spark):
+    rng = random.Random(9)
+    groups = [rng.choice(["big", "big", "big", None, *(f"g{k}" for k in range(40))]) for _ in range(3000)]
+    rows = [(rng.choice(["s", "t", None]), g, i, "x" * (i % 7)) for i, g in enumerate(groups)]
+    df = spark.createDataFrame(rows, "site string, parent string, at long, more string")
+    want, seen = {}, {}
+    for s, p, i, _ in rows:
+        if s is not None and p is not None:  # null keys were left out before, too
+            want[i] = seen.get((s, p), 0)
+            seen[s, p] = want[i] + 1
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.autoBroadcastJoinThreshold")}
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        for n in (1, 7, 60):
+            spark.conf.set("spark.sql.shuffle.partitions", str(n))
+            got = order.ranked_in_many(df, ["site", "parent"], ["at"], "rank")
+            assert got.columns == [*df.columns, "rank"]
+            assert {r.at: r["rank"] for r in got.collect()} == want and got.count() == len(want)
+        spark.conf.set("spark.sql.shuffle.partitions", "7")
+        ordered = T.with_sibling_idx(T.dfs_order(T.tree_nodes(urls_df(spark, [f"https://x.y/{k % 9}/{k}" for k in range(90)]))))
+        assert "SortMergeJoin" not in ordered._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
