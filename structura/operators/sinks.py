@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.order import BROADCAST_RUNS
 from ..functions.scratch import materialize
 from .sitemap import SITEMAP_HEAD, sitemap_entry
 
@@ -52,8 +53,9 @@ def _ordered_lines(spark: SparkSession, path: str, keys: list[str]) -> DataFrame
     runs = rows.groupBy(*block).agg(F.min("at").alias("first"), F.count("*").alias("n"))
     part = F.regexp_extract("file", r"/part-([0-9]+)[^/]*\z", 1).try_cast("bigint")  # names stop sorting at 100,000 parts
     before = Window.partitionBy(*keys).orderBy(part, "file", "start").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.select(*block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift"))
-    return rows.join(runs, block).select(*keys, (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
+    runs = materialize(runs.select(*block, (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("shift")), "lines-runs")
+    few = runs.count() <= BROADCAST_RUNS  # one per block of a file: else every line would be moved with its file's name, a file to a task
+    return rows.join(F.broadcast(runs) if few else runs, block).select(*keys, (F.col("at") + F.col("shift") + 1).alias("line_no"), "line")
 
 
 def write_sitemap_files(urls: DataFrame, path: str, partitions: int | None = None) -> None:

@@ -347,3 +347,19 @@ def test_ranks_in_many_groups_need_no_table_of_all_groups(spark):
     finally:
         for k, v in old.items():
             spark.conf.set(k, v)
+
+
+def test_read_back_lines_are_not_moved_to_their_file(spark, tmp_path):
+    from structura.operators import sinks
+    lines = spark.createDataFrame([("s", i, f"line {i}") for i in range(1, 301)] + [("t", 1, "one")], "site_id string, line_no long, line string")
+    names = spark.createDataFrame([("s", "a.txt"), ("t", "b.txt")], "site_id string, output_name string")
+    sinks.write_tree_files(lines, names, str(tmp_path / "out"))
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = sinks.read_tree_files(spark, str(tmp_path / "out"))
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((r.site_id, r.output_name, r.line_no, r.line) for r in got.collect()) == sorted(
+            [("s", "a.txt", i, f"line {i}") for i in range(1, 301)] + [("t", "b.txt", 1, "one")])
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
